@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from .exact_dedup import exact_dedup
+from .near_dup import near_dup_classes
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -21,8 +22,13 @@ def op5_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "keep_id", "group_size", "kept", "text_sha256")
 
 
+def op9_minhash_near_dup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dup_classes(_table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Query] = {
     "op5_exact_dedup": op5_exact_dedup,
+    "op9_minhash_near_dup": op9_minhash_near_dup,
 }
 
 ORACLE: dict[str, str] = {
