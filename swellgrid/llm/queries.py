@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from .exact_dedup import exact_dedup
 from .near_dup import near_dup_classes
+from .packing import pack_documents
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -22,12 +23,23 @@ def op5_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "keep_id", "group_size", "kept", "text_sha256")
 
 
+def tokenizer_path() -> str:
+    import public_tokenizers
+
+    return str(public_tokenizers.path("byte_bpe_50k.json"))
+
+
+def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pack_documents(_table(spark, sf_dir, "documents"), tokenizer_path())
+
+
 def op9_minhash_near_dup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dup_classes(_table(spark, sf_dir, "documents"))
 
 
 QUERIES: dict[str, Query] = {
     "op5_exact_dedup": op5_exact_dedup,
+    "op6_packing": op6_packing,
     "op9_minhash_near_dup": op9_minhash_near_dup,
 }
 
