@@ -4,11 +4,16 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from .exact_dedup import exact_dedup
+from .mixing import mix_sources
 from .near_dup import near_dup_classes
 from .packing import pack_documents
+from .quality import quality_selection
+from .secrets import BASE_KINDS, count_of, joined, scan_secrets
+from .url_filter import judge_urls
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -17,6 +22,42 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+#: Which domain each source belongs to, and the target weights of the mix.
+DOMAINS = {
+    "web": ["src0", "src1", "src2", "src3", "src4", "src5", "src6", "src7"],
+    "books": ["src8", "src9", "src10", "src11", "src12", "src13"],
+    "news": ["src14", "src15", "src16", "src17"],
+    "code": ["src18", "src19"],
+}
+MIX_WEIGHTS: dict[str, dict[str, float]] = {
+    "domain": {"web": 40, "books": 30, "news": 20, "code": 10},
+    "lang": {"en": 60, "de": 15, "fr": 15, "es": 10},
+}
+
+
+def mix_levels(source: str = "source", lang: str = "lang") -> dict[str, Column]:
+    domain = F.lit("other")
+    for name, sources in DOMAINS.items():
+        domain = F.when(F.col(source).isin(sources), F.lit(name)).otherwise(domain)
+    return {"domain": domain, "lang": F.col(lang), "source": F.col(source)}
+
+
+def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    mixed = mix_sources(_table(spark, sf_dir, "documents"), mix_levels(), MIX_WEIGHTS)
+    return mixed.select("doc_id", "domain", "lang", "source", "epoch")
+
+
+def op3_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = scan_secrets(_table(spark, sf_dir, "documents"))
+    spans = F.col("spans")
+    return found.select(
+        "doc_id",
+        *[count_of(spans, k).alias(f"n_{k}") for k in BASE_KINDS],
+        F.sha2(joined(spans, BASE_KINDS).cast("binary"), 256).alias("base_sha256"),
+        joined(spans).alias("spans"),
+    )
+
+
 def op5_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
     out = exact_dedup(docs, digest="text_sha256")
@@ -33,17 +74,87 @@ def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_documents(_table(spark, sf_dir, "documents"), tokenizer_path())
 
 
+def op7_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    scored = quality_selection(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+    return scored.select("doc_id", "log_weight", "sample_key", "selected")
+
+
 def op9_minhash_near_dup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dup_classes(_table(spark, sf_dir, "documents"))
 
 
+def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    judged = judge_urls(_table(spark, sf_dir, "pages"))
+    return judged.select("page_id", "host", "path", "rule", "verdict", "score")
+
+
 QUERIES: dict[str, Query] = {
+    "op2_mixing": op2_mixing,
+    "op3_secrets": op3_secrets,
     "op5_exact_dedup": op5_exact_dedup,
+    "op7_quality_classifier": op7_quality_classifier,
     "op6_packing": op6_packing,
     "op9_minhash_near_dup": op9_minhash_near_dup,
+    "op10_url_filter": op10_url_filter,
 }
 
+_DOMAIN_SQL = "CASE " + " ".join(f"WHEN source IN ({', '.join(repr(x) for x in v)}) THEN '{k}'" for k, v in DOMAINS.items()) + " ELSE 'other' END"
+_DOMAIN_WEIGHT_SQL = "CASE domain " + " ".join(f"WHEN '{k}' THEN {v}" for k, v in MIX_WEIGHTS["domain"].items()) + " ELSE 1 END"
+_LANG_WEIGHT_SQL = "CASE lang " + " ".join(f"WHEN '{k}' THEN {v}" for k, v in MIX_WEIGHTS["lang"].items()) + " ELSE 1 END"
+
+
+def _level_sql(name: str, parent: str, column: str, weight: str, given: str) -> str:
+    """One level of the water-filling: quotas of ``column`` within ``parent``."""
+    on = " AND ".join(f"n.{c} IS NOT DISTINCT FROM g.{c}" for c in parent.split(", ")) if parent else "true"
+    part = f"PARTITION BY {', '.join('n.' + c for c in parent.split(', '))}" if parent else ""
+    over = part.replace("n.", "")
+    keys = f"{parent}, {column}" if parent else column
+    return f"""
+        {name}_n AS (SELECT {keys}, sum(cap) AS cap, CAST({weight} AS DOUBLE) AS weight FROM caps GROUP BY {keys}),
+        {name}_l AS (
+            SELECT n.*, (g.budget - coalesce(sum(n.cap) OVER (w ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0.0))
+                        / sum(n.weight) OVER (w ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS level
+            FROM {name}_n n JOIN {given} g ON {on}
+            WINDOW w AS ({part} ORDER BY n.cap / n.weight, n.{column} NULLS FIRST)
+        ),
+        {name} AS (
+            SELECT {keys}, greatest(0.0, least(cap, max(level) OVER ({over}) * weight)) AS budget FROM {name}_l
+        )"""
+
+
 ORACLE: dict[str, str] = {
+    "op2_mixing": rf"""
+        WITH words AS (
+            SELECT doc_id, lang, source, {_DOMAIN_SQL} AS domain,
+                   trim(regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]+', ' ', 'g')) AS t
+            FROM documents
+        ),
+        docs AS (
+            SELECT doc_id, domain, lang, source,
+                   CASE WHEN t = '' THEN 0 ELSE length(t) - length(replace(t, ' ', '')) + 1 END AS tokens
+            FROM words
+        ),
+        supply AS (SELECT domain, lang, source, CAST(sum(tokens) AS BIGINT) AS supply FROM docs GROUP BY ALL),
+        caps AS (SELECT *, supply * 2.0::DOUBLE AS cap FROM supply),
+        top AS (SELECT least(sum(cap), 0.8::DOUBLE * sum(supply)) AS budget FROM caps),
+        {_level_sql("d", "", "domain", _DOMAIN_WEIGHT_SQL, "top")},
+        {_level_sql("l", "domain", "lang", _LANG_WEIGHT_SQL, "d")},
+        {_level_sql("s", "domain, lang", "source", "1", "l")},
+        quotas AS (
+            SELECT s.domain, s.lang, s.source, coalesce(CAST(floor(s.budget / nullif(q.supply, 0)) AS BIGINT), 0) AS fullepochs, s.budget, q.supply
+            FROM s JOIN supply q USING (domain, lang, source)
+        ),
+        placed AS (
+            SELECT d.doc_id, d.domain, d.lang, d.source, q.fullepochs,
+                   CAST(floor(q.budget - q.fullepochs * q.supply) AS BIGINT) AS rest,
+                   coalesce(sum(d.tokens) OVER (
+                       PARTITION BY d.domain, d.lang, d.source ORDER BY md5(concat_ws(':', '5', CAST(q.fullepochs AS VARCHAR), CAST(d.doc_id AS VARCHAR)))
+                       ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before
+            FROM docs d JOIN quotas q USING (domain, lang, source)
+        )
+        SELECT doc_id, domain, lang, source, CAST(epoch AS BIGINT) AS epoch
+        FROM placed, unnest(range(0, fullepochs + CASE WHEN before < rest THEN 1 ELSE 0 END)) AS e(epoch)
+    """,
     "op5_exact_dedup": r"""
         WITH t AS (
             SELECT doc_id, regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]+', ' ', 'g') AS norm FROM documents

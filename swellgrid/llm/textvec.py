@@ -16,6 +16,8 @@ _BASE = np.uint64(0x9E3779B97F4A7C15)
 #: Word bytes: ASCII letters and digits, and every byte of other characters.
 _WORD = np.zeros(256, dtype=bool)
 _WORD[[*range(48, 58), *range(65, 91), *range(97, 123), *range(128, 256)]] = True
+#: 0 blank or control, 1 word, 2 other visible character.
+_KIND = np.where(_WORD, 1, np.where(np.arange(256) > 32, 2, 0)).astype(np.int8)
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -25,11 +27,12 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-def blocks(rows: Iterable[tuple], limit: int = BLOCK_BYTES) -> Iterator[tuple[list, list[bytes]]]:
-    """Group (key, text) into blocks of about ``limit`` bytes of lower-case UTF-8; null is empty."""
+def blocks(rows: Iterable[tuple], limit: int = BLOCK_BYTES, lower: bool = True) -> Iterator[tuple[list, list[bytes]]]:
+    """Group (key, text) into blocks of about ``limit`` bytes of UTF-8, by default in lower case; null is empty."""
     keys, texts, size = [], [], 0
     for key, text in rows:
-        b = (text or "").lower().encode("utf-8", "replace")
+        text = text or ""
+        b = (text.lower() if lower else text).encode("utf-8", "replace")
         keys.append(key)
         texts.append(b)
         size += len(b)
@@ -40,14 +43,15 @@ def blocks(rows: Iterable[tuple], limit: int = BLOCK_BYTES) -> Iterator[tuple[li
         yield keys, texts
 
 
-def word_hashes(texts: list[bytes], keep_case_bytes: np.ndarray = _WORD) -> tuple[np.ndarray, np.ndarray]:
-    """64-bit hash of each word, and the index of its text."""
-    buf = np.frombuffer(b"\n".join(texts) + b"\n", dtype=np.uint8)
-    inside = keep_case_bytes[buf]
-    edge = np.diff(inside.view(np.int8), prepend=np.int8(0))
-    starts, ends = np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
+def _runs(buf: np.ndarray, kind: np.ndarray, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """Hash of each maximal run of bytes of one non-zero kind, and the index of its text."""
+    inside = kind != 0
+    edge = np.diff(kind, prepend=np.int8(0)) != 0
+    starts = np.flatnonzero(edge & inside)
     if not len(starts):
         return np.empty(0, np.uint64), np.empty(0, np.int64)
+    changes = np.append(np.flatnonzero(edge), len(kind))
+    ends = changes[np.searchsorted(changes, starts, side="right")]
     sizes = ends - starts
     first = np.cumsum(sizes) - sizes
     place = np.arange(int(sizes.sum())) - np.repeat(first, sizes)
@@ -57,6 +61,18 @@ def word_hashes(texts: list[bytes], keep_case_bytes: np.ndarray = _WORD) -> tupl
     return mix(words + sizes.astype(np.uint64)), np.searchsorted(text_ends, starts, side="right")
 
 
+def word_hashes(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """64-bit hash of each word (run of letters and digits), and the index of its text."""
+    buf = np.frombuffer(b"\n".join(texts) + b"\n", dtype=np.uint8)
+    return _runs(buf, _WORD[buf].view(np.int8), texts)
+
+
+def token_hashes(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """64-bit hash of each word or run of other visible characters, and the index of its text."""
+    buf = np.frombuffer(b"\n".join(texts) + b"\n", dtype=np.uint8)
+    return _runs(buf, _KIND[buf], texts)
+
+
 def shingle_hashes(texts: list[bytes], width: int = 5) -> tuple[np.ndarray, np.ndarray]:
     """Hash of each run of ``width`` words, and its text; a shorter text has one shingle of all its words."""
     words, of = word_hashes(texts)
