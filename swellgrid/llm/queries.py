@@ -7,10 +7,14 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .embedding_dedup import near_vectors
 from .exact_dedup import exact_dedup
+from .licenses import scan_licenses
 from .mixing import mix_sources
 from .near_dup import near_dup_classes
 from .packing import pack_documents
+from .pii import BASE_KINDS as PII_KINDS
+from .pii import find_pii
 from .quality import quality_selection
 from .secrets import BASE_KINDS, count_of, joined, scan_secrets
 from .url_filter import judge_urls
@@ -42,6 +46,10 @@ def mix_levels(source: str = "source", lang: str = "lang") -> dict[str, Column]:
     return {"domain": domain, "lang": F.col(lang), "source": F.col(source)}
 
 
+def op1_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_vectors(_table(spark, sf_dir, "embeddings"))
+
+
 def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     mixed = mix_sources(_table(spark, sf_dir, "documents"), mix_levels(), MIX_WEIGHTS)
     return mixed.select("doc_id", "domain", "lang", "source", "epoch")
@@ -58,6 +66,17 @@ def op3_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op4_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = find_pii(_table(spark, sf_dir, "documents"))
+    spans = F.col("spans")
+    return found.select(
+        "doc_id",
+        *[count_of(spans, k).alias(f"n_{k}") for k in PII_KINDS],
+        F.sha2(joined(spans, PII_KINDS).cast("binary"), 256).alias("base_sha256"),
+        joined(spans).alias("spans"),
+    )
+
+
 def op5_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
     out = exact_dedup(docs, digest="text_sha256")
@@ -79,6 +98,10 @@ def op7_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", "log_weight", "sample_key", "selected")
 
 
+def op8_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return scan_licenses(_table(spark, sf_dir, "documents"))
+
+
 def op9_minhash_near_dup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dup_classes(_table(spark, sf_dir, "documents"))
 
@@ -89,11 +112,14 @@ def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Query] = {
+    "op1_embedding_dedup": op1_embedding_dedup,
     "op2_mixing": op2_mixing,
     "op3_secrets": op3_secrets,
+    "op4_pii": op4_pii,
     "op5_exact_dedup": op5_exact_dedup,
-    "op7_quality_classifier": op7_quality_classifier,
     "op6_packing": op6_packing,
+    "op7_quality_classifier": op7_quality_classifier,
+    "op8_licenses": op8_licenses,
     "op9_minhash_near_dup": op9_minhash_near_dup,
     "op10_url_filter": op10_url_filter,
 }
