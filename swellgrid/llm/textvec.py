@@ -7,7 +7,7 @@ from collections.abc import Iterable, Iterator
 import numpy as np
 
 #: Bytes of text that are hashed at a time; a longer text is a block of its own.
-BLOCK_BYTES = 2_000_000
+BLOCK_BYTES = 1_000_000
 
 _rng = np.random.default_rng(20240607)
 _BYTE = _rng.integers(1, 2**63, 256, dtype=np.uint64) | np.uint64(1)
@@ -61,6 +61,14 @@ def _runs(buf: np.ndarray, kind: np.ndarray, texts: list[bytes]) -> tuple[np.nda
     return mix(words + sizes.astype(np.uint64)), np.searchsorted(text_ends, starts, side="right")
 
 
+def text_rows(batches: Iterable, size: int = 256) -> Iterator[tuple]:
+    """(key, text) of Arrow batches; only ``size`` texts at a time become Python strings."""
+    for b in batches:
+        for i in range(0, b.num_rows, size):
+            part = b.slice(i, size)
+            yield from zip(part.column(0).to_pylist(), part.column(1).to_pylist(), strict=True)
+
+
 def word_hashes(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     """64-bit hash of each word (run of letters and digits), and the index of its text."""
     buf = np.frombuffer(b"\n".join(texts) + b"\n", dtype=np.uint8)
@@ -104,39 +112,52 @@ class WeightedSampler:
 
     A weight is ``2 ** (level / STEPS)``.  For hash function j a feature draws its
     r, c ~ Gamma(2, 1) and beta ~ U(0, 1) from one fixed table of ``SLOTS`` draws, at a
-    slot that j's multiplier gives; with levels the ln(a) of each draw is tabulated once,
-    so that a sample costs one look-up per feature.  Equal (feature, t) pairs make
+    slot that j's multiplier gives; the ln(a) of each draw is tabulated once a level, so
+    that a sample costs one look-up per feature.  Equal (feature, t) pairs make
     equal samples, and two sets agree in a sample with the chance of their weighted
     Jaccard similarity.
     """
 
-    STEPS, SLOTS, LEVELS = 16, 1 << 14, 256
+    STEPS, SLOTS = 16, 1 << 17
+    #: Tables that are held at a time; a text rarely uses more than a few levels.
+    HELD = 48
 
     def __init__(self, samples: int = 64, seed: int = 7):
         rng = np.random.default_rng(seed)
-        r, c = rng.gamma(2.0, 1.0, self.SLOTS), rng.gamma(2.0, 1.0, self.SLOTS)
-        beta = rng.random(self.SLOTS)
-        ln_w = np.arange(self.LEVELS)[:, None] * (np.log(2.0) / self.STEPS)
-        t = np.floor(ln_w / r + beta)
-        self._ln_a = (np.log(c) - r * (t - beta + 1)).astype(np.float32).ravel()
-        self._t = t.astype(np.int32).ravel()
+        self._r, c = rng.gamma(2.0, 1.0, self.SLOTS), rng.gamma(2.0, 1.0, self.SLOTS)
+        self._ln_c, self._beta = np.log(c), rng.random(self.SLOTS)
+        self._tables: dict[int, np.ndarray] = {}
         self._mult = rng.integers(1, 2**63, samples, dtype=np.uint64) | np.uint64(1)
+        self._shift = np.uint64(64 - self.SLOTS.bit_length() + 1)
         self.samples = samples
 
+    def _t(self, level: np.ndarray | int, slot: np.ndarray | slice) -> np.ndarray:
+        return np.floor(level * (np.log(2.0) / self.STEPS) / self._r[slot] + self._beta[slot])
+
+    def _ln_a(self, level: int) -> np.ndarray:
+        if level not in self._tables:
+            if len(self._tables) >= self.HELD:
+                self._tables.clear()
+            every = slice(None)
+            self._tables[level] = (self._ln_c - self._r * (self._t(level, every) - self._beta + 1)).astype(np.float32)
+        return self._tables[level]
+
     def signature(self, hashes: np.ndarray, levels: np.ndarray) -> np.ndarray:
         """One int32 per sample; ``hashes`` distinct, sorted and not empty."""
         best = np.full(self.samples, np.inf, np.float32)
-        out = np.zeros(self.samples, np.uint64)
-        base = np.minimum(levels, self.LEVELS - 1).astype(np.int32) * self.SLOTS
-        every = np.arange(self.samples)
-        for i in range(0, len(hashes), 1024):
-            h = hashes[i : i + 1024]
-            at = ((h * self._mult[:, None]) >> np.uint64(50)).astype(np.int32)
-            at += base[i : i + 1024]
-            a = self._ln_a[at]
-            k = a.argmin(axis=1)
-            low = a[every, k]
-            better = low < best
-            best[better] = low[better]
-            out[better] = mix(h[k] + self._t[at[every, k]].astype(np.int64).view(np.uint64) * _PLACE[0])[better]
+        winner = np.zeros(self.samples, np.uint64)
+        rank = np.zeros(self.samples, np.int64)
+        for level in np.unique(levels):
+            table, own = self._ln_a(int(level)), hashes[levels == level]
+            for i in range(0, len(own), 1024):
+                h = own[i : i + 1024]
+                slot = ((h * self._mult[:, None]) >> self._shift).astype(np.int32)
+                a = table[slot]
+                k = a.argmin(axis=1)
+                low = a[np.arange(self.samples), k]
+                # Of equal draws the smallest hash wins, in whatever order the levels come.
+                better = (low < best) | ((low == best) & (h[k] < winner))
+                best[better], winner[better], rank[better] = low[better], h[k][better], level
+        slot = ((winner * self._mult) >> self._shift).astype(np.int64)
+        out = mix(winner + self._t(rank, slot).astype(np.int64).view(np.uint64) * _PLACE[0])
         return (out >> np.uint64(32)).astype(np.uint32).view(np.int32)
