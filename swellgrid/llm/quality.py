@@ -1,7 +1,8 @@
 """Quality selection by importance resampling over hashed n-grams.
 
 Two bag-of-n-grams models, one of the target text (a bounded sample of documents that are
-labelled good) and one of all raw text, give each document the log of its importance weight.
+labelled good) and one of all raw text, give each document the log of its importance weight,
+tempered to that of ``TEMPER`` n-grams so that long texts don't amplify the models' errors.
 The number k of documents to keep comes from a cut that the labelled sample calibrates,
 and the k largest log-weights perturbed by seeded Gumbel noise are selected, which samples
 without replacement in proportion to the weights.
@@ -12,20 +13,21 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import arrays
 from .common import free_name, kth_largest, materialize
-from .textvec import blocks, mix, token_hashes
+from .textvec import blocks, mix, text_rows, token_hashes
 
 #: Buckets of the hashed n-grams (a power of two).
 BUCKETS = 1 << 14
 #: Most labelled rows the target model and the calibration are fitted on.
 LABELLED_ROWS = 20_000
 SEED = 17
+#: N-grams beyond which a text's log weight is scaled down in proportion.
+TEMPER = 100
 _SMOOTH = 1.0
 _NEXT, _HERE = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93)
 
@@ -44,13 +46,12 @@ def _ngrams(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
 def _counter(target):
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         wanted, counts, rows = target.value, np.zeros((2, BUCKETS), np.int64), 0
-        for b in batches:
-            for keys, texts in blocks(zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True), lower=False):
-                rows += len(keys)
-                f, of = _ngrams(texts)
-                counts[0] += np.bincount(f, minlength=BUCKETS)
-                good = np.fromiter((k in wanted for k in keys), bool, len(keys))
-                counts[1] += np.bincount(f[good[of]], minlength=BUCKETS)
+        for keys, texts in blocks(text_rows(batches), lower=False):
+            rows += len(keys)
+            f, of = _ngrams(texts)
+            counts[0] += np.bincount(f, minlength=BUCKETS)
+            good = np.fromiter((k in wanted for k in keys), bool, len(keys))
+            counts[1] += np.bincount(f[good[of]], minlength=BUCKETS)
         if rows:
             yield arrays.emit(counts.ravel(), rows, 2)
 
@@ -75,15 +76,16 @@ def fit_log_ratio(docs: DataFrame, target_ids: set, id_col: str, text_col: str)
 
 
 def log_weight(text: Column, ratio) -> Column:
-    """Log importance weight of a text: the sum of its n-grams' log ratios; 0 for null or empty text."""
+    """Tempered log importance weight: the sum of a text's n-gram log ratios; 0 for null or empty text."""
 
-    @F.pandas_udf("double")
-    def score(texts: pd.Series) -> pd.Series:
+    @F.arrow_udf("double")
+    def score(texts: pa.Array) -> pa.Array:
         table, out = ratio.value, []
-        for keys, block in blocks(((0, t) for t in texts), lower=False):
+        for keys, block in blocks(((0, t.as_py()) for t in texts), lower=False):
             f, of = _ngrams(block)
-            out.append(np.bincount(of, weights=table[f], minlength=len(keys)))
-        return pd.Series(np.concatenate(out) if out else np.empty(0))
+            n = np.maximum(np.bincount(of, minlength=len(keys)), TEMPER)
+            out.append(np.bincount(of, weights=table[f], minlength=len(keys)) * TEMPER / n)
+        return pa.array(np.concatenate(out) if out else np.empty(0))
 
     return score(text)
 
