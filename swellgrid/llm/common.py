@@ -28,9 +28,40 @@ def materialize(df: DataFrame, name: str = "table") -> DataFrame:
 
     Lost executors cost nothing afterwards, since readers only need the files.
     """
-    path = f"{scratch_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
+    spark = df.sparkSession
+    path = f"{scratch_dir(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    table = spark.read.schema(df.schema).parquet(path)
+    _SCRATCH.add(path)
+    table.scratch_path = path
+    return table
+
+
+#: Scratch tables of this process that are still there.
+_SCRATCH: set[str] = set()
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
+
+
+def discard(*tables: DataFrame) -> None:
+    """Delete materialised tables that nothing reads any more."""
+    for table in tables:
+        path = table.__dict__.pop("scratch_path", None)
+        if path:
+            _delete(table.sparkSession, path)
+            _SCRATCH.discard(path)
+
+
+def release_scratch(spark: SparkSession) -> int:
+    """Delete all scratch tables of this process, once its results are written; gives their number."""
+    paths = list(_SCRATCH)
+    for path in paths:
+        _delete(spark, path)
+    _SCRATCH.clear()
+    return len(paths)
 
 
 def free_name(taken: list[str], wanted: str) -> str:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize
+from .common import discard, materialize
 
 
 def connected_components(links: DataFrame) -> DataFrame:
@@ -21,12 +21,13 @@ def connected_components(links: DataFrame) -> DataFrame:
     seen = None
     while True:
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        low = materialize(both.groupBy("u").agg(F.least(F.col("u"), F.min("v")).alias("m")), "large-star")
-        large = both.join(low, "u").where("v > u AND v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+        first = materialize(both.groupBy("u").agg(F.least(F.col("u"), F.min("v")).alias("m")), "large-star")
+        large = both.join(first, "u").where("v > u AND v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
         large = materialize(large, "large")
         low = materialize(large.groupBy("u").agg(F.min("v").alias("m")), "small-star")
         small = large.join(low, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        edges = materialize(small.unionByName(low.select("u", F.col("m").alias("v"))).distinct(), "links")
+        before, edges = edges, materialize(small.unionByName(low.select("u", F.col("m").alias("v"))).distinct(), "links")
+        discard(before, first, large, low)
         now = edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if now == seen:
             break

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from .embedding_dedup import near_vectors
 from .exact_dedup import exact_dedup
-from .licenses import scan_licenses
+from .licenses import LICENSES, SPELLINGS, scan_licenses
 from .mixing import mix_sources
 from .near_dup import near_dup_classes
 from .packing import pack_documents
@@ -129,6 +129,16 @@ _DOMAIN_WEIGHT_SQL = "CASE domain " + " ".join(f"WHEN '{k}' THEN {v}" for k, v i
 _LANG_WEIGHT_SQL = "CASE lang " + " ".join(f"WHEN '{k}' THEN {v}" for k, v in MIX_WEIGHTS["lang"].items()) + " ELSE 1 END"
 
 
+def _quoted(text: str) -> str:
+    return "'" + text.replace("'", "''") + "'"
+
+
+_LICENSES_SQL = ", ".join(f"({_quoted(k)}, {_quoted(t)})" for k, t in LICENSES)
+_SPELLINGS_SQL = "lower(t)"
+for _old, _new in SPELLINGS:
+    _SPELLINGS_SQL = f"replace({_SPELLINGS_SQL}, {_quoted(_old)}, {_quoted(_new)})"
+
+
 def _level_sql(name: str, parent: str, column: str, weight: str, given: str) -> str:
     """One level of the water-filling: quotas of ``column`` within ``parent``."""
     on = " AND ".join(f"n.{c} IS NOT DISTINCT FROM g.{c}" for c in parent.split(", ")) if parent else "true"
@@ -149,6 +159,22 @@ def _level_sql(name: str, parent: str, column: str, weight: str, given: str) ->
 
 
 ORACLE: dict[str, str] = {
+    "op1_embedding_dedup": """
+        WITH RECURSIVE fine AS (
+            SELECT vec_id, CAST(embedding AS DOUBLE[]) AS v FROM embeddings
+            WHERE len(embedding) > 0 AND len(list_filter(embedding, lambda x: x IS NULL OR isnan(x) OR isinf(x))) = 0 AND len(list_filter(embedding, lambda x: x <> 0)) > 0
+        ),
+        links AS (
+            SELECT a.vec_id AS a, b.vec_id AS b FROM fine a JOIN fine b ON a.vec_id <> b.vec_id AND len(a.v) = len(b.v)
+            WHERE list_cosine_similarity(a.v, b.v) >= 0.9::DOUBLE
+        ),
+        reach AS (SELECT a AS id, b AS seen FROM links UNION SELECT r.id, l.b FROM reach r JOIN links l ON l.a = r.seen),
+        counted AS (SELECT a AS vec_id, count(*) AS n FROM links GROUP BY a),
+        lowest AS (SELECT id AS vec_id, min(seen) AS low FROM reach GROUP BY id)
+        SELECT e.vec_id, coalesce(n, 0) AS n_links, least(e.vec_id, coalesce(low, e.vec_id)) AS component_id,
+               e.vec_id <= coalesce(low, e.vec_id) AS kept
+        FROM embeddings e LEFT JOIN counted USING (vec_id) LEFT JOIN lowest USING (vec_id)
+    """,
     "op2_mixing": rf"""
         WITH words AS (
             SELECT doc_id, lang, source, {_DOMAIN_SQL} AS domain,
@@ -181,6 +207,22 @@ ORACLE: dict[str, str] = {
         SELECT doc_id, domain, lang, source, CAST(epoch AS BIGINT) AS epoch
         FROM placed, unnest(range(0, fullepochs + CASE WHEN before < rest THEN 1 ELSE 0 END)) AS e(epoch)
     """,
+    "op8_licenses": f"""
+        WITH texts AS (SELECT doc_id, NULL AS license, coalesce(text, '') AS t FROM documents UNION ALL SELECT NULL, v.license, v.t FROM (VALUES {_LICENSES_SQL}) AS v(license, t)),
+        lowered AS (SELECT doc_id, license, {_SPELLINGS_SQL} AS t FROM texts),
+        canonical AS (
+            SELECT doc_id, license, regexp_replace(regexp_replace(t, '(?m)^[^\\p{{L}}\\p{{N}}\\n(©]*(?:copyright\\b|\\(c\\)|©)[^\\n]*\\n?', '', 'g'), '[^\\p{{L}}\\p{{N}}\\n]+', ' ', 'g') AS t FROM lowered
+        ),
+        known AS (SELECT md5(trim(regexp_replace(t, '[\\x20\\n]+', ' ', 'g'))) AS digest, min(license) AS license FROM canonical WHERE license IS NOT NULL GROUP BY 1),
+        units AS (
+            SELECT doc_id, t AS u FROM canonical WHERE license IS NULL
+            UNION ALL SELECT doc_id, unnest(regexp_split_to_array(t, '\\n\\x20*\\n')) FROM canonical WHERE license IS NULL
+            UNION ALL SELECT doc_id, unnest(string_split(t, chr(10))) FROM canonical WHERE license IS NULL
+        ),
+        digests AS (SELECT DISTINCT doc_id, md5(trim(regexp_replace(u, '[\\x20\\n]+', ' ', 'g'))) AS digest FROM units),
+        hits AS (SELECT doc_id, count(*) AS n, string_agg(DISTINCT license, ',' ORDER BY license) AS names FROM digests JOIN known USING (digest) GROUP BY doc_id)
+        SELECT doc_id, coalesce(n, 0) AS n_matches, coalesce(names, '') AS licenses FROM documents LEFT JOIN hits USING (doc_id)
+    """,
     "op5_exact_dedup": r"""
         WITH t AS (
             SELECT doc_id, regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]+', ' ', 'g') AS norm FROM documents
