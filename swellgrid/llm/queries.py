@@ -95,7 +95,7 @@ def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op7_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     scored = quality_selection(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
-    return scored.select("doc_id", "log_weight", "sample_key", "selected")
+    return scored.select("doc_id", F.col("selected").alias("kept"), "log_weight", "sample_key")
 
 
 def op8_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
