@@ -126,23 +126,28 @@ def entity(kind: Column, value: Column) -> Column:
 def disclosing_terms(rows: DataFrame, found: DataFrame, disclosure: float = DISCLOSURE, support: int = SUPPORT) -> tuple[DataFrame, DataFrame]:
     """Terms that reveal an entity (term, entity, disclosure), and the texts (row, term) that hold a candidate term.
 
-    Texts, not rows, are counted, so that copies add nothing.
+    Texts, not rows, are counted, so that copies add nothing.  The texts that hold a term near
+    any entity are a lower bound of all that hold it, and so bound its disclosure from
+    above: that alone rules out the common words, before the corpus is searched for the rest.
     """
     near = found.where("windows IS NOT NULL").select("h", F.inline("windows")).select("h", "entity", F.explode(F.array_distinct("words")).alias("term"))
-    near = near.distinct()
+    near = materialize(near.distinct(), "near")
     entities = near.groupBy("entity").agg(F.count_distinct("h").alias("df_entity"))
     together = near.groupBy("entity", "term").agg(F.count_distinct("h").alias("df_both")).where(F.col("df_both") >= support)
-    together = materialize(together, "together")
-    candidates = together.select("term").distinct()
-    words = rows.select("row", F.xxhash64("text").alias("h"), F.explode(F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit(_WORD), F.lit(0)))).alias("term"))
-    holding = materialize(words.join(candidates, "term", "left_semi"), "holding")
-    frequency = holding.select("term", "h").distinct().groupBy("term").agg(F.count("*").alias("df_term"))
+    seen = near.groupBy("term").agg(F.count_distinct("h").alias("df_near"))
     texts = found.agg(F.count_distinct("h").alias("texts"))
-    joined = together.join(materialize(entities, "entities"), "entity").join(frequency, "term").crossJoin(F.broadcast(texts))
     n = F.col("texts").cast("double")
-    pmi = F.log(F.col("df_both") * n / (F.col("df_entity") * F.col("df_term")))
-    information = F.log(n / F.col("df_entity"))
-    scored = joined.withColumn("disclosure", F.try_divide(pmi, information)).where(F.col("disclosure") >= disclosure)
+
+    def disclosed(df_term: str) -> Column:
+        pmi = F.log(F.col("df_both") * n / (F.col("df_entity") * F.col(df_term)))
+        return F.try_divide(pmi, F.log(n / F.col("df_entity")))
+
+    pairs = together.join(entities, "entity").join(seen, "term").crossJoin(F.broadcast(texts))
+    pairs = materialize(pairs.where(disclosed("df_near") >= disclosure), "candidates")
+    words = rows.select("row", F.xxhash64("text").alias("h"), F.explode(F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit(_WORD), F.lit(0)))).alias("term"))
+    holding = materialize(words.join(pairs.select("term").distinct(), "term", "left_semi"), "holding")
+    frequency = holding.select("term", "h").distinct().groupBy("term").agg(F.count("*").alias("df_term"))
+    scored = pairs.join(frequency, "term").withColumn("disclosure", disclosed("df_term")).where(F.col("disclosure") >= disclosure)
     return materialize(scored.select("term", "entity", "disclosure"), "terms"), holding
 
 
