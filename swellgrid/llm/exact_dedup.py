@@ -82,8 +82,11 @@ def exact_dedup(
         .agg(F.min(order).alias("first"), F.count("*").alias("size"))
         .where("size > 1")
     )
+    groups = materialize(groups, "copies")  # a table of its own: both sides of the join can be split
     names = [c for c in df.columns if c != text_col or digest is None]
-    out = rows.join(groups, ["n", "p", "full"], "left")
+    # Rows that the bitmap settles stay where they are; only the others are dealt by key.
+    alone = rows.where(F.col("full").isNull()).withColumns({"first": F.lit(None).cast(groups.schema["first"].dataType), "size": F.lit(None).cast("bigint")})
+    out = alone.unionByName(rows.where(F.col("full").isNotNull()).join(groups, ["n", "p", "full"], "left"))
     return out.select(
         *[F.col(f"src_{i}").alias(c) for i, c in enumerate(df.columns) if c in names],
         *([F.col("d").alias(digest)] if digest else []),
