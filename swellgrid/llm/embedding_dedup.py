@@ -90,11 +90,12 @@ class Index:
     def candidates(self, queries: np.ndarray, place: int, codes: np.ndarray, errors: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Pairs (query, base) that asymmetric distances can't rule out."""
         rest = self._padded(queries - self.centres[place])
-        far = np.zeros((len(queries), len(codes)), np.float32)
+        far = np.repeat((rest**2).sum((1, 2), keepdims=True)[:, :, 0], len(codes), axis=1).astype(np.float32)
         for m in range(SUBSPACES):
-            table = ((rest[:, m, None] - self.codebooks[m][None]) ** 2).sum(-1).astype(np.float32)
+            # Squared distance to each code, less the query's own square that is in already.
+            table = ((self.codebooks[m] ** 2).sum(1) - 2 * rest[:, m] @ self.codebooks[m].T).astype(np.float32)
             far += table[:, codes[:, m]]
-        return np.nonzero(np.sqrt(far) <= (self.reach + errors + 1e-3).astype(np.float32))
+        return np.nonzero(far <= ((self.reach + errors + 1e-3) ** 2).astype(np.float32))
 
 
 def _unit(raw: list[bytes]) -> np.ndarray:
