@@ -64,6 +64,11 @@ def release_scratch(spark: SparkSession) -> int:
     return len(paths)
 
 
+def quoted(column: str) -> str:
+    """A column name that may hold dots, as ``F.col`` takes it."""
+    return "`" + column.replace("`", "``") + "`"
+
+
 def free_name(taken: list[str], wanted: str) -> str:
     """A column name that clashes with none of ``taken`` (case-insensitively)."""
     low = {c.lower() for c in taken}

@@ -13,7 +13,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize, may_contain, membership_filter
+from .common import materialize, may_contain, membership_filter, quoted
 
 #: Characters of the normalised text that the second level reads.
 PREFIX_CHARS = 64
@@ -56,7 +56,7 @@ def exact_dedup(
     surviving = pairs.where("c > 1").join(lengths, "n", "left_semi")
     bitmap = membership_filter(F.struct("n", "p"), surviving)
 
-    src = [F.col(c).alias(f"src_{i}") for i, c in enumerate(df.columns)]
+    src = [F.col(quoted(c)).alias(f"src_{i}") for i, c in enumerate(df.columns)]
     rows = (
         with_normalised(
             df.select(*src, F.col(text_col).alias("t"), F.col(id_col).alias("id"), F.monotonically_increasing_id().alias("at")), "t", "t"

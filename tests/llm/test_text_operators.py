@@ -37,7 +37,7 @@ def test_exact_dedup_brute_force(spark, digest):
         (5, "a b", "x", 1), (2, "a \t\n b", "y", 2), (9, None, "z", 3), (7, "", None, 4), (3, " ", "c", 5), (1, "a b ", "d", 6), (4, "long " * 30000, "e", 7),
         (6, "long " * 30000, "f", 8), (None, "a b", "g", 9), (8, "x" * 100 + "1", "h", 10), (10, "x" * 100 + "2", "i", 11), (2, "a b", "y", 12),
     ]
-    df = spark.createDataFrame(rows, "doc_id long, text string, keep_id string, n long")
+    df = spark.createDataFrame(rows, "doc_id long, text string, keep_id string, n long").withColumn("a.b", F.lit(1)).withColumn("words", F.lit("x"))
     got = exact_dedup(df, digest=digest).collect()
     assert len(got) == len(rows)
     norm = lambda t: re.sub(r"[\x20\x09-\x0D]+", " ", t or "")
@@ -91,7 +91,7 @@ def test_near_dup_classes(spark):
     for k in range(1, 30, 3):  # half the text is another's: no near copies
         rows.append((100 * k + 7, " ".join(base[k][:100] + words(1000 + k, 100))))
     rows += [(5000, None), (5001, ""), (5002, "!!! ..."), (5003, "two words"), (5004, "TWO, words!"), (None, "two words"), (5005, " ".join(words(77, 30000)))]
-    df = spark.createDataFrame([(i, t, "extra") for i, t in rows], "doc_id long, text string, class_id string")
+    df = spark.createDataFrame([(i, t, "extra") for i, t in rows], "doc_id long, text string, class_id string").withColumn("a.b", F.lit(1))
     got = {r["doc_id"]: r for r in near_dup.near_dup_classes(df).collect()}
     assert set(got) == {i for i, _ in rows if i is not None}
     for k in range(30):
