@@ -12,6 +12,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
+from .common import small_batches
+
 SCHEMA = "chunk int, counts binary, rows long"
 
 
@@ -41,7 +43,8 @@ def _add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def total(parts: DataFrame, chunks: int) -> tuple[np.ndarray | None, int]:
     """The summed array and number of rows.  Partitions are streamed, so memory is one array."""
-    got = sorted(parts.repartition(chunks, "chunk").mapInArrow(_add, SCHEMA).collect(), key=lambda r: r["chunk"])
+    with small_batches(parts.sparkSession):
+        got = sorted(parts.repartition(chunks, "chunk").mapInArrow(_add, SCHEMA).collect(), key=lambda r: r["chunk"])
     if not got:
         return None, 0
     return np.concatenate([np.frombuffer(zlib.decompress(r["counts"]), np.int64) for r in got]), got[0]["rows"]

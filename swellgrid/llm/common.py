@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -23,6 +25,23 @@ def scratch_dir(spark: SparkSession) -> str:
     return shared.rstrip("/")
 
 
+#: Rows of an Arrow batch while texts are handled: batches count rows, and texts are long.
+ARROW_ROWS = 1000
+_ARROW_ROWS_KEY = "spark.sql.execution.arrow.maxRecordsPerBatch"
+
+
+@contextmanager
+def small_batches(spark: SparkSession) -> Iterator[None]:
+    """Within it, jobs exchange at most ``ARROW_ROWS`` rows at a time with Python; the setting is put back after."""
+    before = spark.conf.get(_ARROW_ROWS_KEY)
+    given = int(before)
+    spark.conf.set(_ARROW_ROWS_KEY, str(min(given, ARROW_ROWS) if given > 0 else ARROW_ROWS))
+    try:
+        yield
+    finally:
+        spark.conf.set(_ARROW_ROWS_KEY, before)
+
+
 def materialize(df: DataFrame, name: str = "table") -> DataFrame:
     """Cut the lineage: write ``df`` as Parquet in the shared folder and read it back.
 
@@ -30,7 +49,8 @@ def materialize(df: DataFrame, name: str = "table") -> DataFrame:
     """
     spark = df.sparkSession
     path = f"{scratch_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    with small_batches(spark):
+        df.write.parquet(path)
     table = spark.read.schema(df.schema).parquet(path)
     _SCRATCH.add(path)
     table.scratch_path = path
