@@ -6,9 +6,9 @@
 2. Each text becomes a signature of consistent weighted samples.  Texts with the same
    shingle multiset collapse to one representative first.
 3. Rows of the signature form overlapping bands.  In each bucket every member is paired with
-   the bucket's leaders (two orders of the ids), never with all others, so the pairs grow
-   with the members.  Members that no leader of a bucket matches go to the next level, where
-   longer bands split the bucket; the levels end with the whole signature.
+   the bucket's leaders (two orders of the ids), which links most families at little cost.
+   Members of a bucket that are then in different components are all compared with each
+   other, in blocks of bounded size: a task gives back only links that join components.
 4. Each pair is verified by the weighted Jaccard similarity of its shingles, read again from
    the texts that a bitmap of fixed size marks.  Components of the verified links are classes.
 """
@@ -16,7 +16,6 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
-from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -32,8 +31,9 @@ from .textvec import WeightedSampler, blocks, per_text, shingle_hashes, text_row
 SHINGLE_WORDS = 5
 SIMILARITY = 0.8
 SAMPLES = 64
-#: (samples in a band, bands) of each level.
-LEVELS = ((6, 30), (12, 48), (24, 24), (SAMPLES, 1))
+BAND_SAMPLES, BANDS = 6, 30
+#: Members of a bucket that a task compares with as many others at a time, and columns of its tables.
+BLOCK_MEMBERS, BLOCK_COLUMNS = 256, 4096
 SKETCH_BITS = 20
 IDF_TOP, IDF_FULL = 1.25, 1000
 _CHUNKS = 64
@@ -136,68 +136,147 @@ def _verifier(idf: Broadcast):
     return verify
 
 
-def _bands(level: int, rows: int, count: int) -> list[np.ndarray]:
-    rng = np.random.default_rng(1000 + level)
-    if rows == SAMPLES:
-        return [np.arange(SAMPLES)]
-    return [np.sort(rng.choice(SAMPLES, rows, replace=False)) for _ in range(count)]
+def _features(raw: bytes, idf: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(key, weight) of each (shingle, n-th occurrence): the weights of common keys add up to the weighted intersection."""
+    h = np.frombuffer(raw, np.uint32).astype(np.uint64)
+    first = np.concatenate([[True], h[1:] != h[:-1]])
+    at = np.arange(len(h))
+    nth = at - np.maximum.accumulate(np.where(first, at, 0)) + 1
+    upto = 2.0 ** (_levels(h, nth, idf) / WeightedSampler.STEPS)
+    return (h << np.uint64(32)) | nth.astype(np.uint64), upto - np.where(first, 0, np.concatenate([[0.0], upto[:-1]]))
+
+
+def similarities(feats: list[bytes], left: np.ndarray, right: np.ndarray, idf: np.ndarray) -> np.ndarray:
+    """Weighted Jaccard similarities of the members at ``left`` with those at ``right``."""
+    parts = [_features(raw, idf) for raw in feats]
+    keys, weights = (np.concatenate(x) for x in zip(*parts, strict=True))
+    rows = np.repeat(np.arange(len(parts)), [len(k) for k, _ in parts])
+    totals = np.bincount(rows, weights, len(parts))
+    _, columns, seen = np.unique(keys, return_inverse=True, return_counts=True)
+    shared = seen > 1
+    columns, rows, weights = (np.cumsum(shared) - 1)[columns[m := shared[columns]]], rows[m], weights[m]
+    by_column = np.argsort(columns, kind="stable")
+    columns, rows, weights = columns[by_column], rows[by_column], weights[by_column]
+    low = np.zeros((len(left), len(right)))
+    for c in range(0, int(shared.sum()), BLOCK_COLUMNS):
+        i, j = np.searchsorted(columns, [c, c + BLOCK_COLUMNS])
+        table = np.zeros((len(parts), BLOCK_COLUMNS))
+        table[rows[i:j], columns[i:j] - c] = np.sqrt(weights[i:j])
+        low += table[left] @ table[right].T
+    return low / np.maximum(totals[left][:, None] + totals[right][None, :] - low, 1e-300)
+
+
+def _joining(members: list[tuple], idf: np.ndarray, similarity: float) -> Iterator[tuple[int, int, float]]:
+    """Links that join components of one block's members (id, component, salt, feats): a forest, never all pairs."""
+    members = sorted(members, key=lambda m: m[0])
+    feats = [m[3] for m in members]
+    salts = np.array([m[2] for m in members])
+    left = np.flatnonzero(salts == salts.min())
+    right = np.flatnonzero(salts == salts.max())
+    sims = similarities(feats, left, right, idf)
+    root: dict[int, int] = {}
+
+    def find(x: int) -> int:
+        while (up := root.setdefault(x, x)) != x:
+            root[x] = x = root[up]
+        return x
+
+    # What rounding may move over the limit is decided by the plain formula.
+    component = np.array([m[1] for m in members])
+    for i, j in np.argwhere((sims >= similarity - 1e-9) & (component[left][:, None] != component[right])):
+        a, b = left[i], right[j]
+        one, two = find(members[a][1]), find(members[b][1])
+        if one == two:
+            continue
+        sim = float(sims[i, j])
+        if abs(sim - similarity) <= 1e-9:
+            sim = weighted_jaccard(*[_distinct(np.frombuffer(feats[k], np.uint32).astype(np.uint64)) for k in (a, b)], idf)
+        if sim >= similarity:
+            root[max(one, two)] = min(one, two)
+            yield members[a][0], members[b][0], sim
+
+
+def _block_matcher(idf: Broadcast, similarity: float):
+    def match(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def done(members: list[tuple]) -> pa.RecordBatch:
+            a, b, sims = zip(*found, strict=True) if (found := list(_joining(members, idf.value, similarity))) else ((), (), ())
+            return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.array(sims, pa.float64())], names=["a", "b", "similarity"])
+
+        block, members = None, []
+        for batch in batches:
+            for row in zip(*batch.columns, strict=True):
+                key = tuple(x.as_py() for x in row[:3])
+                if key != block:
+                    if members:
+                        yield done(members)
+                    block, members = key, []
+                members.append(tuple(x.as_py() for x in row[3:]))
+        if members:
+            yield done(members)
+
+    return match
 
 
-def _buckets(reps: DataFrame, level: int, rows: int, count: int) -> DataFrame:
+def _buckets(reps: DataFrame) -> DataFrame:
     """(id, bucket): the bucket is a hash of the band and its samples."""
-    keys = [F.xxhash64(F.lit(k), *[F.get("sig", F.lit(int(i))) for i in band]) for k, band in enumerate(_bands(level, rows, count))]
+    rng = np.random.default_rng(1000)
+    bands = [np.sort(rng.choice(SAMPLES, BAND_SAMPLES, replace=False)) for _ in range(BANDS)]
+    keys = [F.xxhash64(F.lit(k), *[F.get("sig", F.lit(int(i))) for i in band]) for k, band in enumerate(bands)]
     return reps.select("id", F.explode(F.array(*keys)).alias("bucket"))
 
 
+def _feats(docs: DataFrame, wanted: DataFrame) -> DataFrame:
+    """(id, feats) of the ids ``wanted``, read again from the texts that their bitmap marks."""
+    marked = docs.crossJoin(F.broadcast(membership_filter(F.col("id"), wanted))).where(may_contain(F.col("words"), F.col("id")))
+    feats = marked.select("id", "text").mapInArrow(_packed, "id long, feats binary").join(wanted, "id", "left_semi")
+    return materialize(feats, "feats")
+
+
+def _block_links(docs: DataFrame, shared: DataFrame, links: DataFrame, idf: Broadcast, similarity: float) -> DataFrame:
+    """Links between the members of each bucket that ``links`` leaves in different components.
+
+    The leaders have met every member of their bucket.  All others meet, whether a leader matched
+    them or not; a bucket of more than ``BLOCK_MEMBERS`` is dealt in salted blocks.
+    """
+    component = connected_components(links.select("a", "b"))
+    rest = shared.where("id <> l1 AND id <> l2").join(component, "id", "left").select("id", "bucket", F.coalesce("component", "id").alias("component"))
+    rest = materialize(rest, "unsettled")
+    open_ = rest.groupBy("bucket").agg(F.count("*").alias("n"), F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi")
+    open_ = materialize(open_.select("bucket", F.ceil(F.col("n") / BLOCK_MEMBERS).cast("int").alias("salts")), "open")
+    rest = materialize(rest.join(open_, "bucket").withColumn("salt", F.pmod(F.xxhash64("id"), "salts").cast("int")), "members")
+    feats = _feats(docs, rest.select("id").distinct())
+    others = rest.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)))
+    dealt = others.join(feats, "id").select("bucket", F.least("salt", "other").alias("x"), F.greatest("salt", "other").alias("y"), "id", "component", "salt", "feats")
+    dealt = dealt.repartition("bucket", "x", "y").sortWithinPartitions("bucket", "x", "y")
+    found = materialize(dealt.mapInArrow(_block_matcher(idf, similarity), "a long, b long, similarity double"), "block-links")
+    discard(rest, open_, feats)
+    return found
+
+
 def near_links(docs: DataFrame, signed: DataFrame, idf: Broadcast, similarity: float = SIMILARITY) -> DataFrame:
-    """Verified links (a, b, similarity) between ``signed`` representatives (id, sig)."""
-    found: list[DataFrame] = []
-    tried: DataFrame | None = None
-    active = signed.select("id", "sig")
-    for level, (rows, count) in enumerate(LEVELS):
-        members = materialize(_buckets(active, level, rows, count), "bands")
-        order = F.xxhash64("id")
-        leaders = members.groupBy("bucket").agg(F.min("id").alias("l1"), F.min_by("id", order).alias("l2"), F.count("*").alias("n")).where("n > 1").drop("n")
-        leaders = materialize(leaders, "leaders")
-        shared = materialize(members.join(leaders, "bucket"), "shared")
-        pairs = shared.selectExpr("id AS a", "l1 AS b").where("a <> b").distinct().unionByName(shared.selectExpr("id AS a", "l2 AS b").where("a <> b AND l1 <> l2").distinct()).distinct()
-        if tried is not None:
-            pairs = pairs.join(tried.select("a", "b"), ["a", "b"], "left_anti")
-        pairs = materialize(pairs, "pairs")
-        if not pairs.head(1):
-            break
-        wanted = pairs.select(F.col("a").alias("id")).unionByName(pairs.select(F.col("b").alias("id"))).distinct()
-        marked = docs.crossJoin(F.broadcast(membership_filter(F.col("id"), wanted))).where(may_contain(F.col("words"), F.col("id")))
-        feats = marked.select("id", "text").mapInArrow(_packed, "id long, feats binary").join(wanted, "id", "left_semi")
-        feats = materialize(feats, "feats")
-        sims = (
-            pairs.join(feats.select(F.col("id").alias("a"), F.col("feats").alias("fa")), "a")
-            .join(feats.select(F.col("id").alias("b"), F.col("feats").alias("fb")), "b")
-            .select("a", "b", "fa", "fb")
-            .mapInArrow(_verifier(idf), "a long, b long, similarity double")
-        )
-        sims = materialize(sims, "similarities")
-        discard(members, leaders, feats)
-        found.append(sims.where(F.col("similarity") >= similarity))
-        tried = sims if tried is None else tried.unionByName(sims)
-        if level + 1 == len(LEVELS):
-            break
-        # Leaders and members that match a leader are done.  The others, where a bucket has two of
-        # them, meet again in longer bands, each document once.
-        linked = reduce(DataFrame.unionByName, found).select("a", "b")
-        rest = shared.where("id <> l1 AND id <> l2")
-        for leader in ("l1", "l2"):
-            rest = rest.join(linked.selectExpr("a AS id", f"b AS {leader}"), ["id", leader], "left_anti")
-        rest = materialize(rest.select("id", "bucket"), "unmatched")
-        many = rest.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1")
-        ids = rest.join(many, "bucket", "left_semi").select("id").distinct()
-        active = materialize(signed.select("id", "sig").join(ids, "id", "left_semi"), "rest")
-        discard(shared, rest)
-        if not active.head(1):
-            break
-    if not found:
-        return docs.sparkSession.createDataFrame([], "a long, b long, similarity double")
-    return reduce(DataFrame.unionByName, found)
+    """Verified links (a, b, similarity) between ``signed`` representatives (id, sig).
+
+    They connect all pairs of at least ``similarity`` that share a bucket.
+    """
+    members = materialize(_buckets(signed), "bands")
+    order = F.xxhash64("id")
+    leaders = members.groupBy("bucket").agg(F.min("id").alias("l1"), F.min_by("id", order).alias("l2"), F.count("*").alias("n")).where("n > 1").drop("n")
+    leaders = materialize(leaders, "leaders")
+    shared = materialize(members.join(leaders, "bucket"), "shared")
+    pairs = shared.selectExpr("id AS a", "l1 AS b").where("a <> b").distinct().unionByName(shared.selectExpr("id AS a", "l2 AS b").where("a <> b AND l1 <> l2").distinct()).distinct()
+    pairs = materialize(pairs, "pairs")
+    feats = _feats(docs, pairs.select(F.col("a").alias("id")).unionByName(pairs.select(F.col("b").alias("id"))).distinct())
+    sims = (
+        pairs.join(feats.select(F.col("id").alias("a"), F.col("feats").alias("fa")), "a")
+        .join(feats.select(F.col("id").alias("b"), F.col("feats").alias("fb")), "b")
+        .select("a", "b", "fa", "fb")
+        .mapInArrow(_verifier(idf), "a long, b long, similarity double")
+    )
+    links = materialize(sims, "similarities").where(F.col("similarity") >= similarity)
+    discard(members, leaders, feats)
+    found = links.unionByName(_block_links(docs, shared, links, idf, similarity))
+    discard(shared)
+    return found
 
 
 def near_dup_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", similarity: float = SIMILARITY) -> DataFrame:

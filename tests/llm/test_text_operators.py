@@ -120,6 +120,45 @@ def test_large_group_of_near_copies_is_one_class(spark):
     assert got.where("doc_id >= 1000 AND class_size > 1").count() == 0
 
 
+@pytest.mark.parametrize("block", [256, 40])
+def test_pairs_within_a_large_family_of_lower_similarity(spark, monkeypatch, block):
+    """Texts of one template are 0.7 to 0.75 alike, planted pairs above 0.8: every pair is found, and no others."""
+    monkeypatch.setattr(near_dup, "BLOCK_MEMBERS", block, raising=False)
+    rng = random.Random(8)
+    template, texts = words(9, 300), {}
+    for i in range(240):
+        w = list(template)
+        w[20 * (i % 10) : 20 * (i % 10) + 26] = [f"own{i}x{k}" for k in range(26)]
+        w[260:278] = [f"end{i}x{k}" for k in range(18)]
+        texts[i] = w
+    for i in range(60):  # a partner of later id
+        w = list(texts[i])
+        at = rng.randrange(290)
+        w[at : at + 2 + i % 20] = [f"new{i}x{k}" for k in range(2 + i % 20)]
+        texts[1000 + i] = w
+    rows = [(i, " ".join(w)) for i, w in texts.items()]
+    sets = {i: {tuple(w[k : k + 5]) for k in range(len(w) - 4)} for i, w in texts.items()}
+    got = {r["doc_id"]: r["class_id"] for r in near_dup.near_dup_classes(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    alike = lambda a, b: len(sets[a] & sets[b]) / len(sets[a] | sets[b])
+    background = [alike(i, i + 1) for i in range(100, 239)]
+    assert max(background) < 0.79 and sum(background) / len(background) > 0.6
+    planted = [i for i in range(60) if alike(i, 1000 + i) >= 0.84]
+    assert len(planted) > 40
+    assert [i for i in planted if got[1000 + i] != got[i]] == []
+    assert all(got[i] == i for i in range(60, 240))
+
+
+def test_block_similarities_are_weighted_jaccard():
+    rng = np.random.default_rng(5)
+    idf = rng.integers(0, 6, 1 << near_dup.SKETCH_BITS).astype(np.int8)
+    pool = rng.integers(0, 2**32, 300).astype(np.uint32)
+    feats = [np.sort(rng.choice(pool, 200)).tobytes() for _ in range(12)]
+    sets = [near_dup._distinct(np.frombuffer(f, np.uint32).astype(np.uint64)) for f in feats]
+    got = near_dup.similarities(feats, np.arange(5), np.arange(5, 12), idf)
+    want = [[near_dup.weighted_jaccard(sets[i], sets[j], idf) for j in range(5, 12)] for i in range(5)]
+    assert np.allclose(got, want, rtol=0, atol=1e-12)
+
+
 def test_components(spark):
     rng = random.Random(4)
     edges = [(i, i + 1) for i in range(0, 60) if i % 20 != 19] + [(200, x) for x in range(201, 260)] + [(rng.randrange(300, 340), rng.randrange(300, 340)) for _ in range(30)]
