@@ -84,6 +84,17 @@ def site_matrix(sites: DataFrame, value: str, longitudes: Sequence[float]) -> Da
     return wide.select("latitude", *[F.col(f"`{old}`").alias(new) for old, new in names.items()])
 
 
+def whole_matrix(sites: DataFrame, value: str) -> DataFrame:
+    """The matrix over every latitude and longitude found, in long form: ``row`` and ``column`` count both axes from 0, rising."""
+
+    def axis(name: str, index: str) -> DataFrame:
+        found = sites.select(name).where(F.col(name).isNotNull()).distinct()
+        return found.withColumn(index, F.row_number().over(Window.orderBy(name)) - 1)  # as many rows as the axis has values
+
+    placed = sites.join(F.broadcast(axis("latitude", "row")), "latitude").join(F.broadcast(axis("longitude", "column")), "longitude")
+    return placed.select("row", "column", *CELL, value)
+
+
 def compare_best_worst(rows: DataFrame, value: str, sites: DataFrame) -> DataFrame:
     """Means of the two sites over ``rows``, their difference and ratio, one row."""
     marked = rows.join(F.broadcast(sites.select(*CELL, "site")), CELL)

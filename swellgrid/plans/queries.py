@@ -327,6 +327,13 @@ def site_matrix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("latitude", *[rounded(c).alias(c) for c in out.columns[1:]])
 
 
+@register(_with(f"SELECT CAST(dense_rank() OVER (ORDER BY latitude) - 1 AS INTEGER) AS row_index, CAST(dense_rank() OVER (ORDER BY longitude) - 1 AS INTEGER) AS column_index, latitude, longitude, {_r('pflux')} AS pflux FROM site", _MONTHLY_SQL))
+def site_matrix_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All sites of the matrix; ``site_matrix`` has four fixed longitudes."""
+    out = sites.whole_matrix(site_flux(spark, sf_dir), "pflux")
+    return out.select(F.col("row").alias("row_index"), F.col("column").alias("column_index"), *CELL, rounded("pflux").alias("pflux"))
+
+
 @register(_with(", lat AS (SELECT latitude FROM (SELECT DISTINCT latitude FROM obs) ORDER BY abs(latitude - 47.13::DOUBLE), latitude LIMIT 1), lon AS (SELECT longitude FROM (SELECT DISTINCT longitude FROM obs) ORDER BY abs(longitude + 129.55::DOUBLE), longitude LIMIT 1) SELECT time, latitude, longitude, VHM0 FROM obs JOIN lat USING (latitude) JOIN lon USING (longitude)"))
 def nearest_site_series(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sites.nearest_series(observations(spark, sf_dir), 47.13, -129.55).select(*KEYS, "VHM0")

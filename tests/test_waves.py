@@ -223,3 +223,19 @@ def test_extreme_events_and_folds(spark):
     features = df.select("latitude", "longitude", F.col("time").alias("month_end"), "x", F.col("x").alias("lag1"))
     folded = forecast.expanding_folds(features, 4)
     assert folded.where("NOT train").groupBy("fold").count().count() == 4
+
+
+def test_whole_matrix_has_every_longitude(spark):
+    rows = [(46.0 + i % 3, -130.0 + i / 5.0, float(i)) for i in range(40)]
+    df = frame(spark, rows, "latitude double, longitude double, p double")
+    got = {tuple(r) for r in sites.whole_matrix(df, "p").collect()}
+    assert got == {(i % 3, i, 46.0 + i % 3, -130.0 + i / 5.0, float(i)) for i in range(40)}
+
+
+def test_site_matrix_all_keeps_all_sites(spark):
+    from swellgrid.plans.queries import site_flux, site_matrix_all
+
+    data = "/root/testdata/sf0.1"
+    out = site_matrix_all(spark, data)
+    assert out.count() == site_flux(spark, data).count()
+    assert out.select("column_index").distinct().count() == 40
