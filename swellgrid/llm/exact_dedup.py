@@ -57,10 +57,12 @@ def exact_dedup(
     bitmap = membership_filter(F.struct("n", "p"), surviving)
 
     src = [F.col(quoted(c)).alias(f"src_{i}") for i, c in enumerate(df.columns)]
+    # Of rows with one id the content decides: row numbers of two scans differ where the file splits do.
+    # With a digest the rows are written once, and so are their numbers.
+    cells = [F.col(quoted(f.name)).cast("string") if "map<" in f.dataType.simpleString() else F.col(quoted(f.name)) for f in df.schema]
+    at = F.monotonically_increasing_id() if digest else F.struct(F.xxhash64(*cells).alias("one"), F.xxhash64(F.lit(1), *cells).alias("two"))
     rows = (
-        with_normalised(
-            df.select(*src, F.col(text_col).alias("t"), F.col(id_col).alias("id"), F.monotonically_increasing_id().alias("at")), "t", "t"
-        )
+        with_normalised(df.select(*src, F.col(text_col).alias("t"), F.col(id_col).alias("id"), at.alias("at")), "t", "t")
         .withColumn("n", F.length("t").cast("bigint"))
         .withColumn("p", F.xxhash64(F.substring("t", 1, prefix_chars)))
         .crossJoin(F.broadcast(bitmap))
@@ -78,19 +80,30 @@ def exact_dedup(
     order = F.struct(F.col("id").isNull().alias("no_id"), "id", "at")
     groups = (
         rows.where(F.col("full").isNotNull())
+        .groupBy("n", "p", "full", order.alias("order"))
+        .agg(F.count("*").alias("c"))
         .groupBy("n", "p", "full")
-        .agg(F.min(order).alias("first"), F.count("*").alias("size"))
+        .agg(F.min(F.struct("order", "c")).alias("least"), F.sum("c").alias("size"))
         .where("size > 1")
+        .select("n", "p", "full", F.col("least.order").alias("first"), F.col("least.c").alias("equal"), "size")
     )
     groups = materialize(groups, "copies")  # a table of its own: both sides of the join can be split
     names = [c for c in df.columns if c != text_col or digest is None]
     # Rows that the bitmap settles stay where they are; only the others are dealt by key.
-    alone = rows.where(F.col("full").isNull()).withColumns({"first": F.lit(None).cast(groups.schema["first"].dataType), "size": F.lit(None).cast("bigint")})
+    alone = rows.where(F.col("full").isNull()).withColumns({c: F.lit(None).cast(groups.schema[c].dataType) for c in ("first", "equal", "size")})
     out = alone.unionByName(rows.where(F.col("full").isNotNull()).join(groups, ["n", "p", "full"], "left"))
+    first = F.coalesce(F.col("id").eqNullSafe(F.col("first.id")) & (F.col("at") == F.col("first.at")), F.lit(False))
+    out = out.withColumn("kept_", F.col("size").isNull() | first)
+    if groups.where("equal > 1").head(1):  # equal rows: one of them stays
+        again = F.col("kept_") & (F.coalesce("equal", F.lit(1)) > 1)
+        copies = out.where(again).groupBy("n", "p", "full").agg(F.first(F.struct(*out.columns)).alias("r"))
+        copies = copies.select("r", F.explode(F.sequence(F.lit(1).cast("bigint"), F.col("r.equal"))).alias("nth"))
+        copies = copies.select(*[F.col(f"r.{c}").alias(c) for c in out.columns if c != "kept_"], (F.col("nth") == 1).alias("kept_"))
+        out = out.where(~again).unionByName(copies)
     return out.select(
         *[F.col(f"src_{i}").alias(c) for i, c in enumerate(df.columns) if c in names],
         *([F.col("d").alias(digest)] if digest else []),
         F.when(F.col("size").isNull(), F.col("id")).otherwise(F.col("first.id")).alias("keep_id"),
         F.coalesce("size", F.lit(1)).cast("bigint").alias("group_size"),
-        (F.col("size").isNull() | (F.col("at") == F.col("first.at"))).alias("kept"),
+        F.col("kept_").alias("kept"),
     )

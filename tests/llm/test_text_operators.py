@@ -55,6 +55,25 @@ def test_exact_dedup_brute_force(spark, digest):
     assert exact_dedup(df.where("1 = 0")).count() == 0
 
 
+def test_exact_dedup_keeps_one_of_a_group_when_splits_change(spark, tmp_path):
+    """Other file splits between the scans must not lose a group of copies."""
+    rows = [(i % 50, f"text {i % 50} " * 20, i % 2) for i in range(400)]
+    for k in range(4):
+        spark.createDataFrame(rows[100 * k : 100 * k + 100], "doc_id long, text string, n int").coalesce(1).write.mode("append").parquet(str(tmp_path / "t"))
+    key = "spark.sql.files.openCostInBytes"
+    before = spark.conf.get(key)
+    try:
+        spark.conf.set(key, "1g")  # each file a partition
+        out = exact_dedup(spark.read.parquet(str(tmp_path / "t")))
+        spark.conf.set(key, "1")  # from now on all files in few partitions
+        got = out.collect()
+    finally:
+        spark.conf.set(key, before)
+    assert len(got) == 400
+    assert sorted(r["doc_id"] for r in got if r["kept"]) == list(range(50))
+    assert {r["group_size"] for r in got} == {8}
+
+
 # Near copies
 
 
