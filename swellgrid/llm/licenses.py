@@ -1,12 +1,15 @@
 """Licence scan by canonical digest lookup, in DataFrame functions only.
 
 Texts are brought to a canonical form (case, punctuation, copyright lines, equivalent
-spellings) and their digests joined to those of known licences.  The texts compared are
-each whole document, each of its paragraphs and each of its lines.
+spellings) and their digests looked up among those of known licences.  The texts compared are
+each whole document, each of its paragraphs and lines, and each run of as many paragraphs as
+a known licence has.
 """
 
 from __future__ import annotations
 
+from pathlib import Path
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -52,14 +55,44 @@ Unless required by applicable law or agreed to in writing, software distributed
     ("CC0-1.0", "This work is dedicated to the public domain under CC0 1.0."),
 ]
 
+_TEXTS = Path(__file__).parent / "license_texts"
+#: Files of ``license_texts`` and the words their terms begin with and end before (to the end where empty).
+#: What stands around the terms, titles and instructions for use, differs from copy to copy.
+_TERMS = [
+    ("Apache-2.0", "TERMS AND CONDITIONS FOR USE", "END OF TERMS AND CONDITIONS"), ("GPL-2.0", "Preamble", "END OF TERMS AND CONDITIONS"),
+    ("GPL-3.0", "Preamble", "END OF TERMS AND CONDITIONS"), ("LGPL-2.1", "Preamble", "END OF TERMS AND CONDITIONS"), ("LGPL-3.0", "This version of", ""),
+    ("MPL-2.0", "1. Definitions", "Exhibit A"), ("CC0-1.0", "Statement of Purpose", ""), ("BSD-2-Clause", "", ""), ("BSD-3-Clause", "", ""),
+]
+
+
+def full_texts() -> list[tuple[str, str]]:
+    """(license, text): the terms of common licences; those of BSD with numbers or stars, and holder or owner."""
+    out = []
+    for name, begin, end in _TERMS:
+        text = (_TEXTS / f"{name}.txt").read_text("utf-8")
+        text = text[text.index(begin) :]
+        text = text[: text.index(end)] if end else text
+        texts = [text]
+        if name.startswith("BSD"):
+            texts = [x for t in texts for x in (t, t.replace("COPYRIGHT\nHOLDER OR", "COPYRIGHT OWNER OR"))]
+            texts = [x for t in texts for x in (t, *(t.replace("1. ", f"{m} ").replace("2. ", f"{m} ").replace("3. ", f"{m} ") for m in "*"))]
+        out += [(name, t) for t in texts]
+    # The notice with its address in a paragraph of its own, as most files have it.
+    return out + [(k, t.replace(" http", "\n\nhttp")) for k, t in LICENSES if k == "Apache-2.0" and " http" in t]
+
+
 #: Spellings that count as equal (after lower case).
 SPELLINGS = [
     ("licence", "license"), ("sub-license", "sublicense"), ("non-commercial", "noncommercial"), ("non-infringement", "noninfringement"),
     ("organisation", "organization"), ("favour", "favor"), ("acknowledgement", "acknowledgment"), ("http://", "https://"), ("&", " and "),
 ]
 
-#: A line that begins with a copyright mark, with its line break.
-_COPYRIGHT_LINE = r"(?m)^[^\p{L}\p{N}\n(©]*(?:copyright\b|\(c\)|©)[^\n]*\n?"
+#: A line that is a copyright statement, with its line break: the word and a mark, year or holder, or a mark and a year.
+#: A wrapped line of a licence such as "copyright notice and this permission notice" and a clause "(c) you must" stay.
+_COPYRIGHT_LINE = (
+    r"(?m)^[^\p{L}\p{N}\n(©]*(?:copyright\b(?![^\p{L}\p{N}\n(©]*(?:$|(?:notices?|holders?|owners?|laws?|license|statements?|interests?|and|or|in|on|to|is|if|as|by law)\b))"
+    r"|\(c\)(?=[^\p{L}\p{N}\n]*(?:[0-9]{4}|copyright\b))|©)[^\n]*\n?"
+)
 _PUNCTUATION = r"[^\p{L}\p{N}\n]+"
 
 
@@ -78,28 +111,55 @@ def flat_digest(canonical_text: Column) -> Column:
     return F.md5(F.trim(F.regexp_replace(canonical_text, r"[\x20\n]+", " ")).cast("binary"))
 
 
-def known_digests(spark: SparkSession) -> DataFrame:
-    """(digest, license): as many rows as ``LICENSES`` at most."""
-    known = spark.createDataFrame(LICENSES, "license string, text string")
-    return known.select(flat_digest(canonical(F.col("text"))).alias("digest"), "license").groupBy("digest").agg(F.min("license").alias("license"))
+def paragraphs(canonical_text: Column) -> Column:
+    """What stands between empty lines and is not blank."""
+    return F.filter(F.split(canonical_text, r"\n\x20*\n"), lambda x: F.trim(F.replace(x, F.lit("\n"), F.lit(" "))) != "")
+
+
+def known_texts(spark: SparkSession) -> tuple[dict[str, str], dict[str, list[int]]]:
+    """License of each digest, and the numbers of paragraphs of the known texts by the digest of their first one."""
+    known = spark.createDataFrame(LICENSES + full_texts(), "license string, text string").select("license", canonical(F.col("text")).alias("t"))
+    rows = known.select("license", flat_digest(F.col("t")).alias("digest"), paragraphs(F.col("t")).alias("p"))
+    names: dict[str, str] = {}
+    runs: dict[str, set[int]] = {}
+    for r in rows.select("license", "digest", flat_digest(F.get("p", F.lit(0))).alias("first"), F.size("p").alias("n")).collect():
+        names[r["digest"]] = min(r["license"], names.get(r["digest"], r["license"]))
+        runs.setdefault(r["first"], set()).add(r["n"])
+    return names, {first: sorted(n) for first, n in runs.items()}
+
+
+def _literal_map(values: dict[str, object]) -> Column:
+    def lit(v: object) -> Column:
+        return F.array(*[F.lit(x) for x in v]) if isinstance(v, list) else F.lit(v)
+
+    return F.create_map(*[x for k, v in values.items() for x in (F.lit(k), lit(v))])
 
 
 def scan_licenses(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per document: ``id_col``, ``n_matches`` (long), ``licenses`` (distinct, sorted, comma-joined, or '').
 
-    A document matches once for each unit, itself, a paragraph (between empty lines) or a
-    line, whose canonical text is that of a known licence; a unit that is all of a larger
+    A document matches once for each unit, itself, a paragraph (between empty lines), a line or
+    a run of paragraphs, whose canonical text is that of a known licence; a unit that is all of a larger
     one counts with the larger only.  Null and empty texts match nothing; rows that repeat
     an id or have a null one each give a row; an empty table gives no rows; other columns
-    are left out.
+    are left out.  Each row is settled where it stands: nothing is joined or shuffled.
     """
-    rows = docs.select(F.monotonically_increasing_id().alias("row"), F.col(id_col).alias("id"), canonical(F.coalesce(F.col(text_col), F.lit(""))).alias("t"))
-    units = F.array_union(F.array(F.col("t")), F.array_union(F.split("t", r"\n\x20*\n"), F.split("t", r"\n")))
-    digests = F.array_distinct(F.transform(units, flat_digest))
-    spark = docs.sparkSession
-    hits = rows.select("row", F.explode(digests).alias("digest")).join(F.broadcast(known_digests(spark)), "digest")
-    found = hits.groupBy("row").agg(F.count("*").alias("n"), F.array_sort(F.collect_set("license")).alias("names"))
-    ids = docs.select(F.monotonically_increasing_id().alias("row"), F.col(id_col).alias("id"))
-    return ids.join(found, "row", "left").select(
-        F.col("id").alias(id_col), F.coalesce("n", F.lit(0)).cast("bigint").alias("n_matches"), F.coalesce(F.array_join("names", ","), F.lit("")).alias("licenses")
+    names, runs = known_texts(docs.sparkSession)
+    names_of, lengths_of = _literal_map(names), _literal_map(runs)
+    rows = docs.select(F.col(id_col).alias("id"), canonical(F.coalesce(F.col(text_col), F.lit(""))).alias("t"))
+    # Generators keep the optimiser from copying the pattern searches into the lambdas below.
+    rows = rows.select("id", "t", F.inline(F.array(F.struct(paragraphs(F.col("t")).alias("p")))))
+    rows = rows.select("id", "t", "p", F.inline(F.array(F.struct(F.transform("p", flat_digest).alias("d")))))
+
+    def beginning(digest: Column, i: Column) -> Column:
+        cut = F.transform(F.try_element_at(lengths_of, digest), lambda n: flat_digest(F.array_join(F.slice("p", i + 1, n), "\n")))
+        return F.coalesce(cut, F.array().cast("array<string>"))
+
+    longer = F.flatten(F.transform("d", beginning))
+    lines = F.transform(F.split("t", r"\n"), flat_digest)
+    units = F.array_distinct(F.concat(F.array(flat_digest(F.col("t"))), "d", lines, longer))
+    found = F.filter(F.transform(units, lambda d: F.try_element_at(names_of, d)), lambda x: x.isNotNull())
+    rows = rows.select("id", F.inline(F.array(F.struct(found.alias("found")))))
+    return rows.select(
+        F.col("id").alias(id_col), F.size("found").cast("bigint").alias("n_matches"), F.array_join(F.array_sort(F.array_distinct("found")), ",").alias("licenses")
     )

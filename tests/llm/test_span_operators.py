@@ -2,6 +2,7 @@
 
 import math
 import re
+import textwrap
 from collections import Counter, defaultdict
 
 import numpy as np
@@ -141,6 +142,30 @@ def test_licenses(spark):
     assert licenses.scan_licenses(df.where("1 = 0")).count() == 0
 
 
+def test_licenses_in_standard_files(spark):
+    """Titled, wrapped and embedded texts, as files hold them."""
+    mit = next(t for k, t in licenses.LICENSES if k == "MIT" and len(t) > 500)
+    isc = next(t for k, t in licenses.LICENSES if k == "ISC")
+    apache = next(t for k, t in licenses.LICENSES if k == "Apache-2.0" and len(t) > 500)
+    wrapped = lambda t, width=75: "\n\n".join(textwrap.fill(p, width) for p in t.split("\n\n"))
+    isc = wrapped(isc).replace("above copyright notice", "above\ncopyright notice")
+    assert "\ncopyright notice" in isc
+    files = {p.stem: p.read_text() for p in licenses._TEXTS.glob("*.txt")}
+    rows = [(f"{k} file", t, k) for k, t in files.items()] + [
+        ("mit", "MIT License\n\nCopyright (c) 2020 Jane Doe\n\n" + wrapped(mit), "MIT"),
+        ("isc", "ISC License\n\nCopyright 2020 Jane Doe\n\n" + isc, "ISC"),
+        ("inside", "Read me\n\nAbout it.\n\n" + wrapped(mit) + "\n\nThe end.", "MIT"),
+        ("notice", "Copyright 2020 Jane Doe\n\n" + wrapped(apache.replace(" http", "\n\n    http")) + "\n\ncode", "Apache-2.0"),
+        ("stars", "Copyright (c) 2020, Jane\nAll rights reserved.\n\n" + files["BSD-3-Clause"].replace("1. ", "* ").replace("2. ", "* ").replace("3. ", "* "), "BSD-3-Clause"),
+        ("cut", "MIT License\n\n" + wrapped(mit)[:-200], ""),
+        ("prose", "copyright notice and words\n\nmore words", ""),
+    ]
+    df = spark.createDataFrame([r[:2] for r in rows], "doc_id string, text string")
+    got = {r["doc_id"]: (r["licenses"], r["n_matches"]) for r in licenses.scan_licenses(df).collect()}
+    assert {k: v[0] for k, v in got.items()} == {r[0]: r[2] for r in rows}
+    assert got["mit"][1] == got["inside"][1] == 1
+
+
 # URLs
 
 
