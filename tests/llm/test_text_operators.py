@@ -60,15 +60,17 @@ def test_exact_dedup_keeps_one_of_a_group_when_splits_change(spark, tmp_path):
     rows = [(i % 50, f"text {i % 50} " * 20, i % 2) for i in range(400)]
     for k in range(4):
         spark.createDataFrame(rows[100 * k : 100 * k + 100], "doc_id long, text string, n int").coalesce(1).write.mode("append").parquet(str(tmp_path / "t"))
-    key = "spark.sql.files.openCostInBytes"
+    key, fewest = "spark.sql.files.openCostInBytes", "spark.sql.files.minPartitionNum"
     before = spark.conf.get(key)
     try:
         spark.conf.set(key, "1g")  # each file a partition
         out = exact_dedup(spark.read.parquet(str(tmp_path / "t")))
-        spark.conf.set(key, "1")  # from now on all files in few partitions
+        spark.conf.set(key, "1")  # from now on all files in one partition
+        spark.conf.set(fewest, "1")
         got = out.collect()
     finally:
         spark.conf.set(key, before)
+        spark.conf.unset(fewest)
     assert len(got) == 400
     assert sorted(r["doc_id"] for r in got if r["kept"]) == list(range(50))
     assert {r["group_size"] for r in got} == {8}
@@ -167,6 +169,24 @@ def test_pairs_within_a_large_family_of_lower_similarity(spark, monkeypatch, blo
     assert all(got[i] == i for i in range(60, 240))
 
 
+def test_matched_and_single_unmatched_members_of_a_bucket_meet(spark):
+    """M is like the leader, U like M only, and the other leader like none of them."""
+    ids = [r[0] for r in spark.range(1, 5).orderBy(F.xxhash64("id")).collect()]
+    second, (leader, m, u) = ids[0], sorted(ids[1:])
+    if second < leader:
+        leader = 0
+    texts = {leader: words(1, 200), second: words(2, 200)}
+    texts[m] = list(texts[leader])
+    texts[m][20:34] = [f"m{k}" for k in range(14)]
+    texts[u] = list(texts[m])
+    texts[u][120:134] = [f"u{k}" for k in range(14)]
+    docs = spark.createDataFrame([(i, " ".join(w)) for i, w in texts.items()], "id long, text string")
+    signed = spark.createDataFrame([(i, [7] * near_dup.SAMPLES) for i in texts], "id long, sig array<int>")
+    idf = spark.sparkContext.broadcast(np.zeros(1 << near_dup.SKETCH_BITS, np.int8))
+    links = {frozenset((r["a"], r["b"])) for r in near_dup.near_links(docs, signed, idf).collect()}
+    assert links == {frozenset((leader, m)), frozenset((m, u))}
+
+
 def test_block_similarities_are_weighted_jaccard():
     rng = np.random.default_rng(5)
     idf = rng.integers(0, 6, 1 << near_dup.SKETCH_BITS).astype(np.int8)
