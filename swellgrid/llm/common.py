@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -10,16 +11,18 @@ from contextlib import contextmanager
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Bits of the membership filter: 512 KB whatever the input.
-FILTER_BITS = 1 << 22
+#: Bits of a membership filter for each key, and at most (16 MB): beyond, rows are joined without one.
+FILTER_BITS_PER_KEY, MAX_FILTER_BITS = 10, 1 << 27
 
 
 def scratch_dir(spark: SparkSession) -> str:
-    """Shared folder named by ``spark.checkpoint.dir``; a temp folder only where that is unset."""
+    """Shared folder named by ``spark.checkpoint.dir``; where that is unset, a temp folder on a local master and an error on a cluster."""
     shared = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not shared:
         shared = spark.sparkContext.getCheckpointDir()
     if not shared:
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="spark-scratch-"))
         shared = spark.sparkContext.getCheckpointDir()
     return shared.rstrip("/")
@@ -97,29 +100,44 @@ def free_name(taken: list[str], wanted: str) -> str:
     return wanted
 
 
-def membership_filter(keys: Column, df: DataFrame, bits: int = FILTER_BITS) -> DataFrame:
-    """One row with ``words``: a bitmap of the hashed keys, ``bits / 64`` longs at any input size.
+def _bits(n: int) -> int:
+    """Bits of a filter of ``n`` keys: a power of two."""
+    return max(1 << 12, 1 << max(0, FILTER_BITS_PER_KEY * n - 1).bit_length())
+
+
+def membership_filter(keys: DataFrame, key: Column, bits: int) -> DataFrame:
+    """One row with ``words``: a bitmap of the hashed keys, ``bits / 64`` longs.
 
     A key that was put in always hits; others hit with a chance of the bitmap's fill.
     """
-    pos = F.pmod(F.xxhash64(keys), F.lit(bits))
-    words = (
-        df.select(pos.alias("p"))
-        .groupBy((F.col("p") / 64).cast("int").alias("w"))
-        .agg(F.bit_or(F.expr("shiftleft(1L, cast(p % 64 as int))")).alias("b"))
-    )
-    slots = df.sparkSession.range(bits // 64).select(F.col("id").cast("int").alias("w"))
-    dense = slots.join(words, "w", "left").select("w", F.coalesce("b", F.lit(0).cast("bigint")).alias("b"))
-    return dense.agg(F.transform(F.array_sort(F.collect_list(F.struct("w", "b"))), lambda x: x["b"]).alias("words"))
-
-
-def may_contain(words: Column, key: Column, bits: int = FILTER_BITS) -> Column:
+    pos = F.pmod(F.xxhash64(key), F.lit(bits))
+    put = keys.select(pos.alias("p")).selectExpr("cast(p div 64 as int) AS w", "shiftleft(1L, cast(p % 64 as int)) AS b")
+    none = keys.sparkSession.range(bits // 64).selectExpr("cast(id as int) AS w", "0L AS b")
+    words = none.unionByName(put).groupBy("w").agg(F.bit_or("b").alias("b"))
+    return words.agg(F.transform(F.array_sort(F.collect_list(F.struct("w", "b"))), lambda x: x["b"]).alias("words"))
+
+
+def may_contain(words: Column, key: Column, bits: int) -> Column:
     """Whether ``key`` may be among the keys of a ``membership_filter``."""
     pos = F.pmod(F.xxhash64(key), F.lit(bits))
     word = F.element_at(words, ((pos / 64).cast("int") + 1))
     return F.getbit(word, (pos % 64).cast("int")) == 1
 
 
+def flag_members(df: DataFrame, key: Column, keys: DataFrame, keys_key: Column, flag: str) -> DataFrame:
+    """Add ``flag``: false only where ``key`` is surely not among ``keys`` (a materialised table with the key ``keys_key``).
+
+    A bitmap of ``FILTER_BITS_PER_KEY`` bits a key is broadcast for it; with so many keys that it
+    would exceed ``MAX_FILTER_BITS`` every row is flagged, and the join that follows settles them all.
+    """
+    bits = _bits(keys.count())
+    if bits > MAX_FILTER_BITS:
+        return df.withColumn(flag, F.lit(True))
+    words = free_name(df.columns, "words_")
+    marked = df.crossJoin(F.broadcast(membership_filter(keys, keys_key, bits).withColumnRenamed("words", words)))
+    return marked.withColumn(flag, F.coalesce(may_contain(F.col(words), key, bits), F.lit(False))).drop(words)
+
+
 def kth_largest(df: DataFrame, column: str, k: int, bins: int = 2048) -> float | None:
     """Exact k-th largest non-null value of a double column (k >= 1), or None if there are fewer.
 

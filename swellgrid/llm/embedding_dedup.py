@@ -1,12 +1,15 @@
 """Near-duplicate vectors: product quantisation behind an inverted file, exact cosine at the end.
 
-Coarse centroids and residual codebooks are fitted on a bounded sample; every vector is
-indexed.  A vector probes each list that a neighbour at the threshold can fall into: those
-whose bisecting plane with its own list is within ``PROBE_SIGMA`` deviations of a random
-displacement of that length.  In a list, asymmetric table distances drop a pair only if the
-triangle inequality with the stored quantisation error rules it out; the rest are compared
-by cosine in double precision.  Lists are dealt in blocks, so a large one is split among
-tasks, and a task emits counts and a spanning forest of its links, never the pairs.
+Coarse cells are fitted on a bounded sample, one set for each dimension; every vector is
+indexed.  A vector visits each cell that a neighbour at the threshold can fall into: those whose
+bisecting plane with its own cell is within ``PROBE_SIGMA`` deviations of a random displacement
+of that length.  Cells are dealt in blocks, so a large one is split among tasks.  In a block the
+vectors form short inverted lists with residual codes of ``SUBSPACES`` subspaces; a visitor probes
+lists by the same rule, reads its distances to their codes from look-up tables, and drops a pair only
+if the triangle inequality with the stored quantisation error rules it out.  The rest are compared by
+cosine in double precision.  Lists hold about ``LIST_VECTORS`` however many vectors there are, so the
+work of a vector doesn't grow with their number.  A task emits counts and a spanning forest of its links,
+never the pairs.
 """
 
 from __future__ import annotations
@@ -22,18 +25,26 @@ from .common import materialize
 from .components import connected_components
 
 THRESHOLD = 0.9
-#: Most vectors the centroids and codebooks are fitted on.
+#: Most vectors that the cells are fitted on, and vectors of the sample per cell at least.
 SAMPLE_VECTORS = 20_000
-MAX_LISTS = 4096
+SAMPLE_PER_CELL = 8
+#: Vectors of a cell and of a list that are aimed at.
+CELL_VECTORS, LIST_VECTORS = 4096, 32
 SUBSPACES, CODES = 8, 256
 PROBE_SIGMA = 3.0
 #: Base vectors and queries of a block.
-BLOCK = 2048
+BLOCK, QUERY_BLOCK = 4096, 16_384
+_QUERIES_AT_ONCE = 1024
+
+
+def _nearest(x: np.ndarray, centres: np.ndarray) -> np.ndarray:
+    half = (centres**2).sum(1) / 2
+    return np.concatenate([np.argmax(x[i : i + 2048] @ centres.T - half, axis=1) for i in range(0, len(x), 2048)]) if len(x) else np.empty(0, np.int64)
 
 
 def _kmeans(x: np.ndarray, k: int, rng: np.random.Generator, rounds: int = 6) -> np.ndarray:
     centres = x[rng.choice(len(x), min(k, len(x)), replace=False)]
-    for _ in range(rounds):
+    for _ in range(rounds if k > 1 else 1):
         own = _nearest(x, centres)
         counts = np.bincount(own, minlength=len(centres))
         sums = np.stack([np.bincount(own, weights=x[:, i], minlength=len(centres)) for i in range(x.shape[1])], axis=1)
@@ -41,146 +52,167 @@ def _kmeans(x: np.ndarray, k: int, rng: np.random.Generator, rounds: int = 6) ->
     return centres
 
 
-def _nearest(x: np.ndarray, centres: np.ndarray) -> np.ndarray:
-    half = (centres**2).sum(1) / 2
-    return np.concatenate([np.argmax(x[i : i + 4096] @ centres.T - half, axis=1) for i in range(0, len(x), 4096)]) if len(x) else np.empty(0, np.int64)
-
-
-class Index:
-    """Coarse centroids, residual codebooks and the probe rule, for unit vectors of one dimension."""
+class Cells:
+    """Centres of Voronoi cells and which of them a vector visits."""
 
-    def __init__(self, sample: np.ndarray, lists: int, threshold: float, seed: int = 3):
-        rng = np.random.default_rng(seed)
-        self.threshold, self.dim = threshold, sample.shape[1]
-        self.centres = _kmeans(sample, lists, rng)
-        self.width = -(-self.dim // SUBSPACES)
-        rest = self._padded(sample - self.centres[_nearest(sample, self.centres)])
-        self.codebooks = [_kmeans(rest[:, m], CODES, rng) for m in range(SUBSPACES)]
+    def __init__(self, centres: np.ndarray, threshold: float):
+        self.centres, self.dim = centres, centres.shape[1]
         self.reach = np.sqrt(max(0.0, 2 - 2 * threshold))
         self.slack = min(self.reach, PROBE_SIGMA * self.reach / np.sqrt(self.dim))
-        gap = ((self.centres[:, None] - self.centres[None]) ** 2).sum(-1) if len(self.centres) <= 512 else self._gaps()
-        self.gaps = np.sqrt(gap) + 1e-12
-
-    def _gaps(self) -> np.ndarray:
-        n = (self.centres**2).sum(1)
-        return np.maximum(n[:, None] + n[None] - 2 * self.centres @ self.centres.T, 0)
-
-    def _padded(self, x: np.ndarray) -> np.ndarray:
-        out = np.zeros((len(x), SUBSPACES * self.width))
-        out[:, : self.dim] = x
-        return out.reshape(len(x), SUBSPACES, self.width)
+        self.square = (centres**2).sum(1)
+        self.gaps = np.sqrt(np.maximum(self.square[:, None] + self.square - 2 * centres @ centres.T, 0)) + 1e-12
 
     def home(self, x: np.ndarray) -> np.ndarray:
         return _nearest(x, self.centres)
 
     def probes(self, x: np.ndarray, home: np.ndarray) -> np.ndarray:
-        """Which lists each vector probes."""
-        d = (self.centres**2).sum(1) - 2 * x @ self.centres.T
-        to_plane = (d - d[np.arange(len(x)), home][:, None]) / (2 * self.gaps[home])
-        to_plane[np.arange(len(x)), home] = 0
-        return to_plane <= self.slack
-
-    def encode(self, x: np.ndarray, home: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Residual codes and quantisation errors."""
-        rest = self._padded(x - self.centres[home])
-        codes = np.stack([_nearest(rest[:, m], self.codebooks[m]) for m in range(SUBSPACES)], axis=1)
-        near = np.stack([self.codebooks[m][codes[:, m]] for m in range(SUBSPACES)], axis=1)
-        return codes.astype(np.uint8), np.sqrt(((rest - near) ** 2).sum((1, 2)))
-
-    def candidates(self, queries: np.ndarray, place: int, codes: np.ndarray, errors: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Pairs (query, base) that asymmetric distances can't rule out."""
-        rest = self._padded(queries - self.centres[place])
-        far = np.repeat((rest**2).sum((1, 2), keepdims=True)[:, :, 0], len(codes), axis=1).astype(np.float32)
-        for m in range(SUBSPACES):
-            # Squared distance to each code, less the query's own square that is in already.
-            table = ((self.codebooks[m] ** 2).sum(1) - 2 * rest[:, m] @ self.codebooks[m].T).astype(np.float32)
-            far += table[:, codes[:, m]]
-        return np.nonzero(far <= ((self.reach + errors + 1e-3) ** 2).astype(np.float32))
-
-
-def _unit(raw: list[bytes]) -> np.ndarray:
-    x = np.frombuffer(b"".join(raw), np.float64).reshape(len(raw), -1)
+        """Which cells each vector visits: its own and those whose plane is near."""
+        d = self.square - 2 * x @ self.centres.T
+        own = np.arange(len(x))
+        near = (d - d[own, home][:, None]) <= 2 * self.slack * self.gaps[home]
+        near[own, home] = True
+        return near
+
+
+class Lists:
+    """Inverted lists over the vectors of a block, with residual codes and look-up tables."""
+
+    def __init__(self, base: np.ndarray, threshold: float, seed: int = 3):
+        rng = np.random.default_rng(seed)
+        self.cells = Cells(_kmeans(base, max(1, len(base) // LIST_VECTORS), rng, rounds=3), threshold)
+        self.home = self.cells.home(base)
+        self.width = -(-base.shape[1] // SUBSPACES)
+        rest = self.padded(base - self.cells.centres[self.home])
+        self.codebooks = [_kmeans(rest[:, m], CODES, rng, rounds=3) for m in range(SUBSPACES)]
+        self.codes = np.stack([_nearest(rest[:, m], self.codebooks[m]) for m in range(SUBSPACES)], axis=1)
+        near = np.stack([self.codebooks[m][self.codes[:, m]] for m in range(SUBSPACES)], axis=1)
+        errors = np.sqrt(((rest - near) ** 2).sum((1, 2)))
+        centres = self.padded(self.cells.centres)[self.home]
+        # |q - b'|^2 = |q|^2 + |b'|^2 - 2 q.b'; a pair may be near if that is at most (reach + error)^2.
+        self.least = (((centres + near) ** 2).sum((1, 2)) + 1 - (self.cells.reach + errors + 1e-3) ** 2) / 2
+        order = np.argsort(self.home, kind="stable")
+        bounds = np.searchsorted(self.home[order], np.arange(len(self.cells.centres) + 1))
+        self.members = [order[a:b] for a, b in zip(bounds, bounds[1:], strict=False)]
+
+    def padded(self, x: np.ndarray) -> np.ndarray:
+        out = np.zeros((len(x), SUBSPACES * self.width))
+        out[:, : x.shape[1]] = x
+        return out.reshape(len(x), SUBSPACES, self.width)
+
+    def candidates(self, queries: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """Pairs (query, base) of each list that asymmetric distances can't rule out."""
+        parts = self.padded(queries)
+        tables = [(parts[:, m] @ self.codebooks[m].T).astype(np.float32) for m in range(SUBSPACES)]
+        to_centre = queries @ self.cells.centres.T
+        visits = self.cells.probes(queries, self.cells.home(queries))
+        for place, members in enumerate(self.members):
+            own = np.flatnonzero(visits[:, place])
+            if not len(own) or not len(members):
+                continue
+            dot = np.repeat(to_centre[own, place][:, None], len(members), axis=1)
+            for m, table in enumerate(tables):
+                dot += table[own][:, self.codes[members, m]]
+            i, j = np.nonzero(dot >= self.least[members])
+            yield own[i], members[j]
+
+
+def _unit(raw: list[bytes], kind: str) -> np.ndarray:
+    x = np.frombuffer(b"".join(raw), kind).astype(np.float64).reshape(len(raw), -1)
     x = x / np.abs(x).max(axis=1, keepdims=True)
     return x / np.sqrt((x * x).sum(axis=1, keepdims=True))
 
 
-def _packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(rep, n, v array) -> (rep, n, v binary of doubles)."""
-    for b in batches:
-        packed = [np.asarray(v, np.float64).tobytes() for v in b.column(2).to_pylist()]
-        yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(packed, pa.binary())], names=["rep", "n", "v"])
+def _packer(kind: str):
+    def packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """(rep, n, v array) -> (rep, n, v binary)."""
+        for b in batches:
+            v = [np.asarray(x, kind).tobytes() for x in b.column(2).to_pylist()]
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(v, pa.binary())], names=["rep", "n", "v"])
+
+    return packed
+
+
+def fit_cells(sample: list[bytes], total: dict[int, int], kind: str, threshold: float, seed: int = 3) -> dict[int, Cells]:
+    """Cells by number of bytes of a vector; vectors of a size that the sample lacks share one cell."""
+    out = {}
+    for size, n in total.items():
+        own = [v for v in sample if len(v) == size]
+        if own:
+            cells = max(1, min(-(-n // CELL_VECTORS), len(own) // SAMPLE_PER_CELL))
+            out[size] = Cells(_kmeans(_unit(own, kind), cells, np.random.default_rng(seed)), threshold)
+    return out
 
 
-def _dealer(index):
-    """(rep, n, v) -> a base row for its list and a query row for each list it probes."""
+def _dealer(index, kind: str):
+    """(rep, n, v) -> a base row for its cell and a query row for each cell it visits."""
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        idx = index.value
         for whole in batches:
-            for at in range(0, whole.num_rows, 1024):
-                b = whole.slice(at, 1024)
-                raw = b.column(2).to_pylist()
-                x = _unit(raw)
-                home = idx.home(x)
-                codes, errors = idx.encode(x, home)
-                row, place = np.nonzero(idx.probes(x, home))
-                rows = np.concatenate([np.arange(len(x)), row])
-                base = len(x)
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        pa.array(np.concatenate([home, place]), pa.int32()),
-                        pa.array(np.arange(len(rows)) >= base),
-                        pa.array(home[rows], pa.int32()),
-                        b.column(0).take(pa.array(rows)),
-                        b.column(1).take(pa.array(rows)),
-                        b.column(2).take(pa.array(rows)),
-                        pa.array([codes[i].tobytes() if k < base else None for k, i in enumerate(rows)], pa.binary()),
-                        pa.array(errors[rows], pa.float64()),
-                    ],
-                    names=["place", "query", "home", "rep", "n", "v", "codes", "error"],
-                )
+            sizes = np.array([len(v) for v in whole.column(2).to_pylist()])
+            for size in np.unique(sizes):
+                alike = whole.take(pa.array(np.flatnonzero(sizes == size)))
+                for at in range(0, alike.num_rows, 1024):
+                    b = alike.slice(at, 1024)
+                    cells = index.value.get(int(size))
+                    if cells is None:
+                        row, home = np.arange(b.num_rows), np.zeros(b.num_rows, np.int64)
+                        place = home
+                    else:
+                        x = _unit(b.column(2).to_pylist(), kind)
+                        home = cells.home(x)
+                        row, place = np.nonzero(cells.probes(x, home))
+                    rows = np.concatenate([np.arange(b.num_rows), row])
+                    yield pa.RecordBatch.from_arrays(
+                        [
+                            pa.array(np.full(len(rows), size), pa.int32()),
+                            pa.array(np.concatenate([home, place]), pa.int32()),
+                            pa.array(np.arange(len(rows)) >= b.num_rows),
+                            pa.array(home[rows], pa.int32()),
+                            *(b.column(c).take(pa.array(rows)) for c in range(3)),
+                        ],
+                        names=["size", "place", "query", "home", "rep", "n", "v"],
+                    )
 
     return deal
 
 
-def _matcher(index):
-    """One block of one list -> (rep, root, links): weighted link counts and a spanning forest."""
+def _matcher(index, kind: str, threshold: float):
+    """One block of one cell -> (rep, root, links): weighted link counts and a spanning forest."""
 
     def match(table: pa.Table) -> pa.Table:
-        idx = index.value
         is_query = table["query"].to_numpy()
         q, b = table.filter(pa.array(is_query)), table.filter(pa.array(~is_query))
         empty = pa.table({c: pa.array([], pa.int64()) for c in ("rep", "root", "links")})
         if not len(q) or not len(b):
             return empty
-        qx, bx = _unit(q["v"].to_pylist()), _unit(b["v"].to_pylist())
+        qx, bx = _unit(q["v"].to_pylist(), kind), _unit(b["v"].to_pylist(), kind)
         q_rep, b_rep, q_n, b_n = (t[c].to_numpy() for c in ("rep", "n") for t in (q, b))
-        codes = np.frombuffer(b"".join(b["codes"].to_pylist()), np.uint8).reshape(len(b), SUBSPACES)
-        place, errors, homes = table["place"][0].as_py(), b["error"].to_numpy(), q["home"].to_numpy()
-        hits = []
-        for at in range(0, len(qx), 256):
-            i, j = idx.candidates(qx[at : at + 256], place, codes, errors)
-            i = i + at
-            for k in range(0, len(i), 200_000):
-                ik, jk = i[k : k + 200_000], j[k : k + 200_000]
-                near = (np.einsum("ij,ij->i", qx[ik], bx[jk]) >= idx.threshold) & (q_rep[ik] != b_rep[jk])
-                hits.append((ik[near], jk[near]))
+        place, homes = table["place"][0].as_py(), q["home"].to_numpy()
+        lists, hits = Lists(bx, threshold), []
+        for at in range(0, len(qx), _QUERIES_AT_ONCE):
+            for i, j in lists.candidates(qx[at : at + _QUERIES_AT_ONCE]):
+                i = i + at
+                near = (np.einsum("ij,ij->i", qx[i], bx[j]) >= threshold) & (q_rep[i] != b_rep[j])
+                hits.append((i[near], j[near]))
         i, j = (np.concatenate([h[s] for h in hits]) if hits else np.empty(0, np.int64) for s in (0, 1))
         if not len(i):
             return empty
         q_links = np.bincount(i, weights=b_n[j], minlength=len(qx)).astype(np.int64)
-        # The other side finds the link itself if it probes the query's list; else it is counted here.
+        # The other side finds the link itself if it visits the query's cell; else it is counted here.
         linked = np.unique(j)
-        seen = np.zeros((len(bx), len(idx.centres)), bool)
-        seen[linked] = idx.probes(bx[linked], np.full(len(linked), place))
-        alone = ~seen[j, homes[i]]
+        cells = index.value.get(table["size"][0].as_py())
+        alone = np.zeros(len(i), bool)
+        if cells is not None:
+            seen = np.zeros((len(bx), len(cells.centres)), bool)
+            seen[linked] = cells.probes(bx[linked], np.full(len(linked), place))
+            alone = ~seen[j, homes[i]]
         b_links = np.bincount(j[alone], weights=q_n[i[alone]], minlength=len(bx)).astype(np.int64)
         q_root, b_root = q_rep.copy(), b_rep.copy()
         while True:
-            before = q_root.sum(), b_root.sum()
+            before = q_root.copy(), b_root.copy()
             np.minimum.at(q_root, i, b_root[j])
             np.minimum.at(b_root, j, q_root[i])
-            if before == (q_root.sum(), b_root.sum()):
+            if all((x == y).all() for x, y in zip(before, (q_root, b_root), strict=True)):
                 break
         q_in = np.unique(i)
         return pa.table({
@@ -197,47 +229,45 @@ def near_vectors(df: DataFrame, id_col: str = "vec_id", vec_col: str = "embeddin
 
     ``n_links`` counts the other rows linked directly, at a cosine of ``threshold`` or more;
     ``component_id`` is the smallest id reachable by links, and ``kept`` whether it is the
-    row's own.  Vectors that are null, empty or zero, hold null or non-finite components, or
-    are not of the most frequent dimension link with nothing.  Rows that repeat an id count as
-    vectors of their own; a null id counts as the largest.  An empty table gives no rows.
+    row's own.  Only vectors of one dimension are compared with each other.  Vectors that are null,
+    empty or zero, or hold null or non-finite components link with nothing.  Rows that repeat an id
+    count as vectors of their own; a null id counts as the largest.  An empty table gives no rows.
     """
     spark = df.sparkSession
+    kind = "<f4" if "array<float>" in df.select(vec_col).schema[0].dataType.simpleString() else "<f8"
     rows = df.select(F.monotonically_increasing_id().alias("row"), F.col(id_col).alias("id"), F.col(vec_col).cast("array<double>").alias("v"))
     fine = F.forall("v", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))) & F.exists("v", lambda x: x != 0)
     rows = rows.withColumn("fine", F.coalesce(fine, F.lit(False)))
-    rows = rows.withColumn("k1", F.when(F.col("fine"), F.xxhash64(F.lit(1), "v"))).withColumn("k2", F.when(F.col("fine"), F.xxhash64(F.lit(2), "v")))
-    sizes = rows.where("fine").groupBy(F.size("v").alias("d")).agg(F.count("*").alias("c")).orderBy(F.desc("c"), "d").first()
-    dim = sizes["d"] if sizes else 0
-    light = materialize(rows.select("row", "id", (F.col("fine") & (F.size("v") == dim)).alias("fine"), "k1", "k2"), "vectors")
+    keys = {f"k{i}": F.when(F.col("fine"), F.xxhash64(F.lit(i), "v")) for i in (1, 2)}
+    # The rows are written once, and so are their numbers.
+    rows = materialize(rows.select("row", "id", "fine", *[c.alias(k) for k, c in keys.items()], F.when(F.col("fine"), F.col("v")).alias("v")), "vectors")
     # Equal vectors are one class with a weight; they all link with each other.
-    classes = rows.where(F.col("fine") & (F.size("v") == dim)).groupBy("k1", "k2").agg(F.min("row").alias("rep"), F.count("*").alias("n"), F.min("id").alias("low"), F.first("v").alias("v"))
+    classes = rows.where("fine").groupBy("k1", "k2").agg(F.min("row").alias("rep"), F.count("*").alias("n"), F.min("id").alias("low"), F.first("v").alias("v"))
     classes = materialize(classes, "vector-classes")
-    total = classes.count()
-    packed = classes.select("rep", "n", "v").mapInArrow(_packed, "rep long, n long, v binary")
-    sample = packed.orderBy(F.xxhash64("v"), "rep").limit(SAMPLE_VECTORS).select("v").toPandas()["v"].tolist()
-    none = spark.createDataFrame([], "rep long, root long, links long")
-    found = none
-    if total > 1:
-        lists = int(min(MAX_LISTS, max(1, np.sqrt(total))))
-        index = spark.sparkContext.broadcast(Index(_unit(sample), lists, threshold))
-        dealt = packed.mapInArrow(_dealer(index), "place int, query boolean, home int, rep long, n long, v binary, codes binary, error double")
-        dealt = materialize(dealt, "dealt")
-        counts = dealt.groupBy("place").agg(F.sum((~F.col("query")).cast("long")).alias("nb"), F.sum(F.col("query").cast("long")).alias("nq"))
-        counts = counts.select("place", F.ceil(F.greatest("nb", F.lit(1)) / BLOCK).cast("int").alias("bb"), F.ceil(F.greatest("nq", F.lit(1)) / BLOCK).cast("int").alias("qb"))
-        dealt = dealt.join(F.broadcast(counts), "place")  # at most MAX_LISTS rows
-        own = F.pmod(F.xxhash64("rep"), F.when(F.col("query"), F.col("qb")).otherwise(F.col("bb"))).cast("int")
-        others = F.sequence(F.lit(0), F.when(F.col("query"), F.col("bb")).otherwise(F.col("qb")) - 1)
-        dealt = dealt.withColumn("own", own).withColumn("other", F.explode(others))
-        dealt = dealt.withColumn("b", F.when(F.col("query"), F.col("other")).otherwise(F.col("own"))).withColumn("q", F.when(F.col("query"), F.col("own")).otherwise(F.col("other")))
-        dealt = dealt.select("place", "b", "q", "query", "home", "rep", "n", "v", "codes", "error")
-        found = materialize(dealt.groupBy("place", "b", "q").applyInArrow(_matcher(index), "rep long, root long, links long"), "vector-links")
+    width = np.dtype(kind).itemsize
+    total = {r["d"] * width: r["c"] for r in classes.groupBy(F.size("v").alias("d")).agg(F.count("*").alias("c")).collect()}
+    packed = classes.select("rep", "n", "v").mapInArrow(_packer(kind), "rep long, n long, v binary")
+    sample = [bytes(r["v"]) for r in packed.orderBy(F.xxhash64("v"), "rep").limit(SAMPLE_VECTORS).select("v").collect()]
+    index = spark.sparkContext.broadcast(fit_cells(sample, total, kind, threshold))
+    dealt = packed.mapInArrow(_dealer(index, kind), "size int, place int, query boolean, home int, rep long, n long, v binary")
+    blocks = [F.ceil(F.greatest(c, F.lit(1)) / n).cast("int").alias(name) for name, c, n in (("bb", "nb", BLOCK), ("qb", "nq", QUERY_BLOCK))]
+    dealt = materialize(dealt, "dealt")
+    counts = materialize(dealt.groupBy("size", "place").agg(F.sum((~F.col("query")).cast("long")).alias("nb"), F.sum(F.col("query").cast("long")).alias("nq")).select("size", "place", *blocks), "cells")
+    dealt = dealt.join(F.broadcast(counts), ["size", "place"])  # a row for each cell: SAMPLE_VECTORS / SAMPLE_PER_CELL, and one for each size
+    own = F.pmod(F.xxhash64("rep"), F.when(F.col("query"), F.col("qb")).otherwise(F.col("bb"))).cast("int")
+    others = F.sequence(F.lit(0), F.when(F.col("query"), F.col("bb")).otherwise(F.col("qb")) - 1)
+    dealt = dealt.withColumn("own", own).withColumn("other", F.explode(others))
+    dealt = dealt.withColumn("b", F.when(F.col("query"), F.col("other")).otherwise(F.col("own"))).withColumn("q", F.when(F.col("query"), F.col("own")).otherwise(F.col("other")))
+    dealt = dealt.select("size", "place", "b", "q", "query", "home", "rep", "n", "v")
+    found = materialize(dealt.groupBy("size", "place", "b", "q").applyInArrow(_matcher(index, kind, threshold), "rep long, root long, links long"), "vector-links")
+    index.destroy()
     links = found.groupBy("rep").agg(F.sum("links").alias("links"))
     component = connected_components(found.select(F.col("rep").alias("a"), F.col("root").alias("b")))
     known = classes.select("k1", "k2", "rep", "n", "low").join(links, "rep", "left").join(component.withColumnRenamed("id", "rep"), "rep", "left")
     known = materialize(known.withColumn("component", F.coalesce("component", "rep")), "known")
     lowest = known.groupBy("component").agg(F.min("low").alias("component_id"))
     known = known.join(materialize(lowest, "lowest"), "component").select("k1", "k2", F.col("n").alias("same"), F.coalesce("links", F.lit(0)).alias("links"), "component_id")
-    out = light.where("fine").join(materialize(known, "known"), ["k1", "k2"])
+    out = rows.where("fine").select("id", "k1", "k2").join(materialize(known, "known"), ["k1", "k2"])
     out = out.select("id", (F.col("same") - 1 + F.col("links")).cast("bigint").alias("n_links"), "component_id")
-    out = out.unionByName(light.where("NOT fine").select("id", F.lit(0).cast("bigint").alias("n_links"), F.col("id").alias("component_id")))
+    out = out.unionByName(rows.where("NOT fine").select("id", F.lit(0).cast("bigint").alias("n_links"), F.col("id").alias("component_id")))
     return out.select(F.col("id").alias(id_col), "n_links", "component_id", (F.col("id").eqNullSafe(F.col("component_id"))).alias("kept"))

@@ -13,6 +13,8 @@ one bucket where it ends, so that no task gathers a leaf however large it is.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -57,11 +59,14 @@ def split_budget(nodes: DataFrame, parent: list[str], name: str) -> DataFrame:
 def leaf_quotas(supply: DataFrame, levels: list[str], weights: dict[str, dict[str, float]], budget: float, max_epochs: int, default: float = 1.0) -> DataFrame:
     """(levels..., supply) -> (levels..., supply, quota) in tokens."""
     top = free_name(levels, "all_")
-    caps = supply.withColumn(top, F.lit(0)).withColumn("cap", F.col("supply").cast("double") * max_epochs)
+    weight = {n: lookup(weights.get(n, {}), F.col(n), default) for n in levels}
+    # What a node of weight 0 holds is no capacity of its ancestors.
+    positive = reduce(lambda a, b: a & b, (w > 0 for w in weight.values()))
+    caps = supply.withColumn(top, F.lit(0)).withColumn("cap", F.when(positive, F.col("supply").cast("double") * max_epochs).otherwise(0.0))
     given = caps.groupBy(top).agg(F.least(F.sum("cap"), F.lit(float(budget))).alias("budget"))
     path = [top]
     for level in levels:
-        nodes = caps.groupBy(*path, level).agg(F.sum("cap").alias("cap")).withColumn("weight", lookup(weights.get(level, {}), F.col(level), default))
+        nodes = caps.groupBy(*path, level).agg(F.sum("cap").alias("cap")).withColumn("weight", weight[level])
         joined = nodes.alias("n").join(given.alias("g"), [F.col(f"n.{c}").eqNullSafe(F.col(f"g.{c}")) for c in path])
         given = split_budget(joined.select("n.*", "g.budget"), path, level)
         path = [*path, level]
@@ -120,6 +125,8 @@ def mix_sources(
     ends = sums.withColumn("upto", upto).where("upto >= rest").groupBy(*names).agg(F.min(F.struct("bucket", F.expr("upto - t").alias("before"))).alias("end"))
     ends = materialize(ends.select(*names, F.col("end.bucket").alias("end_bucket"), F.col("end.before").alias("before")), "ends")
     last = with_leaf(ordered, ends).where("bucket = end_bucket")
+    # Rows without an id, or that repeat one, share a digest: they are summed before any are put in order.
+    last = last.groupBy(*names, "digest").agg(F.sum("tokens_").alias("tokens_"), F.first("before").alias("before"), F.first("rest").alias("rest"))
     run = F.sum("tokens_").over(Window.partitionBy(*names).orderBy("digest").rowsBetween(Window.unboundedPreceding, Window.currentRow))
     last = last.withColumn("upto", F.col("before") + run).where("upto >= rest").groupBy(*names).agg(F.min("digest").alias("last_digest"))
 

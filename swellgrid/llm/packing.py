@@ -4,8 +4,9 @@ Documents are tokenised once; each becomes pieces of at most ``max_len`` tokens.
 histogram of piece lengths (``max_len`` counts, whatever the corpus) comes to the driver.
 There lengths are placed longest first, each into the pattern with the most room, by whole
 groups of equal patterns; a pattern that would leave padding is cut so that its parts have
-power-of-two lengths.  The pieces get their rank within their length by a two-level
-prefix sum, and find their slot by binary search in the table of rank ranges.
+power-of-two lengths.  A piece's rank within its length is its place in its task, counted while
+it is cut, plus the pieces of that length in the tasks before, so nothing is sorted; its slot
+is found by binary search in the table of rank ranges.
 """
 
 from __future__ import annotations
@@ -18,40 +19,45 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import materialize, may_contain, membership_filter
+from .common import flag_members, materialize, quoted
 
 MAX_LEN = 2048
 END_ID = 1
 #: A sequence short of ``max_len`` by at most this share stays whole and is padded.
 PAD_SHARE = 0.01
-#: Sub-groups of one length while ranks are counted.
-_SALTS = 256
+#: ``monotonically_increasing_id`` has the number of the task above this bit.
+_TASK_BIT = 33
 
 
 @lru_cache(maxsize=1)
 def _encoder(path: str) -> Callable[[str], list[int]]:
-    """Ids of the byte-level BPE vocabulary file at ``path``; special tokens in texts are ordinary text.
+    """Ids that ``tokenizers`` gives with the vocabulary file at ``path`` and ``add_special_tokens=False``.
 
-    A ``tokenizers`` JSON with a rank file of the same name beside it is read by way of the
-    ranks: the ids are the same and take a third of the time.
+    A rank file of the same name beside it gives the same ids in a third of the time, with the file's
+    added tokens found in texts as there; added tokens with options of their own are left to ``tokenizers``.
     """
+    import json
     import os
 
     ranks_path = path.removesuffix(".json") + ".tiktoken"
     if os.path.exists(ranks_path):
-        import public_tokenizers
-        import tiktoken
-
-        with open(ranks_path, "rb") as f:
-            ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
-        return tiktoken.Encoding("ranks", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
+        with open(path, encoding="utf-8") as f:
+            added = json.load(f)["added_tokens"]
+        if not any(t[k] for t in added for k in ("single_word", "lstrip", "rstrip", "normalized")):
+            import public_tokenizers
+            import tiktoken
+
+            with open(ranks_path, "rb") as f:
+                ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
+            special = {t["content"]: t["id"] for t in added}
+            encoding = tiktoken.Encoding("ranks", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens=special)
+            return lambda text: encoding.encode(text, allowed_special="all") if any(t in text for t in special) else encoding.encode_ordinary(text)
     from tokenizers import Tokenizer
 
     tokenizer = Tokenizer.from_file(path)
-    tokenizer.encode_special_tokens = True
     return lambda text: tokenizer.encode(text, add_special_tokens=False).ids
 
 
@@ -59,28 +65,34 @@ def _token_ids(encode: Callable[[str], list[int]], text: str | None) -> np.ndarr
     return np.array([*encode(text or ""), END_ID], dtype="<u4")
 
 
+#: What a piece has of its document, and its own numbers.
+_DOC, _PIECE = ("doc", "h1", "h2", "row"), ("start", "length", "crc", "total", "within")
+
+
 def _piece_maker(path: str, max_len: int, with_ids: bool):
+    """(doc, h1, h2, row, text) -> a row for each piece; ``within`` counts the pieces of its length before it in the task."""
+
     def pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = _encoder(path)
+        encode, seen = _encoder(path), np.zeros(max_len + 1, np.int64)
         for batch in batches:
-            for at in range(0, batch.num_rows, 512):
-                part = batch.slice(at, 512)
-                out: dict[str, list] = defaultdict(list)
-                for row, text in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), strict=True):
+            for at in range(0, batch.num_rows, 256):
+                part = batch.slice(at, 256)
+                of, numbers, own_ids = [], [], []
+                for i, text in enumerate(part.column(4).to_pylist()):
                     ids = _token_ids(encode, text)
                     for start in range(0, len(ids), max_len):
-                        own = ids[start : start + max_len]
-                        out["row"].append(row)
-                        out["start"].append(start)
-                        out["length"].append(len(own))
-                        out["crc"].append(zlib.crc32(own.tobytes()))
-                        out["total"].append(len(ids))
+                        own = ids[start : start + max_len].tobytes()
+                        length = len(own) // 4
+                        of.append(i)
+                        numbers.append((start, length, zlib.crc32(own), len(ids), int(seen[length])))
+                        seen[length] += 1
                         if with_ids:
-                            out["ids"].append(own.tobytes())
-                columns = [pa.array(out[c], pa.int64()) for c in ("row", "start", "length", "crc", "total")]
+                            own_ids.append(own)
+                arrays = [part.column(c).take(pa.array(of, pa.int32())) for c in range(4)] + [pa.array(x, pa.int64()) for x in zip(*numbers, strict=True)]
+                names = [*_DOC, *_PIECE]
                 if with_ids:
-                    columns.append(pa.array(out["ids"], pa.binary()))
-                yield pa.RecordBatch.from_arrays(columns, names=["row", "start", "length", "crc", "total", *(["ids"] if with_ids else [])])
+                    arrays, names = [*arrays, pa.array(own_ids, pa.binary())], [*names, "ids"]
+                yield pa.RecordBatch.from_arrays(arrays, names=names)
 
     return pieces
 
@@ -148,52 +160,58 @@ def slot_table(histogram: dict[int, int], max_len: int = MAX_LEN) -> dict[str, n
 
 
 def _placer(table):
-    """(row, start, length, crc, total, rank[, ids]) -> its parts with sequence and offset; crc is null where cut."""
+    """A piece with its rank -> its parts with sequence and offset; crc is null where cut."""
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         t = table.value
         # All rank ranges of one slot have its parts one after another: find the first and the last.
         key = t["length"] << 44 | t["first_rank"]
         for batch in batches:
-            col = {n: batch.column(n).to_numpy(zero_copy_only=False) for n in ("row", "start", "length", "crc", "total", "rank")}
+            names = batch.schema.names
+            col = {n: batch.column(names.index(n)).to_numpy(zero_copy_only=False) for n in ("start", "length", "crc", "total", "rank")}
             last = np.searchsorted(key, col["length"] << 44 | col["rank"], side="right")
             first = np.searchsorted(key, key[last - 1], side="left") if len(last) else last
             parts = last - first
             of = np.repeat(np.arange(batch.num_rows), parts)
             at = np.repeat(first - (np.cumsum(parts) - parts), parts) + np.arange(len(of))
-            out = {
-                "row": col["row"][of],
-                "start": col["start"][of] + t["part_start"][at],
-                "length": t["part_len"][at],
+            out = {n: batch.column(i).take(pa.array(of)) for i, n in enumerate(names) if n in _DOC}
+            out |= {
+                "start": pa.array(col["start"][of] + t["part_start"][at]),
+                "length": pa.array(t["part_len"][at]),
                 "crc": pa.array(col["crc"][of], mask=t["part_len"][at] != col["length"][of]),
-                "total": col["total"][of],
-                "sequence_id": t["first_seq"][at] + (col["rank"][of] - t["first_rank"][at]) * t["step"][at],
-                "offset": t["offset"][at],
+                "total": pa.array(col["total"][of]),
+                "sequence_id": pa.array(t["first_seq"][at] + (col["rank"][of] - t["first_rank"][at]) * t["step"][at]),
+                "offset": pa.array(t["offset"][at]),
             }
-            if "ids" in batch.schema.names:
-                ids = batch.column("ids").to_pylist()
-                out["ids"] = [ids[r][4 * i : 4 * (i + n)] for r, i, n in zip(of, t["part_start"][at], t["part_len"][at], strict=True)]
-                out["crc"] = pa.array([zlib.crc32(x) for x in out["ids"]], pa.int64())
-            yield pa.RecordBatch.from_pydict({k: v if isinstance(v, pa.Array) else pa.array(v, pa.binary() if k == "ids" else pa.int64()) for k, v in out.items()})
+            if "ids" in names:
+                ids = batch.column(names.index("ids")).to_pylist()
+                cut = [ids[r][4 * i : 4 * (i + n)] for r, i, n in zip(of, t["part_start"][at], t["part_len"][at], strict=True)]
+                out |= {"crc": pa.array([zlib.crc32(x) for x in cut], pa.int64()), "ids": pa.array(cut, pa.binary())}
+            yield pa.RecordBatch.from_arrays(list(out.values()), names=list(out))
 
     return place
 
 
 def _crc_maker(path: str):
-    """(row, text, cuts) -> (row, start, crc) of each cut part."""
+    """(h1, h2, text, cuts) -> (h1, h2, start, length, crc) of each cut part."""
 
     def crcs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode = _encoder(path)
         for batch in batches:
             out = []
-            for row, text, cuts in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            for h1, h2, text, cuts in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 ids = _token_ids(encode, text)
-                out += [(row, c["start"], zlib.crc32(ids[c["start"] : c["start"] + c["length"]].tobytes())) for c in cuts]
-            yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in (zip(*out, strict=True) if out else ((), (), ()))], names=["row", "start", "crc"])
+                out += [(h1, h2, c["start"], c["length"], zlib.crc32(ids[c["start"] : c["start"] + c["length"]].tobytes())) for c in cuts]
+            yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in (zip(*out, strict=True) if out else [()] * 5)], names=["h1", "h2", "start", "length", "crc"])
 
     return crcs
 
 
+def _digests(text: Column) -> list[Column]:
+    """128 bits of a text's digest: what a text is known by over several scans, however the table is split."""
+    return [F.xxhash64(text).alias("h1"), F.xxhash64(F.lit(1), text).alias("h2")]
+
+
 def pack_documents(
     docs: DataFrame,
     tokenizer_path: str,
@@ -207,36 +225,37 @@ def pack_documents(
     A document is its token ids and then ``END_ID``; null text is empty and gives the end id
     alone.  Rows that repeat an id, or have a null one, are documents of their own.  An empty
     table gives no rows.  Other columns are left out.  ``ids`` holds little-endian unsigned
-    32-bit integers.  ``docs`` is scanned up to three times and has to give its rows in the same
-    partitions each time, as a table does.
+    32-bit integers.  Documents are numbered in one scan, which is written; texts with cut pieces
+    are read again and found by their digest.
     """
     spark = docs.sparkSession
-    src = docs.select(F.col(id_col).alias("doc"), F.col(text_col).alias("text")).withColumn("row", F.monotonically_increasing_id())
-    columns = "row long, start long, length long, crc long, total long"
+    texts = docs.select(F.col(quoted(id_col)).alias("doc"), F.coalesce(F.col(quoted(text_col)), F.lit("")).alias("text"))
+    of_doc = f"doc {texts.schema['doc'].dataType.simpleString()}, h1 long, h2 long, row long, start long, length long, crc long, total long"
     extra = ", ids binary" if with_ids else ""
-    pieces = src.select("row", "text").mapInArrow(_piece_maker(tokenizer_path, max_len, with_ids), columns + extra)
-    pieces = materialize(pieces.withColumn("salt", F.pmod(F.xxhash64("row", "start"), F.lit(_SALTS)).cast("int")), "pieces")
+    numbered = texts.select("doc", *_digests(F.col("text")), F.monotonically_increasing_id().alias("row"), "text")
+    pieces = numbered.mapInArrow(_piece_maker(tokenizer_path, max_len, with_ids), f"{of_doc}, within long{extra}")
+    pieces = materialize(pieces.withColumn("task", F.shiftright("row", _TASK_BIT).cast("int")), "pieces")
 
-    counts = materialize(pieces.groupBy("length", "salt").agg(F.count("*").alias("n")), "counts")
-    before = F.sum("n").over(Window.partitionBy("length").orderBy("salt").rowsBetween(Window.unboundedPreceding, -1))
-    offsets = counts.select("length", "salt", F.coalesce(before, F.lit(0)).alias("before"))
+    counts = materialize(pieces.groupBy("length", "task").agg(F.count("*").alias("n")), "counts")
+    before = F.sum("n").over(Window.partitionBy("length").orderBy("task").rowsBetween(Window.unboundedPreceding, -1))
+    offsets = materialize(counts.select("length", "task", F.coalesce(before, F.lit(0)).alias("before")), "offsets")
     histogram = {r["length"]: r["n"] for r in counts.groupBy("length").agg(F.sum("n").alias("n")).collect()}
     table = spark.sparkContext.broadcast(slot_table(histogram, max_len))
 
-    within = F.row_number().over(Window.partitionBy("length", "salt").orderBy("row", "start"))
-    ranked = pieces.withColumn("within", within).join(offsets, ["length", "salt"]).withColumn("rank", F.col("before") + F.col("within") - 1)
-    ranked = ranked.select("row", "start", "length", "crc", "total", "rank", *(["ids"] if with_ids else []))
-    placed = ranked.mapInArrow(_placer(table), f"{columns}, sequence_id long, offset long{extra}")
+    ranked = pieces.join(offsets, ["length", "task"]).withColumn("rank", F.col("before") + F.col("within"))
+    ranked = ranked.select("doc", "h1", "h2", "start", "length", "crc", "total", "rank", *(["ids"] if with_ids else []))
+    placed = ranked.mapInArrow(_placer(table), f"{of_doc.replace(' row long,', '')}, sequence_id long, offset long{extra}")
     if not with_ids:
         placed = materialize(placed, "placed")
-        cut = placed.where("crc IS NULL")
-        cuts = materialize(cut.groupBy("row").agg(F.collect_list(F.struct("start", "length")).alias("cuts")), "cuts")
-        marks = F.broadcast(membership_filter(F.col("row"), cuts))
-        texts = src.select("row", "text").crossJoin(marks).where(may_contain(F.col("words"), F.col("row"))).select("row", "text")
-        crcs = texts.join(cuts, "row").mapInArrow(_crc_maker(tokenizer_path), "row long, start long, crc long")
-        placed = placed.where("crc IS NOT NULL").unionByName(cut.drop("crc").join(crcs, ["row", "start"]))
-    out = placed.join(src.select("row", "doc"), "row")
-    return out.select(
+        table.destroy()
+        cuts = placed.where("crc IS NULL").select("h1", "h2", "start", "length").distinct()
+        cuts = materialize(cuts.groupBy("h1", "h2").agg(F.collect_list(F.struct("start", "length")).alias("cuts")), "cuts")  # the parts of one text
+        marked = flag_members(texts.select("text"), F.struct(*_digests(F.col("text"))), cuts, F.struct("h1", "h2"), "flag").where("flag")
+        crcs = marked.select(*_digests(F.col("text")), "text").join(cuts, ["h1", "h2"]).mapInArrow(_crc_maker(tokenizer_path), "h1 long, h2 long, start long, length long, crc long")
+        crcs = materialize(crcs.distinct(), "crcs")
+        cut = placed.where("crc IS NULL").drop("crc").join(crcs, ["h1", "h2", "start", "length"])
+        placed = placed.where("crc IS NOT NULL").unionByName(cut)
+    return placed.select(
         F.col("doc").alias(id_col),
         "start",
         "length",
