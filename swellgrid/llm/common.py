@@ -5,7 +5,7 @@ from __future__ import annotations
 import re
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -78,12 +78,20 @@ def discard(*tables: DataFrame) -> None:
             _SCRATCH.discard(path)
 
 
-def release_scratch(spark: SparkSession) -> int:
-    """Delete all scratch tables of this process, once its results are written; gives their number."""
-    paths = list(_SCRATCH)
+def scratch_tables() -> frozenset[str]:
+    """Paths of the scratch tables of this process that are still there."""
+    return frozenset(_SCRATCH)
+
+
+def release_scratch(spark: SparkSession, keep: Iterable[DataFrame] = (), since: frozenset[str] = frozenset()) -> int:
+    """Delete the scratch tables of this process, once what needs them is written; gives their number.
+
+    ``keep`` are tables to leave, and ``since`` an earlier ``scratch_tables()``, of which all are left.
+    """
+    paths = _SCRATCH - since - {t.__dict__.get("scratch_path") for t in keep}
     for path in paths:
         _delete(spark, path)
-    _SCRATCH.clear()
+    _SCRATCH.difference_update(paths)
     return len(paths)
 
 

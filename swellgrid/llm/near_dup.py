@@ -1,8 +1,8 @@
 """Near-duplicate documents: consistent weighted samples of TF-IDF shingles, banded and verified.
 
-1. Document frequencies of five-word shingles go into a hashed table of ``SKETCH_BITS``
-   slots (1 MB of weight levels when broadcast, at any corpus size); the expected load
-   of a slot is taken off, so only shingles that are more frequent than the noise lose weight.
+1. Document frequencies of five-word shingles go into a hashed table of 2^``SKETCH_BITS``
+   slots (1 MB of weight levels when broadcast, at any corpus size), less the expected load of a
+   slot.  Texts that share a shingle see the same weight, whatever falls into its slot besides.
 2. Each text becomes a signature of consistent weighted samples.  Texts with the same
    shingle multiset collapse to one representative first.
 3. Rows of the signature form overlapping bands.  In each bucket every member is paired with
@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import arrays
-from .common import discard, materialize, may_contain, membership_filter, quoted
+from .common import discard, flag_members, free_name, materialize, quoted
 from .components import connected_components
 from .textvec import WeightedSampler, blocks, per_text, shingle_hashes, text_rows
 
@@ -35,7 +35,6 @@ BAND_SAMPLES, BANDS = 6, 30
 #: Members of a bucket that a task compares with as many others at a time, and columns of its tables.
 BLOCK_MEMBERS, BLOCK_COLUMNS = 256, 4096
 SKETCH_BITS = 20
-IDF_TOP, IDF_FULL = 1.25, 1000
 _CHUNKS = 64
 _SEED = 11
 
@@ -56,20 +55,18 @@ def _count_shingles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatc
 
 
 def idf_levels(docs: DataFrame) -> np.ndarray:
-    """Weight level (see ``WeightedSampler``) of each sketch slot: its smoothed, saturated IDF.
+    """Weight level (see ``WeightedSampler``) of each sketch slot: its smoothed IDF, normalised.
 
-    The weight is 1 for a shingle that every text holds and rises with ln(N / df) to
-    ``IDF_TOP`` for those in at most one text in ``IDF_FULL``.  That is above the noise of the
-    sketch at any N, since both grow with N.  So texts outside large groups compare by plain
-    counts, common passages count less, and a plain similarity of 0.84 always passes as 0.8.
+    The weight is 1 + ln(N / df) / ln N: 1 for a shingle that every text holds, 2 for one that a single text holds.
+    Without the norm the few words that tell a text from its copies would outweigh all that a group shares
+    once the group holds a large share of the corpus.
     """
     counts, texts = arrays.total(docs.mapInArrow(_count_shingles, arrays.SCHEMA), _CHUNKS)
     if counts is None:
         return np.zeros(1 << SKETCH_BITS, np.int8)
     n = max(2, texts)
     df = np.clip(counts - counts.sum() / len(counts), 1, n)
-    rare = np.minimum(1, np.log(n / df) / np.log(IDF_FULL))
-    return np.rint(WeightedSampler.STEPS * np.log2(1 + (IDF_TOP - 1) * rare)).astype(np.int8)
+    return np.rint(WeightedSampler.STEPS * np.log2(1 + np.log(n / df) / np.log(n))).astype(np.int8)
 
 
 def _levels(hashes: np.ndarray, tf: np.ndarray, idf: np.ndarray) -> np.ndarray:
@@ -118,7 +115,7 @@ def weighted_jaccard(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.n
     return float(low / max(w[0].sum() + w[1].sum() - low, 1e-300))
 
 
-def _verifier(idf: Broadcast):
+def _verifier(idf: Broadcast, similarity: float):
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         levels, last, own = idf.value, None, None
 
@@ -131,7 +128,8 @@ def _verifier(idf: Broadcast):
                 if (raw := two.as_py()) != last:  # rows of one leader mostly follow each other
                     last, own = raw, parsed(raw)
                 sims.append(weighted_jaccard(parsed(one.as_py()), own, levels))
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(sims, pa.float64())], names=["a", "b", "similarity"])
+            near = pa.array([x >= similarity for x in sims], pa.bool_())
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(sims, pa.float64())], names=["a", "b", "similarity"]).filter(near)
 
     return verify
 
@@ -166,8 +164,8 @@ def similarities(feats: list[bytes], left: np.ndarray, right: np.ndarray, idf: n
     return low / np.maximum(totals[left][:, None] + totals[right][None, :] - low, 1e-300)
 
 
-def _joining(members: list[tuple], idf: np.ndarray, similarity: float) -> Iterator[tuple[int, int, float]]:
-    """Links that join components of one block's members (id, component, salt, feats): a forest, never all pairs."""
+def _joining(members: list[tuple], idf: np.ndarray, similarity: float) -> Iterator[tuple]:
+    """(a, b, similarity, ca, cb) of links that join components of a block's members (id, component, salt, feats): a forest, never all pairs."""
     members = sorted(members, key=lambda m: m[0])
     feats = [m[3] for m in members]
     salts = np.array([m[2] for m in members])
@@ -193,14 +191,15 @@ def _joining(members: list[tuple], idf: np.ndarray, similarity: float) -> Iterat
             sim = weighted_jaccard(*[_distinct(np.frombuffer(feats[k], np.uint32).astype(np.uint64)) for k in (a, b)], idf)
         if sim >= similarity:
             root[max(one, two)] = min(one, two)
-            yield members[a][0], members[b][0], sim
+            yield members[a][0], members[b][0], sim, members[a][1], members[b][1]
 
 
 def _block_matcher(idf: Broadcast, similarity: float):
     def match(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def done(members: list[tuple]) -> pa.RecordBatch:
-            a, b, sims = zip(*found, strict=True) if (found := list(_joining(members, idf.value, similarity))) else ((), (), ())
-            return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.array(sims, pa.float64())], names=["a", "b", "similarity"])
+            columns = zip(*found, strict=True) if (found := list(_joining(members, idf.value, similarity))) else [()] * 5
+            kinds = (pa.int64(), pa.int64(), pa.float64(), pa.int64(), pa.int64())
+            return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=["a", "b", "similarity", "ca", "cb"])
 
         block, members = None, []
         for batch in batches:
@@ -227,56 +226,58 @@ def _buckets(reps: DataFrame) -> DataFrame:
 
 def _feats(docs: DataFrame, wanted: DataFrame) -> DataFrame:
     """(id, feats) of the ids ``wanted``, read again from the texts that their bitmap marks."""
-    marked = docs.crossJoin(F.broadcast(membership_filter(F.col("id"), wanted))).where(may_contain(F.col("words"), F.col("id")))
-    feats = marked.select("id", "text").mapInArrow(_packed, "id long, feats binary").join(wanted, "id", "left_semi")
-    return materialize(feats, "feats")
+    marked = flag_members(docs, F.col("id"), wanted, F.col("id"), "flag").where("flag")
+    return materialize(marked.select("id", "text").mapInArrow(_packed, "id long, feats binary").join(wanted, "id", "left_semi"), "feats")
 
 
-def _block_links(docs: DataFrame, shared: DataFrame, links: DataFrame, idf: Broadcast, similarity: float) -> DataFrame:
-    """Links between the members of each bucket that ``links`` leaves in different components.
+def _block_links(shared: DataFrame, component: DataFrame, feats: DataFrame, idf: Broadcast, similarity: float) -> DataFrame:
+    """(a, b, similarity, ca, cb): links between the members of each bucket that are still in different components ca and cb.
 
     The leaders have met every member of their bucket.  All others meet, whether a leader matched
     them or not; a bucket of more than ``BLOCK_MEMBERS`` is dealt in salted blocks.
     """
-    component = connected_components(links.select("a", "b"))
     rest = shared.where("id <> l1 AND id <> l2").join(component, "id", "left").select("id", "bucket", F.coalesce("component", "id").alias("component"))
     rest = materialize(rest, "unsettled")
     open_ = rest.groupBy("bucket").agg(F.count("*").alias("n"), F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi")
     open_ = materialize(open_.select("bucket", F.ceil(F.col("n") / BLOCK_MEMBERS).cast("int").alias("salts")), "open")
-    rest = materialize(rest.join(open_, "bucket").withColumn("salt", F.pmod(F.xxhash64("id"), "salts").cast("int")), "members")
-    feats = _feats(docs, rest.select("id").distinct())
-    others = rest.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)))
-    dealt = others.join(feats, "id").select("bucket", F.least("salt", "other").alias("x"), F.greatest("salt", "other").alias("y"), "id", "component", "salt", "feats")
+    rest_open = rest.join(open_, "bucket").withColumn("salt", F.pmod(F.xxhash64("id"), "salts").cast("int"))
+    others = rest_open.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)))
+    others = materialize(others.select("bucket", F.least("salt", "other").alias("x"), F.greatest("salt", "other").alias("y"), "id", "component", "salt"), "members")
+    dealt = others.join(feats, "id").select("bucket", "x", "y", "id", "component", "salt", "feats")
     dealt = dealt.repartition("bucket", "x", "y").sortWithinPartitions("bucket", "x", "y")
-    found = materialize(dealt.mapInArrow(_block_matcher(idf, similarity), "a long, b long, similarity double"), "block-links")
-    discard(rest, open_, feats)
+    found = materialize(dealt.mapInArrow(_block_matcher(idf, similarity), "a long, b long, similarity double, ca long, cb long"), "block-links")
+    discard(rest, open_, others)
     return found
 
 
-def near_links(docs: DataFrame, signed: DataFrame, idf: Broadcast, similarity: float = SIMILARITY) -> DataFrame:
-    """Verified links (a, b, similarity) between ``signed`` representatives (id, sig).
+def near_components(docs: DataFrame, signed: DataFrame, idf: Broadcast, similarity: float = SIMILARITY) -> tuple[DataFrame, DataFrame]:
+    """Verified links (a, b, similarity) between ``signed`` representatives (id, sig), and their components (id, component).
 
-    They connect all pairs of at least ``similarity`` that share a bucket.
+    The links connect all pairs of at least ``similarity`` that share a bucket.
     """
-    members = materialize(_buckets(signed), "bands")
     order = F.xxhash64("id")
-    leaders = members.groupBy("bucket").agg(F.min("id").alias("l1"), F.min_by("id", order).alias("l2"), F.count("*").alias("n")).where("n > 1").drop("n")
+    leaders = _buckets(signed).groupBy("bucket").agg(F.min("id").alias("l1"), F.min_by("id", order).alias("l2"), F.count("*").alias("n")).where("n > 1").drop("n")
     leaders = materialize(leaders, "leaders")
-    shared = materialize(members.join(leaders, "bucket"), "shared")
-    pairs = shared.selectExpr("id AS a", "l1 AS b").where("a <> b").distinct().unionByName(shared.selectExpr("id AS a", "l2 AS b").where("a <> b AND l1 <> l2").distinct()).distinct()
-    pairs = materialize(pairs, "pairs")
-    feats = _feats(docs, pairs.select(F.col("a").alias("id")).unionByName(pairs.select(F.col("b").alias("id"))).distinct())
+    shared = materialize(_buckets(signed).join(leaders, "bucket"), "shared")
+    pairs = materialize(shared.select(F.col("id").alias("a"), F.explode(F.array_distinct(F.array("l1", "l2"))).alias("b")).where("a <> b").distinct(), "pairs")
+    wanted = materialize(pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct(), "wanted")
+    feats = _feats(docs, wanted)
     sims = (
         pairs.join(feats.select(F.col("id").alias("a"), F.col("feats").alias("fa")), "a")
         .join(feats.select(F.col("id").alias("b"), F.col("feats").alias("fb")), "b")
         .select("a", "b", "fa", "fb")
-        .mapInArrow(_verifier(idf), "a long, b long, similarity double")
+        .mapInArrow(_verifier(idf, similarity), "a long, b long, similarity double")
     )
-    links = materialize(sims, "similarities").where(F.col("similarity") >= similarity)
-    discard(members, leaders, feats)
-    found = links.unionByName(_block_links(docs, shared, links, idf, similarity))
-    discard(shared)
-    return found
+    links = materialize(sims, "similarities")
+    discard(leaders, pairs, wanted)
+    component = connected_components(links.select("a", "b"))
+    found = _block_links(shared, component, feats, idf, similarity)
+    discard(shared, feats)
+    if found.head(1):  # what the blocks add joins components
+        joined = materialize(connected_components(found.select(F.col("ca").alias("a"), F.col("cb").alias("b"))), "joined")
+        higher = joined.select(F.col("id").alias("component"), F.col("component").alias("root"))
+        component = component.join(higher, "component", "left").select("id", F.coalesce("root", "component").alias("component")).unionByName(joined).distinct()
+    return links.unionByName(found.select("a", "b", "similarity")), component
 
 
 def near_dup_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", similarity: float = SIMILARITY) -> DataFrame:
@@ -293,10 +294,10 @@ def near_dup_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     idf = spark.sparkContext.broadcast(idf_levels(docs))
     signed = materialize(docs.mapInArrow(_signer(idf), "id long, same string, shingles int, sig array<int>"), "signatures")
     heads = signed.where("same IS NOT NULL").groupBy("same").agg(F.min(F.struct("id", "sig")).alias("head"))
-    heads = materialize(heads.select("same", "head.id", "head.sig"), "heads").drop("same").groupBy("id").agg(F.first("sig").alias("sig"))
-    links = near_links(docs, heads, idf, similarity)
+    heads = materialize(heads.select("head.id", "head.sig").groupBy("id").agg(F.min("sig").alias("sig")), "heads")
+    _, component = near_components(docs, heads, idf, similarity)
+    idf.destroy()
     same = signed.where("same IS NOT NULL").groupBy("same").agg(F.min("id").alias("rep"))
-    component = connected_components(links)
     rep_class = same.join(component.withColumnRenamed("id", "rep"), "rep", "left").select("same", F.coalesce("component", "rep").alias("class_id"))
     rep_class = materialize(rep_class, "classes")
     ids = signed.select("id", "same").join(rep_class, "same", "left")
@@ -314,9 +315,9 @@ def keep_one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     """
     classes = near_dup_classes(docs, id_col, text_col, similarity)
     dropped = materialize(classes.where("NOT kept").select(F.col(id_col).cast("bigint").alias("dropped_")), "dropped")
-    marks = F.broadcast(membership_filter(F.col("dropped_"), dropped).withColumnRenamed("words", "words_"))
-    marked = docs.crossJoin(marks)
-    hit = F.coalesce(may_contain(F.col("words_"), F.col(id_col).cast("bigint")), F.lit(False)) & F.col(id_col).isNotNull()
-    maybe = marked.where(hit).join(dropped, F.col(id_col).cast("bigint") == F.col("dropped_"), "left_anti")
+    flag = free_name(docs.columns, "flag_")
+    key = F.col(quoted(id_col)).cast("bigint")
+    flagged = flag_members(docs, key, dropped, F.col("dropped_"), flag)
+    maybe = flagged.where(F.col(flag) & key.isNotNull()).join(dropped, key == F.col("dropped_"), "left_anti")
     columns = [quoted(c) for c in docs.columns]
-    return marked.where(~hit).select(*columns).unionByName(maybe.select(*columns))
+    return flagged.where(~F.col(flag) | key.isNull()).select(*columns).unionByName(maybe.select(*columns))

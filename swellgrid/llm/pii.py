@@ -5,6 +5,9 @@ numbers).  Over the whole corpus, the co-occurrence of terms with each entity in
 windows around it estimates how much a term reveals: PMI(entity; term) / IC(entity), which
 is 1 for a term that only ever comes with the entity.  Terms at ``DISCLOSURE`` or more, seen
 with the entity in ``SUPPORT`` different texts at least, are spans of their own wherever they stand.
+
+A window holds the whole words among the ``WINDOW_CHARS`` characters on each side of an entity, so the
+pairs that a text gives grow with its entities and not with their product with its words.
 """
 
 from __future__ import annotations
@@ -12,12 +15,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import materialize, may_contain, membership_filter
+from .common import flag_members, materialize, quoted
 
 #: Order of the kinds of spans that start together.
 KINDS = ("email", "ip", "card", "phone", "term")
 BASE_KINDS = KINDS[:4]
-WINDOW_CHARS = 60
+WINDOW_CHARS = 240
 DISCLOSURE = 0.9
 SUPPORT = 3
 _WORD = r"[\p{L}\p{N}]+"
@@ -80,11 +83,23 @@ def ordered(spans: Column) -> Column:
 
 
 def _rows(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    return docs.select(F.monotonically_increasing_id().alias("row"), F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+    """(id, text, h, k): ``h`` and ``k`` are what a text is known by, however the table is split in another scan."""
+    rows = docs.select(F.col(quoted(id_col)).alias("id"), F.coalesce(F.col(quoted(text_col)), F.lit("")).alias("text"))
+    return rows.withColumn("h", F.xxhash64("text")).withColumn("k", F.xxhash64(F.lit(1), "text"))
+
+
+def _window(text: Column, start: Column, end: Column) -> tuple[Column, Column]:
+    """The whole words before and after a span; a word that the window's edge cuts is left out."""
+    cut = F.greatest(start - WINDOW_CHARS, F.lit(0))
+    before = F.substring(text, cut + 1, start - cut)
+    after = F.substring(text, end + 1, F.lit(WINDOW_CHARS))
+    before = F.when(F.substring(text, cut, F.lit(1)).rlike(_WORD) & (cut > 0), F.regexp_replace(before, rf"^{_WORD}", "")).otherwise(before)
+    after = F.when(F.substring(text, end + WINDOW_CHARS + 1, F.lit(1)).rlike(_WORD), F.regexp_replace(after, rf"{_WORD}$", "")).otherwise(after)
+    return before, after
 
 
 def base_spans(rows: DataFrame) -> DataFrame:
-    """(row, id, h, spans, windows) of (row, id, text); ``windows`` holds the words around each span."""
+    """(id, h, k, spans, windows) of ``_rows``; ``windows`` holds the text around each span."""
     text = F.col("text")
     worth = {"email": F.contains(text, F.lit("@")), "ip": F.col("digits"), "card": F.col("digits"), "phone": F.contains(text, F.lit("+"))}
     found = [
@@ -97,25 +112,11 @@ def base_spans(rows: DataFrame) -> DataFrame:
     ]
     # A generator keeps the optimiser from copying the pattern searches into the lambdas below.
     rows = rows.withColumn("digits", text.rlike("[0-9]"))
-    rows = rows.select("row", "id", "text", F.xxhash64("text").alias("h"), F.inline(F.array(F.struct(*found))))
+    rows = rows.select("id", "text", "h", "k", F.inline(F.array(F.struct(*found))))
     spans = ordered(F.concat(*[_placed(k, F.col(f"m_{k}"), F.col(f"g_{k}")) for k in PATTERNS]))
-    rows = rows.select("row", "id", "text", "h", F.inline(F.array(F.struct(spans.alias("spans")))))
-    around = F.transform(
-        "spans",
-        lambda s: F.struct(
-            entity(s["kind"], s["value"]).alias("entity"),
-            F.regexp_extract_all(
-                F.lower(F.concat(
-                    F.substring(text, F.greatest(s["start"] - WINDOW_CHARS, F.lit(0)) + 1, s["start"] - F.greatest(s["start"] - WINDOW_CHARS, F.lit(0))),
-                    F.lit("\n"),
-                    F.substring(text, s["end"] + 1, F.lit(WINDOW_CHARS)),
-                )),
-                F.lit(_WORD),
-                F.lit(0),
-            ).alias("words"),
-        ),
-    )
-    return rows.select("row", "id", "h", "spans", F.when(F.size("spans") > 0, around).alias("windows"))
+    rows = rows.select("id", "text", "h", "k", F.inline(F.array(F.struct(spans.alias("spans")))))
+    around = F.transform("spans", lambda s: F.struct(entity(s["kind"], s["value"]).alias("entity"), *[w.alias(n) for w, n in zip(_window(text, s["start"], s["end"]), ("before", "after"), strict=True)]))
+    return rows.select("id", "h", "k", "spans", F.when(F.size("spans") > 0, around).alias("windows"))
 
 
 def entity(kind: Column, value: Column) -> Column:
@@ -123,19 +124,27 @@ def entity(kind: Column, value: Column) -> Column:
     return F.concat_ws(":", kind, F.when(kind.isin("card", "phone"), F.regexp_replace(value, "[^0-9]", "")).otherwise(F.lower(value)))
 
 
+def _words(text: Column) -> Column:
+    return F.regexp_extract_all(F.lower(text), F.lit(_WORD), F.lit(0))
+
+
 def disclosing_terms(rows: DataFrame, found: DataFrame, disclosure: float = DISCLOSURE, support: int = SUPPORT) -> tuple[DataFrame, DataFrame]:
-    """Terms that reveal an entity (term, entity, disclosure), and the texts (row, term) that hold a candidate term.
+    """Terms that reveal an entity (term, entity, disclosure), and the texts (h, k, term) that hold a candidate term.
 
-    Texts, not rows, are counted, so that copies add nothing.  The texts that hold a term near
-    any entity are a lower bound of all that hold it, and so bound its disclosure from
-    above: that alone rules out the common words, before the corpus is searched for the rest.
+    Texts, not rows, are counted, so that copies add nothing.  Entities in fewer than ``support`` texts
+    can reveal nothing and go first.  The texts that hold a term near any entity are a lower bound
+    of all that hold it, and so bound its disclosure from above: that alone rules out the common
+    words, before the corpus is searched for the rest.
     """
-    near = found.where("windows IS NOT NULL").select("h", F.inline("windows")).select("h", "entity", F.explode(F.array_distinct("words")).alias("term"))
+    windows = found.where("windows IS NOT NULL").select("h", F.inline("windows"))
+    entities = windows.select("entity", "h").distinct().groupBy("entity").agg(F.count("*").alias("df_entity")).where(F.col("df_entity") >= support)
+    entities = materialize(entities, "entities")
+    near = windows.join(entities.select("entity"), "entity", "left_semi")
+    near = near.select("h", "entity", F.explode(F.array_distinct(F.concat(_words(F.col("before")), _words(F.col("after"))))).alias("term"))
     near = materialize(near.distinct(), "near")
-    entities = near.groupBy("entity").agg(F.count_distinct("h").alias("df_entity"))
-    together = near.groupBy("entity", "term").agg(F.count_distinct("h").alias("df_both")).where(F.col("df_both") >= support)
-    seen = near.groupBy("term").agg(F.count_distinct("h").alias("df_near"))
-    texts = found.agg(F.count_distinct("h").alias("texts"))
+    together = near.groupBy("entity", "term").agg(F.count("*").alias("df_both")).where(F.col("df_both") >= support)
+    seen = near.select("term", "h").distinct().groupBy("term").agg(F.count("*").alias("df_near"))
+    texts = found.select("h").distinct().agg(F.count("*").alias("texts"))
     n = F.col("texts").cast("double")
 
     def disclosed(df_term: str) -> Column:
@@ -144,35 +153,40 @@ def disclosing_terms(rows: DataFrame, found: DataFrame, disclosure: float = DISC
 
     pairs = together.join(entities, "entity").join(seen, "term").crossJoin(F.broadcast(texts))
     pairs = materialize(pairs.where(disclosed("df_near") >= disclosure), "candidates")
-    words = rows.select("row", F.xxhash64("text").alias("h"), F.explode(F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit(_WORD), F.lit(0)))).alias("term"))
-    holding = materialize(words.join(pairs.select("term").distinct(), "term", "left_semi"), "holding")
-    frequency = holding.select("term", "h").distinct().groupBy("term").agg(F.count("*").alias("df_term"))
+    words = rows.select("h", "k", F.explode(F.array_distinct(_words(F.col("text")))).alias("term"))
+    holding = materialize(words.join(pairs.select("term").distinct(), "term", "left_semi").distinct(), "holding")
+    frequency = holding.groupBy("term").agg(F.count("*").alias("df_term"))
     scored = pairs.join(frequency, "term").withColumn("disclosure", disclosed("df_term")).where(F.col("disclosure") >= disclosure)
     return materialize(scored.select("term", "entity", "disclosure"), "terms"), holding
 
 
+def term_spans(rows: DataFrame, terms: DataFrame, holding: DataFrame) -> DataFrame:
+    """(h, k, more): the spans of ``terms`` in each of the texts ``holding`` one."""
+    held = holding.join(terms.select("term").distinct(), "term", "left_semi")
+    flagged = materialize(held.groupBy("h", "k").agg(F.collect_set("term").alias("terms")), "flagged")
+    marked = flag_members(rows.select("h", "k", "text"), F.struct("h", "k"), flagged, F.struct("h", "k"), "flag").where("flag")
+    # Of equal texts one is enough.
+    texts = marked.groupBy("h", "k").agg(F.first("text").alias("text")).join(flagged, ["h", "k"])
+    texts = texts.select("h", "k", "terms", F.split("text", _WORD, -1).alias("gaps"), F.regexp_extract_all("text", F.lit(_WORD), F.lit(0)).alias("words"))
+    words = texts.select("h", "k", "terms", F.posexplode(F.arrays_zip(F.col("gaps").alias("gap"), F.col("words").alias("word"))))
+    words = words.select("h", "k", "terms", "pos", F.col("col.gap").alias("gap"), F.coalesce("col.word", F.lit("")).alias("word"))
+    end = F.sum(F.length("gap") + F.length("word")).over(Window.partitionBy("h", "k").orderBy("pos").rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    hits = words.withColumn("end", end.cast("int")).where(F.array_contains("terms", F.lower("word")))
+    span = F.struct(F.lit("term").alias("kind"), (F.col("end") - F.length("word")).alias("start"), "end", F.col("word").alias("value"))
+    return materialize(hits.groupBy("h", "k").agg(F.collect_list(span).alias("more")), "term-spans")
+
+
 def find_pii(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", disclosure: float = DISCLOSURE, support: int = SUPPORT) -> DataFrame:
     """``id_col`` and ``spans`` (kind, start, end in code points with the end exclusive, value) of every row.
 
     Spans are ordered by start and kind.  Null and empty texts have none; rows that repeat
     an id, or have a null one, each give a row; an empty table gives no rows; other columns
-    are left out.  ``docs`` is scanned several times and has to give its rows in the same
-    partitions each time, as a table does.
+    are left out.
     """
     rows = _rows(docs, id_col, text_col)
     found = materialize(base_spans(rows), "pii")
     terms, holding = disclosing_terms(rows, found, disclosure, support)
-    flagged = holding.join(terms.select("term").distinct(), "term", "left_semi").groupBy("row").agg(F.collect_set("term").alias("terms"))
-    flagged = materialize(flagged, "flagged")
-    marks = F.broadcast(membership_filter(F.col("row"), flagged))
-    texts = rows.crossJoin(marks).where(may_contain(F.col("words"), F.col("row"))).select("row", "text").join(flagged, "row")
-    words = texts.select("row", "terms", F.posexplode(F.arrays_zip(F.split("text", _WORD, -1).alias("gap"), F.regexp_extract_all("text", F.lit(_WORD), F.lit(0)).alias("word"))))
-    words = words.select("row", "terms", "pos", F.col("col.gap").alias("gap"), F.coalesce("col.word", F.lit("")).alias("word"))
-    end = F.sum(F.length("gap") + F.length("word")).over(Window.partitionBy("row").orderBy("pos").rowsBetween(Window.unboundedPreceding, Window.currentRow))
-    hits = words.withColumn("end", end.cast("int")).where(F.array_contains("terms", F.lower("word")))
-    span = F.struct(F.lit("term").alias("kind"), (F.col("end") - F.length("word")).alias("start"), "end", F.col("word").alias("value"))
-    more = hits.groupBy("row").agg(F.collect_list(span).alias("more"))
-    out = found.join(materialize(more, "term-spans"), "row", "left")
+    out = found.join(term_spans(rows, terms, holding), ["h", "k"], "left")
     spans = F.when(F.col("more").isNull(), F.col("spans")).otherwise(ordered(F.concat("spans", F.coalesce("more", F.array().cast(f"array<{_STRUCT}>")))))
     return out.select(F.col("id").alias(id_col), spans.alias("spans"))
 

@@ -3,7 +3,8 @@
 Besides fixed patterns, each text is read as source or configuration: assignments give
 name-literal pairs, constants are propagated to the names they flow into, and a literal is
 reported when the most sensitive of its target names and its own shape score high enough.
-Work per text is linear: the lexer only looks around assignment operators.
+Work per text is linear but for a sort of its names: no character is lexed as a value twice, and each name
+takes the best target that it reaches from one walk over all constants.
 """
 
 from __future__ import annotations
@@ -28,7 +29,10 @@ _HEX = re.compile(r"[0-9a-f]{24,}")
 
 _OPERATOR = re.compile(r"(?<![=!<>:])(?::=|=>|=(?!=)|:(?!:))")
 _NAME_CHARS = frozenset("abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789_.-")
-_VALUE = re.compile(r"""[ \t]*(?:"((?:[^"\\\n]|\\.)*)"|'((?:[^'\\\n]|\\.)*)'|`([^`\n]*)`|([A-Za-z0-9_./=$~@%^&*!?-]+(?:\+[A-Za-z0-9_./=$~@%^&*!?-]+)*))""")
+#: A quoted literal, or a bare one: it ends before ``=`` and ``&``, but for the padding at its end.
+_VALUE = re.compile(
+    r"""[ \t]*+(?:"((?:[^"\\\n]|\\.)*+)"|'((?:[^'\\\n]|\\.)*+)'|`([^`\n]*+)`|([A-Za-z0-9_./$~@%^*!?-]++(?:\+[A-Za-z0-9_./$~@%^*!?-]++)*+(?:={1,2}(?![A-Za-z0-9_./$~@%^*!?=&"'`-]))?))"""
+)
 _PLUS = re.compile(r"[ \t]*\+")
 _PARTS = re.compile(r"[A-Z]+(?![a-z])|[A-Z]?[a-z]+|[0-9]+")
 _IDENTIFIER = re.compile(r"[A-Za-z_][A-Za-z0-9_.]*\Z")
@@ -88,7 +92,7 @@ def assignments(text: str) -> Iterator[_Pair]:
     """Name and literal of each assignment, one pair for each operand of a sum."""
     done = 0
     for op in _OPERATOR.finditer(text):
-        if op.start() < done:  # inside the last literal
+        if op.start() < done:  # inside the last literal, or its padding
             continue
         name = _target(text, op.start())
         if not name or name[0].isdigit():
@@ -99,9 +103,7 @@ def assignments(text: str) -> Iterator[_Pair]:
             if not group:
                 break
             yield _Pair(name, value.start(group), value.end(group), group < 4)
-            at = value.end()
-            if group < 4:
-                done = at
+            at = done = value.end()
             plus = _PLUS.match(text, at)
             if not plus:
                 break
@@ -128,26 +130,38 @@ def literal_score(literal: str, quoted: bool) -> float:
     return score if quoted or any(c.isdigit() for c in literal) else score * 0.5
 
 
+def best_targets(names: set[str], flows: dict[str, set[str]]) -> dict[str, tuple[float, str]]:
+    """The most sensitive (score, name) that each name reaches along ``flows``, itself included.
+
+    Names take it from the best down, each to all that reach it and have none yet, so every flow is followed once.
+    """
+    back: dict[str, list[str]] = {}
+    for source, targets in flows.items():
+        for target in targets:
+            back.setdefault(target, []).append(source)
+    reach: dict[str, tuple[float, str]] = {}
+    for best in sorted(((name_score(n), n) for n in names), reverse=True):
+        stack = [best[1]]
+        while stack:
+            name = stack.pop()
+            if name not in reach:
+                reach[name] = best
+                stack += back.get(name, ())
+    return reach
+
+
 def method_spans(text: str) -> Iterator[Span]:
     """Literals whose sensitive target names, own or reached through constants, score ``SCORE`` or more."""
     if "=" not in text and ":" not in text:
         return
     pairs = list(assignments(text))
-    flows: dict[str, set[str]] = {}
+    flows: dict[str, set[str]] = {}  # from a constant to the names it flows into
     defined = {p.name for p in pairs}
     for p in pairs:  # target = CONSTANT: what the constant holds flows into the target
         source = text[p.start : p.end]
         if not p.quoted and source in defined and source != p.name and _IDENTIFIER.match(source):
             flows.setdefault(source, set()).add(p.name)
-    reach: dict[str, tuple[float, str]] = {}
-    for name in defined:
-        seen, stack = {name}, [name]
-        while stack:
-            for nxt in flows.get(stack.pop(), ()):
-                if nxt not in seen:
-                    seen.add(nxt)
-                    stack.append(nxt)
-        reach[name] = max((name_score(n), n) for n in seen) if len(seen) > 1 else (name_score(name), name)
+    reach = best_targets(defined, flows)
     found: dict[tuple[int, int], Span] = {}
     for p in pairs:
         strength, target = reach[p.name]

@@ -7,7 +7,7 @@ from collections.abc import Iterable, Iterator
 import numpy as np
 
 #: Bytes of text that are hashed at a time; a longer text is a block of its own.
-BLOCK_BYTES = 1_000_000
+BLOCK_BYTES = 250_000
 
 _rng = np.random.default_rng(20240607)
 _BYTE = _rng.integers(1, 2**63, 256, dtype=np.uint64) | np.uint64(1)

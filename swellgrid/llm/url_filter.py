@@ -3,7 +3,8 @@
 URLs that the rules allow and block train two smoothed variable-order Markov models of
 characters (Witten-Bell interpolation of orders 0 to ``ORDER``).  The difference of the
 length-normalised log-likelihoods, cut at a threshold calibrated on labelled URLs that
-the models haven't seen, judges the rest.  Everything is joins and sums over n-grams.
+the models haven't seen, judges the rest.  Everything is joins and sums over n-grams, whose
+rows carry the number of a URL, not the URL.
 """
 
 from __future__ import annotations
@@ -14,6 +15,8 @@ from pyspark.sql import functions as F
 from .common import free_name, materialize
 
 ORDER = 4
+#: Up to so many distinct n-grams (some 10 MB) the model is broadcast; beyond it is joined by a shuffle.
+BROADCAST_GRAMS = 150_000
 ALPHABET = 128
 _PAD = "\x02" * ORDER
 _BINS = 2000
@@ -43,11 +46,11 @@ def matching_rule(host: Column, path: Column, rules=RULES) -> tuple[Column, Colu
 
 
 def _grams(urls: DataFrame) -> DataFrame:
-    """(u, g): each character of a URL with the ``ORDER`` before it; ``u`` is the lower-case URL."""
+    """(columns but u, g): each character of a URL with the ``ORDER`` before it; ``u`` is the lower-case URL."""
     padded = F.concat(F.lit(_PAD), F.col("u"))
     places = F.sequence(F.lit(1), F.length("u"))
     grams = F.when(F.length("u") > 0, F.transform(places, lambda i: F.substring(padded, i, ORDER + 1)))
-    return urls.withColumn("g", F.explode(grams))
+    return urls.withColumn("g", grams).drop("u").withColumn("g", F.explode("g"))
 
 
 def gram_ratios(grams: DataFrame) -> DataFrame:
@@ -107,7 +110,8 @@ def judge_urls(pages: DataFrame, url_col: str = "url", rules=RULES) -> DataFrame
 
     # A URL can be spelt in ways that rules tell apart only by the case of its path; it trains by its first.
     urls = base.groupBy(F.col(u).alias("u")).agg(F.min("verdict_").alias("verdict"))
-    urls = materialize(urls.withColumn("train", F.pmod(F.xxhash64("u"), F.lit(2)) == 0), "urls")
+    urls = urls.withColumn("train", F.pmod(F.xxhash64("u"), F.lit(2)) == 0).withColumn("n", F.monotonically_increasing_id())
+    urls = materialize(urls, "urls")  # written once, and so are their numbers
     grams = _grams(urls)
     learn = F.col("train")
     counts = grams.groupBy("g").agg(
@@ -116,9 +120,11 @@ def judge_urls(pages: DataFrame, url_col: str = "url", rules=RULES) -> DataFrame
     )
     counts = counts.select("g", F.coalesce("na", F.lit(0)).alias("na"), F.coalesce("nr", F.lit(0)).alias("nr"))
     ratios = materialize(gram_ratios(materialize(counts, "grams")), "ratios")
-    scores = grams.select("u", "g").join(ratios, "g").groupBy("u").agg(F.avg("ratio").alias("score"))
-    scores = materialize(scores, "scores")
-    cut = calibrated_threshold(urls.where("NOT train AND verdict IS NOT NULL").join(scores, "u"))
-    out = base.join(scores.withColumnRenamed("u", u), u, "left").withColumn("score", F.coalesce("score", F.lit(0.0)))
+    if ratios.count() <= BROADCAST_GRAMS:
+        ratios = F.broadcast(ratios)
+    scores = grams.select("n", "g").join(ratios, "g").groupBy("n").agg(F.avg("ratio").alias("score"))
+    scores = materialize(urls.join(scores, "n", "left").select("u", "train", "verdict", F.coalesce("score", F.lit(0.0)).alias("score")), "scores")
+    cut = calibrated_threshold(scores.where("NOT train AND verdict IS NOT NULL AND u <> ''"))
+    out = base.join(scores.select(F.col("u").alias(u), "score"), u, "left").withColumn("score", F.coalesce("score", F.lit(0.0)))
     own = F.when(F.col("score") >= F.lit(cut), F.lit("allow")).otherwise(F.lit("block"))
     return out.withColumn("verdict", F.coalesce("verdict_", own)).drop(u, "verdict_")

@@ -1,8 +1,10 @@
 """Secrets, personal data, licences, URLs and vectors against brute force."""
 
 import math
+import random
 import re
 import textwrap
+import time
 from collections import Counter, defaultdict
 
 import numpy as np
@@ -66,6 +68,107 @@ def test_assignment_aware_literals(text, found):
     assert literals(text) == found
 
 
+def slow_literals(text):
+    """The literals of ``name operator value`` found by walking the text, with constants followed name by name."""
+    bare = set("abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789_./$~@%^*!?-")
+    pairs, i, done = [], 0, 0
+    while i < len(text):
+        two, one = text[i : i + 2], text[i]
+        before = text[i - 1] if i else ""
+        op = 0
+        if before not in set("=!<>:") or not before:
+            op = 2 if two in (":=", "=>") else 1 if (one == "=" and two != "==") or (one == ":" and two != "::") else 0
+        if not op:
+            i += 1
+            continue
+        start, i = i, i + op
+        if start < done:
+            continue
+        j = start
+        while j and text[j - 1] in " \t":
+            j -= 1
+        while j and text[j - 1] in "\"'])":
+            j -= 1
+        e = j
+        while j and text[j - 1] in secrets._NAME_CHARS:
+            j -= 1
+        name = text[j:e].strip(".-")
+        if not name or name[0].isdigit():
+            continue
+        at = start + op
+        while True:
+            k = at
+            while k < len(text) and text[k] in " \t":
+                k += 1
+            if k < len(text) and text[k] in "\"'`":
+                q, m = text[k], k + 1
+                while m < len(text) and text[m] not in (q, "\n"):
+                    m += 2 if text[m] == "\\" and q != "`" and text[m + 1 : m + 2] not in ("", "\n") else 1
+                if m >= len(text) or text[m] != q:
+                    break
+                pairs.append((name, k + 1, m, True))
+                at = m + 1
+            else:
+                m = k
+                while m < len(text) and (text[m] in bare or (text[m] == "+" and m > k and text[m + 1 : m + 2] in bare and text[m + 1 : m + 2])):
+                    m += 1
+                if m == k:
+                    break
+                pad = re.match(r"={1,2}(?![A-Za-z0-9_./$~@%^*!?=&\"'`-])", text[m:])
+                m += len(pad[0]) if pad else 0
+                pairs.append((name, k, m, False))
+                at = m
+            done = at
+            plus = re.match(r"[ \t]*\+", text[at:])
+            if not plus:
+                break
+            at += len(plus[0])
+    defined = {p[0] for p in pairs}
+    flows = defaultdict(set)
+    for name, a, b, quoted in pairs:
+        if not quoted and text[a:b] in defined and text[a:b] != name and re.fullmatch(r"[A-Za-z_][A-Za-z0-9_.]*", text[a:b]):
+            flows[text[a:b]].add(name)
+    out = []
+    for name, a, b, quoted in pairs:
+        seen, stack = {name}, [name]
+        while stack:
+            for x in flows.get(stack.pop(), ()):
+                if x not in seen:
+                    seen.add(x)
+                    stack.append(x)
+        strength, target = max((secrets.name_score(x), x) for x in seen)
+        if strength and (quoted or text[a:b] not in flows) and strength * secrets.literal_score(text[a:b], quoted) >= secrets.SCORE:
+            out.append((a, b, target))
+    return sorted(set(out))
+
+
+def test_literals_equal_a_slow_lexer_on_random_texts():
+    rng = random.Random(3)
+    parts = ["password", "A", "B", "api_key", "token", "x1", " = ", "=", ":", ":=", "=>", "==", "+", " + ", '"', "'", "`", "\\", "\n", " ", "&", "?", "aB3$xY9z", "Zq8-kk12", "qwe123RTY=", ".", "-", ")", "]"]
+    hits = 0
+    for _ in range(4000):
+        text = "".join(rng.choice(parts) for _ in range(rng.randrange(30)))
+        got = sorted((s.start, s.end, s.name) for s in secrets.find_secrets(text) if s.kind == "literal")
+        assert got == slow_literals(text), text
+        hits += len(got)
+    assert hits > 150
+
+
+@pytest.mark.parametrize(
+    "make",
+    [lambda n: "a1=b2&" * n, lambda n: "".join(f"k{i} = k{i + 1}\n" for i in range(n)) + f"k{n} = 'abcDEF123'\npassword = k0", lambda n: '="a ' * n, lambda n: "a='b \"c=" * n],
+)
+def test_work_per_text_is_linear(make):
+    def took(n):
+        text, began = make(n), time.perf_counter()
+        secrets.find_secrets(text)
+        return time.perf_counter() - began
+
+    took(100)
+    assert took(50_000) < 3
+    assert min(took(40_000) for _ in range(2)) < 6 * max(min(took(10_000) for _ in range(3)), 0.01)
+
+
 # Personal data
 
 PATTERNS = {"email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", "ip": r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", "card": r"[0-9]([\x20-]?[0-9])+", "phone": r"\+[0-9][\x20().0-9-]+[0-9]"}
@@ -124,6 +227,66 @@ def test_disclosing_terms_are_found_everywhere(spark):
     assert clean == "alone:  again, zorblaxian"
 
 
+def brute_terms(texts, disclosure, support, reach=None):
+    """Disclosing (term, entity) pairs by counting over all distinct texts."""
+    reach = reach or pii.WINDOW_CHARS
+    word = re.compile(r"[^\W_]+")
+    near, df = defaultdict(set), defaultdict(set)
+    for t in set(texts):
+        for m in word.finditer(t):
+            df[m[0].lower()].add(t)
+        for span in pii_base(t):
+            kind, a, b = span.split(":")
+            a, b = int(a), int(b)
+            value = re.sub("[^0-9]", "", t[a:b]) if kind in ("card", "phone") else t[a:b].lower()
+            near[kind, value, None].add(t)
+            for m in word.finditer(t):
+                if (max(0, a - reach) <= m.start() and m.end() <= a) or (b <= m.start() and m.end() <= b + reach):
+                    near[kind, value, m[0].lower()].add(t)
+    n, out = len(set(texts)), set()
+    for (kind, value, term), both in near.items():
+        if term is not None and len(both) >= support and n > len(near[kind, value, None]):
+            d_e = len(near[kind, value, None])
+            if math.log(len(both) * n / (d_e * len(df[term]))) / math.log(n / d_e) >= disclosure:
+                out.add((term, f"{kind}:{value}"))
+    return out
+
+
+@pytest.mark.parametrize("window", [240, 25])
+def test_disclosing_terms_equal_brute_force(spark, monkeypatch, window):
+    monkeypatch.setattr(pii, "WINDOW_CHARS", window)
+    rng = random.Random(4)
+    pool = [f"word{i}" for i in range(60)]
+    people = [(f"name{i}", f"p{i}@mail.com" if i % 3 else f"+1 555 010 {1000 + i}") for i in range(12)]
+    texts = []
+    for i in range(240):
+        w = [rng.choice(pool) for _ in range(rng.randrange(5, 80))]
+        for name, mail in rng.sample(people, rng.randrange(3)):
+            if rng.random() < 0.9:
+                w.insert(rng.randrange(len(w)), name)
+            at = rng.randrange(len(w))
+            w[at:at] = [name, mail] if rng.random() < 0.8 else [mail]
+        texts.append(" ".join(w))
+    texts += texts[:40]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    rows = pii._rows(docs, "doc_id", "text")
+    terms, _ = pii.disclosing_terms(rows, pii.base_spans(rows), 0.7, 3)
+    got = {(r["term"], r["entity"]) for r in terms.collect()}
+    assert got == brute_terms(texts, 0.7, 3, window)
+    assert len(got) > 3
+    flagged = {t for t, _ in got}
+    for r in pii.find_pii(docs, disclosure=0.7).collect():
+        words_found = sorted((m.start(), m.end()) for m in re.finditer(r"[^\W_]+", texts[r["doc_id"]]) if m[0].lower() in flagged)
+        assert sorted((s["start"], s["end"]) for s in r["spans"] if s["kind"] == "term") == words_found
+
+
+def test_a_word_that_the_window_cuts_is_no_term(spark, monkeypatch):
+    monkeypatch.setattr(pii, "WINDOW_CHARS", 8)
+    rows = [(i, f"n{i} superzorb a{i} zed@mail.com b{i} supernova") for i in range(5)] + [(10, "one orb alone"), (11, "super"), *[(20 + i, f"other {i}") for i in range(30)]]
+    got = {r["doc_id"]: [s["value"] for s in r["spans"] if s["kind"] == "term"] for r in pii.find_pii(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert not got[10] and not got[11]
+
+
 # Licences
 
 
@@ -276,13 +439,64 @@ def test_vectors_against_brute_force(spark):
     assert embedding_dedup.near_vectors(df.where("1 = 0")).count() == 0
 
 
-def test_lossless_filter():
+def brute_links(x, threshold=0.9):
+    unit = x / np.linalg.norm(x, axis=1, keepdims=True)
+    link = unit @ unit.T >= threshold
+    np.fill_diagonal(link, False)
+    return link
+
+
+def test_vectors_of_several_dimensions(spark):
+    rng = np.random.default_rng(10)
+    rows, true = [], {}
+    for d, n in ((3, 40), (2, 60), (5, 61), (64, 30), (1, 4)):
+        x = rng.normal(size=(n, d))
+        link = brute_links(x)
+        for i in range(n):
+            true[1000 * d + i] = int(link[i].sum())
+            rows.append((1000 * d + i, [float(v) for v in x[i]]))
+    got = {r["vec_id"]: r["n_links"] for r in embedding_dedup.near_vectors(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).collect()}
+    assert all(got[i] <= true[i] for i in true)
+    assert sum(got.values()) >= 0.99 * sum(true.values())
+
+
+@pytest.mark.parametrize("kind", ["float", "double"])
+def test_recall_over_many_cells(spark, monkeypatch, kind):
+    """Cells and lists as many as for far more vectors; links at 0.9 and just above are found, and blocks change nothing."""
+    for name, value in (("CELL_VECTORS", 150), ("BLOCK", 64), ("QUERY_BLOCK", 200), ("LIST_VECTORS", 8)):
+        monkeypatch.setattr(embedding_dedup, name, value)
+    rng = np.random.default_rng(11)
+    x = rng.normal(size=(900, 48))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    step = rng.normal(size=(900, 48))
+    step -= (step * x).sum(1, keepdims=True) * x
+    step /= np.linalg.norm(step, axis=1, keepdims=True)
+    cos = rng.uniform(0.9, 0.96, size=(900, 1))
+    x = np.concatenate([x, cos * x + np.sqrt(1 - cos**2) * step]).astype(np.float32 if kind == "float" else np.float64)
+    df = spark.createDataFrame([(i, [float(v) for v in row]) for i, row in enumerate(x)], f"vec_id long, embedding array<{kind}>")
+    got = np.array([r["n_links"] for r in embedding_dedup.near_vectors(df).orderBy("vec_id").collect()])
+    true = brute_links(x.astype(np.float64)).sum(1)
+    assert (got <= true).all() and got.sum() >= 0.97 * true.sum() and true.sum() >= 1700
+
+
+def test_share_of_cells_visited_falls_with_their_number():
+    rng = np.random.default_rng(12)
+    x = rng.normal(size=(3000, 32))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    shares = []
+    for k in (16, 64, 256):
+        cells = embedding_dedup.Cells(embedding_dedup._kmeans(x, k, rng), 0.9)
+        shares.append(cells.probes(x[:500], cells.home(x[:500])).mean())
+    assert shares[0] > 1.3 * shares[1] > 1.69 * shares[2]
+
+
+def test_tables_lose_no_near_pair():
     rng = np.random.default_rng(9)
     x = rng.normal(size=(400, 16))
     x[200:] = x[:200] + 0.2 * rng.normal(size=(200, 16))
     x /= np.linalg.norm(x, axis=1, keepdims=True)
-    index = embedding_dedup.Index(x, 1, 0.9)
-    codes, errors = index.encode(x, index.home(x))
-    i, j = index.candidates(x, 0, codes, errors)
-    kept = set(zip(i.tolist(), j.tolist(), strict=True))
-    assert all((a, b) in kept for a, b in zip(*np.nonzero(x @ x.T >= 0.9), strict=True))
+    lists = embedding_dedup.Lists(x[:60], 0.9)
+    lists.cells.slack = 9.0  # every list is visited
+    kept = {(int(a), int(b)) for i, j in lists.candidates(x) for a, b in zip(i, j, strict=True)}
+    assert all((a, b) in kept for a, b in zip(*np.nonzero(x @ x[:60].T >= 0.9), strict=True))
+    assert len(kept) < 0.5 * 400 * 60

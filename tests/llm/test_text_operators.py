@@ -1,6 +1,7 @@
 """Exact copies, near copies, packing, mixing and quality against brute force."""
 
 import hashlib
+import math
 import random
 import re
 import zlib
@@ -11,9 +12,10 @@ import pytest
 from pyspark.sql import functions as F
 
 from swellgrid.llm import near_dup
+from swellgrid.llm import common, quality
 from swellgrid.llm.common import kth_largest
 from swellgrid.llm.components import connected_components
-from swellgrid.llm.exact_dedup import exact_dedup
+from swellgrid.llm.exact_dedup import drop_copies, exact_dedup
 from swellgrid.llm.mixing import mix_sources, split_budget, with_words
 from swellgrid.llm.packing import END_ID, assemble, pack_documents, shortest_pack_first, slot_table
 from swellgrid.llm.quality import calibrated_cut, quality_selection
@@ -76,6 +78,43 @@ def test_exact_dedup_keeps_one_of_a_group_when_splits_change(spark, tmp_path):
     assert {r["group_size"] for r in got} == {8}
 
 
+EXACT_ROWS = [
+    (5, "a b", 1, None), (2, "a \t\n b", 1, "x"), (2, "a b", 1, None), (2, "a b", 1, None), (9, None, 1, None), (None, "", 1, None), (None, "", 1, None), (3, "alone", 1, None),
+    (4, "x" * 70 + "1", 1, None), (6, "x" * 70 + "2", 1, None), (7, "long " * 30000, 1, None), (8, "long " * 30000, 2, None), (None, "only null", 1, None), (None, "only null", 1, None),
+]
+
+
+@pytest.mark.parametrize("most", [1 << 27, 0])
+def test_drop_copies_keeps_what_exact_dedup_keeps(spark, monkeypatch, most):
+    """With ties, equal rows, null ids and clashing names; and without any filter."""
+    monkeypatch.setattr(common, "MAX_FILTER_BITS", most)
+    df = spark.createDataFrame(EXACT_ROWS, "doc_id long, text string, flag int, `one.two` string").withColumn("words", F.lit("w"))
+    kept = drop_copies(df)
+    assert kept.columns == df.columns
+    key = lambda rows: sorted(map(str, rows))
+    assert key(kept.collect()) == key(exact_dedup(df).where("kept").drop("keep_id", "group_size", "kept").collect())
+    assert key(r["doc_id"] for r in kept.collect()) == key([2, 9, 3, 4, 6, 7, None])
+    assert drop_copies(df.where("1 = 0")).count() == 0
+
+
+def test_filters_without_room_change_nothing(spark, monkeypatch):
+    """A filter too small for its keys and no filter at all give the same rows as one of full size."""
+    docs = spark.read.parquet(f"{DATA}/documents.parquet")
+
+    def results():
+        packed = pack_documents(docs, tokenizer_path()).select("doc_id", "start", "length", "ids_crc32", "sequence_id", "offset")
+        return [
+            sorted(map(tuple, x.collect()))
+            for x in (exact_dedup(docs.select("doc_id", "text"), digest="d"), near_dup.keep_one_of_each(docs).select("doc_id"), packed)
+        ]
+
+    full = results()
+    monkeypatch.setattr(common, "_bits", lambda n: 64)
+    assert results() == full
+    monkeypatch.setattr(common, "MAX_FILTER_BITS", 0)
+    assert results() == full
+
+
 # Near copies
 
 
@@ -143,7 +182,7 @@ def test_large_group_of_near_copies_is_one_class(spark):
 
 @pytest.mark.parametrize("block", [256, 40])
 def test_pairs_within_a_large_family_of_lower_similarity(spark, monkeypatch, block):
-    """Texts of one template are 0.7 to 0.75 alike, planted pairs above 0.8: every pair is found, and no others."""
+    """Texts of one template are 0.7 to 0.75 alike, planted pairs of up to 0.95: every pair at 0.8 or more, by weights, is found, and no others."""
     monkeypatch.setattr(near_dup, "BLOCK_MEMBERS", block, raising=False)
     rng = random.Random(8)
     template, texts = words(9, 300), {}
@@ -159,13 +198,15 @@ def test_pairs_within_a_large_family_of_lower_similarity(spark, monkeypatch, blo
         texts[1000 + i] = w
     rows = [(i, " ".join(w)) for i, w in texts.items()]
     sets = {i: {tuple(w[k : k + 5]) for k in range(len(w) - 4)} for i, w in texts.items()}
-    got = {r["doc_id"]: r["class_id"] for r in near_dup.near_dup_classes(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r["doc_id"]: r["class_id"] for r in near_dup.near_dup_classes(df).collect()}
+    _, links = all_pairs_classes(texts, near_dup.idf_levels(df))
     alike = lambda a, b: len(sets[a] & sets[b]) / len(sets[a] | sets[b])
     background = [alike(i, i + 1) for i in range(100, 239)]
     assert max(background) < 0.79 and sum(background) / len(background) > 0.6
-    planted = [i for i in range(60) if alike(i, 1000 + i) >= 0.84]
-    assert len(planted) > 40
-    assert [i for i in planted if got[1000 + i] != got[i]] == []
+    assert len(links) > 40
+    assert [(a, b) for a, b in links if got[a] != got[b]] == []
+    assert sum(len(v) - 1 for v in by_class(got).values()) == len(links)  # each pair a class of its own
     assert all(got[i] == i for i in range(60, 240))
 
 
@@ -183,10 +224,85 @@ def test_matched_and_single_unmatched_members_of_a_bucket_meet(spark):
     docs = spark.createDataFrame([(i, " ".join(w)) for i, w in texts.items()], "id long, text string")
     signed = spark.createDataFrame([(i, [7] * near_dup.SAMPLES) for i in texts], "id long, sig array<int>")
     idf = spark.sparkContext.broadcast(np.zeros(1 << near_dup.SKETCH_BITS, np.int8))
-    links = {frozenset((r["a"], r["b"])) for r in near_dup.near_links(docs, signed, idf).collect()}
+    links = {frozenset((r["a"], r["b"])) for r in near_dup.near_components(docs, signed, idf)[0].collect()}
     assert links == {frozenset((leader, m)), frozenset((m, u))}
 
 
+def by_class(classes):
+    out = defaultdict(list)
+    for i, c in classes.items():
+        out[c].append(i)
+    return out
+
+
+def all_pairs_classes(texts, idf):
+    """Classes of the links among all pairs at a weighted similarity of 0.8, and the links."""
+    ids = sorted(texts)
+    sets = {}
+    for i in ids:
+        h, _ = shingle_hashes([" ".join(texts[i]).encode()], near_dup.SHINGLE_WORDS)
+        sets[i] = near_dup._distinct(h >> np.uint64(32))
+    root = {i: i for i in ids}
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    links = []
+    for k, a in enumerate(ids):
+        for b in ids[k + 1 :]:
+            if near_dup.weighted_jaccard(sets[a], sets[b], idf) >= near_dup.SIMILARITY:
+                links.append((a, b))
+                one, two = sorted((find(a), find(b)))
+                root[two] = one
+    return {i: find(i) for i in ids}, links
+
+
+def test_all_pairs_recall_on_nested_groups_and_mutual_copies(spark):
+    """Families of one base nest at falling similarity; pairs of copies share no leader.  Classes are those of all pairs."""
+    rng = random.Random(12)
+    base, texts = words(50, 220), {}
+    for family in range(12):
+        head = list(base)
+        for _ in range(family):
+            at = rng.randrange(215)
+            head[at : at + 3] = [f"f{family}x{rng.random()}" for _ in range(3)]
+        for k in range(6):
+            w = list(head)
+            for _ in range(rng.randrange(3)):
+                w[rng.randrange(220)] = f"own{rng.random()}"
+            texts[1000 + 10 * family + k] = w
+    for pair in range(60):  # just about the threshold
+        w = words(100 + pair, 160)
+        texts[5000 + 2 * pair] = w
+        other = list(w)
+        for j in range(1 + pair % 4):
+            other[20 + 35 * j] = f"new{pair}x{j}"
+        texts[5001 + 2 * pair] = other
+    for i in range(80):
+        texts[9000 + i] = words(900 + i, 120)
+    docs = spark.createDataFrame([(i, " ".join(w)) for i, w in texts.items()], "doc_id long, text string")
+    idf = near_dup.idf_levels(docs)
+    want, links = all_pairs_classes(texts, idf)
+    got = {r["doc_id"]: r["class_id"] for r in near_dup.near_dup_classes(docs).collect()}
+    assert len(links) > 150
+    assert all(want[i] == want[got[i]] for i in got)  # nothing is joined that links don't join
+    found = sum(got[a] == got[b] for a, b in links)
+    assert found >= 0.98 * len(links)
+
+
+def test_idf_spans_its_range(spark):
+    """A shingle in every text weighs 1, one in a single text nearly 2."""
+    common_words = "this passage stands in every text of all"
+    docs = spark.createDataFrame([(i, f"{common_words} {' '.join(words(i, 40))}") for i in range(200)], "id long, text string")
+    weights = 2.0 ** (near_dup.idf_levels(docs) / WeightedSampler.STEPS)
+    h, _ = shingle_hashes([b"this passage stands in every"], 5)
+    assert weights[int(h[0] >> np.uint64(64 - near_dup.SKETCH_BITS))] < 1.05
+    h, _ = shingle_hashes([" ".join(words(5, 40)[10:15]).encode()], 5)
+    assert weights[int(h[0] >> np.uint64(64 - near_dup.SKETCH_BITS))] > 1.9
+
+
 def test_block_similarities_are_weighted_jaccard():
     rng = np.random.default_rng(5)
     idf = rng.integers(0, 6, 1 << near_dup.SKETCH_BITS).astype(np.int8)
@@ -241,13 +357,12 @@ def test_packing_round_trip(spark):
     import public_tokenizers
     from tokenizers import Tokenizer
 
-    texts = ["hello world", None, "", "hello world", "été " * 4000, "x" * 5000, "a <|endoftext|> b", *[" ".join(words(i, 20 + 13 * i)) for i in range(60)]]
+    texts = ["hello world", None, "", "hello world", "été " * 4000, "x" * 5000, "a <|endoftext|> b", "<|endoftext|>" * 10, *[" ".join(words(i, 20 + 13 * i)) for i in range(60)]]
     rows = [(i if i != 5 else None, t, "s") for i, t in enumerate(texts)] + [(0, "hello world", "s")]
     df = spark.createDataFrame(rows, "doc_id long, text string, start string")
     packed = pack_documents(df, tokenizer_path(), with_ids=True)
     got = packed.toPandas()
     tokenizer = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
-    tokenizer.encode_special_tokens = True
     want = Counter()
     for _, t, _ in rows:
         want[tuple([*tokenizer.encode(t or "", add_special_tokens=False).ids, END_ID])] += 1
@@ -303,6 +418,25 @@ def test_shortage_goes_to_siblings_first(spark):
     assert got == {("web", "en"): 2, ("web", "de"): 18, ("books", "en"): 20}
 
 
+def test_weight_zero_is_no_capacity(spark):
+    """What a child of weight 0 holds can't be given, so its parent's shortage goes to the other domain."""
+    rows = [(i, "w " * 10, "web", "en") for i in range(10)] + [(100 + i, "w " * 10, "web", "de") for i in range(50)] + [(200 + i, "w " * 10, "books", "en") for i in range(50)]
+    rows += [(300, "w " * 10, "none", "en")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, domain string, lang string")
+    weights = {"domain": {"none": 0}, "lang": {"de": 0}}
+    out = mix_sources(df, {c: F.col(c) for c in ("domain", "lang")}, weights, budget_tokens=400, max_epochs=1)
+    got = {(r["domain"], r["lang"]): r["count"] for r in out.groupBy("domain", "lang").count().collect()}
+    assert got == {("web", "en"): 10, ("books", "en"): 30}
+
+
+def test_rows_without_ids_share_a_place(spark):
+    rows = [(None, "w w", "a")] * 300 + [(7, "w w", "a")] * 200 + [(i, "w w", "a") for i in range(100, 130)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    out = mix_sources(df, {"source": F.col("source")}, {}, budget_tokens=500, max_epochs=1)
+    counts = {r["doc_id"]: r["count"] for r in out.groupBy("doc_id").count().collect()}
+    assert counts.get(None, 300) == 300 and counts.get(7, 200) == 200 and sum(counts.values()) >= 250
+
+
 def test_mixing_takes_the_seeded_prefix_and_epochs(spark):
     rows = [(i, " ".join(words(i, 1 + i % 7)), "a") for i in range(200)] + [(1000, None, "b"), (1001, "", None), (None, "one two", None), (1002, "x " * 9, "b")]
     df = spark.createDataFrame([(*r, 3) for r in rows], "doc_id long, text string, source string, epoch int")
@@ -360,6 +494,36 @@ def test_quality_on_held_out_labels(spark):
     assert sum(good) / len(good) > 0.9 and sum(bad) / len(bad) < 0.15
 
 
+def test_quality_equals_brute_force(spark):
+    """Log weights from plain counts of every text's n-grams, and Gumbel ranks of the whole table."""
+    docs = spark.read.parquet(f"{DATA}/documents.parquet")
+    labels = spark.read.parquet(f"{DATA}/labels.parquet")
+    got = {r["doc_id"]: r for r in quality_selection(docs, labels, keep=60).collect()}
+    sample = quality.labelled_sample(labels, "doc_id", "quality")
+    use = {k: (1, 2, 1, 3)[i % 4] for i, k in enumerate(sample)}
+    grams = {i: Counter(quality._ngrams([r["text"].encode() if r["text"] else b""])[0].tolist()) for i, r in got.items()}
+    raw, good, unseen = Counter(), Counter(), Counter()
+    for i, c in grams.items():
+        raw += c
+        if sample.get(i) == 1 and use[i] < 3:
+            (good if use[i] == 1 else unseen).update(c)
+    total = sum(raw.values()) + quality.BUCKETS
+    p = {b: (raw[b] + 1) / total for b in range(quality.BUCKETS)}
+    n_good, best = sum(good.values()), None
+    for m in quality.PSEUDO_COUNTS:
+        ratio = {b: (good[b] + m) / (n_good * p[b] + m) for b in p}
+        norm = sum(p[b] * ratio[b] for b in p)
+        fit = sum(n * math.log(ratio[b] / norm) for b, n in unseen.items())
+        if best is None or fit > best[0]:
+            best = fit, {b: math.log(r / norm) for b, r in ratio.items()}
+    noise = {r["doc_id"]: r["u"] for r in docs.select("doc_id", quality.gumbel(F.col("doc_id"), F.col("text")).alias("u")).collect()}
+    want = {i: sum(n * best[1][b] for b, n in c.items()) for i, c in grams.items()}
+    for i, r in got.items():
+        assert r["log_weight"] == pytest.approx(want[i], abs=1e-6)
+    ranked = sorted(got, key=lambda i: -(want[i] + noise[i]))
+    assert {i for i, r in got.items() if r["selected"]} == set(ranked[:60])
+
+
 def test_quality_edge_cases(spark):
     df = spark.createDataFrame([(1, None, 5.0), (2, "", 1.0), (None, "some text", 2.0), (3, "x" * 50000, 3.0), (3, "x" * 50000, 3.0)], "doc_id long, text string, log_weight double")
     none = spark.createDataFrame([], "doc_id long, quality int")
