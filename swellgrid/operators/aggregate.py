@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions.calendar import month_end
 from ..schema import CELL, KEYS, SUMMER, WINTER
+from ..sources.observations import reused
 
 
 def calculate_monthly_aggregations(df: DataFrame, value: str) -> DataFrame:
@@ -55,19 +56,26 @@ def calculate_consistency_metrics(df: DataFrame, value: str, threshold_percentil
     """Deviation, variation, share above the percentile, the percentile, mean and median (all null without values).
 
     Two passes: the exact percentile first, then the share above it.  Per cell the two
-    share a partitioning; without ``by`` the percentile comes from ``exact_percentiles``,
-    which never gathers the values.
+    share a partitioning; without ``by`` the values are held for a few passes that narrow down the
+    percentile, and never gathered.
     """
     x = F.col(value)
     by = list(by)
-    if by:
-        limits = df.groupBy(*by).agg(F.percentile(value, threshold_percentile / 100).alias("threshold"), F.percentile(value, 0.5).alias("median"))
-        joined = df.join(limits, by)
-    else:
-        limits = exact_percentiles(df, value, {"threshold": threshold_percentile / 100, "median": 0.5})
-        joined = df.crossJoin(F.broadcast(limits))
-    mean = F.avg(x)
-    return joined.groupBy(*by).agg(
+    if not by:
+        with reused(df.select(x.cast("double").alias(value))) as held:
+            q = threshold_percentile / 100
+            found = order_percentiles(held, value, [q, 0.5])
+            limits = [F.lit(found[p]).cast("double").alias(n) for p, n in ((q, "threshold"), (0.5, "median"))]
+            out = _metrics(held.select(value, *limits), value, by)
+            rows = out.collect()
+        return df.sparkSession.createDataFrame(rows, out.schema)
+    limits = df.groupBy(*by).agg(F.percentile(value, threshold_percentile / 100).alias("threshold"), F.percentile(value, 0.5).alias("median"))
+    return _metrics(df.join(limits, by), value, by)
+
+
+def _metrics(df: DataFrame, value: str, by: list[str]) -> DataFrame:
+    x, mean = F.col(value), F.avg(value)
+    return df.groupBy(*by).agg(
         F.stddev_pop(x).alias("std"),
         F.when(mean > 0, F.stddev_pop(x) / mean).alias("coefficient_of_variation"),
         share_above(x, F.col("threshold")).alias("pct_above"),
@@ -77,45 +85,57 @@ def calculate_consistency_metrics(df: DataFrame, value: str, threshold_percentil
     )
 
 
-def order_statistic(df: DataFrame, value: str, k: int, bins: int = 4096) -> float:
-    """Exact value at place ``k`` (from 0) of the sorted non-null values of a double column.
+def order_statistics(df: DataFrame, value: str, places: Sequence[int], bins: int = 4096) -> dict[int, float]:
+    """Exact values at ``places`` (from 0) of the sorted non-null values of a double column, all in the same passes.
 
-    Each pass counts ``bins`` equal slices of the interval that holds the value and goes
-    on in one of them; only the counts come to the driver.
+    Each pass counts ``bins`` equal slices of the intervals that hold the values and goes on in one
+    slice for each place; only the counts come to the driver.
     """
     x = F.col(value)
     lo, hi = df.agg(F.min(x), F.max(x)).first()
-    before = 0
-    while lo < hi:
-        width = (hi - lo) / bins
-        if width <= 0 or lo + width == lo:
-            width = hi - lo
-        slot = F.least(F.floor((x - F.lit(lo)) / F.lit(width)), F.lit(bins - 1)).cast("int")
-        inside = df.where(x.between(F.lit(lo), F.lit(hi)))
-        counts = inside.groupBy(slot.alias("slot")).agg(F.count("*").alias("n"), F.min(x).alias("lo"), F.max(x).alias("hi")).collect()
-        for r in sorted(counts, key=lambda r: r["slot"]):
-            if k < before + r["n"]:
-                lo, hi = r["lo"], r["hi"]
-                break
-            before += r["n"]
-    return lo
+    at = {k: (lo, hi, 0) for k in places}
+    while spans := sorted({s for s in at.values() if s[0] < s[1]}):
+        # The spans are slices of earlier passes, so no two overlap.
+        which, slot = F.lit(None).cast("int"), F.lit(None).cast("int")
+        for i, (low, high, _) in enumerate(spans):
+            width = (high - low) / bins
+            if width <= 0 or low + width == low:
+                width = high - low
+            inside = x.between(F.lit(low), F.lit(high))
+            which = F.when(inside, i).otherwise(which)
+            slot = F.when(inside, F.least(F.floor((x - F.lit(low)) / F.lit(width)), F.lit(bins - 1)).cast("int")).otherwise(slot)
+        counts = df.select(x.alias("x"), which.alias("span"), slot.alias("slot")).where("span IS NOT NULL").groupBy("span", "slot")
+        rows = sorted(counts.agg(F.count("*").alias("n"), F.min("x").alias("lo"), F.max("x").alias("hi")).collect(), key=lambda r: (r["span"], r["slot"]))
+        for k, span in at.items():
+            before = span[2]
+            for r in (r for r in rows if spans[r["span"]] == span):
+                if k < before + r["n"]:
+                    at[k] = (r["lo"], r["hi"], before)
+                    break
+                before += r["n"]
+    return {k: s[0] for k, s in at.items()}
+
+
+def order_statistic(df: DataFrame, value: str, k: int, bins: int = 4096) -> float:
+    """Exact value at place ``k`` (from 0) of the sorted non-null values of a double column."""
+    return order_statistics(df, value, [k], bins)[k]
+
+
+def order_percentiles(df: DataFrame, value: str, points: Sequence[float]) -> dict[float, float | None]:
+    """Exact percentiles with linear interpolation over a whole table; None without values."""
+    n = df.agg(F.count(value)).first()[0]
+    if not n:
+        return dict.fromkeys(points)
+    place = {q: q * (n - 1) for q in points}
+    found = order_statistics(df, value, sorted({k for p in place.values() for k in (int(p), min(int(p) + 1, n - 1))}))
+    return {q: (low := found[int(p)]) + (found[min(int(p) + 1, n - 1)] - low) * (p - int(p)) for q, p in place.items()}
 
 
 def exact_percentiles(df: DataFrame, value: str, points: dict[str, float]) -> DataFrame:
     """Exact percentiles with linear interpolation over a whole table, one row; null without values."""
-    spark = df.sparkSession
-    x = df.where(F.col(value).isNotNull()).select(F.col(value).cast("double").alias("x"))
-    n = x.count()
-    names = ", ".join(f"{p} double" for p in points)
-    if not n:
-        return spark.createDataFrame([tuple(None for _ in points)], names)
-    row = []
-    for q in points.values():
-        place = q * (n - 1)
-        low = order_statistic(x, "x", int(place))
-        high = order_statistic(x, "x", int(place) + 1) if place > int(place) else low
-        row.append(low + (high - low) * (place - int(place)))
-    return spark.createDataFrame([tuple(row)], names)
+    with reused(df.select(F.col(value).cast("double").alias("x"))) as held:
+        found = order_percentiles(held, "x", list(points.values()))
+    return df.sparkSession.createDataFrame([tuple(found[q] for q in points.values())], ", ".join(f"{p} double" for p in points))
 
 
 def site_summary(monthly: DataFrame, value: str, time: str = "month_end", above: float = 30.0, least: float = 20.0) -> DataFrame:

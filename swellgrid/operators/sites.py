@@ -101,5 +101,3 @@ def compare_best_worst(rows: DataFrame, value: str, sites: DataFrame) -> DataFra
     best, worst = (F.avg(F.when(F.col("site") == s, F.col(value))) for s in ("best", "worst"))
     return marked.agg(best.alias("best_mean"), worst.alias("worst_mean"), (best - worst).alias("difference"), F.try_divide(best, worst).alias("ratio"))
 
-
-__all__ = [n for n in dir() if not n.startswith("_") and n not in ("annotations", "Sequence", "DataFrame", "Window", "F", "CELL", "KEYS", "site_label")]

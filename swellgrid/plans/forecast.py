@@ -73,14 +73,17 @@ def collocate(observed: DataFrame, modelled: DataFrame, value: str, step: float
     return both.groupBy("lat_idx", "lon_idx").agg(F.count("*").alias("n"), F.avg(d).alias("bias"), F.sqrt(F.avg(d * d)).alias("rmse"))
 
 
-def season_and_neighbours(monthly: DataFrame, value: str, time: str = "month_end", step: float = 0.2) -> DataFrame:
-    """Lag features with month sine and cosine, and the mean of the eight neighbouring cells in the same month."""
+def season_and_neighbours(monthly: DataFrame, value: str, time: str = "month_end", step: float = 0.2, lags: int = 2) -> DataFrame:
+    """The ``lags`` previous values of the site (null where there is none), month sine and cosine, and the mean of the eight neighbouring cells in the same month."""
+    order = Window.partitionBy(*CELL).orderBy(time)
+    before = [F.lag(value, k).over(order).alias(f"lag{k}") for k in range(1, lags + 1)]
     base = monthly.select(*CELL, time, value, F.round(F.col("latitude") / step).cast("int").alias("i"), F.round(F.col("longitude") / step).cast("int").alias("j"))
     offsets = [(a, b) for a in (-1, 0, 1) for b in (-1, 0, 1) if (a, b) != (0, 0)]
     shifted = F.explode(F.array(*[F.struct(F.lit(a).alias("a"), F.lit(b).alias("b")) for a, b in offsets]))
     around = base.select(time, "i", "j", value, shifted.alias("o")).groupBy(time, (F.col("i") + F.col("o.a")).alias("i"), (F.col("j") + F.col("o.b")).alias("j")).agg(F.avg(value).alias("neighbour_mean"))
     turn = 2 * F.pi() * F.month(time) / 12
-    return base.join(around, [time, "i", "j"], "left").select(*CELL, time, value, F.sin(turn).alias("month_sin"), F.cos(turn).alias("month_cos"), "neighbour_mean")
+    lagged = base.select("*", *before)
+    return lagged.join(around, [time, "i", "j"], "left").select(*CELL, time, value, *[f"lag{k}" for k in range(1, lags + 1)], F.sin(turn).alias("month_sin"), F.cos(turn).alias("month_cos"), "neighbour_mean")
 
 
 def expanding_folds(features: DataFrame, folds: int = 4, time: str = "month_end") -> DataFrame:

@@ -6,6 +6,7 @@ to six places after adding 1e-9, which keeps ties from falling either way.
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 from collections.abc import Callable
@@ -13,8 +14,8 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.calendar import coordinate_label, iso_date
-from ..functions.flux import KW_COEFFICIENT, calculate_wave_power_flux, device_revenue, flux_coefficient, process_wave_data, revenue_per_metre
+from ..functions.calendar import coordinate_label, display, file_name, iso_date, parse_time
+from ..functions.flux import KW_COEFFICIENT, device_revenue, flux_coefficient, process_wave_data, revenue_per_metre
 from ..operators import aggregate, ingest, quality, sites
 from ..schema import CELL, KEYS, QUALITY_LIMITS, STUDY_AREA, VARIABLES
 from ..sources import observations as obs_source
@@ -31,8 +32,10 @@ def raw(spark: SparkSession, sf_dir: str) -> DataFrame:
     return wave_view(spark.read.parquet(f"{sf_dir}/lineitem.parquet"))
 
 
-def observations(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return ingest.dedup_observations(raw(spark, sf_dir), TIE_BREAK)
+def observations(spark: SparkSession, sf_dir: str, *variables: str) -> DataFrame:
+    """Observations without overlaps.  What a query names in ``variables`` is all that the scan reads and the shuffle carries."""
+    rows = raw(spark, sf_dir)
+    return ingest.dedup_observations(rows.select(*KEYS, *variables, *TIE_BREAK) if variables else rows, TIE_BREAK)
 
 
 _RAW_SQL = """
@@ -116,7 +119,7 @@ def _with(body: str, more: str = "") -> str:
 
 def monthly(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Sea months with ``pflux``: the coefficient is applied to the mean of H^2 T, which sums exactly."""
-    obs = observations(spark, sf_dir).withColumn("h2t", F.col("VHM0") * F.col("VHM0") * F.col("VTM02"))
+    obs = observations(spark, sf_dir, "VHM0", "VTM02").withColumn("h2t", F.col("VHM0") * F.col("VHM0") * F.col("VTM02"))
     means = aggregate.monthly_means(obs, ["VHM0", "VTM02", "h2t"])
     return aggregate.sea_months(means, ["VHM0", "VTM02", "h2t"]).withColumn("pflux", F.lit(KW_COEFFICIENT) * F.col("h2t"))
 
@@ -172,7 +175,7 @@ def land_ocean(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @register(_with(", lim AS (SELECT min(VHM0) AS lo, max(VHM0) AS hi FROM obs), c AS (SELECT CAST(least(floor((VHM0 - lo) / ((hi - lo) / 50)), 49) AS INTEGER) AS bin, count(*) AS n FROM obs, lim WHERE VHM0 IS NOT NULL GROUP BY 1) SELECT CAST(r.range AS INTEGER) AS bin, lo + r.range * ((hi - lo) / 50) AS bin_start, coalesce(n, 0) AS n FROM range(50) r CROSS JOIN lim LEFT JOIN c ON c.bin = r.range"))
 def height_histogram(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return quality.histogram(observations(spark, sf_dir), "VHM0")
+    return quality.histogram(observations(spark, sf_dir, "VHM0"), "VHM0")
 
 
 @register(_with("SELECT count(DISTINCT time) AS n_times, count(DISTINCT latitude) AS n_lats, count(DISTINCT longitude) AS n_lons, count(*) AS n_rows, count(*) * 136 AS n_bytes, min(time) AS first_time, max(time) AS last_time FROM obs"))
@@ -188,30 +191,30 @@ def final_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @register(_with("SELECT * FROM (UNPIVOT (SELECT time, latitude, longitude, VHM0, VTPK, VMDR FROM obs) ON VHM0, VTPK, VMDR INTO NAME variable VALUE value) WHERE value IS NOT NULL"))
 def tidy_variables(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return obs_source.tidy(observations(spark, sf_dir), ["VHM0", "VTPK", "VMDR"]).where("value IS NOT NULL")
+    return obs_source.tidy(observations(spark, sf_dir, "VHM0", "VTPK", "VMDR"), ["VHM0", "VTPK", "VMDR"]).where("value IS NOT NULL")
 
 
 @register(_with(f"SELECT time, latitude, longitude, {flux_coefficient()!r}::DOUBLE * VHM0 * VHM0 * VTPK AS wave_power_flux FROM obs"))
 def flux_w_per_m(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return process_wave_data(observations(spark, sf_dir)).select(*KEYS, "wave_power_flux")
+    return process_wave_data(observations(spark, sf_dir, "VHM0", "VTPK")).select(*KEYS, "wave_power_flux")
 
 
 @register(_with("SELECT time, latitude, longitude, 0.49::DOUBLE * VHM0 * VHM0 * VTM02 AS pflux FROM obs"))
 def flux_kw_per_m(spark: SparkSession, sf_dir: str) -> DataFrame:
     from ..functions.flux import flux_kw
 
-    return observations(spark, sf_dir).select(*KEYS, flux_kw(F.col("VHM0"), F.col("VTM02")).alias("pflux"))
+    return observations(spark, sf_dir, "VHM0", "VTM02").select(*KEYS, flux_kw(F.col("VHM0"), F.col("VTM02")).alias("pflux"))
 
 
 @register(_with(f"SELECT CAST(month(time) AS INTEGER) AS month, latitude, longitude, {_r('avg(VHM0)')} AS mean, {_r('stddev_pop(VHM0)')} AS std, max(VHM0) AS max, min(VHM0) AS min FROM obs GROUP BY 1, 2, 3"))
 def monthly_climatology(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = aggregate.calculate_monthly_aggregations(observations(spark, sf_dir), "VHM0")
+    out = aggregate.calculate_monthly_aggregations(observations(spark, sf_dir, "VHM0"), "VHM0")
     return out.withColumns({"mean": rounded("mean"), "std": rounded("std")})
 
 
 @register(_with("SELECT month_end, latitude, longitude, VHM0, VTM02, 0.49::DOUBLE * h2t AS pflux FROM monthly", _MONTHLY_SQL))
 def monthly_means(spark: SparkSession, sf_dir: str) -> DataFrame:
-    obs = observations(spark, sf_dir).withColumn("h2t", F.col("VHM0") * F.col("VHM0") * F.col("VTM02"))
+    obs = observations(spark, sf_dir, "VHM0", "VTM02").withColumn("h2t", F.col("VHM0") * F.col("VHM0") * F.col("VTM02"))
     means = aggregate.monthly_means(obs, ["VHM0", "VTM02", "h2t"])
     return means.select("month_end", *CELL, "VHM0", "VTM02", (F.lit(KW_COEFFICIENT) * F.col("h2t")).alias("pflux"))
 
@@ -232,7 +235,7 @@ def _metrics_sql(by: str) -> str:
 
 
 def _metrics(spark: SparkSession, sf_dir: str, by: list[str]) -> DataFrame:
-    obs = observations(spark, sf_dir).withColumn("x", F.col("VHM0") * F.col("VHM0") * F.col("VTPK"))
+    obs = observations(spark, sf_dir, "VHM0", "VTPK").withColumn("x", F.col("VHM0") * F.col("VHM0") * F.col("VTPK"))
     out = aggregate.calculate_consistency_metrics(obs.select(*CELL, "x"), "x", by=by)
     return out.select(*by, *[rounded(c).alias(c) for c in out.columns if c not in by])
 
@@ -249,7 +252,7 @@ def site_consistency(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @register(_with(f"SELECT {_r('CASE WHEN avg(VHM0) FILTER (month(time) IN (6, 7, 8)) > 0 THEN avg(VHM0) FILTER (month(time) IN (12, 1, 2)) / avg(VHM0) FILTER (month(time) IN (6, 7, 8)) END')} AS seasonal_ratio FROM obs"))
 def seasonal_ratio_global(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return aggregate.calculate_seasonal_ratio(observations(spark, sf_dir), "VHM0").select(rounded("seasonal_ratio").alias("seasonal_ratio"))
+    return aggregate.calculate_seasonal_ratio(observations(spark, sf_dir, "VHM0"), "VHM0").select(rounded("seasonal_ratio").alias("seasonal_ratio"))
 
 
 _SUMMARY_SQL = """, summary AS (
@@ -269,7 +272,7 @@ def site_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
 @register(_with(f"SELECT latitude, longitude, {_r(f'avg(VHM0 * VHM0 * VTPK) * {flux_coefficient()!r}::DOUBLE * 8760 * 1e-6 * 50.0::DOUBLE')} AS revenue FROM obs GROUP BY 1, 2"))
 def revenue_surface(spark: SparkSession, sf_dir: str) -> DataFrame:
     h2t = F.avg(F.col("VHM0") * F.col("VHM0") * F.col("VTPK"))
-    return observations(spark, sf_dir).groupBy(*CELL).agg(rounded(revenue_per_metre(h2t * F.lit(flux_coefficient()))).alias("revenue"))
+    return observations(spark, sf_dir, "VHM0", "VTPK").groupBy(*CELL).agg(rounded(revenue_per_metre(h2t * F.lit(flux_coefficient()))).alias("revenue"))
 
 
 @register(_with(f"SELECT latitude, longitude, {_r('mean_pflux')} AS mean_pflux, {_r('mean_pflux * 8760 * 10.0::DOUBLE * 0.35::DOUBLE / 1000')} AS mwh_per_year, {_r('mean_pflux * 8760 * 10.0::DOUBLE * 0.35::DOUBLE / 1000 * 50.0::DOUBLE')} AS revenue FROM summary", _MONTHLY_SQL + _SUMMARY_SQL))
@@ -336,12 +339,12 @@ def site_matrix_all(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @register(_with(", lat AS (SELECT latitude FROM (SELECT DISTINCT latitude FROM obs) ORDER BY abs(latitude - 47.13::DOUBLE), latitude LIMIT 1), lon AS (SELECT longitude FROM (SELECT DISTINCT longitude FROM obs) ORDER BY abs(longitude + 129.55::DOUBLE), longitude LIMIT 1) SELECT time, latitude, longitude, VHM0 FROM obs JOIN lat USING (latitude) JOIN lon USING (longitude)"))
 def nearest_site_series(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return sites.nearest_series(observations(spark, sf_dir), 47.13, -129.55).select(*KEYS, "VHM0")
+    return sites.nearest_series(observations(spark, sf_dir, "VHM0"), 47.13, -129.55).select(*KEYS, "VHM0")
 
 
 @register(_with("SELECT time, latitude, longitude, VHM0 FROM obs WHERE time = (SELECT time FROM (SELECT DISTINCT time FROM obs) ORDER BY time DESC LIMIT 1 OFFSET 99)"))
 def time_slice(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return sites.time_slice(observations(spark, sf_dir), -100).select(*KEYS, "VHM0")
+    return sites.time_slice(observations(spark, sf_dir, "VHM0"), -100).select(*KEYS, "VHM0")
 
 
 @register(_with(f"SELECT latitude, longitude, month_end, pflux, lag1 FROM lagged", _MONTHLY_SQL + _LAG_SQL))
@@ -381,7 +384,7 @@ def persistence_gain(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @register(_with("SELECT time, latitude, longitude, VHM0, VTM02, VTPK FROM obs"))
 def dedup_observations(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return observations(spark, sf_dir).select(*KEYS, "VHM0", "VTM02", "VTPK")
+    return observations(spark, sf_dir, "VHM0", "VTM02", "VTPK").select(*KEYS, "VHM0", "VTM02", "VTPK")
 
 
 def _plan(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -421,7 +424,7 @@ def pending_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
            {_r('max(threshold)')} AS threshold, {_r('avg(x)')} AS mean, {_r('max(median)')} AS median
     FROM v, lim"""))
 def processing_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
-    obs = observations(spark, sf_dir).withColumn("wave_power_flux", F.col("VHM0") * F.col("VHM0") * F.col("VTPK"))
+    obs = observations(spark, sf_dir, "VHM0", "VTPK").withColumn("wave_power_flux", F.col("VHM0") * F.col("VHM0") * F.col("VTPK"))
     out = aggregate.generate_processing_summary(obs, stamp=False)
     soft = ("std", "coefficient_of_variation", "pct_above", "threshold", "mean", "median")
     return out.select(*[rounded(c).alias(c) if c in soft else c for c in out.columns])
@@ -434,7 +437,7 @@ def incremental_ingest(spark: SparkSession, sf_dir: str) -> DataFrame:
     The overlap within the raw data is settled before, so that the rows kept don't depend on arrival.
     """
     base = f"{_scratch(spark)}/ingest-{uuid.uuid4().hex}"
-    clean = observations(spark, sf_dir).select(*KEYS, "VHM0", "VTM02")
+    clean = observations(spark, sf_dir, "VHM0", "VTM02").select(*KEYS, "VHM0", "VTM02")
     halves = [clean.where("time < TIMESTAMP_NTZ'1998-07-01 00:00:00'"), clean.where("time >= TIMESTAMP_NTZ'1998-07-01 00:00:00'")]
     for half in halves:
         half.write.mode("append").parquet(f"{base}/raw")
@@ -443,27 +446,71 @@ def incremental_ingest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select(F.col("time").cast("timestamp_ntz").alias("time"), *CELL, "VHM0", "VTM02")
 
 
+@register(_with("SELECT DISTINCT time, latitude, longitude FROM raw"))
+def stream_overlaps(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Raw files, with their repeated keys, in two drops of which the second brings the last month of the first again.
+
+    The stream drops what it has seen, within a drop and across both; which of several rows stays depends on arrival,
+    so only the keys are returned.
+    """
+    base = f"{_scratch(spark)}/overlap-{uuid.uuid4().hex}"
+    rows = raw(spark, sf_dir).select(*KEYS, "VHM0")
+    for part in (rows.where("time < TIMESTAMP_NTZ'1998-07-01 00:00:00'"), rows.where("time >= TIMESTAMP_NTZ'1998-06-01 00:00:00'")):
+        part.write.mode("append").parquet(f"{base}/raw")
+        stream_ingest(spark, f"{base}/raw", f"{base}/clean", f"{base}/ledger", rows.schema)
+    return spark.read.parquet(f"{base}/clean").select(F.col("time").cast("timestamp_ntz").alias("time"), *CELL)
+
+
+@register(_with(f"SELECT time, latitude, longitude, VHM0, VTM02 FROM obs WHERE {_BOX_SQL} AND time BETWEEN TIMESTAMP '1996-01-01' AND TIMESTAMP '1998-12-31'"))
+def zone_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Observations written to a zone by year and month, and read back for a box and a period, which prunes whole years."""
+    root = f"{_scratch(spark)}/zones-{uuid.uuid4().hex}"
+    path = obs_source.write_zone(observations(spark, sf_dir, "VHM0", "VTM02"), root, "processed", "waves", ("year", "month"))
+    return obs_source.read_observations(spark, path, STUDY_AREA, "1996-01-01", "1998-12-31", ["VHM0", "VTM02"])
+
+
+@register(_with("SELECT chunk_name AS stem, chunk_start AS starts FROM named", _PLAN_SQL))
+def chunk_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The name of each work unit's file without its folder and suffix, and its start read back from text."""
+    path = F.concat(F.lit("raw/waves/"), F.col("chunk_name"), F.lit(".nc"))
+    return _plan(spark, sf_dir).select(file_name(path).alias("stem"), parse_time(F.date_format("chunk_start", "yyyy-MM-dd HH:mm:ss")).alias("starts"))
+
+
+@register(_with("SELECT latitude, longitude, round_even(pflux, 2) AS shown FROM site", _MONTHLY_SQL))
+def site_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Site means as a report shows them."""
+    return site_flux(spark, sf_dir).select(*CELL, display(F.col("pflux")).alias("shown"))
+
+
 def _scratch(spark: SparkSession) -> str:
+    """Shared folder named by ``spark.checkpoint.dir``; where that is unset, a temp folder on a local master and an error on a cluster."""
     shared = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if not shared and not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     return shared.rstrip("/") if shared else tempfile.mkdtemp(prefix="spark-scratch-")
 
 
 @register(_with(f", a AS (SELECT time, CAST(round(latitude / 0.25::DOUBLE) AS INTEGER) AS lat_idx, CAST(round(longitude / 0.25::DOUBLE) AS INTEGER) AS lon_idx, avg(VHM0) AS o, avg(VHM0_SW1) AS m FROM obs GROUP BY 1, 2, 3) SELECT lat_idx, lon_idx, count(*) AS n, {_r('avg(m - o)')} AS bias, {_r('sqrt(avg((m - o) ** 2))')} AS rmse FROM a WHERE o IS NOT NULL AND m IS NOT NULL GROUP BY 1, 2"))
 def collocation(spark: SparkSession, sf_dir: str) -> DataFrame:
-    obs = observations(spark, sf_dir)
+    obs = observations(spark, sf_dir, "VHM0", "VHM0_SW1")
     modelled = obs.select(*KEYS, F.col("VHM0_SW1").alias("VHM0"))
     return forecast.collocate(obs, modelled, "VHM0").withColumns({"bias": rounded("bias"), "rmse": rounded("rmse")})
 
 
-@register(_with(f""", g AS (SELECT latitude, longitude, month_end, pflux, CAST(round(latitude / 0.2::DOUBLE) AS INTEGER) AS i, CAST(round(longitude / 0.2::DOUBLE) AS INTEGER) AS j FROM sea)
-    SELECT g.latitude, g.longitude, g.month_end, g.pflux, {_r('sin(2 * pi() * month(g.month_end) / 12)')} AS month_sin, {_r('cos(2 * pi() * month(g.month_end) / 12)')} AS month_cos, {_r('avg(h.pflux)')} AS neighbour_mean
+@register(_with(f""", g AS (SELECT latitude, longitude, month_end, pflux, lag(pflux) OVER w AS lag1, lag(pflux, 2) OVER w AS lag2, CAST(round(latitude / 0.2::DOUBLE) AS INTEGER) AS i, CAST(round(longitude / 0.2::DOUBLE) AS INTEGER) AS j FROM sea WINDOW w AS (PARTITION BY latitude, longitude ORDER BY month_end))
+    SELECT g.latitude, g.longitude, g.month_end, g.pflux, any_value(g.lag1) AS lag1, any_value(g.lag2) AS lag2, {_r('sin(2 * pi() * month(g.month_end) / 12)')} AS month_sin, {_r('cos(2 * pi() * month(g.month_end) / 12)')} AS month_cos, {_r('avg(h.pflux)')} AS neighbour_mean
     FROM g LEFT JOIN g h ON g.month_end = h.month_end AND abs(g.i - h.i) <= 1 AND abs(g.j - h.j) <= 1 AND NOT (g.i = h.i AND g.j = h.j) GROUP BY 1, 2, 3, 4""", _MONTHLY_SQL))
 def spatial_features(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = forecast.season_and_neighbours(monthly(spark, sf_dir), "pflux")
     return out.withColumns({c: rounded(c) for c in ("month_sin", "month_cos", "neighbour_mean")})
 
 
-@register()
+@register(_with(f""", blocks AS (SELECT latitude, longitude, month_end, pflux, lag1, ntile(5) OVER (PARTITION BY latitude, longitude ORDER BY month_end) AS block FROM lagged),
+    folded AS (SELECT b.*, f.range AS fold, b.block <= f.range AS train FROM blocks b, range(1, 5) f WHERE b.block <= f.range + 1),
+    fold_fits AS (SELECT latitude, longitude, fold, CASE WHEN var_pop(lag1) = 0 THEN 0.0 ELSE regr_slope(pflux, lag1) END AS slope,
+                         CASE WHEN var_pop(lag1) = 0 THEN avg(pflux) ELSE regr_intercept(pflux, lag1) END AS intercept FROM folded WHERE train GROUP BY ALL)
+    SELECT latitude, longitude, CAST(fold AS INTEGER) AS fold, count(*) AS n_test, {_r('avg(abs(pflux - intercept - slope * lag1))')} AS mae
+    FROM folded JOIN fold_fits USING (latitude, longitude, fold) WHERE NOT train GROUP BY 1, 2, 3""", _MONTHLY_SQL + _LAG_SQL))
 def time_ordered_validation(spark: SparkSession, sf_dir: str) -> DataFrame:
     folded = forecast.expanding_folds(forecast.lag_features(monthly(spark, sf_dir), "pflux"))
     return forecast.fold_scores(folded, "pflux").withColumn("mae", rounded("mae"))
@@ -483,13 +530,13 @@ def multi_horizon(spark: SparkSession, sf_dir: str) -> DataFrame:
     runs AS (SELECT *, sum(CASE WHEN date_sub('hour', prev, time) <= 720 THEN 0 ELSE 1 END) OVER (PARTITION BY latitude, longitude ORDER BY time) AS event FROM high)
     SELECT latitude, longitude, CAST(event AS BIGINT) AS event, min(time) AS start_time, max(time) AS end_time, count(*) AS n, max(VHM0) AS peak FROM runs GROUP BY 1, 2, 3"""))
 def extreme_events(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return forecast.extreme_events(observations(spark, sf_dir), "VHM0", max_gap_hours=720)
+    return forecast.extreme_events(observations(spark, sf_dir, "VHM0"), "VHM0", max_gap_hours=720)
 
 
 @register(_with(f"SELECT last_day(time) AS month_end, latitude, longitude, count(VHM0) AS n, {_r('avg(VHM0)')} AS mean, {_r('stddev_samp(VHM0)')} AS spread, {_r('quantile_cont(VHM0, 0.1)')} AS p10, {_r('quantile_cont(VHM0, 0.9)')} AS p90 FROM obs GROUP BY 1, 2, 3"))
 def ensemble_spread(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The observations of a month stand in for the members of an ensemble."""
-    members = observations(spark, sf_dir).withColumn("month_end", F.last_day("time"))
+    members = observations(spark, sf_dir, "VHM0").withColumn("month_end", F.last_day("time"))
     out = forecast.ensemble_spread(members, "VHM0", ("month_end", *CELL))
     return out.withColumns({c: rounded(c) for c in ("mean", "spread", "p10", "p90")})
 
@@ -504,7 +551,5 @@ def boosted_forecast(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @register(_with("SELECT strftime(time, '%Y-%m-%d') AS day, count(*) AS n, max(VHM0) AS highest FROM obs GROUP BY 1"))
 def daily_maxima(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return observations(spark, sf_dir).groupBy(iso_date(F.col("time")).alias("day")).agg(F.count("*").alias("n"), F.max("VHM0").alias("highest"))
-
+    return observations(spark, sf_dir, "VHM0").groupBy(iso_date(F.col("time")).alias("day")).agg(F.count("*").alias("n"), F.max("VHM0").alias("highest"))
 
-__all__ = ["ORACLE", "QUERIES", "calculate_wave_power_flux"]

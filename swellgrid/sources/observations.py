@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
+from contextlib import contextmanager
 from datetime import datetime
 
+from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, FloatType, StructType
@@ -18,6 +20,16 @@ def nan_to_null(df: DataFrame) -> DataFrame:
     return df.select(*[F.when(~F.isnan(c), F.col(c).cast("double")).alias(c) if c in real else F.col(c) for c in df.columns])
 
 
+@contextmanager
+def reused(df: DataFrame, level: StorageLevel = StorageLevel.MEMORY_AND_DISK) -> Iterator[DataFrame]:
+    """``df`` kept for several passes: computed by the first and held, on disk where memory is short, until the end of the block."""
+    kept = df.persist(level)
+    try:
+        yield kept
+    finally:
+        kept.unpersist()
+
+
 def in_box(min_lat: float, max_lat: float, min_lon: float, max_lon: float) -> Column:
     """Inclusive bounding box."""
     return F.col("latitude").between(min_lat, max_lat) & F.col("longitude").between(min_lon, max_lon)
@@ -132,4 +144,4 @@ def first_time_step(df: DataFrame) -> DataFrame:
     return df.withColumn("row_", row).where("row_ = 1").drop("row_")
 
 
-__all__ = ["OBSERVATIONS", "dataset_overview", "explode_grid", "first_time_step", "in_box", "in_period", "nan_to_null", "read_observations", "tidy", "wave_view", "write_zone"]
+__all__ = ["OBSERVATIONS", "dataset_overview", "explode_grid", "first_time_step", "in_box", "in_period", "nan_to_null", "read_observations", "reused", "tidy", "wave_view", "write_zone"]

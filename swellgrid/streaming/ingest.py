@@ -10,10 +10,15 @@ from ..schema import KEYS
 from ..sources.observations import in_box, nan_to_null
 
 
-def clean_stream(stream: DataFrame, box: dict[str, float] | None = None, delay: str = "3650 days") -> DataFrame:
+#: Work units are months, and a unit may repeat what its neighbours hold.
+DELAY = "62 days"
+
+
+def clean_stream(stream: DataFrame, box: dict[str, float] | None = None, delay: str = DELAY) -> DataFrame:
     """Box filter, NaN to NULL, and one row per time and cell while within ``delay`` of the newest time.
 
-    ``delay`` has to cover the disorder of the files within and between batches.
+    ``delay`` has to cover the overlap of work units and the disorder of the files between batches; state is
+    kept for that long and no longer.
     """
     out = nan_to_null(stream)
     if box:
@@ -22,7 +27,7 @@ def clean_stream(stream: DataFrame, box: dict[str, float] | None = None, delay:
     return out.withWatermark("time", delay).dropDuplicatesWithinWatermark(list(KEYS))
 
 
-def ingest(spark: SparkSession, source: str, target: str, checkpoint: str, schema: StructType, box: dict[str, float] | None = None, delay: str = "3650 days", files_per_batch: int = 1000) -> None:
+def ingest(spark: SparkSession, source: str, target: str, checkpoint: str, schema: StructType, box: dict[str, float] | None = None, delay: str = DELAY, files_per_batch: int = 1000) -> None:
     """Append what is new under ``source`` to ``target``, partitioned by year, and return when done.
 
     A second call only takes new files; the checkpoint is the ledger.

@@ -239,3 +239,28 @@ def test_site_matrix_all_keeps_all_sites(spark):
     out = site_matrix_all(spark, data)
     assert out.count() == site_flux(spark, data).count()
     assert out.select("column_index").distinct().count() == 40
+
+
+def test_order_statistics_in_shared_passes(spark):
+    import random
+
+    rng = random.Random(7)
+    xs = [rng.choice([0.0, 1.5, rng.gauss(0, 1e-6), rng.gauss(0, 1e6)]) for _ in range(400)]
+    df = frame(spark, [(x,) for x in xs] + [(None,)], "x double")
+    places = [0, 1, 99, 100, 199, 300, 398, 399]
+    assert aggregate.order_statistics(df, "x", places, bins=8) == {k: sorted(xs)[k] for k in places}
+
+
+def test_consistency_metrics_take_few_jobs(spark):
+    df = spark.range(5000).select((F.rand(3) * 100).alias("x"))
+    tracker = spark.sparkContext.statusTracker()
+    before = set(tracker.getJobIdsForGroup())
+    aggregate.calculate_consistency_metrics(df, "x").collect()
+    assert len(set(tracker.getJobIdsForGroup()) - before) <= 24  # an adaptive query is up to three jobs
+
+
+def test_reused_is_held_and_let_go(spark):
+    df = spark.range(10)
+    with obs.reused(df) as held:
+        assert held.is_cached and held.count() == 10
+    assert not df.is_cached
