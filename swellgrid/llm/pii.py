@@ -23,6 +23,8 @@ BASE_KINDS = KINDS[:4]
 WINDOW_CHARS = 240
 DISCLOSURE = 0.9
 SUPPORT = 3
+#: Deviation of the sketches of document frequencies, and the factor by which they may be wrong: six deviations.
+SKETCH_ERROR, MARGIN = 0.05, 1.3
 _WORD = r"[\p{L}\p{N}]+"
 
 # Possessive forms of the plain patterns: the same leftmost matches in linear time and constant stack.
@@ -132,31 +134,34 @@ def disclosing_terms(rows: DataFrame, found: DataFrame, disclosure: float = DISC
     """Terms that reveal an entity (term, entity, disclosure), and the texts (h, k, term) that hold a candidate term.
 
     Texts, not rows, are counted, so that copies add nothing.  Entities in fewer than ``support`` texts
-    can reveal nothing and go first.  The texts that hold a term near any entity are a lower bound
-    of all that hold it, and so bound its disclosure from above: that alone rules out the common
-    words, before the corpus is searched for the rest.
+    can reveal nothing and go first.  The texts that hold a term near any entity are a lower bound of all
+    that hold it, and so bound its disclosure from above, which rules out most common words.  Those of
+    the rest that a sketch of the texts holding them rules out, by ``MARGIN``, go next; both sum
+    map-side.  Only the others are then counted exactly over the corpus.
     """
     windows = found.where("windows IS NOT NULL").select("h", F.inline("windows"))
+    around = F.explode(F.array_distinct(F.concat(_words(F.col("before")), _words(F.col("after"))))).alias("term")
     entities = windows.select("entity", "h").distinct().groupBy("entity").agg(F.count("*").alias("df_entity")).where(F.col("df_entity") >= support)
     entities = materialize(entities, "entities")
-    near = windows.join(entities.select("entity"), "entity", "left_semi")
-    near = near.select("h", "entity", F.explode(F.array_distinct(F.concat(_words(F.col("before")), _words(F.col("after"))))).alias("term"))
-    near = materialize(near.distinct(), "near")
-    together = near.groupBy("entity", "term").agg(F.count("*").alias("df_both")).where(F.col("df_both") >= support)
-    seen = near.select("term", "h").distinct().groupBy("term").agg(F.count("*").alias("df_near"))
+    near = windows.join(entities.select("entity"), "entity", "left_semi").select("h", "entity", around).distinct()
+    together = materialize(near.groupBy("entity", "term").agg(F.count("*").alias("df_both")).where(F.col("df_both") >= support), "together")
+    seen = windows.select("h", around).join(together.select("term").distinct(), "term", "left_semi").distinct().groupBy("term").agg(F.count("*").alias("df_near"))
     texts = found.select("h").distinct().agg(F.count("*").alias("texts"))
     n = F.col("texts").cast("double")
 
-    def disclosed(df_term: str) -> Column:
-        pmi = F.log(F.col("df_both") * n / (F.col("df_entity") * F.col(df_term)))
+    def disclosed(df_term: Column) -> Column:
+        pmi = F.log(F.col("df_both") * n / (F.col("df_entity") * df_term))
         return F.try_divide(pmi, F.log(n / F.col("df_entity")))
 
-    pairs = together.join(entities, "entity").join(seen, "term").crossJoin(F.broadcast(texts))
-    pairs = materialize(pairs.where(disclosed("df_near") >= disclosure), "candidates")
     words = rows.select("h", "k", F.explode(F.array_distinct(_words(F.col("text")))).alias("term"))
+    pairs = together.join(entities, "entity").join(seen, "term").crossJoin(F.broadcast(texts))
+    pairs = materialize(pairs.where(disclosed(F.col("df_near")) >= disclosure), "candidates")
+    sketched = words.join(pairs.select("term").distinct(), "term", "left_semi").groupBy("term").agg(F.approx_count_distinct("h", SKETCH_ERROR).alias("df_about"))
+    pairs = pairs.join(sketched, "term").where(disclosed(F.greatest(F.col("df_about") / MARGIN, F.lit(1.0))) >= disclosure)
+    pairs = materialize(pairs, "rare-candidates")
     holding = materialize(words.join(pairs.select("term").distinct(), "term", "left_semi").distinct(), "holding")
     frequency = holding.groupBy("term").agg(F.count("*").alias("df_term"))
-    scored = pairs.join(frequency, "term").withColumn("disclosure", disclosed("df_term")).where(F.col("disclosure") >= disclosure)
+    scored = pairs.join(frequency, "term").withColumn("disclosure", disclosed(F.col("df_term"))).where(F.col("disclosure") >= disclosure)
     return materialize(scored.select("term", "entity", "disclosure"), "terms"), holding
 
 
