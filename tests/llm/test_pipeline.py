@@ -27,3 +27,26 @@ def test_stages_on_an_empty_table(spark):
     docs = spark.read.parquet(f"{sf}/documents.parquet").where("1 = 0")
     for _, stage in corpus_pipeline.STAGES:
         assert stage(spark, docs, sf).count() == 0
+
+
+def test_stages_with_nulls_ties_repeats_and_clashing_names(spark):
+    """Each stage takes odd rows and keeps the columns; what it does with them is in its docstring."""
+    sf = "/root/testdata/sf0.001"
+    text = " ".join(f"word{i}" for i in range(60))
+    rows = [(1, text, "en", "src0", 9), (1, text, "en", "src0", 9), (2, text, None, None, 9), (None, None, "en", "src1", None), (None, "", "en", "src1", 0), (3, "long " * 20000, "de", "src2", 1), (4, "two words", "en", "src9", 2)]
+    schema = "doc_id long, text string, lang string, source string, n_chars long"
+    docs = spark.createDataFrame(rows, schema)
+    for clash in ("selected", "words", "flag_", "quota", "one"):
+        docs = docs.withColumn(clash, docs["n_chars"])
+    quality, exact, near, mix, packing = (f for _, f in corpus_pipeline.STAGES)
+    kept = exact(spark, docs, sf)
+    assert kept.columns == docs.columns
+    assert sorted(str(r["doc_id"]) for r in kept.collect()) == ["1", "3", "4", "None"]
+    left = near(spark, docs, sf)
+    assert left.columns == docs.columns
+    assert sorted(str(r["doc_id"]) for r in left.collect()) == ["1", "1", "3", "4", "None", "None"]
+    mixed = mix(spark, docs, sf)
+    assert mixed.columns == docs.columns and mixed.count() <= len(rows)
+    assert packing(spark, docs, sf).where("start = 0").count() == len(rows)
+    plain = spark.createDataFrame(rows, schema)
+    assert quality(spark, plain, sf).columns == plain.columns
