@@ -96,7 +96,7 @@ def _window(text: Column, start: Column, end: Column) -> tuple[Column, Column]:
     before = F.substring(text, cut + 1, start - cut)
     after = F.substring(text, end + 1, F.lit(WINDOW_CHARS))
     before = F.when(F.substring(text, cut, F.lit(1)).rlike(_WORD) & (cut > 0), F.regexp_replace(before, rf"^{_WORD}", "")).otherwise(before)
-    after = F.when(F.substring(text, end + WINDOW_CHARS + 1, F.lit(1)).rlike(_WORD), F.regexp_replace(after, rf"{_WORD}$", "")).otherwise(after)
+    after = F.when(F.substring(text, end + WINDOW_CHARS + 1, F.lit(1)).rlike(_WORD), F.regexp_replace(after, rf"{_WORD}\z", "")).otherwise(after)
     return before, after
 
 

@@ -14,10 +14,10 @@ from .mixing import mix_sources
 from .near_dup import near_dup_classes
 from .packing import pack_documents
 from .pii import BASE_KINDS as PII_KINDS
-from .pii import find_pii
+from .pii import DISCLOSURE, SUPPORT, WINDOW_CHARS, find_pii
 from .quality import quality_selection
 from .secrets import BASE_KINDS, count_of, joined, scan_secrets
-from .url_filter import judge_urls
+from .url_filter import ALPHABET, ORDER, RULES, judge_urls
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -108,7 +108,7 @@ def op9_minhash_near_dup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     judged = judge_urls(_table(spark, sf_dir, "pages"))
-    return judged.select("page_id", "host", "path", "rule", "verdict", "score")
+    return judged.select("page_id", "host", "path", "rule", "verdict", F.round("score", 9).alias("score"))
 
 
 QUERIES: dict[str, Query] = {
@@ -158,7 +158,111 @@ def _level_sql(name: str, parent: str, column: str, weight: str, given: str) ->
         )"""
 
 
+def _grams_sql() -> str:
+    """Witten-Bell probabilities of each n-gram, one table an order; ``p5`` has those of the highest."""
+    out = []
+    for k in range(ORDER + 1):
+        of = f"c{k}" if k else "counts"
+        before = {m: f"p.p{m}" if k else f"{1 / ALPHABET}::DOUBLE" for m in "ar"}
+        prob = ", ".join(f"CASE WHEN h{m} > 0 THEN (c{m} + t{m} * {before[m]}) / (h{m} + t{m}) ELSE {before[m]} END AS p{m}" for m in "ar")
+        out.append(f"""
+        s{k} AS (SELECT g[{ORDER + 1 - k}:] AS s, g[{ORDER + 1 - k}:{ORDER}] AS h, sum(na)::BIGINT AS ca, sum(nr)::BIGINT AS cr FROM counts GROUP BY ALL),
+        h{k} AS (SELECT h, sum(ca)::BIGINT AS ha, sum(cr)::BIGINT AS hr, count(*) FILTER (ca > 0) AS ta, count(*) FILTER (cr > 0) AS tr FROM s{k} GROUP BY h),
+        c{k + 1} AS (SELECT p.g, {prob} FROM {of} p JOIN s{k} ON g[{ORDER + 1 - k}:] = s JOIN h{k} USING (h))""")
+    return ",".join(out)
+
+
+_UPPER_SQL = "'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'"
+_RULE_SQL = "CASE " + " ".join(
+    f"WHEN (host = '{h}' OR ends_with(host, '.{h}')) AND starts_with(path, '{p}') THEN ['{h}{p}', '{v}']" for v, h, p in sorted(RULES, key=lambda r: -len(r[1] + r[2]))
+) + " END"
+
+#: Kind, pattern and what a match has to be, for ``m`` the match and ``d`` its digits.
+_PII_SQL = (
+    ("email", r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", "true"),
+    ("ip", r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", "len(list_filter(string_split(m, '.'), lambda x: x::DOUBLE > 255)) = 0"),
+    (
+        "card",
+        r"[0-9]([\x20-]?[0-9])+",
+        "length(d) BETWEEN 12 AND 19 AND list_sum(list_transform(range(1, length(d) + 1), lambda i: list_sum(list_transform("
+        "string_split((d[length(d) - i + 1]::INT * (2 - i % 2))::VARCHAR, ''), lambda x: x::INT)))) % 10 = 0",
+    ),
+    ("phone", r"\+[0-9][\x20().0-9-]+[0-9]", "length(d) BETWEEN 9 AND 15"),
+)
+
+
+def _placed_sql(texts: str, pattern: str) -> str:
+    """(r, m, s, e): the matches of a pattern in the texts (r, t), from the lengths of what lies between and before."""
+    return f"""
+        SELECT r, m, e - length(m) AS s, e FROM (
+            SELECT r, m, sum(length(gap) + length(m)) OVER (PARTITION BY r ORDER BY i)::BIGINT AS e FROM (
+                SELECT r, unnest(ms) AS m, unnest(gaps[:len(ms)]) AS gap, unnest(range(len(ms))) AS i
+                FROM (SELECT r, regexp_extract_all(t, '{pattern}') AS ms, regexp_split_to_array(t, '{pattern}') AS gaps FROM {texts})
+            )
+        )"""
+
+
+_WORD_SQL = r"[\p{L}\p{N}]+"
+_PII_SPANS_SQL = " UNION ALL ".join(
+    f"SELECT r, '{kind}' AS kind, {rank} AS rank, s, e, CASE WHEN {rank} < 2 THEN lower(m) ELSE d END AS value "
+    f"FROM (SELECT *, regexp_replace(m, '[^0-9]', '', 'g') AS d FROM ({_placed_sql('docs', pattern)})) WHERE {valid}"
+    for rank, (kind, pattern, valid) in enumerate(_PII_SQL)
+)
+
 ORACLE: dict[str, str] = {
+    "op4_pii": f"""
+        WITH docs AS MATERIALIZED (SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS t FROM documents),
+        base AS MATERIALIZED ({_PII_SPANS_SQL}),
+        edges AS (SELECT t, kind || ':' || value AS entity, s, e, greatest(s - {WINDOW_CHARS}, 0) AS cut FROM base JOIN docs USING (r)),
+        windows AS MATERIALIZED (
+            SELECT t, entity,
+                   CASE WHEN cut > 0 AND regexp_matches(t[cut:cut], '{_WORD_SQL}') THEN regexp_replace(t[cut + 1:s], '^{_WORD_SQL}', '') ELSE substring(t, cut + 1, s - cut) END AS before,
+                   CASE WHEN regexp_matches(substring(t, e + {WINDOW_CHARS} + 1, 1), '{_WORD_SQL}') THEN regexp_replace(substring(t, e + 1, {WINDOW_CHARS}), '{_WORD_SQL}\\z', '')
+                        ELSE substring(t, e + 1, {WINDOW_CHARS}) END AS after
+            FROM edges
+        ),
+        entities AS (SELECT entity, count(DISTINCT t) AS df_entity FROM windows GROUP BY entity HAVING df_entity >= {SUPPORT}),
+        near AS (SELECT DISTINCT t, entity, unnest(regexp_extract_all(lower(before), '{_WORD_SQL}') || regexp_extract_all(lower(after), '{_WORD_SQL}')) AS term FROM windows SEMI JOIN entities USING (entity)),
+        together AS MATERIALIZED (SELECT entity, term, count(*) AS df_both FROM near GROUP BY ALL HAVING df_both >= {SUPPORT}),
+        texts AS (SELECT DISTINCT t FROM docs),
+        held AS (SELECT DISTINCT t, unnest(regexp_extract_all(lower(t), '{_WORD_SQL}')) AS term FROM texts),
+        frequency AS (SELECT term, count(*) AS df_term FROM held SEMI JOIN together USING (term) GROUP BY term),
+        terms AS MATERIALIZED (
+            SELECT DISTINCT term FROM together JOIN entities USING (entity) JOIN frequency USING (term), (SELECT count(*)::DOUBLE AS n FROM texts)
+            WHERE ln(df_both * n / (df_entity * df_term)) / nullif(ln(n / df_entity), 0) >= {DISCLOSURE}::DOUBLE
+        ),
+        words AS ({_placed_sql("docs", _WORD_SQL)}),
+        spans AS (
+            SELECT r, kind, rank, s, e FROM base
+            UNION ALL SELECT r, 'term', {len(_PII_SQL)}, s, e FROM words SEMI JOIN terms ON lower(m) = term
+        ),
+        listed AS (
+            SELECT r, {", ".join(f"count(*) FILTER (kind = '{k}') AS n_{k}" for k, _, _ in _PII_SQL)},
+                   string_agg(kind || ':' || s || ':' || e, ',' ORDER BY s, rank) FILTER (kind <> 'term') AS base, string_agg(kind || ':' || s || ':' || e, ',' ORDER BY s, rank) AS spans
+            FROM spans GROUP BY r
+        )
+        SELECT doc_id, {", ".join(f"coalesce(n_{k}, 0) AS n_{k}" for k, _, _ in _PII_SQL)}, sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans
+        FROM docs LEFT JOIN listed USING (r)
+    """,
+    "op10_url_filter": f"""
+        WITH parts AS (SELECT page_id, translate(coalesce(url, ''), {_UPPER_SQL}) AS u, CASE WHEN contains(url, '://') THEN substring(url, instr(url, '://') + 3) ELSE '' END AS rest FROM pages),
+        hosts AS (SELECT page_id, u, translate(regexp_extract(rest, '^[^/?#]*'), {_UPPER_SQL}) AS host, regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) AS path FROM parts),
+        base AS (SELECT *, {_RULE_SQL} AS fits FROM hosts),
+        urls AS (SELECT u, min(fits[2]) AS verdict, md5(u)[1] < '8' AS train FROM base GROUP BY u),
+        grams AS MATERIALIZED (SELECT u, verdict, train, substring(repeat(chr(2), {ORDER}) || u, i, {ORDER + 1}) AS g FROM urls, unnest(range(1, length(u) + 1)) AS places(i)),
+        counts AS MATERIALIZED (SELECT g, count(*) FILTER (train AND verdict = 'allow') AS na, count(*) FILTER (train AND verdict = 'block') AS nr FROM grams GROUP BY g),
+        {_grams_sql()},
+        scores AS MATERIALIZED (SELECT u, coalesce(avg(ln(pa) - ln(pr)), 0) AS score FROM urls LEFT JOIN grams USING (u) LEFT JOIN c{ORDER + 1} USING (g) GROUP BY u),
+        known AS (SELECT score, verdict FROM scores JOIN urls USING (u) WHERE NOT train AND verdict IS NOT NULL AND u <> ''),
+        spread AS (SELECT min(score) AS lo, max(score) AS hi, count(DISTINCT verdict) AS kinds, count(*) FILTER (verdict = 'allow') AS allowed, count(*) FILTER (verdict = 'block') AS blocked FROM known),
+        bins AS (
+            SELECT least(floor((score - lo) / nullif((hi - lo) / 2000, 0)), 1999) AS slot, count(*) FILTER (verdict = 'allow') AS a, count(*) FILTER (verdict = 'block') AS b FROM known, spread GROUP BY slot
+        ),
+        gains AS (SELECT slot, sum(a) OVER w / allowed - sum(b) OVER w / blocked AS gain FROM bins, spread WINDOW w AS (ORDER BY slot DESC)),
+        cuts AS (SELECT CASE WHEN kinds < 2 OR lo = hi THEN '-infinity'::DOUBLE ELSE lo + (SELECT min(slot) FROM gains WHERE gain = (SELECT max(gain) FROM gains)) * (hi - lo) / 2000 END AS cut FROM spread)
+        SELECT page_id, host, path, fits[1] AS rule, coalesce(fits[2], CASE WHEN score >= cut THEN 'allow' ELSE 'block' END) AS verdict, round(score, 9) AS score
+        FROM base JOIN scores USING (u), cuts
+    """,
     "op1_embedding_dedup": """
         WITH RECURSIVE fine AS (
             SELECT vec_id, CAST(embedding AS DOUBLE[]) AS v FROM embeddings
