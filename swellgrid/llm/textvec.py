@@ -90,7 +90,7 @@ def shingle_hashes(texts: list[bytes], width: int = 5) -> tuple[np.ndarray, np.n
     full = np.zeros(n, dtype=bool)
     full[: max(0, n - width + 1)] = of[: max(0, n - width + 1)] == of[width - 1 :] if n >= width else False
     total = np.zeros(n, dtype=np.uint64)
-    for k in range(width):
+    for k in range(min(width, n)):
         part = words[k:] * _PLACE[k]
         part[of[k:] != of[: n - k]] = 0
         total[: n - k] += part

@@ -1,7 +1,6 @@
 """Exact copies, near copies, packing, mixing and quality against brute force."""
 
 import hashlib
-import math
 import random
 import re
 import zlib
@@ -22,6 +21,8 @@ from swellgrid.llm.quality import calibrated_cut, quality_selection
 from swellgrid.llm.queries import ORACLE, QUERIES, tokenizer_path
 from swellgrid.llm.textvec import WeightedSampler, shingle_hashes
 
+from .plain import all_pairs_classes, fill, log_weights
+
 DATA = "/root/testdata/sf0.001"
 
 
@@ -140,6 +141,16 @@ def jaccard(a, b):
     return sum((s[0] & s[1]).values()) / sum((s[0] | s[1]).values())
 
 
+@pytest.mark.parametrize("n", range(8))
+def test_shingles_of_a_few_words_alone(n):
+    """A block may hold one short text only; it has the shingles that it has beside others."""
+    text, other = " ".join(f"w{i}" for i in range(n)).encode(), b"some other words that stand before it"
+    alone, of = shingle_hashes([text], 5)
+    both, of_both = shingle_hashes([other, text], 5)
+    assert len(alone) == len(of) == (n > 0) + max(0, n - 5)
+    assert alone.tolist() == both[of_both == 1].tolist()
+
+
 def test_near_dup_classes(spark):
     base = {k: words(k, 200) for k in range(30)}
     rows = [(100 * k, " ".join(v)) for k, v in base.items()]
@@ -235,30 +246,6 @@ def by_class(classes):
     return out
 
 
-def all_pairs_classes(texts, idf):
-    """Classes of the links among all pairs at a weighted similarity of 0.8, and the links."""
-    ids = sorted(texts)
-    sets = {}
-    for i in ids:
-        h, _ = shingle_hashes([" ".join(texts[i]).encode()], near_dup.SHINGLE_WORDS)
-        sets[i] = near_dup._distinct(h >> np.uint64(32))
-    root = {i: i for i in ids}
-
-    def find(x):
-        while root[x] != x:
-            x = root[x]
-        return x
-
-    links = []
-    for k, a in enumerate(ids):
-        for b in ids[k + 1 :]:
-            if near_dup.weighted_jaccard(sets[a], sets[b], idf) >= near_dup.SIMILARITY:
-                links.append((a, b))
-                one, two = sorted((find(a), find(b)))
-                root[two] = one
-    return {i: find(i) for i in ids}, links
-
-
 def test_all_pairs_recall_on_nested_groups_and_mutual_copies(spark):
     """Families of one base nest at falling similarity; pairs of copies share no leader.  Classes are those of all pairs."""
     rng = random.Random(12)
@@ -284,7 +271,7 @@ def test_all_pairs_recall_on_nested_groups_and_mutual_copies(spark):
         texts[9000 + i] = words(900 + i, 120)
     docs = spark.createDataFrame([(i, " ".join(w)) for i, w in texts.items()], "doc_id long, text string")
     idf = near_dup.idf_levels(docs)
-    want, links = all_pairs_classes(texts, idf)
+    want, links = all_pairs_classes({i: " ".join(w) for i, w in texts.items()}, idf)
     got = {r["doc_id"]: r["class_id"] for r in near_dup.near_dup_classes(docs).collect()}
     assert len(links) > 150
     assert all(want[i] == want[got[i]] for i in got)  # nothing is joined that links don't join
@@ -387,18 +374,6 @@ def test_packing_round_trip(spark):
 # Mixing
 
 
-def fill(budget, nodes):
-    """Water-filling by bisection: nodes are (cap, weight)."""
-    lo, hi = 0.0, 1e12
-    for _ in range(200):
-        mid = (lo + hi) / 2
-        if sum(min(c, mid * w) for c, w in nodes) < budget:
-            lo = mid
-        else:
-            hi = mid
-    return [min(c, hi * w) for c, w in nodes]
-
-
 def test_water_level(spark):
     rng = random.Random(5)
     for budget in (10.0, 500.0, 1e6):
@@ -500,24 +475,8 @@ def test_quality_equals_brute_force(spark):
     labels = spark.read.parquet(f"{DATA}/labels.parquet")
     got = {r["doc_id"]: r for r in quality_selection(docs, labels, keep=60).collect()}
     sample = quality.labelled_sample(labels, "doc_id", "quality")
-    use = {k: (1, 2, 1, 3)[i % 4] for i, k in enumerate(sample)}
-    grams = {i: Counter(quality._ngrams([r["text"].encode() if r["text"] else b""])[0].tolist()) for i, r in got.items()}
-    raw, good, unseen = Counter(), Counter(), Counter()
-    for i, c in grams.items():
-        raw += c
-        if sample.get(i) == 1 and use[i] < 3:
-            (good if use[i] == 1 else unseen).update(c)
-    total = sum(raw.values()) + quality.BUCKETS
-    p = {b: (raw[b] + 1) / total for b in range(quality.BUCKETS)}
-    n_good, best = sum(good.values()), None
-    for m in quality.PSEUDO_COUNTS:
-        ratio = {b: (good[b] + m) / (n_good * p[b] + m) for b in p}
-        norm = sum(p[b] * ratio[b] for b in p)
-        fit = sum(n * math.log(ratio[b] / norm) for b, n in unseen.items())
-        if best is None or fit > best[0]:
-            best = fit, {b: math.log(r / norm) for b, r in ratio.items()}
     noise = {r["doc_id"]: r["u"] for r in docs.select("doc_id", quality.gumbel(F.col("doc_id"), F.col("text")).alias("u")).collect()}
-    want = {i: sum(n * best[1][b] for b, n in c.items()) for i, c in grams.items()}
+    want = log_weights({i: r["text"] for i, r in got.items()}, sample)
     for i, r in got.items():
         assert r["log_weight"] == pytest.approx(want[i], abs=1e-6)
     ranked = sorted(got, key=lambda i: -(want[i] + noise[i]))
