@@ -1,25 +1,63 @@
 """The pipeline's stages, one after another, on the smallest tables."""
 
+import zlib
+
+import numpy as np
 import pytest
+from pyspark.sql import functions as F
+
+from swellgrid.llm import quality
+from swellgrid.llm.packing import END_ID
+from swellgrid.llm.queries import DOMAINS, MIX_WEIGHTS
+
+from . import plain
 
 corpus_pipeline = pytest.importorskip("corpus_pipeline")
 
 
-def test_stages(spark):
+def test_stages_equal_plain_versions(spark):
+    """Every stage keeps what a plain version keeps of what that one's predecessors kept, and the pieces hold all its tokens."""
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
     sf = "/root/testdata/sf0.001"
     docs = spark.read.parquet(f"{sf}/documents.parquet")
-    columns, before = docs.columns, docs.count()
-    for name, stage in corpus_pipeline.STAGES[:-1]:
-        docs = stage(spark, docs, sf)
+    rows = {r["doc_id"]: r for r in docs.collect()}
+    columns, texts = docs.columns, {i: r["text"] or "" for i, r in rows.items()}
+    noise = {r["doc_id"]: r["u"] for r in docs.select("doc_id", quality.gumbel(F.col("doc_id"), F.col("text")).alias("u")).collect()}
+    sample = quality.labelled_sample(spark.read.parquet(f"{sf}/labels.parquet"), "doc_id", "quality")
+    domain = {source: name for name, sources in DOMAINS.items() for source in sources}
+
+    def near(texts):
+        classes, _ = plain.all_pairs_classes(texts, plain.idf_levels(texts))
+        return {i for i, c in classes.items() if i == c}
+
+    def mix(texts):
+        leaves = [(i, t, domain.get(rows[i]["source"], "other"), rows[i]["lang"], rows[i]["source"]) for i, t in texts.items()]
+        return plain.mixed(leaves, ["domain", "lang", "source"], MIX_WEIGHTS)
+
+    versions = [lambda t: plain.selected(t, sample, noise), plain.first_of_equal, near, mix]
+    for (name, stage), version in zip(corpus_pipeline.STAGES[:-1], versions, strict=True):
+        docs = corpus_pipeline.materialize(stage(spark, docs, sf), "test")
         assert docs.columns == columns, name
-        docs = corpus_pipeline.materialize(docs, "test")
-        after = docs.count()
-        assert 0 < after <= before, name
-        before = after
-    packed = corpus_pipeline.STAGES[-1][1](spark, docs, sf).toPandas()
-    assert set(packed["doc_id"]) == {r["doc_id"] for r in docs.select("doc_id").collect()}
-    assert packed.groupby("sequence_id")["length"].sum().max() <= 2048
-    assert corpus_pipeline.run(spark, sf).count() == len(packed)
+        want = version(texts)
+        assert sorted(r["doc_id"] for r in docs.select("doc_id").collect()) == sorted(want), name
+        assert 0 < len(want) < len(texts), name
+        texts = {i: texts[i] for i in want}
+
+    packed = corpus_pipeline.run(spark, sf).toPandas()
+    tokenizer = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    assert set(packed["doc_id"]) == set(texts)
+    for i, pieces in packed.sort_values("start").groupby("doc_id"):
+        ids = np.array([*tokenizer.encode(texts[i], add_special_tokens=False).ids, END_ID], "<u4")
+        assert (pieces["doc_tokens"] == len(ids)).all() and pieces["length"].sum() == len(ids)
+        assert (pieces["start"] == pieces["length"].cumsum() - pieces["length"]).all()
+        assert [zlib.crc32(ids[r.start : r.start + r.length].tobytes()) for r in pieces.itertuples()] == pieces["ids_crc32"].tolist()
+    for _, pieces in packed.sort_values("offset").groupby("sequence_id"):
+        assert (pieces["offset"] == pieces["length"].cumsum() - pieces["length"]).all() and pieces["length"].sum() <= 2048
+    used = packed.groupby("sequence_id")["length"].sum()
+    padding = sum(2048 - n for n in used if n & (n - 1))
+    assert padding <= 0.02 * used.sum()
 
 
 def test_stages_on_an_empty_table(spark):
