@@ -32,8 +32,8 @@ SHINGLE_WORDS = 5
 SIMILARITY = 0.8
 SAMPLES = 64
 BAND_SAMPLES, BANDS = 6, 30
-#: Members of a bucket that a task compares with as many others at a time, and columns of its tables.
-BLOCK_MEMBERS, BLOCK_COLUMNS = 256, 4096
+#: Members of a bucket that a task compares with as many others at a time, bytes of their features, and columns of its tables.
+BLOCK_MEMBERS, BLOCK_BYTES, BLOCK_COLUMNS = 256, 1 << 22, 4096
 SKETCH_BITS = 20
 _CHUNKS = 64
 _SEED = 11
@@ -225,22 +225,27 @@ def _buckets(reps: DataFrame) -> DataFrame:
 
 
 def _feats(docs: DataFrame, wanted: DataFrame) -> DataFrame:
-    """(id, feats) of the ids ``wanted``, read again from the texts that their bitmap marks."""
+    """(id, feats, size) of the ids ``wanted``, read again from the texts that their bitmap marks."""
     marked = flag_members(docs, F.col("id"), wanted, F.col("id"), "flag").where("flag")
-    return materialize(marked.select("id", "text").mapInArrow(_packed, "id long, feats binary").join(wanted, "id", "left_semi"), "feats")
+    packed = marked.select("id", "text").mapInArrow(_packed, "id long, feats binary").join(wanted, "id", "left_semi")
+    return materialize(packed.withColumn("size", F.length("feats")), "feats")
 
 
 def _block_links(shared: DataFrame, component: DataFrame, feats: DataFrame, idf: Broadcast, similarity: float) -> DataFrame:
     """(a, b, similarity, ca, cb): links between the members of each bucket that are still in different components ca and cb.
 
     The leaders have met every member of their bucket.  All others meet, whether a leader matched
-    them or not; a bucket of more than ``BLOCK_MEMBERS`` is dealt in salted blocks.
+    them or not; a bucket of more than ``BLOCK_MEMBERS``, or of more than ``BLOCK_BYTES`` of features, is
+    dealt in salted blocks, at most one for each member.
     """
-    rest = shared.where("id <> l1 AND id <> l2").join(component, "id", "left").select("id", "bucket", F.coalesce("component", "id").alias("component"))
-    rest = materialize(rest, "unsettled")
-    open_ = rest.groupBy("bucket").agg(F.count("*").alias("n"), F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi")
-    open_ = materialize(open_.select("bucket", F.ceil(F.col("n") / BLOCK_MEMBERS).cast("int").alias("salts")), "open")
-    rest_open = rest.join(open_, "bucket").withColumn("salt", F.pmod(F.xxhash64("id"), "salts").cast("int"))
+    sizes = feats.groupBy("id").agg(F.sum("size").alias("size"))
+    rest = shared.where("id <> l1 AND id <> l2").join(component, "id", "left").join(sizes, "id")
+    rest = materialize(rest.select("id", "bucket", F.coalesce("component", "id").alias("component"), "size"), "unsettled")
+    stats = [F.count("*").alias("n"), F.sum("size").alias("bytes"), F.min("component").alias("lo"), F.max("component").alias("hi")]
+    open_ = rest.groupBy("bucket").agg(*stats).where("lo <> hi")
+    salts = F.least("n", F.ceil(F.greatest(F.col("n") / BLOCK_MEMBERS, F.col("bytes") / BLOCK_BYTES))).cast("int")
+    open_ = materialize(open_.select("bucket", salts.alias("salts")), "open")
+    rest_open = rest.drop("size").join(open_, "bucket").withColumn("salt", F.pmod(F.xxhash64("id"), "salts").cast("int"))
     others = rest_open.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)))
     others = materialize(others.select("bucket", F.least("salt", "other").alias("x"), F.greatest("salt", "other").alias("y"), "id", "component", "salt"), "members")
     dealt = others.join(feats, "id").select("bucket", "x", "y", "id", "component", "salt", "feats")

@@ -191,10 +191,11 @@ def test_large_group_of_near_copies_is_one_class(spark):
     assert got.where("doc_id >= 1000 AND class_size > 1").count() == 0
 
 
-@pytest.mark.parametrize("block", [256, 40])
-def test_pairs_within_a_large_family_of_lower_similarity(spark, monkeypatch, block):
+@pytest.mark.parametrize(("block", "size"), [(256, 1 << 22), (40, 1 << 22), (256, 50_000)])
+def test_pairs_within_a_large_family_of_lower_similarity(spark, monkeypatch, block, size):
     """Texts of one template are 0.7 to 0.75 alike, planted pairs of up to 0.95: every pair at 0.8 or more, by weights, is found, and no others."""
     monkeypatch.setattr(near_dup, "BLOCK_MEMBERS", block, raising=False)
+    monkeypatch.setattr(near_dup, "BLOCK_BYTES", size)
     rng = random.Random(8)
     template, texts = words(9, 300), {}
     for i in range(240):
@@ -211,7 +212,7 @@ def test_pairs_within_a_large_family_of_lower_similarity(spark, monkeypatch, blo
     sets = {i: {tuple(w[k : k + 5]) for k in range(len(w) - 4)} for i, w in texts.items()}
     df = spark.createDataFrame(rows, "doc_id long, text string")
     got = {r["doc_id"]: r["class_id"] for r in near_dup.near_dup_classes(df).collect()}
-    _, links = all_pairs_classes(texts, near_dup.idf_levels(df))
+    _, links = all_pairs_classes(dict(rows), near_dup.idf_levels(df))
     alike = lambda a, b: len(sets[a] & sets[b]) / len(sets[a] | sets[b])
     background = [alike(i, i + 1) for i in range(100, 239)]
     assert max(background) < 0.79 and sum(background) / len(background) > 0.6
