@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .divergence import MIN_DOCS, PRIOR, SCALE, TOP_TERMS, source_divergence
 from .embedding_dedup import near_vectors
 from .exact_dedup import exact_dedup
 from .licenses import LICENSES, SPELLINGS, scan_licenses
@@ -111,6 +112,10 @@ def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged.select("page_id", "host", "path", "rule", "verdict", F.round("score", 9).alias("score"))
 
 
+def op13_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return source_divergence(_table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Query] = {
     "op1_embedding_dedup": op1_embedding_dedup,
     "op2_mixing": op2_mixing,
@@ -122,6 +127,7 @@ QUERIES: dict[str, Query] = {
     "op8_licenses": op8_licenses,
     "op9_minhash_near_dup": op9_minhash_near_dup,
     "op10_url_filter": op10_url_filter,
+    "op13_source_divergence": op13_source_divergence,
 }
 
 _DOMAIN_SQL = "CASE " + " ".join(f"WHEN source IN ({', '.join(repr(x) for x in v)}) THEN '{k}'" for k, v in DOMAINS.items()) + " ELSE 'other' END"
@@ -209,7 +215,34 @@ _PII_SPANS_SQL = " UNION ALL ".join(
     for rank, (kind, pattern, valid) in enumerate(_PII_SQL)
 )
 
+_SHARE_SQL = f"CAST(1 + ({SCALE}::HUGEINT * ({{n}} + {PRIOR})) // nullif({{total}} + {PRIOR} * {{terms}}, 0) AS BIGINT)"
+
 ORACLE: dict[str, str] = {
+    "op13_source_divergence": rf"""
+        WITH docs AS (SELECT row_number() OVER () AS r, coalesce(lang, '') AS lang, coalesce(source, '') AS source, translate(coalesce(text, ''), {_UPPER_SQL}) AS t FROM documents),
+        occurrences AS MATERIALIZED (SELECT r, lang, source, unnest(regexp_extract_all(t, '[^\x00-\x40\x5B-\x60\x7B-\x7F]+')) AS term FROM docs),
+        kept AS MATERIALIZED (SELECT lang, term FROM occurrences GROUP BY lang, term HAVING count(DISTINCT r) >= {MIN_DOCS}),
+        counts AS MATERIALIZED (SELECT lang, source, term, count(*) AS n FROM occurrences SEMI JOIN kept USING (lang, term) GROUP BY ALL),
+        groups AS (SELECT DISTINCT lang, source FROM docs),
+        stats AS MATERIALIZED (
+            SELECT lang, source, coalesce(total, 0) AS total, coalesce(terms, 0) AS terms FROM groups
+            LEFT JOIN (SELECT lang, source, sum(n)::BIGINT AS total FROM counts GROUP BY ALL) USING (lang, source) LEFT JOIN (SELECT lang, count(*) AS terms FROM kept GROUP BY lang) USING (lang)
+        ),
+        shares AS MATERIALIZED (
+            SELECT lang, source, term, coalesce(n, 0) AS n, {_SHARE_SQL.format(n="coalesce(n, 0)", total="total", terms="terms")} AS p
+            FROM stats JOIN kept USING (lang) LEFT JOIN counts USING (lang, source, term)
+        ),
+        langs AS (SELECT lang, any_value(terms) AS terms, sum(total)::BIGINT AS total FROM stats GROUP BY lang),
+        overall AS (SELECT lang, term, {_SHARE_SQL.format(n="sum(n)::BIGINT", total="any_value(total)", terms="any_value(terms)")} AS q FROM counts JOIN langs USING (lang) GROUP BY lang, term),
+        sums AS (SELECT a.lang, a.source, b.source AS item, sum(abs(a.p - b.p))::BIGINT AS value FROM shares a JOIN shares b ON a.lang = b.lang AND a.term = b.term AND a.source <> b.source GROUP BY ALL),
+        pairs AS (SELECT a.lang, a.source, b.source AS item, coalesce(value, 0) AS value FROM groups a JOIN groups b ON a.lang = b.lang AND a.source <> b.source LEFT JOIN sums s ON s.lang = a.lang AND s.source = a.source AND s.item = b.source),
+        rows AS (
+            SELECT lang, source, 'pair' AS part, item, value FROM pairs
+            UNION ALL SELECT lang, source, 'term', term, p - q FROM shares JOIN overall USING (lang, term) WHERE n > 0 AND p > q
+        )
+        SELECT lang, source, part, item, value, CAST(row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item) AS INTEGER) AS rank FROM rows
+        QUALIFY part = 'pair' OR rank <= {TOP_TERMS}
+    """,
     "op4_pii": f"""
         WITH docs AS MATERIALIZED (SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS t FROM documents),
         base AS MATERIALIZED ({_PII_SPANS_SQL}),
