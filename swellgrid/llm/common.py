@@ -34,11 +34,11 @@ _ARROW_ROWS_KEY = "spark.sql.execution.arrow.maxRecordsPerBatch"
 
 
 @contextmanager
-def small_batches(spark: SparkSession) -> Iterator[None]:
-    """Within it, jobs exchange at most ``ARROW_ROWS`` rows at a time with Python; the setting is put back after."""
+def small_batches(spark: SparkSession, rows: int = ARROW_ROWS) -> Iterator[None]:
+    """Within it, jobs exchange at most ``rows`` rows at a time with Python; the setting is put back after."""
     before = spark.conf.get(_ARROW_ROWS_KEY)
     given = int(before)
-    spark.conf.set(_ARROW_ROWS_KEY, str(min(given, ARROW_ROWS) if given > 0 else ARROW_ROWS))
+    spark.conf.set(_ARROW_ROWS_KEY, str(min(given, rows) if given > 0 else rows))
     try:
         yield
     finally:

@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .decontamination import WINDOW, find_contamination
 from .divergence import MIN_DOCS, PRIOR, SCALE, TOP_TERMS, source_divergence
 from .embedding_dedup import near_vectors
 from .exact_dedup import exact_dedup
@@ -112,6 +113,16 @@ def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged.select("page_id", "host", "path", "rule", "verdict", F.round("score", 9).alias("score"))
 
 
+def op12_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = find_contamination(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+    n_hit = F.aggregate("spans", F.lit(0).cast("bigint"), lambda n, s: n + s["end"] - s["start"])
+    return found.select(
+        "doc_id", "n_words", n_hit.alias("n_hit"), F.size("items").cast("bigint").alias("n_items"),
+        F.sha2(F.array_join("items", ",").cast("binary"), 256).alias("items_sha256"), (n_hit > 0).alias("contaminated"),
+        F.array_join(F.transform("spans", lambda s: F.concat_ws(":", s["start"], s["end"])), ",").alias("spans"),
+    )
+
+
 def op13_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
     return source_divergence(_table(spark, sf_dir, "documents"))
 
@@ -127,6 +138,7 @@ QUERIES: dict[str, Query] = {
     "op8_licenses": op8_licenses,
     "op9_minhash_near_dup": op9_minhash_near_dup,
     "op10_url_filter": op10_url_filter,
+    "op12_decontamination": op12_decontamination,
     "op13_source_divergence": op13_source_divergence,
 }
 
@@ -215,9 +227,30 @@ _PII_SPANS_SQL = " UNION ALL ".join(
     for rank, (kind, pattern, valid) in enumerate(_PII_SQL)
 )
 
+_PLAIN_WORD_SQL = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 _SHARE_SQL = f"CAST(1 + ({SCALE}::HUGEINT * ({{n}} + {PRIOR})) // nullif({{total}} + {PRIOR} * {{terms}}, 0) AS BIGINT)"
 
 ORACLE: dict[str, str] = {
+    "op12_decontamination": rf"""
+        WITH docs AS MATERIALIZED (SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(translate(coalesce(text, ''), {_UPPER_SQL}), '{_PLAIN_WORD_SQL}') AS ws FROM documents),
+        items AS MATERIALIZED (SELECT item_id, regexp_extract_all(translate(coalesce(text, ''), {_UPPER_SQL}), '{_PLAIN_WORD_SQL}') AS ws FROM benchmark),
+        windows AS MATERIALIZED (
+            SELECT DISTINCT item_id, least(len(ws), {WINDOW}) AS size, array_to_string(ws[i:i + {WINDOW} - 1], ' ') AS phrase
+            FROM items, unnest(range(1, greatest(len(ws) - {WINDOW} + 2, 2))) AS places(i) WHERE len(ws) > 0
+        ),
+        sizes AS (SELECT DISTINCT size FROM windows),
+        places AS (SELECT r, i, size, array_to_string(ws[i:i + size - 1], ' ') AS phrase FROM docs, sizes, unnest(range(1, greatest(len(ws) - size + 2, 1))) AS places(i)),
+        hits AS MATERIALIZED (SELECT r, i, size, phrase FROM places SEMI JOIN windows USING (size, phrase)),
+        covered AS (SELECT DISTINCT r, w FROM hits, unnest(range(i, i + size)) AS words(w)),
+        counted AS (SELECT r, count(*) AS n_hit FROM covered GROUP BY r),
+        starts AS (SELECT r, w - 1 AS w, row_number() OVER (PARTITION BY r ORDER BY w) AS k FROM covered),
+        islands AS (SELECT r, min(w) AS a, max(w) + 1 AS b FROM starts GROUP BY r, w - k),
+        listed AS (SELECT r, string_agg(a || ':' || b, ',' ORDER BY a) AS spans FROM islands GROUP BY r),
+        named AS (SELECT r, count(DISTINCT item_id) AS n_items, string_agg(DISTINCT item_id::VARCHAR, ',' ORDER BY item_id::VARCHAR) AS ids FROM (SELECT DISTINCT r, size, phrase FROM hits) JOIN windows USING (size, phrase) GROUP BY r)
+        SELECT doc_id, len(ws)::BIGINT AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items, sha256(coalesce(ids, '')) AS items_sha256,
+               coalesce(n_hit, 0) > 0 AS contaminated, coalesce(spans, '') AS spans
+        FROM docs LEFT JOIN counted USING (r) LEFT JOIN listed USING (r) LEFT JOIN named USING (r)
+    """,
     "op13_source_divergence": rf"""
         WITH docs AS (SELECT row_number() OVER () AS r, coalesce(lang, '') AS lang, coalesce(source, '') AS source, translate(coalesce(text, ''), {_UPPER_SQL}) AS t FROM documents),
         occurrences AS MATERIALIZED (SELECT r, lang, source, unnest(regexp_extract_all(t, '[^\x00-\x40\x5B-\x60\x7B-\x7F]+')) AS term FROM docs),
