@@ -30,6 +30,8 @@ TERM_BYTES = byte_kinds([b for b in range(128) if not (65 <= b <= 90 or 97 <= b
 MIN_DOCS, TOP_TERMS, PRIOR, SCALE = 30, 50, 5, 1_000_000_000
 #: Bytes of the prefixes of the first level; each further level doubles them.
 FIRST_LEVEL = 4
+#: Bytes of text that are counted at a time.
+BLOCK_BYTES = 1 << 23
 #: Sources of a block, term rows of a bucket, terms of a dense piece of it.
 SOURCE_BLOCK, BUCKET_ROWS, PIECE_TERMS = 128, 50_000, 2048
 _END = pa.scalar(b"\0", pa.large_binary())
@@ -58,7 +60,7 @@ def _level(width: int, before: tuple[int, Bitmap] | None) -> Mapper:
     """Documents of each (language, prefix of ``width`` bytes) in a block, of terms whose shorter prefix may be left."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for block in text_blocks(batches):
+        for block in text_blocks(batches, limit=BLOCK_BYTES):
             words = split_words(block["text"], TERM_BYTES)
             langs = flat(block["lang"]).dictionary_encode()
             code = langs.indices.to_numpy(zero_copy_only=False).astype(np.int64)
@@ -113,7 +115,7 @@ def _occurrences(left: Bitmap) -> Mapper:
     """How often each term that may be kept occurs in each (language, source) of a block."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for block in text_blocks(batches):
+        for block in text_blocks(batches, limit=BLOCK_BYTES):
             words = split_words(block["text"], TERM_BYTES)
             langs, sources = (flat(block[c]).dictionary_encode() for c in ("lang", "source"))
             code, source = (x.indices.to_numpy(zero_copy_only=False).astype(np.int64) for x in (langs, sources))

@@ -7,6 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .collocations import ABSORBED, MAX_WORDS, MIN_COUNT, TOP, find_collocations
+from .collocations import SCALE as SCORE_SCALE
 from .decontamination import WINDOW, find_contamination
 from .divergence import MIN_DOCS, PRIOR, SCALE, TOP_TERMS, source_divergence
 from .embedding_dedup import near_vectors
@@ -113,6 +115,10 @@ def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged.select("page_id", "host", "path", "rule", "verdict", F.round("score", 9).alias("score"))
 
 
+def op11_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return find_collocations(_table(spark, sf_dir, "documents")).withColumn("rank", F.col("rank").cast("bigint"))
+
+
 def op12_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = find_contamination(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
     n_hit = F.aggregate("spans", F.lit(0).cast("bigint"), lambda n, s: n + s["end"] - s["start"])
@@ -138,6 +144,7 @@ QUERIES: dict[str, Query] = {
     "op8_licenses": op8_licenses,
     "op9_minhash_near_dup": op9_minhash_near_dup,
     "op10_url_filter": op10_url_filter,
+    "op11_collocations": op11_collocations,
     "op12_decontamination": op12_decontamination,
     "op13_source_divergence": op13_source_divergence,
 }
@@ -231,6 +238,23 @@ _PLAIN_WORD_SQL = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 _SHARE_SQL = f"CAST(1 + ({SCALE}::HUGEINT * ({{n}} + {PRIOR})) // nullif({{total}} + {PRIOR} * {{terms}}, 0) AS BIGINT)"
 
 ORACLE: dict[str, str] = {
+    "op11_collocations": rf"""
+        WITH pieces AS (SELECT coalesce(lang, 'und') AS lang, unnest(regexp_split_to_array(translate(coalesce(text, ''), {_UPPER_SQL}), '[.,;:!?\x0A-\x0D]')) AS p FROM documents),
+        listed AS MATERIALIZED (SELECT lang, regexp_extract_all(p, '[^\x20\x09]+') AS ws FROM pieces),
+        runs AS ({" UNION ALL ".join(f"SELECT lang, {k} AS size, unnest(list_transform(range(1, greatest(len(ws) - {k} + 2, 1)), lambda i: ws[i:i + {k - 1}])) AS words FROM listed" for k in range(1, MAX_WORDS + 1))}),
+        grams AS MATERIALIZED (SELECT lang, size, array_to_string(words, ' ') AS phrase, words, count(*) AS f FROM runs GROUP BY ALL),
+        totals AS (SELECT lang, sum(len(ws))::BIGINT AS n FROM listed GROUP BY lang),
+        candidates AS MATERIALIZED (SELECT * FROM grams WHERE size > 1 AND f >= {MIN_COUNT}),
+        cuts AS MATERIALIZED (SELECT lang, phrase, size, f AS a, k, array_to_string(words[:k], ' ') AS lp, array_to_string(words[k + 1:], ' ') AS rp FROM candidates, unnest(range(1, size)) AS places(k)),
+        parts AS MATERIALIZED (SELECT lang, phrase, f FROM grams WHERE size < {MAX_WORDS} AND f >= {MIN_COUNT}),
+        lefts AS MATERIALIZED (SELECT c.*, x.f AS l FROM cuts c JOIN parts x ON x.lang = c.lang AND x.phrase = c.lp),
+        scored AS MATERIALIZED (SELECT c.*, x.f AS r, ({SCORE_SCALE}::HUGEINT * a * a) // (l::HUGEINT * x.f) AS score FROM lefts c JOIN parts x ON x.lang = c.lang AND x.phrase = c.rp),
+        best AS (SELECT * FROM scored QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, k) = 1),
+        inner_phrases AS (SELECT lang, array_to_string(words[i:i + s - 1], ' ') AS phrase, max(f) AS f FROM candidates, unnest(range(2, size)) AS shorter(s), unnest(range(1, size - s + 2)) AS places(i) GROUP BY ALL)
+        SELECT b.lang, row_number() OVER (PARTITION BY b.lang ORDER BY score DESC, a DESC, b.phrase) AS rank, b.phrase, a, l, r, n, score::BIGINT AS score
+        FROM best b JOIN totals USING (lang) LEFT JOIN inner_phrases i ON i.lang = b.lang AND i.phrase = b.phrase
+        WHERE i.f IS NULL OR 100 * i.f < {ABSORBED} * a QUALIFY rank <= {TOP}
+    """,
     "op12_decontamination": rf"""
         WITH docs AS MATERIALIZED (SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(translate(coalesce(text, ''), {_UPPER_SQL}), '{_PLAIN_WORD_SQL}') AS ws FROM documents),
         items AS MATERIALIZED (SELECT item_id, regexp_extract_all(translate(coalesce(text, ''), {_UPPER_SQL}), '{_PLAIN_WORD_SQL}') AS ws FROM benchmark),
