@@ -65,15 +65,22 @@ def range_bounds(words: DataFrame, total: int, range_words: int = RANGE_WORDS) -
     step, place, bounds = sum(k for *_, k in drawn) / ranges, 0, []
     of_lang: dict[bytes, list[bytes]] = {}
     for lang, word, k in drawn:
-        of_lang.setdefault(lang, []).extend([word] * min(k, 4 * ranges))
+        of_lang.setdefault(lang, []).extend([word] * k)
     for lang, word, k in drawn:
         inside = [j for j in range(math.ceil(place / step), math.ceil((place + k) / step)) if j]
-        seconds = of_lang[lang]
-        bounds += [(lang, word) if i == 0 else (lang, word, seconds[i * len(seconds) // len(inside)]) for i in range(len(inside))]
+        bounds += [(lang, word) if i == 0 else (lang, word, _other(of_lang[lang], word, i / len(inside))) for i in range(len(inside))]
         place += k
     return sorted(set(bounds))
 
 
+def _other(words: list[bytes], word: bytes, share: float) -> bytes:
+    """The word that ``share`` of the sorted ``words`` other than ``word``, which seldom follows itself, are below."""
+    low, high = bisect_left(words, word), bisect_right(words, word)
+    i = int(share * (len(words) - high + low))
+    i += high - low if i >= low else 0
+    return words[min(i, len(words) - 1)]
+
+
 def _gram_builder(size: int, shorter: Bitmap, bounds: Bounds) -> Mapper:
     """Automata of the n-grams of ``size`` words (and of single words, at two) of each block, language and range."""
 

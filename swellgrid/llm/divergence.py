@@ -151,52 +151,56 @@ def share(count: Column | str, total: str, terms: str) -> Column:
     return F.call_function("div", F.lit(SCALE).cast("decimal(10,0)") * (count + PRIOR).cast("decimal(19,0)"), F.nullif(F.col(total) + PRIOR * F.col(terms), F.lit(0)).cast("decimal(19,0)")) + 1
 
 
-def _pair_sums(table: pa.Table) -> pa.Table:
+def _pair_sums(source_block: int) -> Callable[[pa.Table], pa.Table]:
     """Sums of |p - q| over the terms of one bucket, for the pairs of sources of two blocks, and the number of terms.
 
     A row is a source, a term of it and its p; a row without a term has the p of all terms that a source lacks.
     """
-    lang, i, j = (table.column(c)[0].as_py() for c in ("lang", "i", "j"))
-    source, p = table["place"].to_numpy(), table["p"].to_numpy()
-    coded = flat(table["term"]).dictionary_encode()
-    term = coded.indices.fill_null(-1).to_numpy(zero_copy_only=False)
-    sides = []
-    for block in (i, j):
-        own = np.flatnonzero((source >= block * SOURCE_BLOCK) & (source < (block + 1) * SOURCE_BLOCK))
-        base = own[term[own] < 0]
-        base = base[np.argsort(source[base])]
-        rows = own[term[own] >= 0]
-        rows = rows[np.argsort(term[rows], kind="stable")]
-        sides.append((source[base], p[base], np.searchsorted(source[base], source[rows]), term[rows], p[rows]))
-    total = np.zeros((len(sides[0][0]), len(sides[1][0])), np.int64)
-    n_terms = len(coded.dictionary)
-    for low in range(0, n_terms, PIECE_TERMS):
-        high = min(n_terms, low + PIECE_TERMS)
-        dense = []
-        for _, base, at, t, value in sides:
-            a, b = np.searchsorted(t, [low, high])
-            m = np.repeat(base[:, None], high - low, axis=1)
-            m[at[a:b], t[a:b] - low] = value[a:b]
-            dense.append(m)
-        for k, row in enumerate(dense[0]):
-            total[k] += np.abs(dense[1] - row).sum(axis=1)
-    a, b = (x.ravel() for x in np.meshgrid(sides[0][0], sides[1][0], indexing="ij"))
-    once = a < b
-    n = int(once.sum())
-    return pa.table({"lang": pa.array([lang] * n, pa.string()), "a": pa.array(a[once], pa.int32()), "b": pa.array(b[once], pa.int32()), "s": total.ravel()[once], "t": np.full(n, n_terms, np.int64)})
-
-
-def _pairs(counts: DataFrame, stats: DataFrame) -> DataFrame:
+
+    def sums(table: pa.Table) -> pa.Table:
+        lang, i, j = (table.column(c)[0].as_py() for c in ("lang", "i", "j"))
+        source, p = table["place"].to_numpy(), table["p"].to_numpy()
+        coded = flat(table["term"]).dictionary_encode()
+        term = coded.indices.fill_null(-1).to_numpy(zero_copy_only=False)
+        sides = []
+        for block in (i, j):
+            own = np.flatnonzero((source >= block * source_block) & (source < (block + 1) * source_block))
+            base = own[term[own] < 0]
+            base = base[np.argsort(source[base])]
+            rows = own[term[own] >= 0]
+            rows = rows[np.argsort(term[rows], kind="stable")]
+            sides.append((source[base], p[base], np.searchsorted(source[base], source[rows]), term[rows], p[rows]))
+        total = np.zeros((len(sides[0][0]), len(sides[1][0])), np.int64)
+        n_terms = len(coded.dictionary)
+        for low in range(0, n_terms, PIECE_TERMS):
+            high = min(n_terms, low + PIECE_TERMS)
+            dense = []
+            for _, base, at, t, value in sides:
+                a, b = np.searchsorted(t, [low, high])
+                m = np.repeat(base[:, None], high - low, axis=1)
+                m[at[a:b], t[a:b] - low] = value[a:b]
+                dense.append(m)
+            for k, row in enumerate(dense[0]):
+                total[k] += np.abs(dense[1] - row).sum(axis=1)
+        a, b = (x.ravel() for x in np.meshgrid(sides[0][0], sides[1][0], indexing="ij"))
+        once = a < b
+        n = int(once.sum())
+        return pa.table({"lang": pa.array([lang] * n, pa.string()), "a": pa.array(a[once], pa.int32()), "b": pa.array(b[once], pa.int32()), "s": total.ravel()[once], "t": np.full(n, n_terms, np.int64)})
+
+    return sums
+
+
+def _pairs(counts: DataFrame, stats: DataFrame, source_block: int) -> DataFrame:
     """(lang, source, item, value) for all ordered pairs of sources of a language."""
     buckets = max(1, math.ceil(counts.count() / BUCKET_ROWS))
-    own = F.floor(F.col("place") / SOURCE_BLOCK).cast("int")
-    blocks = F.explode(F.sequence(F.lit(0), F.floor((F.col("sources") - 1) / SOURCE_BLOCK).cast("int")))
+    own = F.floor(F.col("place") / source_block).cast("int")
+    blocks = F.explode(F.sequence(F.lit(0), F.floor((F.col("sources") - 1) / source_block).cast("int")))
     # A source meets its whole language: a row goes to one group for each block of sources.
     terms = counts.join(stats, ["lang", "source"]).select("lang", "place", "sources", "term", share("n", "total", "terms").alias("p"), F.pmod(F.xxhash64("term"), F.lit(buckets)).cast("int").alias("bucket"))
     rest = stats.select("lang", "place", "sources", F.lit(None).cast("string").alias("term"), F.coalesce("p0", F.lit(0).cast("bigint")).alias("p"), F.explode(F.sequence(F.lit(0), F.lit(buckets - 1))).alias("bucket"))
     dealt = terms.unionByName(rest).select("lang", "place", "term", "p", "bucket", own.alias("own"), blocks.alias("other"))
     dealt = dealt.select("lang", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "bucket", "place", "term", "p")
-    sums = dealt.groupBy("lang", "i", "j", "bucket").applyInArrow(_pair_sums, "lang string, a int, b int, s long, t long")
+    sums = dealt.groupBy("lang", "i", "j", "bucket").applyInArrow(_pair_sums(source_block), "lang string, a int, b int, s long, t long")
     sums = sums.groupBy("lang", "a", "b").agg(F.sum("s").alias("s"), F.sum("t").alias("t"))
     side = {k: stats.select("lang", F.col("place").alias(k), F.col("source").alias(f"source_{k}"), F.coalesce("p0", F.lit(0).cast("bigint")).alias(f"p_{k}"), *(["terms"] if k == "a" else [])) for k in "ab"}
     named = sums.join(side["a"], ["lang", "a"]).join(side["b"], ["lang", "b"])
@@ -205,7 +209,7 @@ def _pairs(counts: DataFrame, stats: DataFrame) -> DataFrame:
     return named.withColumn("value", value).select("lang", "value", both).select("lang", "source", "item", "value")
 
 
-def source_divergence(docs: DataFrame, min_docs: int = MIN_DOCS, top_terms: int = TOP_TERMS, lang_col: str = "lang", source_col: str = "source", text_col: str = "text") -> DataFrame:
+def source_divergence(docs: DataFrame, min_docs: int = MIN_DOCS, top_terms: int = TOP_TERMS, lang_col: str = "lang", source_col: str = "source", text_col: str = "text", source_block: int = SOURCE_BLOCK) -> DataFrame:
     """(lang, source, part, item, value, rank): how far each source is from the others of its language, and by which terms.
 
     Part ``pair``: ``item`` is another source of the language, ``value`` the sum of |p - q| over all kept terms.  Part ``term``: ``item`` is a
@@ -225,7 +229,7 @@ def source_divergence(docs: DataFrame, min_docs: int = MIN_DOCS, top_terms: int
     sources = Window.partitionBy("lang")  # as many rows as the language has sources
     groups = groups.withColumns({"place": F.row_number().over(sources.orderBy("source")) - 1, "sources": F.count("*").over(sources), "p0": share(F.lit(0), "total", "terms")})
     stats = materialize(groups, "source-stats")
-    pairs = _pairs(counts, stats)
+    pairs = _pairs(counts, stats, source_block)
     rank = F.row_number().over(Window.partitionBy("lang", "source").orderBy(F.col("value").desc(), "item"))
     pairs = pairs.withColumn("rank", rank).withColumn("part", F.lit("pair"))
     whole = stats.groupBy("lang").agg(F.sum("total").alias("lang_total"))
