@@ -6,6 +6,7 @@ same arcs, outputs included, are one state.  Arcs are kept by depth, those of a
 
 from __future__ import annotations
 
+import math
 import zlib
 from dataclasses import dataclass
 
@@ -48,6 +49,25 @@ def summed(columns: list[np.ndarray], counts: np.ndarray) -> tuple[list[np.ndarr
     return [c[order[first]] for c in columns], np.add.reduceat(counts[order], first) if len(first) else counts[:0]
 
 
+def counted(columns: list[np.ndarray]) -> tuple[list[np.ndarray], np.ndarray]:
+    """Distinct rows, sorted, and how often each occurs; values are at least 0."""
+    radix = [int(c.max(initial=0)) + 1 for c in columns]
+    if math.prod(radix) >= 1 << 62:
+        return summed(columns, np.ones(len(columns[0]), np.int64))
+    key = columns[0].astype(np.int64)
+    for c, r in zip(columns[1:], radix[1:], strict=True):
+        key *= r
+        key += c
+    key.sort()
+    first = np.flatnonzero(np.concatenate([np.ones(min(1, len(key)), bool), key[1:] != key[:-1]]))
+    counts, key = np.diff(np.append(first, len(key))), key[first]
+    out = []
+    for r in radix[:0:-1]:
+        key, c = np.divmod(key, r)
+        out.append(c)
+    return [key, *out[::-1]], counts
+
+
 def build(columns: list[np.ndarray], counts: np.ndarray) -> list[Level]:
     """Automaton of distinct n-grams in sorted order: label columns by place, -1 beyond the end of a shorter n-gram.
 
@@ -165,6 +185,21 @@ def unpack(data: bytes) -> tuple[list[Level], pa.Array]:
     return [Level(*arrays[4 * i : 4 * i + 4]) for i in range(head[0])], pa.array(text.split(b" "), pa.large_binary())
 
 
+def relabelled(columns: list[np.ndarray], words: pa.Array, by_bytes: bool = True) -> tuple[list[np.ndarray], pa.Array]:
+    """Label columns over only those words that they use, in the order of their bytes or, if that is theirs already, as they are."""
+    used = np.zeros(len(words) + 1, bool)
+    for c in columns:
+        used[c] = True  # -1, beyond the end of a shorter n-gram, is the last place
+    used = np.flatnonzero(used[:-1])
+    kept, place = words.take(pa.array(used)), np.full(len(words) + 1, -1, np.int64)
+    place[used] = np.arange(len(used))
+    if by_bytes:
+        order = pc.sort_indices(kept)
+        place[used[order.to_numpy(zero_copy_only=False)]] = np.arange(len(used))
+        kept = kept.take(order)
+    return [place[c] for c in columns], kept
+
+
 def common_labels(parts: list[tuple[list[np.ndarray], np.ndarray, pa.Array]]) -> tuple[list[np.ndarray], np.ndarray, pa.Array]:
     """N-grams of several vocabularies over one sorted vocabulary: label columns, counts, words."""
     words = pa.concat_arrays([p[2] for p in parts]).dictionary_encode()

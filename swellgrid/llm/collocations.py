@@ -21,15 +21,17 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .automaton import build, common_labels, lookup, pack, paths, summed, unpack
+from .automaton import build, common_labels, counted, lookup, pack, paths, relabelled, summed, unpack
 from .common import materialize, quoted, small_batches
 from .words import Bitmap, bitmap, byte_kinds, chained, flat, hashes, split_words, text_blocks
 
 #: Fixed value: blanks part words, stops part pieces too.
 PIECE_BYTES = byte_kinds(b"\x20\x09", b".,;:!?\x0a\x0b\x0c\x0d")
 MIN_COUNT, MAX_WORDS, TOP, SCALE, ABSORBED = 10, 3, 2000, 1_000_000, 50
+#: Bytes of text of which automata are built.
+BLOCK_BYTES = 1 << 23
 #: Words of a prefix range, and the most ranges; automata that are read at a time; n-grams that are held before they are summed.
-RANGE_WORDS, MAX_RANGES, AUTOMATA_ROWS, HELD_GRAMS = 1 << 20, 1 << 16, 64, 1 << 22
+RANGE_WORDS, MAX_RANGES, AUTOMATA_ROWS, HELD_GRAMS = 1 << 20, 1 << 16, 64, 1 << 21
 _AUTOMATA = "range int, lang string, automaton binary"
 
 Mapper = Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]
@@ -38,13 +40,13 @@ Bounds = list[tuple[bytes, ...]]
 
 def _word_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(lang, word, n) of a block, and (lang, null, n) for all its words."""
-    for block in text_blocks(batches):
+    for block in text_blocks(batches, limit=BLOCK_BYTES):
         words = split_words(block["text"], PIECE_BYTES)
         langs = flat(block["lang"]).dictionary_encode()
         code = langs.indices.to_numpy(zero_copy_only=False).astype(np.int64)[words.text_of()]
         if not len(code):
             continue
-        (lang, word), n = summed([code, words.ids.astype(np.int64)], np.ones(len(code), np.int64))
+        (lang, word), n = counted([code, words.ids])
         total = np.bincount(code, minlength=len(langs.dictionary))
         yield pa.RecordBatch.from_arrays([langs.dictionary.take(pa.array(lang)), words.vocabulary.take(pa.array(word)).cast(pa.string()), pa.array(n)], names=["lang", "word", "n"])
         yield pa.RecordBatch.from_arrays([langs.dictionary, pa.nulls(len(total), pa.string()), pa.array(total)], names=["lang", "word", "n"])
@@ -85,11 +87,11 @@ def _gram_builder(size: int, shorter: Bitmap, bounds: Bounds) -> Mapper:
     """Automata of the n-grams of ``size`` words (and of single words, at two) of each block, language and range."""
 
     def grams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for block in text_blocks(batches):
+        for block in text_blocks(batches, limit=BLOCK_BYTES):
             words = split_words(block["text"], PIECE_BYTES)
             langs = flat(block["lang"]).dictionary_encode()
             code = langs.indices.to_numpy(zero_copy_only=False).astype(np.int64)[words.text_of()]
-            ids = words.ids.astype(np.int64)
+            ids = words.ids
             own = hashes(words.vocabulary)[ids]
             h = chained(hashes(langs.dictionary)[code], own)
             for k in range(1, size - 1):
@@ -100,15 +102,14 @@ def _gram_builder(size: int, shorter: Bitmap, bounds: Bounds) -> Mapper:
             may = shorter.may_hold(h)
             n = max(n, 0)
             at = np.flatnonzero(may[:n] & may[1 : n + 1] & (words.piece[:n] == words.piece[size - 1 : size - 1 + n]))
-            columns = [code[at], *(ids[at + k] for k in range(size))]
+            columns, counts = counted([code[at], *(ids[at + k] for k in range(size))])
             if size == 2:
-                one = np.flatnonzero(may)
-                columns = [np.concatenate(c) for c in zip(columns, [code[one], ids[one], np.full(len(one), -1, np.int64)], strict=True)]
-            if not len(columns[0]):
+                one, n_one = counted([code[may], ids[may]])
+                columns = [np.concatenate(c) for c in zip(columns, [*one, np.full(len(n_one), -1, np.int64)], strict=True)]
+                counts = np.concatenate([counts, n_one])
+            if not len(counts):
                 continue
-            used = np.unique(np.concatenate(columns[1:]))
-            used = used[used >= 0]
-            named, counts, vocabulary = common_labels([([_place(used, c) for c in columns[1:]], np.ones(len(columns[0]), np.int64), words.vocabulary.take(pa.array(used)))])
+            named, vocabulary = relabelled(columns[1:], words.vocabulary)
             (lang, *named), counts = summed([columns[0], *named], counts)
             text = vocabulary.to_pylist()
             edges = np.searchsorted(lang, np.arange(len(langs.dictionary) + 1)).tolist()
@@ -118,10 +119,6 @@ def _gram_builder(size: int, shorter: Bitmap, bounds: Bounds) -> Mapper:
     return grams
 
 
-def _place(sorted_: np.ndarray, values: np.ndarray) -> np.ndarray:
-    return np.where(values < 0, -1, np.searchsorted(sorted_, values))
-
-
 def _in_ranges(lang: str, columns: list[np.ndarray], counts: np.ndarray, text: list[bytes], vocabulary: pa.Array, low: int, high: int, bounds: Bounds) -> Iterator[pa.RecordBatch]:
     """An automaton for each range that rows ``low`` to ``high``, which are sorted, reach into."""
     key = lang.encode()
@@ -133,10 +130,8 @@ def _in_ranges(lang: str, columns: list[np.ndarray], counts: np.ndarray, text: l
     while low < high:
         cut = bisect_left(range(high), bounds[range_], low, high, key=prefix) if range_ < last else high
         if cut > low:
-            part = [c[low:cut] for c in columns]
-            used = np.unique(np.concatenate(part))
-            used = used[used >= 0]
-            data = pack(build([_place(used, c) for c in part], counts[low:cut]), vocabulary.take(pa.array(used)))
+            part, words = relabelled([c[low:cut] for c in columns], vocabulary, by_bytes=False)
+            data = pack(build(part, counts[low:cut]), words)
             yield pa.RecordBatch.from_arrays([pa.array([range_], pa.int32()), pa.array([lang]), pa.array([data], pa.binary())], names=["range", "lang", "automaton"])
         low, range_ = cut, range_ + 1
 
@@ -170,9 +165,8 @@ def _united(group: tuple[int, str] | None, held: list, least: int) -> Iterator[p
     columns, counts = summed(columns, counts)
     columns, counts = [c[counts >= least] for c in columns], counts[counts >= least]
     if len(counts):
-        used = np.unique(np.concatenate(columns))
-        used = used[used >= 0]
-        data = pack(build([_place(used, c) for c in columns], counts), words.take(pa.array(used)))
+        columns, words = relabelled(columns, words, by_bytes=False)
+        data = pack(build(columns, counts), words)
         yield pa.RecordBatch.from_arrays([pa.array([group[0]], pa.int32()), pa.array([group[1]]), pa.array([data], pa.binary())], names=["range", "lang", "automaton"])
 
 
