@@ -430,35 +430,47 @@ def processing_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select(*[rounded(c).alias(c) if c in soft else c for c in out.columns])
 
 
+def _streamed(spark: SparkSession, name: str, drops: list[DataFrame], order: list[str]) -> DataFrame:
+    """The table after as many runs of the ingest as there are drops, each of which adds its files to those before."""
+    base = f"{_scratch(spark)}/{name}-{uuid.uuid4().hex}"
+    for rows in drops:
+        rows.write.mode("append").parquet(f"{base}/raw")
+        stream_ingest(spark, f"{base}/raw", f"{base}/clean", f"{base}/ledger", rows.schema, order=order)
+    return spark.read.parquet(f"{base}/clean")
+
+
+_MIDDLE = "TIMESTAMP_NTZ'1998-07-01 00:00:00'"
+
+
 @register(_with("SELECT time, latitude, longitude, VHM0, VTM02 FROM obs"))
 def incremental_ingest(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Raw files in two drops, streamed to a table by two runs; the second run only takes the second drop.
-
-    The overlap within the raw data is settled before, so that the rows kept don't depend on arrival.
-    """
-    base = f"{_scratch(spark)}/ingest-{uuid.uuid4().hex}"
+    """Files in two drops, streamed to a table by two runs; the second run only takes the second drop."""
     clean = observations(spark, sf_dir, "VHM0", "VTM02").select(*KEYS, "VHM0", "VTM02")
-    halves = [clean.where("time < TIMESTAMP_NTZ'1998-07-01 00:00:00'"), clean.where("time >= TIMESTAMP_NTZ'1998-07-01 00:00:00'")]
-    for half in halves:
-        half.write.mode("append").parquet(f"{base}/raw")
-        stream_ingest(spark, f"{base}/raw", f"{base}/clean", f"{base}/ledger", clean.schema)
-    out = spark.read.parquet(f"{base}/clean")
-    return out.select(F.col("time").cast("timestamp_ntz").alias("time"), *CELL, "VHM0", "VTM02")
+    return _streamed(spark, "ingest", [clean.where(f"time < {_MIDDLE}"), clean.where(f"time >= {_MIDDLE}")], []).select(clean.columns)
 
 
 @register(_with("SELECT DISTINCT time, latitude, longitude FROM raw"))
 def stream_overlaps(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Raw files, with their repeated keys, in two drops of which the second brings the last month of the first again.
 
-    The stream drops what it has seen, within a drop and across both; which of several rows stays depends on arrival,
-    so only the keys are returned.
+    Without an order among rows the first to arrive stays, so only the keys are returned.
     """
-    base = f"{_scratch(spark)}/overlap-{uuid.uuid4().hex}"
     rows = raw(spark, sf_dir).select(*KEYS, "VHM0")
-    for part in (rows.where("time < TIMESTAMP_NTZ'1998-07-01 00:00:00'"), rows.where("time >= TIMESTAMP_NTZ'1998-06-01 00:00:00'")):
-        part.write.mode("append").parquet(f"{base}/raw")
-        stream_ingest(spark, f"{base}/raw", f"{base}/clean", f"{base}/ledger", rows.schema)
-    return spark.read.parquet(f"{base}/clean").select(F.col("time").cast("timestamp_ntz").alias("time"), *CELL)
+    return _streamed(spark, "overlap", [rows.where(f"time < {_MIDDLE}"), rows.where("time >= TIMESTAMP_NTZ'1998-06-01 00:00:00'")], []).select(*KEYS)
+
+
+@register(_with("SELECT time, latitude, longitude, VHM0, VTM02, VTPK FROM obs"))
+def late_and_retried_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Raw files out of order: the later years first, then the earlier ones, each short of the rows whose order key is a multiple of
+    three, and these at last together with a whole quarter that has been delivered before.
+
+    Rows of one time and cell so arrive in different runs, and the one that counts often comes last.
+    """
+    rows = raw(spark, sf_dir).select(*KEYS, "VHM0", "VTM02", "VTPK", *TIE_BREAK)
+    third = "l_orderkey % 3 = 0"
+    retried = "time >= TIMESTAMP_NTZ'1996-01-01 00:00:00' AND time < TIMESTAMP_NTZ'1996-04-01 00:00:00'"
+    drops = [rows.where(f"time >= {_MIDDLE} AND NOT {third}"), rows.where(f"time < {_MIDDLE} AND NOT {third}"), rows.where(f"{third} OR {retried}")]
+    return _streamed(spark, "late", drops, TIE_BREAK).select(*KEYS, "VHM0", "VTM02", "VTPK")
 
 
 @register(_with(f"SELECT time, latitude, longitude, VHM0, VTM02 FROM obs WHERE {_BOX_SQL} AND time BETWEEN TIMESTAMP '1996-01-01' AND TIMESTAMP '1998-12-31'"))

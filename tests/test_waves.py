@@ -215,6 +215,75 @@ def test_stream_ingest_takes_each_file_once(spark, tmp_path):
     assert got.where("VHM0 IS NULL").count() == 1
 
 
+STREAM = "time timestamp_ntz, latitude double, longitude double, VHM0 double, o int"
+
+
+def month_rows(month, days=range(1, 11), o=1, height=1.0, lat=46.0):
+    return [(datetime(2020, month, d), lat, -130.0, height, o) for d in days]
+
+
+def run_drops(spark, tmp_path, drops, order=("o",), **options):
+    from swellgrid.streaming.ingest import ingest as run
+
+    source, target, ledger = (str(tmp_path / n) for n in ("raw", "clean", "ledger"))
+    for rows in drops:
+        part = frame(spark, rows, STREAM)
+        part.coalesce(1).write.mode("append").parquet(source)
+        run(spark, source, target, ledger, part.schema, order=order, **options)
+    return sorted(tuple(r) for r in spark.read.parquet(target).select("time", "latitude", "longitude", "VHM0", "o").collect())
+
+
+def test_late_and_retried_files_lose_no_row(spark, tmp_path):
+    june, january, march = month_rows(6), month_rows(1), month_rows(3)
+    got = run_drops(spark, tmp_path, [june, january, march[:4], march])
+    assert got == sorted(june + january + march)
+
+
+def test_the_least_row_stays_whenever_it_comes(spark, tmp_path):
+    first, better, worse = month_rows(6, o=5), month_rows(6, range(3, 7), o=2, height=2.0), month_rows(6, range(5, 9), o=9, height=9.0)
+    got = run_drops(spark, tmp_path, [first, worse, better, worse + better + first])
+    assert got == sorted(first[:2] + better + first[6:])
+
+
+def test_without_an_order_the_first_to_arrive_stays(spark, tmp_path):
+    assert run_drops(spark, tmp_path, [month_rows(6, o=5), month_rows(6, o=2), month_rows(7, o=1)], order=()) == sorted(month_rows(6, o=5) + month_rows(7, o=1))
+
+
+def test_rows_without_a_key_or_outside_the_box_go(spark, tmp_path):
+    rows = [*month_rows(6), (None, 46.0, -130.0, 1.0, 1), (datetime(2020, 6, 1), None, -130.0, 1.0, 1), *month_rows(6, lat=10.0)]
+    box = {"min_lat": 45.0, "max_lat": 50.0, "min_lon": -131.0, "max_lon": -129.0}
+    assert run_drops(spark, tmp_path, [rows, month_rows(6, range(20, 21), lat=9.0)], box=box) == sorted(month_rows(6))
+
+
+def test_a_batch_that_died_while_months_were_moved_is_finished(spark, tmp_path):
+    from swellgrid.streaming.ingest import MonthTable, upsert
+
+    table = MonthTable(spark, str(tmp_path / "clean"))
+    old, new = frame(spark, month_rows(1) + month_rows(2), STREAM), frame(spark, month_rows(1, range(8, 13), o=0) + month_rows(2, range(20, 22)), STREAM)
+    upsert(old, 0, table, ["o"])
+    real = table.replace
+    table.replace = lambda batch: None  # dies before it moves anything
+    upsert(new, 1, table, ["o"])
+    assert table.is_staged(1)
+    table._fs.delete(table._hadoop_path(f"{table.path}/year=2020/month=1"), True)
+    table._fs.rename(table._hadoop_path(f"{table.staged(1)}/year=2020/month=1"), table._hadoop_path(f"{table.path}/year=2020/month=1"))
+    table._fs.delete(table._hadoop_path(f"{table.path}/year=2020/month=2"), True)  # dies between deletion and move
+    table.replace = real
+    for _ in range(2):
+        upsert(new, 1, table, ["o"])
+        got = sorted(tuple(r) for r in table.read(new.schema).collect())
+        assert got == sorted(month_rows(1, range(1, 8)) + month_rows(1, range(8, 13), o=0) + month_rows(2) + month_rows(2, range(20, 22)))
+    assert table.months() == [(2020, 1), (2020, 2)]
+
+
+def test_only_touched_months_are_rewritten(spark, tmp_path):
+    run_drops(spark, tmp_path, [month_rows(1) + month_rows(2)])
+    before = {p: p.stat().st_mtime_ns for p in (tmp_path / "clean").rglob("part-*.parquet")}
+    run_drops(spark, tmp_path, [month_rows(2, range(25, 27))])
+    after = {p: p.stat().st_mtime_ns for p in (tmp_path / "clean").rglob("part-*.parquet")}
+    assert {p for p in before if after.get(p) == before[p]} == {p for p in before if "month=1" in str(p)}
+
+
 def test_extreme_events_and_folds(spark):
     rows = [(datetime(2020, 1, d), 46.0, -130.0, 10.0 if d in (5, 6, 20) else 1.0) for d in range(1, 29)]
     df = frame(spark, rows, "time timestamp_ntz, latitude double, longitude double, x double")
