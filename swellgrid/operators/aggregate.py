@@ -116,11 +116,6 @@ def order_statistics(df: DataFrame, value: str, places: Sequence[int], bins: int
     return {k: s[0] for k, s in at.items()}
 
 
-def order_statistic(df: DataFrame, value: str, k: int, bins: int = 4096) -> float:
-    """Exact value at place ``k`` (from 0) of the sorted non-null values of a double column."""
-    return order_statistics(df, value, [k], bins)[k]
-
-
 def order_percentiles(df: DataFrame, value: str, points: Sequence[float]) -> dict[float, float | None]:
     """Exact percentiles with linear interpolation over a whole table; None without values."""
     n = df.agg(F.count(value)).first()[0]

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..schema import KEYS
@@ -22,18 +22,33 @@ def dedup_observations(df: DataFrame, order: Sequence[str] = (), keys: Sequence[
     return first.select(*keys, *[F.col(f"first_.{c}").alias(c) for c in rest if c not in order])
 
 
+def _unit_start(first: Column, k: Column) -> Column:
+    """Start of the k-th unit: the first one's own, later ones on its day but no later than the 28th."""
+    clamped = F.when(F.day(first) > 28, first - F.make_interval(days=F.day(first) - 28)).otherwise(first)
+    return F.when(k == 0, first).otherwise(clamped + F.make_interval(months=k))
+
+
+def _unit_name(start: Column, end: Column) -> Column:
+    return F.concat_ws("_", F.date_format(start, "yyyyMMdd"), F.date_format(end, "yyyyMMdd"))
+
+
 def chunk_plan(spark: SparkSession, start: str, end: str) -> DataFrame:
     """Monthly work units from ``start`` to ``end``: the day is kept up to the 28th, the last unit ends at ``end``."""
     first = F.lit(start).cast("timestamp_ntz")
     last = F.lit(end).cast("timestamp_ntz")
     months = F.sequence(F.lit(0), F.months_between(F.trunc(last, "month"), F.trunc(first, "month")).cast("int"))
-    clamped = F.when(F.day(first) > 28, first - F.make_interval(days=F.day(first) - 28)).otherwise(first)
-    at = F.when(F.col("m") == 0, first).otherwise(clamped + F.make_interval(months=F.col("m")))
-    starts = spark.range(1).select(F.explode(months).alias("m"), last.alias("last")).withColumn("chunk_start", at).where("chunk_start < last")
+    starts = spark.range(1).select(F.explode(months).alias("m"), last.alias("last")).withColumn("chunk_start", _unit_start(first, F.col("m"))).where("chunk_start < last")
     following = F.lead("chunk_start").over(Window.orderBy("chunk_start"))  # a few hundred rows: one per month
     plan = starts.withColumn("chunk_end", F.coalesce(following, "last"))
-    name = F.concat_ws("_", F.date_format("chunk_start", "yyyyMMdd"), F.date_format("chunk_end", "yyyyMMdd"))
-    return plan.select(name.alias("chunk_name"), "chunk_start", "chunk_end")
+    return plan.select(_unit_name(F.col("chunk_start"), F.col("chunk_end")).alias("chunk_name"), "chunk_start", "chunk_end")
+
+
+def unit_of(time: Column, start: str, end: str) -> Column:
+    """Name of the work unit of ``chunk_plan(start, end)`` that a time falls in, by arithmetic; null outside the plan."""
+    first, last = F.lit(start).cast("timestamp_ntz"), F.lit(end).cast("timestamp_ntz")
+    month = (F.year(time) - F.year(first)) * 12 + F.month(time) - F.month(first)
+    k = F.when(time < _unit_start(first, month), month - 1).otherwise(month)
+    return F.when((time >= first) & (time < last), _unit_name(_unit_start(first, k), F.least(_unit_start(first, k + 1), last)))
 
 
 def pending_chunks(plan: DataFrame, ledger: DataFrame) -> DataFrame:

@@ -11,7 +11,7 @@ import tempfile
 import uuid
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.calendar import coordinate_label, display, file_name, iso_date, parse_time
@@ -19,6 +19,7 @@ from ..functions.flux import KW_COEFFICIENT, device_revenue, flux_coefficient, p
 from ..operators import aggregate, ingest, quality, sites
 from ..schema import CELL, KEYS, QUALITY_LIMITS, STUDY_AREA, VARIABLES
 from ..sources import observations as obs_source
+from ..sources.inventory import landed_files, landed_units, unit_name
 from ..sources.observations import TIE_BREAK, in_box, in_period, wave_view
 from ..streaming.ingest import ingest as stream_ingest
 from . import forecast
@@ -387,10 +388,14 @@ def dedup_observations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return observations(spark, sf_dir, "VHM0", "VTM02", "VTPK").select(*KEYS, "VHM0", "VTM02", "VTPK")
 
 
+def _period(spark: SparkSession, sf_dir: str) -> tuple[str, str]:
+    """First and last time of all observations."""
+    return tuple(raw(spark, sf_dir).agg(F.min("time").cast("string"), F.max("time").cast("string")).first())
+
+
 def _plan(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Work units from the first to the last observation."""
-    low, high = raw(spark, sf_dir).agg(F.min("time").cast("string"), F.max("time").cast("string")).first()
-    return ingest.chunk_plan(spark, low, high)
+    return ingest.chunk_plan(spark, *_period(spark, sf_dir))
 
 
 _PLAN_SQL = """, lim AS (SELECT min(time) AS a, max(time) AS b FROM raw),
@@ -406,13 +411,28 @@ def chunk_plan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _plan(spark, sf_dir)
 
 
+_STORMS_SQL = "SELECT * FROM raw JOIN named ON time >= chunk_start AND time < chunk_end WHERE VHM0 > 11.0"
+
+
+def _storm_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Files of a feed that has delivered heights above 11 m only, a folder for each work unit, beside a text file."""
+    base = f"{_scratch(spark)}/feed-{uuid.uuid4().hex}"
+    storms = raw(spark, sf_dir).where("VHM0 > 11.0").select(*KEYS, "VHM0")
+    storms.withColumn("unit", ingest.unit_of(F.col("time"), *_period(spark, sf_dir))).where("unit IS NOT NULL").write.partitionBy("unit").parquet(base)
+    spark.range(1).select(F.lit("left by another program").alias("value")).write.mode("append").text(f"{base}/unit=19950103_19950104")
+    return landed_files(spark, base, schema=storms.schema)
+
+
 @register(_with("SELECT chunk_name, chunk_start, chunk_end FROM named WHERE NOT EXISTS (SELECT 1 FROM raw WHERE time >= chunk_start AND time < chunk_end AND VHM0 > 11.0)", _PLAN_SQL))
 def pending_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Units whose ledger entry is missing; a unit counts as done here if it saw a height above 11 m."""
-    plan = _plan(spark, sf_dir)
-    high = raw(spark, sf_dir).where("VHM0 > 11.0").select("time").distinct()
-    done = high.join(F.broadcast(plan), (F.col("time") >= F.col("chunk_start")) & (F.col("time") < F.col("chunk_end"))).select("chunk_name").distinct()
-    return ingest.pending_chunks(plan, done)
+    """Units of the plan of which no readable file with rows has landed."""
+    return ingest.pending_chunks(_plan(spark, sf_dir), landed_units(_storm_files(spark, sf_dir)))
+
+
+@register(_with(f"SELECT chunk_name, count(*) AS n_rows, min(time) AS first_time, max(time) AS last_time FROM ({_STORMS_SQL}) GROUP BY 1", _PLAN_SQL))
+def landed_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The ledger as the files themselves tell it."""
+    return landed_units(_storm_files(spark, sf_dir)).select("chunk_name", "n_rows", "first_time", "last_time")
 
 
 @register(_with(f""", v AS (SELECT *, VHM0 * VHM0 * VTPK AS x FROM obs), lim AS (SELECT quantile_cont(x, 0.75) AS threshold, quantile_cont(x, 0.5) AS median FROM v)
@@ -483,9 +503,30 @@ def zone_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @register(_with("SELECT chunk_name AS stem, chunk_start AS starts FROM named", _PLAN_SQL))
 def chunk_files(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The name of each work unit's file without its folder and suffix, and its start read back from text."""
-    path = F.concat(F.lit("raw/waves/"), F.col("chunk_name"), F.lit(".nc"))
-    return _plan(spark, sf_dir).select(file_name(path).alias("stem"), parse_time(F.date_format("chunk_start", "yyyy-MM-dd HH:mm:ss")).alias("starts"))
+    """The plan written with a file for each work unit; its name as the files' paths have it, and its start read back from text."""
+    base = f"{_scratch(spark)}/plan-{uuid.uuid4().hex}"
+    _plan(spark, sf_dir).select(F.date_format("chunk_start", "yyyy-MM-dd HH:mm:ss").alias("starts"), "chunk_name").repartition("chunk_name").write.partitionBy("chunk_name").parquet(base)
+    rows = spark.read.parquet(base).select(F.col("_metadata.file_path").alias("path"), "starts")
+    return rows.select(file_name(F.regexp_replace("path", "/[^/]*$", ".parquet")).alias("stem"), parse_time(F.col("starts")).alias("starts")).withColumn("stem", unit_name(F.concat("stem", F.lit("."))))
+
+
+@register(_with("SELECT year(time)::INTEGER AS year, month(time)::INTEGER AS month, count(*) AS n_rows, min(time) AS first_time, max(time) AS last_time, true AS apart FROM obs GROUP BY 1, 2"))
+def zone_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Months of a zone by the inventory of its files, and whether their files are apart in time and cell."""
+    root = f"{_scratch(spark)}/zones-{uuid.uuid4().hex}"
+    path = obs_source.write_zone(observations(spark, sf_dir, "VHM0"), root, "processed", "waves", ("year", "month"), rows_per_file=500)
+    rows = spark.read.parquet(path)
+    at = F.struct(*KEYS)
+    files = rows.groupBy("year", "month", F.col("_metadata.file_path").alias("file_path")).agg(F.count("*").alias("n"), F.min(at).alias("low"), F.max(at).alias("high"))
+    before = F.lag("high").over(Window.partitionBy("year", "month").orderBy("low"))  # one row for each file of a month
+    apart = files.withColumn("apart", F.coalesce(before < F.col("low"), F.lit(True)))
+    return apart.groupBy("year", "month").agg(F.sum("n").alias("n_rows"), F.min("low.time").alias("first_time"), F.max("high.time").alias("last_time"), F.bool_and("apart").alias("apart"))
+
+
+@register(_with(f"SELECT latitude, longitude FROM (SELECT latitude, longitude, CASE WHEN {_OK_SQL} THEN VHM0 END AS v FROM obs) GROUP BY 1, 2 HAVING count(v) = 0"))
+def never_valid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Cells that are land by the stricter reading: no height at any time."""
+    return quality.never_valid(quality.mask_failed(observations(spark, sf_dir)))
 
 
 @register(_with("SELECT latitude, longitude, round_even(pflux, 2) AS shown FROM site", _MONTHLY_SQL))

@@ -2,18 +2,23 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator, Sequence
 from contextlib import contextmanager
 from datetime import datetime
 
 from pyspark import StorageLevel
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, FloatType, StructType
 
 from ..schema import CELL, KEYS, OBSERVATIONS, VARIABLES
 
 
+#: Rows of a file of a zone.
+ROWS_PER_FILE = 5_000_000
+
+
 def nan_to_null(df: DataFrame) -> DataFrame:
     """Missing values are NULL from here on: NaN would pass every ``>`` test."""
     real = {f.name for f in df.schema.fields if isinstance(f.dataType, (FloatType, DoubleType))}
@@ -95,16 +100,26 @@ def dataset_overview(df: DataFrame) -> DataFrame:
     )
 
 
-def write_zone(df: DataFrame, root: str, zone: str, folder: str, partition: Sequence[str] = ("year",), mode: str = "overwrite") -> str:
-    """Write to ``root/zone/folder`` by year (and month), clustered so that each directory gets few files."""
+def write_zone(
+    df: DataFrame, root: str, zone: str, folder: str, partition: Sequence[str] = ("year",), mode: str = "overwrite", rows_per_file: int = ROWS_PER_FILE, files: int | None = None
+) -> str:
+    """Write to ``root/zone/folder`` by year (and month), in files of about ``rows_per_file`` rows that are sorted by time and cell.
+
+    Rows are dealt out by ranges of (directory, time, cell) whose bounds Spark samples: a directory with
+    most of the rows gets most of the files, small ones share a task, and within a directory the ranges of the
+    files don't overlap, so that a period or a box skips files by their statistics.  The rows are counted first,
+    unless ``files``, the number of ranges, is given.
+    """
     path = f"{root}/{zone}/{folder}"
     parts = {"year": F.year("time"), "month": F.month("time")}
     out = df.withColumns({p: parts[p] for p in partition}) if "time" in df.columns and partition else df
-    if partition:
-        out = out.repartition(*partition).sortWithinPartitions("time", *CELL)
-        out.write.mode(mode).partitionBy(*partition).parquet(path)
-    else:
+    if not partition:
         out.write.mode(mode).parquet(path)
+        return path
+    order = [*partition, *(c for c in KEYS if c in df.columns)]
+    ranges = files or max(1, math.ceil(out.count() / rows_per_file))
+    out = out.repartitionByRange(ranges, *order).sortWithinPartitions(*order)
+    out.write.mode(mode).option("maxRecordsPerFile", 2 * rows_per_file).partitionBy(*partition).parquet(path)
     return path
 
 
@@ -136,12 +151,3 @@ def wave_view(lineitem: DataFrame) -> DataFrame:
 
 #: Which of several rows for one time and cell counts.
 TIE_BREAK = ["l_orderkey", "l_partkey", "l_quantity", "l_extendedprice"]
-
-
-def first_time_step(df: DataFrame) -> DataFrame:
-    """Each cell's own first time step, which a sparse table may have at different times."""
-    row = F.row_number().over(Window.partitionBy(*CELL).orderBy("time"))
-    return df.withColumn("row_", row).where("row_ = 1").drop("row_")
-
-
-__all__ = ["OBSERVATIONS", "dataset_overview", "explode_grid", "first_time_step", "in_box", "in_period", "nan_to_null", "read_observations", "reused", "tidy", "wave_view", "write_zone"]

@@ -284,6 +284,51 @@ def test_only_touched_months_are_rewritten(spark, tmp_path):
     assert {p for p in before if after.get(p) == before[p]} == {p for p in before if "month=1" in str(p)}
 
 
+def test_a_full_month_has_many_files_of_like_size(spark, tmp_path):
+    rows = spark.range(20_000).select(
+        F.expr("timestamp_ntz'2020-03-01 00:00:00' + make_dt_interval(0, 3 * cast(id % 240 AS int)) + if(id % 10 = 0, make_dt_interval(cast(40 + id % 200 AS int)), make_dt_interval(0))").alias("time"),
+        (46 + F.floor(F.col("id") / 240) / 5.0).alias("latitude"), (F.lit(-130.0)).alias("longitude"), F.rand(1).alias("VHM0"),
+    )
+    path = obs.write_zone(rows.repartition(7), str(tmp_path), "processed", "waves", ("year", "month"), rows_per_file=2000)
+    files = spark.read.parquet(path).groupBy("year", "month", F.col("_metadata.file_path").alias("f"), F.col("_metadata.file_size").alias("bytes"))
+    files = files.agg(F.count("*").alias("n"), F.min(F.struct("time", "latitude")).alias("low"), F.max(F.struct("time", "latitude")).alias("high")).collect()
+    march = sorted((r for r in files if r["month"] == 3), key=lambda r: r["low"])
+    assert sum(r["n"] for r in files) == 20_000 and 7 <= len(march) <= 12
+    inner = march[1:-1]
+    assert max(r["n"] for r in inner) < 2 * min(r["n"] for r in inner) and max(r["bytes"] for r in inner) < 2 * min(r["bytes"] for r in inner)
+    assert all(a["high"] < b["low"] for a, b in zip(march, march[1:]))
+
+
+def test_inventory_skips_what_is_not_a_file_of_rows(spark, tmp_path):
+    from swellgrid.sources.inventory import landed_files, landed_units
+
+    schema = "time timestamp_ntz, latitude double, longitude double"
+    rows = [(datetime(2020, 1, d), 46.0, -130.0) for d in range(1, 5)]
+    for name, part in (("20200101_20200201", rows[:3]), ("20200201_20200301", []), ("20200301_20200401", rows[3:])):
+        frame(spark, part, schema).coalesce(1).write.parquet(str(tmp_path / f"{name}.parquet"))
+    flat = tmp_path / "all"
+    flat.mkdir()
+    for folder in tmp_path.glob("2020*"):
+        for i, f in enumerate(folder.glob("part-*.parquet")):
+            f.rename(flat / (f"{folder.stem}.parquet" if not i else f"{folder.stem}_{i}.parquet"))
+    (flat / "20200501_20200601.nc").write_text("another format")
+    (flat / "20200601_20200701.parquet").write_text("cut off")
+    files = landed_files(spark, str(flat), schema=schema)
+    assert {(r["chunk_name"], r["n_files"], r["n_rows"], r["first_time"].day, r["last_time"].day) for r in landed_units(files).collect()} == {("20200101_20200201", 1, 3, 1, 3), ("20200301_20200401", 1, 1, 4, 4)}
+    assert files.where("n_bytes > 0").count() == 2
+    plan = ingest.chunk_plan(spark, "2020-01-01", "2020-07-01")
+    assert sorted(r["chunk_name"][4:6] for r in ingest.pending_chunks(plan, landed_units(files)).collect()) == ["02", "04", "05", "06"]
+
+
+@pytest.mark.parametrize(("start", "end"), [("2020-01-31 00:00:00", "2020-04-10 00:00:00"), ("2019-11-15 06:00:00", "2021-03-02 09:00:00"), ("2020-02-01 00:00:00", "2020-02-02 00:00:00")])
+def test_units_by_arithmetic_are_those_of_the_plan(spark, start, end):
+    times = spark.range(0, 700 * 8).select(F.expr("timestamp_ntz'2019-10-01 00:00:00' + make_dt_interval(0, 3 * cast(id AS int))").alias("time"))
+    named = times.withColumn("unit", ingest.unit_of(F.col("time"), start, end))
+    plan = ingest.chunk_plan(spark, start, end)
+    wanted = times.join(plan, (F.col("time") >= F.col("chunk_start")) & (F.col("time") < F.col("chunk_end")))
+    assert {tuple(r) for r in named.where("unit IS NOT NULL").collect()} == {(r["time"], r["chunk_name"]) for r in wanted.collect()}
+
+
 def test_extreme_events_and_folds(spark):
     rows = [(datetime(2020, 1, d), 46.0, -130.0, 10.0 if d in (5, 6, 20) else 1.0) for d in range(1, 29)]
     df = frame(spark, rows, "time timestamp_ntz, latitude double, longitude double, x double")
