@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions.calendar import month_end
 from ..schema import CELL, KEYS, SUMMER, WINTER
+from ..sources.axes import Axes
 from ..sources.observations import reused
 
 
@@ -154,15 +155,20 @@ def flux_statistics(df: DataFrame, value: str) -> DataFrame:
     return df.agg(F.avg(value).alias("mean"), F.max(value).alias("max"), F.min(value).alias("min"), F.stddev_pop(value).alias("std"))
 
 
-def generate_processing_summary(df: DataFrame, region: str = "Pacific Northwest", value: str = "wave_power_flux", stamp: bool = True) -> DataFrame:
-    """One row: region, run time, dates, bounds, grid points, flux statistics and consistency metrics."""
+def generate_processing_summary(df: DataFrame, region: str = "Pacific Northwest", value: str = "wave_power_flux", stamp: bool = True, axes: Axes | None = None) -> DataFrame:
+    """One row: region, run time, dates, bounds, grid points, flux statistics and consistency metrics.
+
+    With the rows' axis catalogue the grid's shape comes from there; else three distinct counts multiply the rows.
+    """
     if value not in df.columns:
         raise ValueError(f"{value} is missing: process the wave data first")
+    sizes = axes.shape() if axes else {}
+    n_times, n_lats, n_lons = (F.any_value(F.lit(sizes[c]).cast("bigint")) if axes else F.count_distinct(c) for c in KEYS)
     shape = df.agg(
         F.date_format(F.min("time"), "yyyy-MM-dd").alias("first_date"), F.date_format(F.max("time"), "yyyy-MM-dd").alias("last_date"),
-        F.count_distinct("time").alias("n_times"),
+        n_times.alias("n_times"),
         F.min("latitude").alias("min_lat"), F.max("latitude").alias("max_lat"), F.min("longitude").alias("min_lon"), F.max("longitude").alias("max_lon"),
-        (F.count_distinct("latitude") * F.count_distinct("longitude")).alias("grid_points"),
+        (n_lats * n_lons).alias("grid_points"),
         F.max(value).alias("flux_max"), F.min(value).alias("flux_min"),
     )
     metrics = calculate_consistency_metrics(df, value)

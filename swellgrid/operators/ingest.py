@@ -13,13 +13,19 @@ from ..schema import KEYS
 def dedup_observations(df: DataFrame, order: Sequence[str] = (), keys: Sequence[str] = KEYS) -> DataFrame:
     """One row per key: the first by ``order``, or any where the copies are equal.
 
-    The first row is an aggregate, not a window, so copies meet map-side.
+    Keys are counted first, by a hash aggregate of the key columns alone.  Rows whose key is there once pass
+    through; only those of repeated keys are ordered.  Where these keys are few Spark broadcasts
+    them.  Null keys are equal.
     """
     if not order:
         return df.dropDuplicates(list(keys))
-    rest = [c for c in df.columns if c not in keys]
-    first = df.groupBy(*keys).agg(F.min_by(F.struct(*rest), F.struct(*order)).alias("first_"))
-    return first.select(*keys, *[F.col(f"first_.{c}").alias(c) for c in rest if c not in order])
+    rest = [c for c in df.columns if c not in keys and c not in order]
+    repeated = df.groupBy(*keys).agg(F.count("*").alias("n_")).where("n_ > 1").select(*[F.col(k).alias(f"{k}_") for k in keys])
+    same = [F.col(k).eqNullSafe(F.col(f"{k}_")) for k in keys]
+    once = df.join(repeated, same, "left_anti").select(*keys, *rest)
+    place = F.row_number().over(Window.partitionBy(*keys).orderBy(*order))
+    settled = df.join(repeated, same, "left_semi").withColumn("place_", place).where("place_ = 1").select(*keys, *rest)
+    return once.unionByName(settled)
 
 
 def _unit_start(first: Column, k: Column) -> Column:

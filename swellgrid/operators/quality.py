@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..schema import CELL, KEYS, QUALITY_LIMITS, VARIABLES
+from ..sources.axes import Axes
 
 
 def passes_quality(limits: dict[str, tuple[float, float, bool]] = QUALITY_LIMITS) -> Column:
@@ -77,12 +78,17 @@ def histogram(df: DataFrame, variable: str, bins: int = 50) -> DataFrame:
     return edges.join(counts, "bin", "left").select("bin", "bin_start", F.coalesce("n", F.lit(0).cast("bigint")).alias("n"))
 
 
-def final_summary(df: DataFrame, variables: Sequence[str] = VARIABLES) -> DataFrame:
-    """Shape, time span, bounds and the plain mean of the variables' missing shares, one row."""
+def final_summary(df: DataFrame, variables: Sequence[str] = VARIABLES, axes: Axes | None = None) -> DataFrame:
+    """Shape, time span, bounds and the plain mean of the variables' missing shares, one row.
+
+    With the rows' axis catalogue the shape comes from there; else three distinct counts multiply the rows.
+    """
     n = F.count("*").cast("double")
     missing = reduce(lambda a, b: a + b, [F.try_divide(n - F.count(v), n) * 100 for v in variables]) / len(variables)
+    sizes = axes.shape() if axes else {}
+    counts = [F.any_value(F.lit(sizes[c]).cast("bigint")) if axes else F.count_distinct(c) for c in KEYS]
     return df.agg(
-        F.count_distinct("time").alias("n_times"), F.count_distinct("latitude").alias("n_lats"), F.count_distinct("longitude").alias("n_lons"),
+        *[c.alias(n) for c, n in zip(counts, ("n_times", "n_lats", "n_lons"), strict=True)],
         F.date_diff(F.max("time"), F.min("time")).alias("span_days"),
         F.min("latitude").alias("min_lat"), F.max("latitude").alias("max_lat"), F.min("longitude").alias("min_lon"), F.max("longitude").alias("max_lon"),
         missing.alias("mean_missing_percent"),

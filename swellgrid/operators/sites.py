@@ -77,13 +77,6 @@ def nearest_series(df: DataFrame, latitude: float | None = None, longitude: floa
     return df.join(F.broadcast(nearest_cell(df, latitude, longitude)), CELL, "left_semi")
 
 
-def site_matrix(sites: DataFrame, value: str, longitudes: Sequence[float]) -> DataFrame:
-    """Latitude rows by longitude columns; a known list of longitudes saves a job."""
-    wide = sites.groupBy("latitude").pivot("longitude", list(longitudes)).agg(F.avg(value))
-    names = {str(float(x)): f"lon_{i}" for i, x in enumerate(longitudes)}
-    return wide.select("latitude", *[F.col(f"`{old}`").alias(new) for old, new in names.items()])
-
-
 def whole_matrix(sites: DataFrame, value: str) -> DataFrame:
     """The matrix over every latitude and longitude found, in long form: ``row`` and ``column`` count both axes from 0, rising."""
 

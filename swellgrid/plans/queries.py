@@ -18,6 +18,7 @@ from ..functions.calendar import coordinate_label, display, file_name, iso_date,
 from ..functions.flux import KW_COEFFICIENT, device_revenue, flux_coefficient, process_wave_data, revenue_per_metre
 from ..operators import aggregate, ingest, quality, sites
 from ..schema import CELL, KEYS, QUALITY_LIMITS, STUDY_AREA, VARIABLES
+from ..sources import axes as axis_catalogue
 from ..sources import observations as obs_source
 from ..sources.inventory import landed_files, landed_units, unit_name
 from ..sources.observations import TIE_BREAK, in_box, in_period, wave_view
@@ -39,6 +40,11 @@ def observations(spark: SparkSession, sf_dir: str, *variables: str) -> DataFrame
     return ingest.dedup_observations(rows.select(*KEYS, *variables, *TIE_BREAK) if variables else rows, TIE_BREAK)
 
 
+def axes_of(spark: SparkSession, sf_dir: str) -> axis_catalogue.Axes:
+    """Axis catalogue of all observations; repeated keys are on the axes once anyway."""
+    return axis_catalogue.write_axes(raw(spark, sf_dir).select(*KEYS), f"{_scratch(spark)}/axes-{uuid.uuid4().hex}")
+
+
 _RAW_SQL = """
 raw AS (
     SELECT l_shipdate + to_hours(3 * l_linenumber) AS time,
@@ -181,12 +187,12 @@ def height_histogram(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @register(_with("SELECT count(DISTINCT time) AS n_times, count(DISTINCT latitude) AS n_lats, count(DISTINCT longitude) AS n_lons, count(*) AS n_rows, count(*) * 136 AS n_bytes, min(time) AS first_time, max(time) AS last_time FROM obs"))
 def dataset_overview(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return obs_source.dataset_overview(observations(spark, sf_dir))
+    return axis_catalogue.overview(observations(spark, sf_dir), axes_of(spark, sf_dir))
 
 
 @register(_with(f", m AS (SELECT time, latitude, longitude, {', '.join(f'CASE WHEN {_OK_SQL} THEN {v} END AS {v}' for v in VARIABLES)} FROM obs) SELECT count(DISTINCT time) AS n_times, count(DISTINCT latitude) AS n_lats, count(DISTINCT longitude) AS n_lons, CAST(date_diff('day', CAST(min(time) AS DATE), CAST(max(time) AS DATE)) AS INTEGER) AS span_days, min(latitude) AS min_lat, max(latitude) AS max_lat, min(longitude) AS min_lon, max(longitude) AS max_lon, {_r('(' + ' + '.join(f'(CAST(count(*) - count({v}) AS DOUBLE) / count(*) * 100)' for v in VARIABLES) + ') / 17')} AS mean_missing_percent FROM m"))
 def final_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = quality.final_summary(quality.mask_failed(observations(spark, sf_dir)))
+    out = quality.final_summary(quality.mask_failed(observations(spark, sf_dir)), axes=axes_of(spark, sf_dir))
     return out.withColumn("mean_missing_percent", rounded("mean_missing_percent"))
 
 
@@ -322,30 +328,36 @@ def best_worst_series(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("site", "month_end", *CELL, "pflux", coordinate_label(F.col("latitude"), F.col("longitude")).alias("label"))
 
 
-_LONGITUDES = [-130.0 + i / 5.0 for i in range(4)]
-
-
-@register(_with("SELECT latitude, " + ", ".join(f"{_r(f'avg(pflux) FILTER (longitude = {x!r}::DOUBLE)')} AS lon_{i}" for i, x in enumerate(_LONGITUDES)) + " FROM site GROUP BY 1", _MONTHLY_SQL))
+@register(_with("""
+    , lats AS (SELECT latitude, row_number() OVER (ORDER BY latitude) - 1 AS i FROM (SELECT DISTINCT latitude FROM raw)),
+    lons AS (SELECT longitude, row_number() OVER (ORDER BY longitude) - 1 AS j FROM (SELECT DISTINCT longitude FROM raw)),
+    cells AS (SELECT i, latitude, j, longitude, pflux FROM lats CROSS JOIN lons LEFT JOIN site USING (latitude, longitude))
+    SELECT CAST(i AS INTEGER) AS lat_idx, latitude, string_agg(coalesce(CAST(CAST(round(pflux + 1e-9, 6) AS DECIMAL(18, 6)) AS VARCHAR), '-'), ' ' ORDER BY j) AS row_values
+    FROM cells GROUP BY i, latitude HAVING count(pflux) > 0""", _MONTHLY_SQL))
 def site_matrix(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = sites.site_matrix(site_flux(spark, sf_dir), "pflux", _LONGITUDES)
-    return out.select("latitude", *[rounded(c).alias(c) for c in out.columns[1:]])
+    """The matrix with a row for each latitude and a value for each longitude of the axis, ``-`` where there is no site."""
+    wide = axis_catalogue.matrix(site_flux(spark, sf_dir), "pflux", axes_of(spark, sf_dir))
+    shown = F.transform("values", lambda x: F.coalesce(rounded(x).cast("decimal(18,6)").cast("string"), F.lit("-")))
+    return wide.select("lat_idx", "latitude", F.array_join(shown, " ").alias("row_values"))
 
 
 @register(_with(f"SELECT CAST(dense_rank() OVER (ORDER BY latitude) - 1 AS INTEGER) AS row_index, CAST(dense_rank() OVER (ORDER BY longitude) - 1 AS INTEGER) AS column_index, latitude, longitude, {_r('pflux')} AS pflux FROM site", _MONTHLY_SQL))
 def site_matrix_all(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All sites of the matrix; ``site_matrix`` has four fixed longitudes."""
+    """The matrix in long form: a row for each site."""
     out = sites.whole_matrix(site_flux(spark, sf_dir), "pflux")
     return out.select(F.col("row").alias("row_index"), F.col("column").alias("column_index"), *CELL, rounded("pflux").alias("pflux"))
 
 
 @register(_with(", lat AS (SELECT latitude FROM (SELECT DISTINCT latitude FROM obs) ORDER BY abs(latitude - 47.13::DOUBLE), latitude LIMIT 1), lon AS (SELECT longitude FROM (SELECT DISTINCT longitude FROM obs) ORDER BY abs(longitude + 129.55::DOUBLE), longitude LIMIT 1) SELECT time, latitude, longitude, VHM0 FROM obs JOIN lat USING (latitude) JOIN lon USING (longitude)"))
 def nearest_site_series(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return sites.nearest_series(observations(spark, sf_dir, "VHM0"), 47.13, -129.55).select(*KEYS, "VHM0")
+    rows = raw(spark, sf_dir).select(*KEYS, "VHM0", *TIE_BREAK)
+    return ingest.dedup_observations(axis_catalogue.nearest_series(rows, axes_of(spark, sf_dir), 47.13, -129.55), TIE_BREAK).select(*KEYS, "VHM0")
 
 
 @register(_with("SELECT time, latitude, longitude, VHM0 FROM obs WHERE time = (SELECT time FROM (SELECT DISTINCT time FROM obs) ORDER BY time DESC LIMIT 1 OFFSET 99)"))
 def time_slice(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return sites.time_slice(observations(spark, sf_dir, "VHM0"), -100).select(*KEYS, "VHM0")
+    rows = raw(spark, sf_dir).select(*KEYS, "VHM0", *TIE_BREAK)
+    return ingest.dedup_observations(axis_catalogue.time_slice(rows, axes_of(spark, sf_dir), -100), TIE_BREAK).select(*KEYS, "VHM0")
 
 
 @register(_with(f"SELECT latitude, longitude, month_end, pflux, lag1 FROM lagged", _MONTHLY_SQL + _LAG_SQL))
@@ -445,7 +457,7 @@ def landed_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     FROM v, lim"""))
 def processing_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     obs = observations(spark, sf_dir, "VHM0", "VTPK").withColumn("wave_power_flux", F.col("VHM0") * F.col("VHM0") * F.col("VTPK"))
-    out = aggregate.generate_processing_summary(obs, stamp=False)
+    out = aggregate.generate_processing_summary(obs, stamp=False, axes=axes_of(spark, sf_dir))
     soft = ("std", "coefficient_of_variation", "pct_above", "threshold", "mean", "median")
     return out.select(*[rounded(c).alias(c) if c in soft else c for c in out.columns])
 

@@ -329,6 +329,64 @@ def test_units_by_arithmetic_are_those_of_the_plan(spark, start, end):
     assert {tuple(r) for r in named.where("unit IS NOT NULL").collect()} == {(r["time"], r["chunk_name"]) for r in wanted.collect()}
 
 
+def grid_rows(spark):
+    rows = [(datetime(2020, 1, 1 + t), 46.0 + i / 5, -130.0 + j / 5, float(t + i * j)) for t in range(6) for i in range(4) for j in range(5) if (t + i + j) % 4]
+    return rows, frame(spark, rows + rows[:7] + [(None, None, -129.8, 0.0)], "time timestamp_ntz, latitude double, longitude double, x double")
+
+
+def test_axes_are_dense_and_written_beside_the_rows(spark, tmp_path):
+    from swellgrid.sources import axes
+
+    rows, df = grid_rows(spark)
+    path = obs.write_zone(df.dropna(), str(tmp_path), "processed", "grid", ("year", "month"), files=3)
+    axes.write_axes(df, path)
+    found = axes.read_axes(spark, path)
+    assert spark.read.parquet(path).count() == len(rows) + 7
+    for k, name in enumerate(("time", "latitude", "longitude")):
+        wanted = sorted({r[k] for r in rows} | ({-129.8} if name == "longitude" else set()))
+        assert sorted(tuple(r) for r in found.of(name).collect()) == [(v, i) for i, v in enumerate(wanted)]
+    assert found.shape() == {"time": 6, "latitude": 4, "longitude": 5}
+    assert found.at("time", -1)["time"].day == 6 and found.at("time", 6) is None and found.at("time", -7) is None
+    assert (found.nearest("latitude", 46.3)["latitude"], found.nearest("latitude", 99.0)["lat_idx"], found.nearest("longitude")["lon_idx"]) == (46.2, 3, 2)
+    assert found.indexed(df.dropna()).where("lat_idx = 3 AND lon_idx = 4 AND time_idx = 2").count() == df.where("latitude > 46.5 AND longitude > -129.3 AND day(time) = 3").count()
+
+
+def test_slices_come_from_the_catalogue_by_literals(spark, tmp_path):
+    from swellgrid.sources import axes
+
+    rows, df = grid_rows(spark)
+    path = obs.write_zone(df.dropna(), str(tmp_path), "processed", "grid", ("year", "month"), files=3)
+    found, zone = axes.write_axes(df, path), obs.read_observations(spark, path)
+    got = axes.time_slice(zone, found, -2)
+    assert {r["time"].day for r in got.collect()} == {5} and got.count() == zone.where("day(time) = 5").count()
+    near = axes.nearest_series(zone, found, 46.33, -129.41)
+    assert {(r["latitude"], r["longitude"]) for r in near.collect()} == {(46.4, -129.4)}
+    for plan in (got._jdf.queryExecution().executedPlan().toString(), near._jdf.queryExecution().executedPlan().toString()):
+        assert "Aggregate" not in plan and "Join" not in plan and "PushedFilters: [" in plan
+    assert axes.time_slice(zone, found, 50).count() == 0
+    nothing = axes.find_axes(df.where("1 = 0"))
+    assert axes.nearest_series(df, nothing, 1.0, 1.0).count() == 0 and nothing.shape()["time"] == 0
+
+
+def test_matrix_has_a_value_for_each_longitude(spark):
+    from swellgrid.sources import axes
+
+    rows, df = grid_rows(spark)
+    sites_ = df.dropna().where("day(time) = 2").dropDuplicates()
+    got = {r["lat_idx"]: r["values"] for r in axes.matrix(sites_, "x", axes.find_axes(df)).collect()}
+    assert got == {i: [float(1 + i * j) if (1 + i + j) % 4 else None for j in range(5)] for i in range(4)}
+
+
+def test_overlaps_go_without_a_sort_of_all_rows(spark):
+    rows = [(1, 46.0, None, 2, "late"), (1, 46.0, None, 1, "first"), (2, 46.0, -130.0, 5, "alone"), (None, 1.0, 1.0, 3, "b"), (None, 1.0, 1.0, 2, None), (3, float("nan"), 0.0, 1, "n"), (3, float("nan"), -0.0, 0, "m")]
+    df = frame(spark, rows, "time int, latitude double, longitude double, o int, x string")
+    once = ingest.dedup_observations(df, ["o"])
+    assert once.columns == ["time", "latitude", "longitude", "x"]
+    assert {r["x"] for r in once.collect()} == {"first", "alone", None, "m"} and once.count() == 4
+    assert "SortAggregate" not in once._jdf.queryExecution().executedPlan().toString()
+    assert ingest.dedup_observations(df.where("1 = 0"), ["o"]).count() == 0
+
+
 def test_extreme_events_and_folds(spark):
     rows = [(datetime(2020, 1, d), 46.0, -130.0, 10.0 if d in (5, 6, 20) else 1.0) for d in range(1, 29)]
     df = frame(spark, rows, "time timestamp_ntz, latitude double, longitude double, x double")
