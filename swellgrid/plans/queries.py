@@ -23,7 +23,7 @@ from ..sources import observations as obs_source
 from ..sources.inventory import landed_files, landed_units, unit_name
 from ..sources.observations import TIE_BREAK, in_box, in_period, wave_view
 from ..streaming.ingest import ingest as stream_ingest
-from . import forecast
+from . import boosting, forecast
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -614,6 +614,55 @@ def boosted_forecast(spark: SparkSession, sf_dir: str) -> DataFrame:
     return model.transform(split.where("NOT train")).select(*CELL, "month_end", F.col("pflux").alias("observed"), rounded("prediction").alias("predicted"))
 
 
+_INPUTS, _STUMPS, _SLICES = ("lag1", "lag2", "month_sin", "month_cos", "neighbour_mean"), 4, 16
+
+
+def _boosting_sql() -> str:
+    """Folds, bins, and a depth-one tree after the other, each from the residuals of those before."""
+    slots = ", ".join(
+        f"CAST(coalesce(CASE WHEN hi_{i} > lo_{i} AND {c} IS NOT NULL THEN least(greatest(floor(({c} - lo_{i}) / ((hi_{i} - lo_{i}) / {_SLICES})), 0), {_SLICES - 1}) END, {_SLICES}) AS INTEGER) AS b{i}" for i, c in enumerate(_INPUTS)
+    )
+    spans = ", ".join(f"min({c}) AS lo_{i}, max({c}) AS hi_{i}" for i, c in enumerate(_INPUTS))
+    out = f"""
+    shaped AS (SELECT latitude, longitude, month_end, pflux, lag1, lag2, month_sin, month_cos, neighbour_mean FROM spatial WHERE lag1 IS NOT NULL),
+    blocks AS (SELECT *, ntile(5) OVER (PARTITION BY latitude, longitude ORDER BY month_end) AS block FROM shaped),
+    folded AS (SELECT b.*, CAST(f.range AS INTEGER) AS fold, b.block <= f.range AS train FROM blocks b, range(1, 5) f WHERE b.block <= f.range + 1),
+    spans AS (SELECT fold, {spans} FROM folded WHERE train GROUP BY fold),
+    t0 AS MATERIALIZED (
+        SELECT fold, train, {slots}, CAST(floor(pflux * 65536.0::DOUBLE + 0.5::DOUBLE) AS BIGINT) AS y, CAST(floor(lag1 * 65536.0::DOUBLE + 0.5::DOUBLE) AS BIGINT) AS still, 0::BIGINT AS p FROM folded JOIN spans USING (fold)
+    )"""
+    for t in range(_STUMPS):
+        cells = " UNION ALL ".join(f"SELECT fold, {i} AS feature, b{i} AS bin, y - p AS r FROM t{t} WHERE train" for i in range(len(_INPUTS)))
+        chosen = "CASE feature " + " ".join(f"WHEN {i} THEN b{i}" for i in range(len(_INPUTS))) + " END"
+        out += f""",
+    h{t} AS (SELECT fold, feature, bin, sum(r)::BIGINT AS s, count(*) AS n FROM ({cells}) GROUP BY ALL),
+    c{t} AS (SELECT fold, feature, bin, sum(s) OVER low::BIGINT AS sl, sum(n) OVER low::BIGINT AS nl, sum(s) OVER whole::BIGINT AS sa, sum(n) OVER whole::BIGINT AS na FROM h{t}
+             WINDOW low AS (PARTITION BY fold, feature ORDER BY bin), whole AS (PARTITION BY fold, feature)),
+    s{t} AS MATERIALIZED (SELECT * FROM c{t} WHERE nl < na QUALIFY row_number() OVER (PARTITION BY fold ORDER BY sl::DOUBLE * sl::DOUBLE / nl + (sa - sl)::DOUBLE * (sa - sl)::DOUBLE / (na - nl) DESC, feature, bin) = 1),
+    t{t + 1} AS MATERIALIZED (
+        SELECT t.* EXCLUDE (p), p + CAST(CASE WHEN {chosen} <= bin THEN floor(sl::DOUBLE / nl * 0.5::DOUBLE) ELSE floor((sa - sl)::DOUBLE / (na - nl) * 0.5::DOUBLE) END AS BIGINT) AS p FROM t{t} t JOIN s{t} USING (fold)
+    )"""
+    return out
+
+
+_SPATIAL_SQL = f""", g AS (SELECT latitude, longitude, month_end, pflux, lag(pflux) OVER w AS lag1, lag(pflux, 2) OVER w AS lag2, CAST(round(latitude / 0.2::DOUBLE) AS INTEGER) AS i, CAST(round(longitude / 0.2::DOUBLE) AS INTEGER) AS j FROM sea WINDOW w AS (PARTITION BY latitude, longitude ORDER BY month_end)),
+    spatial AS (SELECT g.latitude, g.longitude, g.month_end, g.pflux, any_value(g.lag1) AS lag1, any_value(g.lag2) AS lag2, {_r('sin(2 * pi() * month(g.month_end) / 12)')} AS month_sin, {_r('cos(2 * pi() * month(g.month_end) / 12)')} AS month_cos, {_r('avg(h.pflux)')} AS neighbour_mean
+    FROM g LEFT JOIN g h ON g.month_end = h.month_end AND abs(g.i - h.i) <= 1 AND abs(g.j - h.j) <= 1 AND NOT (g.i = h.i AND g.j = h.j) GROUP BY 1, 2, 3, 4),"""
+
+
+@register(_with(f"SELECT fold, count(*) AS n_test, {_r('sqrt(sum((y - p)::HUGEINT * (y - p))::DOUBLE / count(*)) / 65536')} AS rmse_model, {_r('sqrt(sum((y - still)::HUGEINT * (y - still))::DOUBLE / count(*)) / 65536')} AS rmse_persistence, {_r('100 * (1 - sqrt(sum((y - p)::HUGEINT * (y - p))::DOUBLE / count(*)) / nullif(sqrt(sum((y - still)::HUGEINT * (y - still))::DOUBLE / count(*)), 0))')} AS improvement_percent FROM t{_STUMPS} WHERE NOT train GROUP BY fold", _MONTHLY_SQL + _SPATIAL_SQL + _boosting_sql()))
+def boosted_folds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Exact boosting with depth-one trees over lags, season and neighbours against persistence, by time-ordered fold."""
+    features = forecast.season_and_neighbours(monthly(spark, sf_dir), "pflux").where("lag1 IS NOT NULL")
+    features = features.withColumns({c: rounded(c) for c in ("month_sin", "month_cos", "neighbour_mean")})
+    folded = forecast.expanding_folds(features)
+    binned = boosting.with_bins(folded, _INPUTS, "fold", bins=_SLICES).withColumns({"y": boosting.fixed(F.col("pflux")), "still": boosting.fixed(F.col("lag1"))})
+    model = boosting.fit_boosted(binned, "y", "fold", trees=_STUMPS, depth=1, rate=0.5)
+    tested = binned.where("NOT train").withColumn("p", model.predict("fold"))
+    out = boosting.rmse_gain(tested, "y", "p", "still", "fold")
+    return out.select("fold", "n_test", *[rounded(c).alias(c) for c in ("rmse_model", "rmse_persistence", "improvement_percent")])
+
+
 @register(_with("SELECT strftime(time, '%Y-%m-%d') AS day, count(*) AS n, max(VHM0) AS highest FROM obs GROUP BY 1"))
 def daily_maxima(spark: SparkSession, sf_dir: str) -> DataFrame:
     return observations(spark, sf_dir, "VHM0").groupBy(iso_date(F.col("time")).alias("day")).agg(F.count("*").alias("n"), F.max("VHM0").alias("highest"))
