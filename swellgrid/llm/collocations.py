@@ -300,10 +300,11 @@ def find_collocations(
         starts = F.explode(F.sequence(F.lit(1), size - inner + 1))
         within = candidates.where(size > inner).select("lang", "words", "a", starts.alias("i")).groupBy("lang", _joined(F.slice("words", F.col("i"), F.lit(inner))).alias("phrase")).agg(F.max("a").alias(f"longer{inner}"))
         kept = kept.join(within, ["lang", "phrase"], "left").where(F.coalesce(100 * F.col(f"longer{inner}") < absorbed * F.col("a"), F.lit(True))).drop(f"longer{inner}")
-    kept = kept.select("lang", "phrase", "a", "best.*").join(totals, "lang")
+    kept = kept.select("lang", "phrase", "a", "best.*")
     order = [F.col("score").desc(), F.col("a").desc(), "phrase"]
     # The best of each of a fixed number of parts of a language first, so that no task orders all of its phrases.
     part = F.pmod(F.xxhash64("phrase"), F.lit(RANK_PARTS)).alias("part")
     kept = kept.select("*", part).withColumn("rank", F.row_number().over(Window.partitionBy("lang", "part").orderBy(*order))).where(F.col("rank") <= top)
     rank = F.row_number().over(Window.partitionBy("lang").orderBy(*order))
-    return kept.withColumn("rank", rank).where(F.col("rank") <= top).select("lang", "rank", "phrase", "a", "l", "r", "n", "score")
+    ranked = kept.withColumn("rank", rank).where(F.col("rank") <= top)
+    return ranked.join(totals, "lang").select("lang", "rank", "phrase", "a", "l", "r", "n", "score")
