@@ -23,7 +23,8 @@ from ..sources import observations as obs_source
 from ..sources.inventory import landed_files, landed_units, unit_name
 from ..sources.observations import TIE_BREAK, in_box, in_period, wave_view
 from ..streaming.ingest import ingest as stream_ingest
-from . import boosting, forecast
+from . import boosting, ensemble, forecast
+from . import collocation as two_grids
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -606,6 +607,96 @@ def ensemble_spread(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.withColumns({c: rounded(c) for c in ("mean", "spread", "p10", "p90")})
 
 
+_MEMBERS = 12
+_ENSEMBLE_SQL = f""", members AS (SELECT time, latitude, longitude, VHM0 * (0.625::DOUBLE + m / 16.0::DOUBLE) + (CAST(VMDR AS INTEGER) * (m + 3) % 32 - 16) / 32.0::DOUBLE AS x, VHM0 AS y FROM obs, range({_MEMBERS}) AS r(m) WHERE VHM0 IS NOT NULL),
+    gathered AS (SELECT time, latitude, longitude, list_sort(list(x)) AS xs, any_value(y) AS y FROM members GROUP BY ALL),
+    meant AS (SELECT *, list_sum(xs) / len(xs) AS mean FROM gathered),
+    scores AS (SELECT *, list_sum(list_transform(xs, lambda x: (x - mean) * (x - mean))) / (len(xs) - 1) AS variance, (mean - y) * (mean - y) AS squared_error, len(list_filter(xs, lambda x: x < y)) AS rank,
+        list_sum(list_transform(xs, lambda x: abs(x - y))) / len(xs) - list_sum(list_transform(xs, lambda x, i: x * (2 * i - 1 - len(xs)))) / (len(xs) * len(xs)) AS crps FROM meant)"""
+
+
+def _ensemble_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Scores of an ensemble whose members are made from the observations by arithmetic: a factor and an offset of each."""
+    obs = observations(spark, sf_dir, "VHM0", "VMDR")
+    m = F.explode(F.sequence(F.lit(0), F.lit(_MEMBERS - 1)))
+    rows = obs.where("VHM0 IS NOT NULL").select("*", m.alias("member"))
+    x = F.col("VHM0") * (0.625 + F.col("member") / 16.0) + (F.col("VMDR").cast("int") * (F.col("member") + 3) % 32 - 16) / 32.0
+    return ensemble.score_ensemble(rows.select(*KEYS, "member", x.alias("VHM0")), obs.select(*KEYS, "VHM0"), "VHM0")
+
+
+@register(_with(f"SELECT last_day(time) AS month_end, count(*) AS n, {_r('avg(crps)')} AS crps, {_r('avg(variance)')} AS variance, {_r('sqrt(avg(squared_error))')} AS rmse FROM scores GROUP BY 1", _ENSEMBLE_SQL))
+def ensemble_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    scores = _ensemble_scores(spark, sf_dir).groupBy(F.last_day("time").alias("month_end"))
+    return scores.agg(F.count("*").alias("n"), rounded(F.avg("crps")).alias("crps"), rounded(F.avg("variance")).alias("variance"), rounded(F.sqrt(F.avg("squared_error"))).alias("rmse"))
+
+
+@register(_with(f"SELECT {_MEMBERS} AS n, CAST(r.range AS INTEGER) AS rank, count(s.rank) AS count FROM range({_MEMBERS} + 1) r LEFT JOIN scores s ON s.rank = r.range GROUP BY r.range", _ENSEMBLE_SQL))
+def ensemble_ranks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ensemble.rank_histogram(_ensemble_scores(spark, sf_dir))
+
+
+@register(_with(f"SELECT CAST(floor(sqrt(variance) / 0.25::DOUBLE) AS INTEGER) AS slice, count(*) AS cases, {_r('avg(variance)')} AS mean_variance, {_r('avg(squared_error)')} AS mean_squared_error, {_r('avg(variance) / nullif(avg(squared_error), 0)')} AS ratio FROM scores GROUP BY 1", _ENSEMBLE_SQL))
+def ensemble_skill(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = ensemble.spread_and_skill(_ensemble_scores(spark, sf_dir), 0.25)
+    return out.withColumns({c: rounded(c) for c in ("mean_variance", "mean_squared_error", "ratio")})
+
+
+@register(_with(f", p AS (SELECT len(list_filter(xs, lambda x: x > 4.0)) / len(xs) AS p, CASE WHEN y > 4.0 THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END AS o FROM gathered) SELECT CAST(least(floor(p * 10), 9) AS INTEGER) AS slice, count(*) AS cases, {_r('avg(p)')} AS forecast, {_r('avg(o)')} AS observed, {_r('avg((p - o) * (p - o))')} AS brier FROM p GROUP BY 1", _ENSEMBLE_SQL))
+def ensemble_exceedance(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = ensemble.exceedance(_ensemble_scores(spark, sf_dir), 4.0)
+    return out.withColumns({c: rounded(c) for c in ("forecast", "observed", "brier")})
+
+
+@register(_with("SELECT time, latitude, longitude, VHM0 FROM obs WHERE VHM0 IS NOT NULL AND time < TIMESTAMP '1996-01-01'"))
+def grid_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A year of heights written as a dense grid for each time and read back as rows; cells without a value are null in the grids."""
+    rows = ingest.dedup_observations(raw(spark, sf_dir).where("time < TIMESTAMP_NTZ'1996-01-01 00:00:00'").select(*KEYS, "VHM0", *TIE_BREAK), TIE_BREAK)
+    path = f"{_scratch(spark)}/grids-{uuid.uuid4().hex}"
+    axis_catalogue.grid_arrays(rows, "VHM0", axis_catalogue.write_axes(rows, path)).write.parquet(f"{path}/grids")
+    return obs_source.explode_grid(spark.read.parquet(f"{path}/grids"), "VHM0").where("VHM0 IS NOT NULL")
+
+
+_TWO_GRIDS_SQL = """,
+buoys AS (
+    SELECT time, latitude, longitude, avg(h) AS o FROM (
+        SELECT l_shipdate + to_hours(3 * l_linenumber + 1) AS time, 46.0::DOUBLE + (l_suppkey % 17) / 4.0::DOUBLE AS latitude, -130.0::DOUBLE + (l_suppkey // 17) / 4.0::DOUBLE AS longitude, l_quantity / 8.0::DOUBLE AS h
+        FROM lineitem WHERE l_partkey % 3 = 0
+    ) GROUP BY ALL
+),
+field AS (
+    SELECT CAST(date_trunc('month', time) AS TIMESTAMP) + to_days(14) AS mid, CAST(round(latitude / 0.2::DOUBLE) AS BIGINT) AS i, CAST(round(longitude / 0.2::DOUBLE) AS BIGINT) AS j, avg(VHM0) AS v
+    FROM obs WHERE VHM0 IS NOT NULL GROUP BY ALL
+),
+cells AS (
+    SELECT latitude, longitude, CAST(floor(latitude / 0.2::DOUBLE + 1e-9) AS BIGINT) AS i, CAST(floor(longitude / 0.2::DOUBLE + 1e-9) AS BIGINT) AS j,
+           greatest(round(latitude / 0.2::DOUBLE - floor(latitude / 0.2::DOUBLE + 1e-9), 9), 0.0) AS y, greatest(round(longitude / 0.2::DOUBLE - floor(longitude / 0.2::DOUBLE + 1e-9), 9), 0.0) AS x
+    FROM (SELECT DISTINCT latitude, longitude FROM buoys)
+),
+corners AS (
+    SELECT latitude, longitude, i + a AS i, j + b AS j, (CASE a WHEN 1 THEN y ELSE 1 - y END) * (CASE b WHEN 1 THEN x ELSE 1 - x END) AS w FROM cells, (VALUES (0, 0), (0, 1), (1, 0), (1, 1)) AS c(a, b)
+),
+meshes AS (SELECT *, count(*) OVER (PARTITION BY latitude, longitude) AS needed FROM corners WHERE w > 0),
+placed AS (SELECT mid, latitude, longitude, sum(w * v) AS m FROM field JOIN meshes USING (i, j) GROUP BY mid, latitude, longitude HAVING count(*) = any_value(needed)),
+matched AS (
+    SELECT b.latitude, b.longitude, b.time, o, m, abs(date_diff('second', mid, b.time)) AS apart FROM buoys b JOIN placed p ON p.latitude = b.latitude AND p.longitude = b.longitude AND abs(date_diff('second', mid, b.time)) <= 864000
+    QUALIFY row_number() OVER (PARTITION BY b.latitude, b.longitude, b.time ORDER BY apart, mid) = 1
+)"""
+
+
+@register(_with(f"SELECT latitude, longitude, count(*) AS n, {_r('avg(m - o)')} AS bias, {_r('sqrt(avg((m - o) * (m - o)))')} AS rmse, {_r('avg(apart)')} AS mean_seconds_apart FROM matched GROUP BY 1, 2", _TWO_GRIDS_SQL))
+def two_grid_collocation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Observations on a grid of 0.25 degrees, an hour off, against the monthly field of the grid of 0.2 degrees, within ten days of mid-month."""
+    items = spark.read.parquet(f"{sf_dir}/lineitem.parquet").where("l_partkey % 3 = 0")
+    s = F.col("l_suppkey")
+    buoys = items.select(
+        (F.col("l_shipdate") + F.make_interval(hours=3 * F.col("l_linenumber") + 1)).alias("time"), (46.0 + (s % 17) / 4.0).alias("latitude"), (-130.0 + F.floor(s / 17) / 4.0).alias("longitude"), (F.col("l_quantity") / 8.0).alias("VHM0")
+    )
+    middle = F.date_trunc("month", "time").cast("timestamp_ntz") + F.make_interval(days=F.lit(14))
+    field = observations(spark, sf_dir, "VHM0").groupBy(middle.alias("time"), *CELL).agg(F.avg("VHM0").alias("VHM0"))
+    out = two_grids.compare_sources(buoys, field, "VHM0", 0.2, 10 * 86_400)
+    return out.select(*CELL, "n", *[rounded(c).alias(c) for c in ("bias", "rmse", "mean_seconds_apart")])
+
+
 @register()
 def boosted_forecast(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Gradient-boosted trees on lag and season, trained on the earlier months of every site; test predictions."""

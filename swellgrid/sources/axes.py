@@ -102,6 +102,25 @@ def matrix(sites: DataFrame, value: str, axes: Axes) -> DataFrame:
     return rows.select("lat_idx", "latitude", F.transform(columns, lambda i: F.col("row")[i]).alias("values"))
 
 
+def grid_arrays(df: DataFrame, variable: str, axes: Axes) -> DataFrame:
+    """(time, latitudes, longitudes, values): a dense row-major grid for each time, null where a cell has no row or no value.
+
+    ``df`` has each key once.  A time's cells come together in one row, as large as the grid; both axes come with each row, so that
+    ``observations.explode_grid`` needs nothing else.
+    """
+    def listed(axis: str) -> DataFrame:
+        entries = F.array_sort(F.collect_list(F.struct(INDEX[axis], axis)))
+        return axes.of(axis).agg(F.transform(entries, lambda e: e[axis]).alias(f"{axis}s"))  # one row
+
+    n_lats, n_lons = axes.latitude.count(), axes.longitude.count()
+    place = F.col("lat_idx") * n_lons + F.col("lon_idx")
+    cells = axes.indexed(df.where(F.col(variable).isNotNull()).select(*KEYS, variable), "latitude", "longitude")
+    found = cells.groupBy("time").agg(F.map_from_entries(F.collect_list(F.struct(place.alias("place"), variable))).alias("found"))
+    steps = axes.time.select("time").join(found, "time", "left")
+    values = F.transform(F.sequence(F.lit(0), F.lit(n_lats * n_lons - 1)), lambda i: F.col("found")[i])
+    return steps.crossJoin(listed("latitude")).crossJoin(listed("longitude")).select("time", "latitudes", "longitudes", values.alias("values"))
+
+
 def overview(df: DataFrame, axes: Axes) -> DataFrame:
     """Dimensions, size in bytes and time range, one row: the axes' from the catalogue, only the rows are counted."""
     variables = [c for c in df.columns if c not in KEYS]
