@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.calendar import month_end
@@ -70,8 +70,8 @@ def calculate_consistency_metrics(df: DataFrame, value: str, threshold_percentil
             out = _metrics(held.select(value, *limits), value, by)
             rows = out.collect()
         return df.sparkSession.createDataFrame(rows, out.schema)
-    limits = df.groupBy(*by).agg(F.percentile(value, threshold_percentile / 100).alias("threshold"), F.percentile(value, 0.5).alias("median"))
-    return _metrics(df.join(limits, by), value, by)
+    limits = grouped_percentiles(df, by, value, {"threshold": threshold_percentile / 100, "median": 0.5})
+    return _metrics(df.join(limits, by, "left"), value, by)
 
 
 def _metrics(df: DataFrame, value: str, by: list[str]) -> DataFrame:
@@ -127,6 +127,61 @@ def order_percentiles(df: DataFrame, value: str, points: Sequence[float]) -> dic
     return {q: (low := found[int(p)]) + (found[min(int(p) + 1, n - 1)] - low) * (p - int(p)) for q, p in place.items()}
 
 
+#: Values of a group that one aggregate may hold.
+GATHERED_VALUES = 200_000
+
+
+def grouped_order_statistics(df: DataFrame, by: Sequence[str], value: str, places: dict[str, Column], bins: int = 1024) -> DataFrame:
+    """(by, n, one column for each of ``places``): exact values at places (from 0) of the sorted non-null values of each group.
+
+    A place is an expression of the group's count ``n``; beyond the group it gives null.  All groups narrow down
+    their places in the same passes over ``df``, which should be held or cheap to read: a pass counts ``bins`` equal slices of each
+    interval that still holds several values, and goes on in the slice of the place.  A pass shuffles counts only, at most
+    ``bins`` rows for each task, group and interval; no group's values are gathered or sorted.  Runs a few jobs when called.
+    """
+    by = list(by)
+    x = F.col(value)
+    rows = df.where(x.isNotNull()).select(*by, x.cast("double").alias("x_"))
+    spans = rows.groupBy(*by).agg(F.count("*").alias("n"), F.min("x_").alias("lo_"), F.max("x_").alias("hi_"))
+    wanted = F.inline(F.array(*[F.struct(F.lit(k).alias("name_"), p.cast("bigint").alias("place_")) for k, p in places.items()]))
+    state = spans.select(*by, "n", "lo_", "hi_", F.lit(0).cast("bigint").alias("before_"), wanted).where("place_ >= 0 AND place_ < n").persist()
+    while state.where("lo_ < hi_").count():
+        spans = state.where("lo_ < hi_").select(*by, "lo_", "hi_").distinct()
+        width = (F.col("hi_") - F.col("lo_")) / bins
+        slot = F.when(F.col("lo_") + width > F.col("lo_"), F.least(F.floor((F.col("x_") - F.col("lo_")) / width), F.lit(bins - 1))).otherwise(F.when(F.col("x_") < F.col("hi_"), 0).otherwise(1))
+        inside = rows.join(spans, by).where(F.col("x_").between(F.col("lo_"), F.col("hi_")))
+        counts = inside.groupBy(*by, "lo_", "hi_", slot.cast("int").alias("slot_")).agg(F.count("*").alias("n_"), F.min("x_").alias("low_"), F.max("x_").alias("high_"))
+        order = Window.partitionBy(*by, "name_").orderBy("slot_")  # at most ``bins`` rows
+        ends = F.col("before_") + F.sum("n_").over(order)
+        placed = state.where("lo_ < hi_").join(counts, [*by, "lo_", "hi_"]).withColumn("end_", ends).where("place_ < end_ AND place_ >= end_ - n_")
+        narrowed = placed.select(*by, "n", F.col("low_").alias("lo_"), F.col("high_").alias("hi_"), (F.col("end_") - F.col("n_")).alias("before_"), "name_", "place_")
+        before, state = state, state.where("lo_ = hi_").unionByName(narrowed).persist()
+        state.count()
+        before.unpersist()
+    return state.groupBy(*by, "n").pivot("name_", list(places)).agg(F.first("lo_"))
+
+
+def grouped_percentiles(df: DataFrame, by: Sequence[str], value: str, points: dict[str, float], gathered: int = GATHERED_VALUES) -> DataFrame:
+    """(by, one column for each of ``points``): exact percentiles with linear interpolation of each group that has values.
+
+    Where no group has more than ``gathered`` values, one aggregate holds them; else ``grouped_order_statistics`` takes
+    passes that hold counts only.  The largest group is counted when called.
+    """
+    most = df.where(F.col(value).isNotNull()).groupBy(*by).count().agg(F.max("count")).first()[0] or 0
+    if most <= gathered:
+        return df.where(F.col(value).isNotNull()).groupBy(*by).agg(*[F.percentile(value, q).alias(name) for name, q in points.items()])
+    at = {name: F.lit(q) * (F.col("n") - 1) for name, q in points.items()}
+    low = {name: F.floor(p) for name, p in at.items()}
+    places = {f"{name}_{side}_": p if side == "low" else F.least(p + 1, F.col("n") - 1) for name, p in low.items() for side in ("low", "high")}
+    found = grouped_order_statistics(df, by, value, places)
+
+    def between(name: str) -> Column:
+        a, b = F.col(f"{name}_low_"), F.col(f"{name}_high_")
+        return (a + (b - a) * (at[name] - low[name])).alias(name)
+
+    return found.select(*by, *[between(name) for name in points])
+
+
 def exact_percentiles(df: DataFrame, value: str, points: dict[str, float]) -> DataFrame:
     """Exact percentiles with linear interpolation over a whole table, one row; null without values."""
     with reused(df.select(F.col(value).cast("double").alias("x"))) as held:

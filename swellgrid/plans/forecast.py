@@ -7,6 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..operators.aggregate import grouped_percentiles
 from ..schema import CELL
 
 TRAIN_SHARE = 0.7
@@ -119,7 +120,7 @@ def multi_horizon(monthly: DataFrame, value: str, horizons: Sequence[int] = (1,
 
 def extreme_events(df: DataFrame, value: str, percentile: float = 0.95, max_gap_hours: int = 72) -> DataFrame:
     """Runs of values above the cell's own percentile; a gap of more than ``max_gap_hours`` ends a run."""
-    limits = df.groupBy(*CELL).agg(F.percentile(value, percentile).alias("threshold"))
+    limits = grouped_percentiles(df, CELL, value, {"threshold": percentile})
     high = df.join(limits, CELL).where(F.col(value) > F.col("threshold"))
     order = Window.partitionBy(*CELL).orderBy("time")
     gap = F.timestamp_diff("HOUR", F.lag("time").over(order), F.col("time"))

@@ -423,6 +423,24 @@ def test_order_statistics_in_shared_passes(spark):
     assert aggregate.order_statistics(df, "x", places, bins=8) == {k: sorted(xs)[k] for k in places}
 
 
+def test_percentiles_of_groups_in_shared_passes(spark):
+    import random
+
+    rng = random.Random(11)
+    rows = [(g, h, rng.choice([None, 0.0, -1.5, rng.gauss(0, 1e-7), rng.gauss(0, 1e7), 3.0])) for g in range(6) for h in "ab" for _ in range(rng.choice([1, 2, 3, 90]))]
+    rows += [(9, "a", 5.0)] * 40 + [(8, "a", None), (7, "a", 1.0), (7, "a", 1.0 + 2**-52)]
+    df = frame(spark, rows, "g int, h string, x double").repartition(3)
+    points = {"p0": 0.0, "low": 0.1, "mid": 0.5, "high": 0.75, "p1": 1.0}
+    one = {r[:2]: r[2:] for r in map(tuple, aggregate.grouped_percentiles(df, ["g", "h"], "x", points).collect())}
+    many = {r[:2]: r[2:] for r in map(tuple, aggregate.grouped_percentiles(df, ["g", "h"], "x", points, gathered=0).collect())}
+    assert one == {k: pytest.approx(v, rel=1e-15) for k, v in many.items()} and (8, "a") not in many
+    assert aggregate.grouped_percentiles(df.where("1 = 0"), ["g"], "x", points, gathered=-1).count() == 0
+    places = aggregate.grouped_order_statistics(df, ["g", "h"], "x", {"first": F.lit(0), "third": F.lit(2)}, bins=4)
+    for r in places.collect():
+        xs = sorted(x for g, h, x in rows if (g, h) == (r["g"], r["h"]) and x is not None)
+        assert (r["n"], r["first"], r["third"]) == (len(xs), xs[0], xs[2] if len(xs) > 2 else None)
+
+
 def test_consistency_metrics_take_few_jobs(spark):
     df = spark.range(5000).select((F.rand(3) * 100).alias("x"))
     tracker = spark.sparkContext.statusTracker()
