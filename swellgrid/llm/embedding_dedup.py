@@ -1,14 +1,13 @@
 """Near-duplicate vectors: product quantisation behind an inverted file, exact cosine at the end.
 
 Coarse cells are fitted on a bounded sample, one set for each dimension; every vector is
-indexed.  A vector visits each cell that a neighbour at the threshold can fall into: those whose
-bisecting plane with its own cell is within ``PROBE_SIGMA`` deviations of a random displacement
-of that length.  Cells are dealt in blocks, so a large one is split among tasks.  In a block the
+indexed.  A vector visits each cell that a neighbour at the threshold can fall into (``Cells``), by margins that follow how the
+vectors of a cell spread and are widened until the links of the sample are seen.  Cells are dealt in blocks, so a large one is split among tasks.  In a block the
 vectors form short inverted lists with residual codes of ``SUBSPACES`` subspaces; a visitor probes
 lists by the same rule, reads its distances to their codes from look-up tables, and drops a pair only
 if the triangle inequality with the stored quantisation error rules it out.  The rest are compared by
-cosine in double precision.  Lists hold about ``LIST_VECTORS`` however many vectors there are, so the
-work of a vector doesn't grow with their number.  A task emits counts and a spanning forest of its links,
+cosine in double precision.  Lists hold about ``LIST_VECTORS`` however many vectors there are; cells are as many as the sample
+can tell apart, so beyond some ten million vectors they grow, and with them the work of a vector.  A task emits counts and a spanning forest of its links,
 never the pairs.
 """
 
@@ -32,9 +31,11 @@ SAMPLE_PER_CELL = 8
 CELL_VECTORS, LIST_VECTORS = 4096, 32
 SUBSPACES, CODES = 8, 256
 PROBE_SIGMA = 3.0
+#: Vectors of the sample whose links are looked for to check the margins, and the share of them that has to be seen.
+SAMPLE_QUERIES, SAMPLE_RECALL = 1024, 0.995
 #: Base vectors and queries of a block.
 BLOCK, QUERY_BLOCK = 4096, 16_384
-_QUERIES_AT_ONCE = 1024
+_QUERIES_AT_ONCE, PAIRS_AT_ONCE = 1024, 1 << 20
 
 
 def _nearest(x: np.ndarray, centres: np.ndarray) -> np.ndarray:
@@ -53,14 +54,34 @@ def _kmeans(x: np.ndarray, k: int, rng: np.random.Generator, rounds: int = 6) ->
 
 
 class Cells:
-    """Centres of Voronoi cells and which of them a vector visits."""
+    """Centres of Voronoi cells and which of them a vector visits.
 
-    def __init__(self, centres: np.ndarray, threshold: float):
+    A vector visits a cell if its distance to the plane that parts the cell from its own is within the margin: what a
+    neighbour's displacement reaches along the line of both centres.  That is its length times ``PROBE_SIGMA`` deviations of the own
+    cell's vectors along the line, as a share of their spread: about 1 / sqrt(dimensions) where they spread evenly and
+    up to 1, when the margin is the exact bound, where they lie along few directions.  Without vectors an even spread is assumed.
+    """
+
+    def __init__(self, centres: np.ndarray, threshold: float, x: np.ndarray | None = None):
         self.centres, self.dim = centres, centres.shape[1]
         self.reach = np.sqrt(max(0.0, 2 - 2 * threshold))
-        self.slack = min(self.reach, PROBE_SIGMA * self.reach / np.sqrt(self.dim))
         self.square = (centres**2).sum(1)
-        self.gaps = np.sqrt(np.maximum(self.square[:, None] + self.square - 2 * centres @ centres.T, 0)) + 1e-12
+        gaps = np.sqrt(np.maximum(self.square[:, None] + self.square - 2 * centres @ centres.T, 0)) + 1e-12
+        share = np.full(gaps.shape, 1 / self.dim) if x is None else self._spread(x, gaps)
+        self.widest = 2 * self.reach * gaps
+        self.margin = (self.widest * np.minimum(1, PROBE_SIGMA * np.sqrt(share))).astype(np.float32)
+
+    def _spread(self, x: np.ndarray, gaps: np.ndarray) -> np.ndarray:
+        """Share of the variance of each cell's vectors that lies along the line to each other centre; of few vectors an upper bound."""
+        home = self.home(x)
+        out = np.ones(gaps.shape)
+        for cell in np.unique(home):
+            rest = x[home == cell] - self.centres[cell]
+            total = (rest**2).sum()
+            if total > 0:
+                along = rest @ ((self.centres - self.centres[cell]) / gaps[cell][:, None]).T
+                out[cell] = (along**2).sum(0) / total * (1 + 2 / np.sqrt(len(rest)))
+        return np.maximum(out, 1 / self.dim)
 
     def home(self, x: np.ndarray) -> np.ndarray:
         return _nearest(x, self.centres)
@@ -69,17 +90,30 @@ class Cells:
         """Which cells each vector visits: its own and those whose plane is near."""
         d = self.square - 2 * x @ self.centres.T
         own = np.arange(len(x))
-        near = (d - d[own, home][:, None]) <= 2 * self.slack * self.gaps[home]
+        near = (d - d[own, home][:, None]) <= self.margin[home]
         near[own, home] = True
         return near
 
+    def widened(self, x: np.ndarray, threshold: float) -> Cells:
+        """Margins wide enough that of the links among the sampled vectors ``x`` at least ``SAMPLE_RECALL`` visit each other's cell."""
+        home, queries = self.home(x), x[:SAMPLE_QUERIES]
+        pairs = [np.nonzero(queries[i : i + 256] @ x.T >= threshold) for i in range(0, len(queries), 256)]
+        q, other = np.concatenate([p[0] + 256 * k for k, p in enumerate(pairs)]), np.concatenate([p[1] for p in pairs])
+        q, other = q[q != other], other[q != other]
+        while len(q) and (self.margin < self.widest).any():
+            seen = np.concatenate([self.probes(queries[i : i + 256], home[i : min(i + 256, len(queries))]) for i in range(0, len(queries), 256)])
+            if seen[q, home[other]].mean() >= SAMPLE_RECALL:
+                break
+            self.margin = np.minimum(self.margin * 1.3, self.widest).astype(np.float32)
+        return self
+
 
 class Lists:
     """Inverted lists over the vectors of a block, with residual codes and look-up tables."""
 
     def __init__(self, base: np.ndarray, threshold: float, seed: int = 3):
         rng = np.random.default_rng(seed)
-        self.cells = Cells(_kmeans(base, max(1, len(base) // LIST_VECTORS), rng, rounds=3), threshold)
+        self.cells = Cells(_kmeans(base, max(1, len(base) // LIST_VECTORS), rng, rounds=3), threshold, base)
         self.home = self.cells.home(base)
         self.width = -(-base.shape[1] // SUBSPACES)
         rest = self.padded(base - self.cells.centres[self.home])
@@ -99,21 +133,46 @@ class Lists:
         out[:, : x.shape[1]] = x
         return out.reshape(len(x), SUBSPACES, self.width)
 
-    def candidates(self, queries: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-        """Pairs (query, base) of each list that asymmetric distances can't rule out."""
+    def candidates(self, queries: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        """Queries, members of a list and a table of both: the pairs that asymmetric distances can't rule out."""
         parts = self.padded(queries)
         tables = [(parts[:, m] @ self.codebooks[m].T).astype(np.float32) for m in range(SUBSPACES)]
         to_centre = queries @ self.cells.centres.T
         visits = self.cells.probes(queries, self.cells.home(queries))
         for place, members in enumerate(self.members):
-            own = np.flatnonzero(visits[:, place])
-            if not len(own) or not len(members):
+            visitors = np.flatnonzero(visits[:, place])
+            if not len(members):
                 continue
-            dot = np.repeat(to_centre[own, place][:, None], len(members), axis=1)
-            for m, table in enumerate(tables):
-                dot += table[own][:, self.codes[members, m]]
-            i, j = np.nonzero(dot >= self.least[members])
-            yield own[i], members[j]
+            step = max(1, PAIRS_AT_ONCE // len(members))
+            for own in (visitors[i : i + step] for i in range(0, len(visitors), step)):
+                dot = np.repeat(to_centre[own, place][:, None], len(members), axis=1)
+                for m, table in enumerate(tables):
+                    dot += table[own][:, self.codes[members, m]]
+                yield own, members, dot >= self.least[members]
+
+
+def near_pairs(qx: np.ndarray, bx: np.ndarray, own: np.ndarray, members: np.ndarray, may: np.ndarray, threshold: float) -> np.ndarray:
+    """The table of candidates with only those left whose cosine is at least ``threshold``."""
+    if may.sum() * 4 > may.size:
+        return may & (qx[own] @ bx[members].T >= threshold)
+    i, j = np.nonzero(may)
+    for at in range(0, len(i), 1 << 14):
+        a, b = i[at : at + (1 << 14)], j[at : at + (1 << 14)]
+        may[a, b] = np.einsum("ij,ij->i", qx[own[a]], bx[members[b]]) >= threshold
+    return may
+
+
+def star_edges(near: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Components of a table of links as (row, row it hangs on) and (column, row it hangs on)."""
+    none = near.shape[0]
+    rows = np.where(near.any(1), np.arange(none), none)
+    while True:
+        columns = np.where(near, rows[:, None], none).min(0)
+        new = np.minimum(rows, np.where(near, columns[None, :], none).min(1))
+        if (new == rows).all():
+            i, j = np.flatnonzero(rows < none), np.flatnonzero(columns < none)
+            return i, rows[i], j, columns[j]
+        rows = new
 
 
 def _unit(raw: list[bytes], kind: str) -> np.ndarray:
@@ -139,7 +198,8 @@ def fit_cells(sample: list[bytes], total: dict[int, int], kind: str, threshold:
         own = [v for v in sample if len(v) == size]
         if own:
             cells = max(1, min(-(-n // CELL_VECTORS), len(own) // SAMPLE_PER_CELL))
-            out[size] = Cells(_kmeans(_unit(own, kind), cells, np.random.default_rng(seed)), threshold)
+            x = _unit(own, kind)
+            out[size] = Cells(_kmeans(x, cells, np.random.default_rng(seed)), threshold, x).widened(x, threshold)
     return out
 
 
@@ -177,7 +237,12 @@ def _dealer(index, kind: str):
 
 
 def _matcher(index, kind: str, threshold: float):
-    """One block of one cell -> (rep, root, links): weighted link counts and a spanning forest."""
+    """One block of one cell -> (rep, root, links): weighted link counts and a spanning forest.
+
+    A pair whose vectors visit each other's cell can come up in both; it counts in the lower of the cells only, for
+    both of its ends, and one of the same cell when the smaller of its numbers asks.  So either end has a link or neither.
+    Pairs are counted and joined list by list; none is kept.
+    """
 
     def match(table: pa.Table) -> pa.Table:
         is_query = table["query"].to_numpy()
@@ -188,38 +253,36 @@ def _matcher(index, kind: str, threshold: float):
         qx, bx = _unit(q["v"].to_pylist(), kind), _unit(b["v"].to_pylist(), kind)
         q_rep, b_rep, q_n, b_n = (t[c].to_numpy() for c in ("rep", "n") for t in (q, b))
         place, homes = table["place"][0].as_py(), q["home"].to_numpy()
-        lists, hits = Lists(bx, threshold), []
-        for at in range(0, len(qx), _QUERIES_AT_ONCE):
-            for i, j in lists.candidates(qx[at : at + _QUERIES_AT_ONCE]):
-                i = i + at
-                near = (np.einsum("ij,ij->i", qx[i], bx[j]) >= threshold) & (q_rep[i] != b_rep[j])
-                hits.append((i[near], j[near]))
-        i, j = (np.concatenate([h[s] for h in hits]) if hits else np.empty(0, np.int64) for s in (0, 1))
-        if not len(i):
-            return empty
-        q_links = np.bincount(i, weights=b_n[j], minlength=len(qx)).astype(np.int64)
-        # The other side finds the link itself if it visits the query's cell; else it is counted here.
-        linked = np.unique(j)
         cells = index.value.get(table["size"][0].as_py())
-        alone = np.zeros(len(i), bool)
+        asks = np.zeros((len(bx), 1 if cells is None else len(cells.centres)), bool)
         if cells is not None:
-            seen = np.zeros((len(bx), len(cells.centres)), bool)
-            seen[linked] = cells.probes(bx[linked], np.full(len(linked), place))
-            alone = ~seen[j, homes[i]]
-        b_links = np.bincount(j[alone], weights=q_n[i[alone]], minlength=len(bx)).astype(np.int64)
-        q_root, b_root = q_rep.copy(), b_rep.copy()
+            for at in range(0, len(bx), 512):
+                asks[at : at + 512] = cells.probes(bx[at : at + 512], np.full(min(512, len(bx) - at), place))
+        q_links, b_links = np.zeros(len(qx), np.int64), np.zeros(len(bx), np.int64)
+        lists, edges = Lists(bx, threshold), []
+        for at in range(0, len(qx), _QUERIES_AT_ONCE):
+            for own, members, may in lists.candidates(qx[at : at + _QUERIES_AT_ONCE]):
+                own = own + at
+                mine = np.where((homes[own] == place)[:, None], q_rep[own][:, None] < b_rep[members], (homes[own] > place)[:, None] | ~asks[members][:, homes[own]].T)
+                near = near_pairs(qx, bx, own, members, may & mine, threshold)
+                if near.any():
+                    q_links[own] += near @ b_n[members]
+                    b_links[members] += q_n[own] @ near
+                    i, i_on, j, j_on = star_edges(near)
+                    edges += [(own[i], own[i_on]), (members[j] + len(qx), own[j_on])]
+        if not edges:
+            return empty
+        u, v = (np.concatenate([e[k] for e in edges]) for k in (0, 1))
+        rep = np.concatenate([q_rep, b_rep])
+        root = rep.copy()
         while True:
-            before = q_root.copy(), b_root.copy()
-            np.minimum.at(q_root, i, b_root[j])
-            np.minimum.at(b_root, j, q_root[i])
-            if all((x == y).all() for x, y in zip(before, (q_root, b_root), strict=True)):
+            before = root.copy()
+            np.minimum.at(root, v, root[u])
+            np.minimum.at(root, u, root[v])
+            if (root == before).all():
                 break
-        q_in = np.unique(i)
-        return pa.table({
-            "rep": np.concatenate([q_rep[q_in], b_rep[linked]]),
-            "root": np.concatenate([q_root[q_in], b_root[linked]]),
-            "links": np.concatenate([q_links[q_in], b_links[linked]]),
-        })
+        linked = np.unique(np.concatenate([u, v]))
+        return pa.table({"rep": rep[linked], "root": root[linked], "links": np.concatenate([q_links, b_links])[linked]})
 
     return match
 

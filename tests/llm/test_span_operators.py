@@ -9,6 +9,7 @@ import time
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -534,7 +535,59 @@ def test_tables_lose_no_near_pair():
     x[200:] = x[:200] + 0.2 * rng.normal(size=(200, 16))
     x /= np.linalg.norm(x, axis=1, keepdims=True)
     lists = embedding_dedup.Lists(x[:60], 0.9)
-    lists.cells.slack = 9.0  # every list is visited
-    kept = {(int(a), int(b)) for i, j in lists.candidates(x) for a, b in zip(i, j, strict=True)}
+    lists.cells.margin[:] = 99.0  # every list is visited
+    kept = {(int(own[a]), int(members[b])) for own, members, may in lists.candidates(x) for a, b in zip(*np.nonzero(may), strict=True)}
     assert all((a, b) in kept for a, b in zip(*np.nonzero(x @ x[:60].T >= 0.9), strict=True))
     assert len(kept) < 0.5 * 400 * 60
+
+
+LOW_RANK = {"rank 4 in 256": (4, 256, False), "rank 8 in 128": (8, 128, False), "rank 16 in 768": (16, 768, False), "padded": (24, 96, True), "isotropic": (64, 64, False)}
+
+
+def low_rank(rank, dim, padded, n=1500, seed=5):
+    """Vectors of few directions, half of them displaced copies of the others."""
+    rng = np.random.default_rng(seed)
+    base = np.eye(rank, dim) if padded else np.linalg.qr(rng.normal(size=(dim, rank)))[0].T
+    z = rng.normal(size=(n, rank))
+    z[n // 2 :] = z[: n - n // 2] + 0.25 * rng.normal(size=(n - n // 2, rank))
+    return z @ base
+
+
+@pytest.mark.parametrize("shape", LOW_RANK)
+def test_links_of_low_rank_vectors_are_found_from_both_ends(spark, monkeypatch, shape):
+    for name, value in (("CELL_VECTORS", 300), ("BLOCK", 256), ("QUERY_BLOCK", 700), ("LIST_VECTORS", 16)):
+        monkeypatch.setattr(embedding_dedup, name, value)
+    x = low_rank(*LOW_RANK[shape])
+    df = spark.createDataFrame([(i, [float(v) for v in row]) for i, row in enumerate(x)], "vec_id long, embedding array<double>")
+    got = np.array([r["n_links"] for r in embedding_dedup.near_vectors(df).orderBy("vec_id").collect()])
+    true = brute_links(x).sum(1)
+    assert (got <= true).all() and got.sum() >= 0.97 * true.sum() and true.sum() > 500
+    assert got.sum() % 2 == 0  # a link has two ends
+
+
+def test_a_cluster_of_equal_directions_takes_little_memory():
+    import tracemalloc
+
+    rng = np.random.default_rng(6)
+    x = np.ones((4000 + 16000, 32)) + 1e-3 * rng.normal(size=(20000, 32))
+    n = len(x)
+    table = pa.table({
+        "size": pa.array([256] * n, pa.int32()), "place": pa.array([0] * n, pa.int32()), "query": pa.array([False] * 4000 + [True] * 16000), "home": pa.array([0] * n, pa.int32()),
+        "rep": pa.array(range(n), pa.int64()), "n": pa.array([1] * n, pa.int64()), "v": pa.array([v.tobytes() for v in x], pa.binary()),
+    })
+
+    class Index:
+        value = {}
+
+    tracemalloc.start()
+    got = embedding_dedup._matcher(Index, "<f8", 0.9)(table)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    # In this block only queries of smaller numbers than the base rows' count, and there are none: turn the numbers round.
+    assert got.num_rows == 0
+    table = table.set_column(table.schema.get_field_index("rep"), "rep", pa.array(range(n - 1, -1, -1), pa.int64()))
+    tracemalloc.start()
+    got = embedding_dedup._matcher(Index, "<f8", 0.9)(table)
+    peak = max(peak, tracemalloc.get_traced_memory()[1])
+    tracemalloc.stop()
+    assert peak < 1e9 and set(got["root"].to_pylist()) == {0} and sum(got["links"].to_pylist()) == 2 * 4000 * 16000
