@@ -12,6 +12,8 @@ pairs that a text gives grow with its entities and not with their product with i
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -61,20 +63,68 @@ def _valid(kind: str, value: Column) -> Column:
     return F.length(digits).between(9, 15)
 
 
-def _placed(kind: str, matches: Column, gaps: Column) -> Column:
-    """Spans of the matches: each starts after the gaps and matches before it."""
-    start = F.struct(F.lit(0).alias("at"), F.array().cast(f"array<{_STRUCT}>").alias("spans"))
+#: Elements of a part of an array that is scanned on its own, and characters of a part of a text.
+SCAN_PART, TEXT_PART = 64, 1024
+
+
+def running(values: Column, combine: Callable[[Column, Column], Column]) -> Column:
+    """Running sums, or maxima, of an array of non-negative ints by ``combine``, which has to be associative with 0 as its start.
+
+    The parts are scanned on their own and their totals once more, so the work grows with the length, not its square.
+    """
+    zero, none = F.lit(0), F.array().cast("array<int>")
+
+    def scan(part: Column) -> Column:
+        start = F.struct(zero.alias("at"), none.alias("seen"))
+
+        def step(acc: Column, x: Column) -> Column:
+            at = combine(acc["at"], x)
+            return F.struct(at.alias("at"), F.concat(acc["seen"], F.array(at)).alias("seen"))
+
+        return F.aggregate(part, start, step, lambda acc: acc["seen"])
+
+    def scans(array: Column) -> Column:
+        return F.transform(F.sequence(zero, F.floor((F.size(array) - 1) / SCAN_PART).cast("int")), lambda k: scan(F.slice(array, k * SCAN_PART + 1, F.lit(SCAN_PART))))
+
+    def joined(parts: Column, before: Column) -> Column:
+        """The scans of parts, each after what comes before it."""
+        return F.flatten(F.transform(parts, lambda part, k: F.transform(part, lambda x: combine(F.get(before, k), x))))
+
+    def totals(parts: Column) -> Column:
+        return F.transform(parts, lambda part: F.element_at(part, -1))
+
+    def shifted(array: Column) -> Column:
+        return F.concat(F.array(zero), array)
+
+    # What comes before each part is the scan of the parts' totals, which is taken in parts for the same reason.
+    upper = lambda groups: let(shifted(scan(totals(groups))), lambda before: joined(groups, before))
+    whole = lambda parts: let(shifted(let(scans(totals(parts)), upper)), lambda before: joined(parts, before))
+    return F.when(F.size(values) > 0, let(values, lambda v: let(scans(v), whole))).otherwise(none)
 
-    def step(acc: Column, i: Column) -> Column:
-        value = F.get(matches, i)
-        begin = acc["at"] + F.length(F.get(gaps, i))
-        end = begin + F.length(value)
-        span = F.struct(F.lit(kind).alias("kind"), begin.alias("start"), end.alias("end"), value.alias("value"))
-        return F.struct(end.alias("at"), F.concat(acc["spans"], F.array(span)).alias("spans"))
 
-    empty = F.array().cast(f"array<{_STRUCT}>")
-    every = F.aggregate(F.sequence(F.lit(0), F.size(matches) - 1), start, step, lambda acc: acc["spans"])
-    return F.when(F.size(matches) > 0, F.filter(every, lambda s: _valid(kind, s["value"]))).otherwise(empty)
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of a value that is computed once, also where ``body`` has it within lambdas."""
+    return F.transform(F.array(value), body)[0]
+
+
+def text_parts(text: Column) -> Column:
+    """A text in parts of ``TEXT_PART`` characters, from which ``cut_out`` takes pieces without counting from the start each time."""
+    return F.transform(F.sequence(F.lit(0), F.floor(F.length(text) / TEXT_PART).cast("int")), lambda k: F.substring(text, k * TEXT_PART + 1, F.lit(TEXT_PART)))
+
+
+def cut_out(parts: Column, start: Column, length: Column) -> Column:
+    """``length`` characters from ``start`` (from 0) of a text in parts."""
+    first = F.floor(start / TEXT_PART).cast("int")
+    last = F.floor((start + length) / TEXT_PART).cast("int")
+    near = F.array_join(F.slice(parts, first + 1, last - first + 1), "")
+    return F.when(length > 0, F.substring(near, start - first * TEXT_PART + 1, length)).otherwise("")
+
+
+def _placed(kind: str, matches: Column, gaps: Column) -> Column:
+    """Spans of the matches: each starts after the gaps and matches before it."""
+    ends = running(F.transform(matches, lambda m, i: F.length(m) + F.length(F.get(gaps, i))), lambda a, b: a + b)
+    spans = F.transform(F.arrays_zip(matches.alias("value"), ends.alias("end")), lambda s: F.struct(F.lit(kind).alias("kind"), (s["end"] - F.length(s["value"])).alias("start"), s["end"].alias("end"), s["value"].alias("value")))
+    return F.when(F.size(matches) > 0, F.filter(spans, lambda s: _valid(kind, s["value"]))).otherwise(F.array().cast(f"array<{_STRUCT}>"))
 
 
 def ordered(spans: Column) -> Column:
@@ -90,17 +140,20 @@ def _rows(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return rows.withColumn("h", F.xxhash64("text")).withColumn("k", F.xxhash64(F.lit(1), "text"))
 
 
-def _window(text: Column, start: Column, end: Column) -> tuple[Column, Column]:
-    """The whole words before and after a span; a word that the window's edge cuts is left out."""
-    cut = F.greatest(start - WINDOW_CHARS, F.lit(0))
-    before = F.substring(text, cut + 1, start - cut)
-    after = F.substring(text, end + 1, F.lit(WINDOW_CHARS))
-    before = F.when(F.substring(text, cut, F.lit(1)).rlike(_WORD) & (cut > 0), F.regexp_replace(before, rf"^{_WORD}", "")).otherwise(before)
-    after = F.when(F.substring(text, end + WINDOW_CHARS + 1, F.lit(1)).rlike(_WORD), F.regexp_replace(after, rf"{_WORD}\z", "")).otherwise(after)
+def _window(parts: Column, size: Column, start: Column, end: Column, chars: int | None) -> tuple[Column, Column]:
+    """The whole words among ``chars`` characters before and after a span (None: all of the text); a word that the window's edge cuts is left out."""
+    if chars is None:
+        return cut_out(parts, F.lit(0), start), cut_out(parts, end, size - end)
+    cut = F.greatest(start - chars, F.lit(0))
+    before = cut_out(parts, cut, start - cut)
+    stop = F.least(end + chars, size)
+    after = cut_out(parts, end, stop - end)
+    before = F.when((cut > 0) & cut_out(parts, F.greatest(cut - 1, F.lit(0)), F.lit(1)).rlike(_WORD), F.regexp_replace(before, rf"^{_WORD}", "")).otherwise(before)
+    after = F.when((stop < size) & cut_out(parts, stop, F.lit(1)).rlike(_WORD), F.regexp_replace(after, rf"{_WORD}\z", "")).otherwise(after)
     return before, after
 
 
-def base_spans(rows: DataFrame) -> DataFrame:
+def base_spans(rows: DataFrame, window_chars: int | None = WINDOW_CHARS) -> DataFrame:
     """(id, h, k, spans, windows) of ``_rows``; ``windows`` holds the text around each span."""
     text = F.col("text")
     worth = {"email": F.contains(text, F.lit("@")), "ip": F.col("digits"), "card": F.col("digits"), "phone": F.contains(text, F.lit("+"))}
@@ -116,8 +169,12 @@ def base_spans(rows: DataFrame) -> DataFrame:
     rows = rows.withColumn("digits", text.rlike("[0-9]"))
     rows = rows.select("id", "text", "h", "k", F.inline(F.array(F.struct(*found))))
     spans = ordered(F.concat(*[_placed(k, F.col(f"m_{k}"), F.col(f"g_{k}")) for k in PATTERNS]))
+    parts = F.when(F.size("spans") > 0, text_parts(text))
     rows = rows.select("id", "text", "h", "k", F.inline(F.array(F.struct(spans.alias("spans")))))
-    around = F.transform("spans", lambda s: F.struct(entity(s["kind"], s["value"]).alias("entity"), *[w.alias(n) for w, n in zip(_window(text, s["start"], s["end"]), ("before", "after"), strict=True)]))
+    rows = rows.select("id", "h", "k", "spans", F.length("text").alias("size"), F.inline(F.array(F.struct(parts.alias("parts")))))
+    around = F.transform(
+        "spans", lambda s: F.struct(entity(s["kind"], s["value"]).alias("entity"), *[w.alias(n) for w, n in zip(_window(F.col("parts"), F.col("size"), s["start"], s["end"], window_chars), ("before", "after"), strict=True)])
+    )
     return rows.select("id", "h", "k", "spans", F.when(F.size("spans") > 0, around).alias("windows"))
 
 
@@ -181,15 +238,19 @@ def term_spans(rows: DataFrame, terms: DataFrame, holding: DataFrame) -> DataFra
     return materialize(hits.groupBy("h", "k").agg(F.collect_list(span).alias("more")), "term-spans")
 
 
-def find_pii(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", disclosure: float = DISCLOSURE, support: int = SUPPORT) -> DataFrame:
+def find_pii(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", disclosure: float = DISCLOSURE, support: int = SUPPORT, window_chars: int | None = WINDOW_CHARS) -> DataFrame:
     """``id_col`` and ``spans`` (kind, start, end in code points with the end exclusive, value) of every row.
 
+    A term counts as near an entity within ``window_chars`` characters of it, or anywhere in its text with None, which
+    pairs every entity of a text with every word of it.  Common words are ruled out by sketches first: a term
+    is lost if its sketch is wrong by a factor over ``MARGIN``, six of its deviations.
+
     Spans are ordered by start and kind.  Null and empty texts have none; rows that repeat
     an id, or have a null one, each give a row; an empty table gives no rows; other columns
     are left out.
     """
     rows = _rows(docs, id_col, text_col)
-    found = materialize(base_spans(rows), "pii")
+    found = materialize(base_spans(rows, window_chars), "pii")
     terms, holding = disclosing_terms(rows, found, disclosure, support)
     out = found.join(term_spans(rows, terms, holding), ["h", "k"], "left")
     spans = F.when(F.col("more").isNull(), F.col("spans")).otherwise(ordered(F.concat("spans", F.coalesce("more", F.array().cast(f"array<{_STRUCT}>")))))
@@ -197,13 +258,29 @@ def find_pii(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", di
 
 
 def sanitised(text: Column, spans: Column) -> Column:
-    """The text with each base span generalised to its kind in brackets and each disclosing term removed."""
-    start = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
+    """The text with each base span generalised to its kind in brackets and each disclosing term removed; of spans that overlap the first counts."""
+    mark = lambda s: F.when(s["kind"] == "term", F.lit("")).otherwise(F.concat(F.lit("["), F.upper(s["kind"]), F.lit("]")))
+
+    def pieces(parts: Column, reached: Column) -> Column:
+        keyed = F.transform(spans, lambda s, i: F.struct(F.coalesce(F.get(reached, i - 1), F.lit(0)).alias("at"), s["start"].alias("start"), s["kind"].alias("kind")))
+        # Of what overlaps an earlier span nothing is left: where it ends is in the next one's ``at``.
+        apart = F.filter(keyed, lambda s: s["start"] >= s["at"])
+        kept = F.array_join(F.transform(apart, lambda s: F.concat(cut_out(parts, s["at"], s["start"] - s["at"]), mark(s))), "")
+        last = F.element_at(reached, -1)
+        return F.concat(kept, cut_out(parts, last, F.length(text) - last))
+
+    ends = running(F.transform(spans, lambda s: s["end"]), F.greatest)
+    return F.when(F.size(spans) > 0, let(text_parts(text), lambda parts: let(ends, lambda reached: pieces(parts, reached)))).otherwise(text)
 
-    def step(acc: Column, s: Column) -> Column:
-        inside = s["start"] < acc["at"]  # overlaps what was replaced before
-        gap = F.when(inside, F.lit("")).otherwise(F.substring(text, acc["at"] + 1, s["start"] - acc["at"]))
-        mark = F.when(inside | (s["kind"] == "term"), F.lit("")).otherwise(F.concat(F.lit("["), F.upper(s["kind"]), F.lit("]")))
-        return F.struct(F.greatest(acc["at"], s["end"]).alias("at"), F.concat(acc["out"], gap, mark).alias("out"))
 
-    return F.aggregate(spans, start, step, lambda acc: F.concat(acc["out"], F.substring(text, acc["at"] + 1, F.length(text))))
+def sanitise_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
+    """(id, text, n_spans) of every row with the spans of ``find_pii`` generalised or removed; a null text is empty.
+
+    Texts are rewritten where they are read again; spans come to them by the text's digests, one row for each distinct text.
+    """
+    rows = _rows(docs, id_col, text_col)
+    spans = find_pii(rows.select(F.struct("h", "k").alias("key"), "text"), "key", **options).where(F.size("spans") > 0)
+    spans = materialize(spans.groupBy("key").agg(F.first("spans").alias("spans")), "text-spans")
+    out = rows.withColumn("key", F.struct("h", "k")).join(spans, "key", "left")
+    clean = F.when(F.col("spans").isNull(), F.col("text")).otherwise(sanitised(F.col("text"), F.col("spans")))
+    return out.select(F.col("id").alias(id_col), clean.alias(text_col), F.coalesce(F.size("spans"), F.lit(0)).alias("n_spans"))

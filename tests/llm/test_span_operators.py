@@ -1,6 +1,7 @@
 """Secrets, personal data, licences, URLs and vectors against brute force."""
 
 import hashlib
+import itertools
 import math
 import random
 import re
@@ -255,9 +256,8 @@ def brute_terms(texts, disclosure, support, reach=None):
     return out
 
 
-@pytest.mark.parametrize("window", [240, 25])
-def test_disclosing_terms_equal_brute_force(spark, monkeypatch, window):
-    monkeypatch.setattr(pii, "WINDOW_CHARS", window)
+@pytest.mark.parametrize("window", [240, 25, None])
+def test_disclosing_terms_equal_brute_force(spark, window):
     rng = random.Random(4)
     pool = [f"word{i}" for i in range(60)]
     people = [(f"name{i}", f"p{i}@mail.com" if i % 3 else f"+1 555 010 {1000 + i}") for i in range(12)]
@@ -273,12 +273,12 @@ def test_disclosing_terms_equal_brute_force(spark, monkeypatch, window):
     texts += texts[:40]
     docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
     rows = pii._rows(docs, "doc_id", "text")
-    terms, _ = pii.disclosing_terms(rows, pii.base_spans(rows), 0.7, 3)
+    terms, _ = pii.disclosing_terms(rows, pii.base_spans(rows, window), 0.7, 3)
     got = {(r["term"], r["entity"]) for r in terms.collect()}
-    assert got == brute_terms(texts, 0.7, 3, window)
+    assert got == brute_terms(texts, 0.7, 3, window or 10**9)
     assert len(got) > 3
     flagged = {t for t, _ in got}
-    for r in pii.find_pii(docs, disclosure=0.7).collect():
+    for r in pii.find_pii(docs, disclosure=0.7, window_chars=window).collect():
         words_found = sorted((m.start(), m.end()) for m in re.finditer(r"[^\W_]+", texts[r["doc_id"]]) if m[0].lower() in flagged)
         assert sorted((s["start"], s["end"]) for s in r["spans"] if s["kind"] == "term") == words_found
 
@@ -312,13 +312,65 @@ def test_pii_query_equals_its_twin_on_odd_texts(spark, tmp_path):
     assert any("term" in str(r) for r in got)
 
 
-def test_a_word_that_the_window_cuts_is_no_term(spark, monkeypatch):
-    monkeypatch.setattr(pii, "WINDOW_CHARS", 8)
+def test_a_word_that_the_window_cuts_is_no_term(spark):
     rows = [(i, f"n{i} superzorb a{i} zed@mail.com b{i} supernova") for i in range(5)] + [(10, "one orb alone"), (11, "super"), *[(20 + i, f"other {i}") for i in range(30)]]
-    got = {r["doc_id"]: [s["value"] for s in r["spans"] if s["kind"] == "term"] for r in pii.find_pii(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    got = {r["doc_id"]: [s["value"] for s in r["spans"] if s["kind"] == "term"] for r in pii.find_pii(spark.createDataFrame(rows, "doc_id long, text string"), window_chars=8).collect()}
     assert not got[10] and not got[11]
 
 
+def test_running_sums_and_maxima_of_any_length(spark):
+    rng = random.Random(2)
+    rows = [(n, [rng.randrange(50) for _ in range(n)]) for n in (0, 1, 63, 64, 65, 4095, 4096, 4097, 9000)]
+    df = spark.createDataFrame(rows, "n int, v array<int>")
+    for combine, plain in ((lambda a, b: a + b, lambda a, b: a + b), (F.greatest, max)):
+        got = {r["n"]: r["out"] for r in df.select("n", pii.running(F.col("v"), combine).alias("out")).collect()}
+        assert got == {n: list(itertools.accumulate(v, plain)) for n, v in rows}
+
+
+def test_pieces_of_a_text_in_parts(spark):
+    text = "".join(chr(97 + i % 26) if i % 7 else "é😀"[i % 2] for i in range(5000))
+    places = [(0, 0), (0, 5000), (1023, 2), (1024, 1024), (4999, 1), (5000, 0), (2000, 3000), (7, 1)]
+    df = spark.createDataFrame([(text, a, n) for a, n in places], "t string, a int, n int").withColumn("p", pii.text_parts(F.col("t")))
+    assert [r["x"] for r in df.select(pii.cut_out(F.col("p"), F.col("a"), F.col("n")).alias("x")).collect()] == [text[a : a + n] for a, n in places]
+
+
+@pytest.mark.parametrize("n", [20_000, 100_000])
+def test_a_text_full_of_addresses_takes_linear_time(spark, n):
+    df = spark.createDataFrame([(1, "a@b.c " * n)], "doc_id long, text string")
+    small = spark.createDataFrame([(1, "a@b.c ")], df.schema)
+    took = []
+    for rows in (small, small, df):
+        began = time.perf_counter()
+        spans = pii.find_pii(rows).collect()[0]["spans"]
+        took.append(time.perf_counter() - began)
+    assert (len(spans), spans[-1]["start"]) == (n, 6 * (n - 1))
+    assert took[2] < 2 * took[1] + 2 + n / 4000
+
+
+def brute_sanitised(text, spans):
+    out, at = "", 0
+    for kind, a, b in spans:
+        if a >= at:
+            out += text[at:a] + ("" if kind == "term" else f"[{kind.upper()}]")
+        at = max(at, b)
+    return out + text[at:]
+
+
+def test_documents_are_sanitised(spark):
+    texts = [*PII_TEXTS, "zed@mail.com wrote +49 171 1234567 to 10.0.0.1 " * 200]
+    texts += [f"note {i}: Zorblax wrote from zed@mail.com, number {i * 7}" for i in range(6)] + [f"the text {i}" for i in range(40)] + ["again ZORBLAX", "again ZORBLAX"]
+    rows = [(i if i % 5 else None, t) for i, t in enumerate(texts)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").withColumn("spans", F.lit(1)).repartition(3)
+    spans = {}
+    for r in pii.find_pii(df.select(F.col("text").alias("doc_id"), "text"), disclosure=0.85).collect():
+        spans[r["doc_id"] or ""] = [(s["kind"], s["start"], s["end"]) for s in r["spans"]]
+    got = pii.sanitise_documents(df, disclosure=0.85).collect()
+    wanted = Counter((i, brute_sanitised(t or "", spans[t or ""]), len(spans[t or ""])) for i, t in rows)
+    assert Counter((r["doc_id"], r["text"], r["n_spans"]) for r in got) == wanted
+    assert sum("[EMAIL]" in r["text"] for r in got) > 6 and not any("zed@mail.com" in r["text"] or "ZORBLAX" in r["text"] for r in got)
+    assert pii.sanitise_documents(df.where("1 = 0")).count() == 0
+
+
 # Licences
 
 
