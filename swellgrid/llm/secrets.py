@@ -45,8 +45,10 @@ NAME_WEIGHTS = {
 PAIR_WEIGHTS = {("api", "key"): 1.0, ("private", "key"): 1.0, ("access", "key"): 1.0, ("encryption", "key"): 1.0, ("signing", "key"): 1.0, ("connection", "string"): 0.8}
 HARMLESS = frozenset(["count", "length", "size", "max", "min", "limit", "type", "field", "label", "name", "path", "file", "url", "public", "hint", "column", "index", "id"])
 PLACEHOLDERS = frozenset(["changeme", "password", "secret", "example", "placeholder", "undefined", "required", "optional", "redacted", "default"])
+#: Words of a message about a secret rather than of a secret.
+PROSE = PLACEHOLDERS | frozenset(["enter", "please", "your", "the", "a", "is", "not", "must", "invalid", "wrong", "missing", "for", "of", "to", "and", "or", "in", "no", "this"])
 SCORE = 0.5
-MIN_LITERAL = 6
+MIN_LITERAL, MOST_WORDS = 6, 8
 
 
 class Span(NamedTuple):
@@ -62,6 +64,7 @@ class _Pair(NamedTuple):
     start: int
     end: int
     quoted: bool
+    whole: str | None = None  # what is scored, where the literal is written in several pieces
 
 
 def base_spans(text: str) -> Iterator[Span]:
@@ -110,6 +113,78 @@ def assignments(text: str) -> Iterator[_Pair]:
             at = plus.end()
 
 
+_TRIPLE = re.compile(r'"""|\'\'\'')
+_BEFORE_VALUE = re.compile(r"(?::=|=>|=|:)[ \t]*\Z")
+_QUOTED = r"""(?:"((?:[^"\\\n]|\\.)*+)"|'((?:[^'\\\n]|\\.)*+)')"""
+_BRACKET = re.compile(r"(?<![=!<>:])(?::=|=|:)[ \t]*+\((?=\s*+[\"'])")
+_PIECE = re.compile(rf"[\s+]*+{_QUOTED}")
+_BLOCK = re.compile(r"""^([ \t]*+)(?:-[ \t]++)?["']?([A-Za-z_][A-Za-z0-9_.-]*+)["']?[ \t]*+:[ \t]*+[|>][+-]?[0-9]?[ \t]*+$""", re.MULTILINE)
+_LINE = re.compile(r"\n([ \t]*+)([^\n]*+)")
+_ELEMENT = re.compile(r"<([A-Za-z_][A-Za-z0-9_.:-]*+)(?:\s[^<>]*+)?>([^<>]++)</\1\s*+>")
+_ATTRIBUTES = re.compile(r"""\b(?:name|key)\s*+=\s*+["']([^"'<>]*+)["']\s++value\s*+=\s*+["']([^"'<>]*+)["']""")
+_CALL = re.compile(rf"(?<![A-Za-z0-9_])([A-Za-z_][A-Za-z0-9_]*+)\(\s*+{_QUOTED}\s*+\)")
+_NAMED_ARGUMENT = re.compile(rf"""\(\s*+["']([A-Za-z_][A-Za-z0-9_.-]*+)["']\s*+,\s*+{_QUOTED}\s*+[,)]""")
+_FLAG = re.compile(rf"""(?<![A-Za-z0-9-])--([A-Za-z][A-Za-z0-9-]*+)[ \t]++(?:{_QUOTED}|([^\s"'`-][^\s"'`]*+))""")
+
+
+def _stripped(name: str, text: str, start: int, end: int, quoted: bool = True) -> Iterator[_Pair]:
+    """The pair of a stretch of text without the blanks at its ends."""
+    literal = text[start:end]
+    start += len(literal) - len(literal.lstrip())
+    if literal.strip():
+        yield _Pair(name, start, start + len(literal.strip()), quoted)
+
+
+def syntax_pairs(text: str) -> Iterator[_Pair]:
+    """Name and literal in syntax that ``assignments`` doesn't read: triple quotes, adjacent literals in brackets, indented blocks,
+    elements, name and value attributes, setter calls, named arguments, command-line flags.
+
+    Each form is one pass: a search goes on behind what it found, and what a failed match has read is not read again by the next.
+    """
+    if '"""' in text or "'''" in text:
+        opened = None
+        for m in _TRIPLE.finditer(text):
+            if opened is None:
+                opened = m
+            elif m[0] == opened[0]:
+                operator = _BEFORE_VALUE.search(text, max(0, opened.start() - 16), opened.start())
+                name = _target(text, operator.start()) if operator else ""
+                if name and not name[0].isdigit():
+                    yield from _stripped(name, text, opened.end(), m.start())
+                opened = None
+    done = 0
+    for m in _BRACKET.finditer(text) if "(" in text else ():
+        name, at, pieces = _target(text, m.start()), m.end(), []
+        if m.start() < done or not name or name[0].isdigit():
+            continue
+        while piece := _PIECE.match(text, at):
+            pieces.append((piece.start(piece.lastindex), piece.end(piece.lastindex)))
+            at = done = piece.end()
+        whole = "".join(text[a:b] for a, b in pieces)
+        yield from (_Pair(name, a, b, True, whole) for a, b in pieces if a < b)
+    done = 0
+    for m in _BLOCK.finditer(text) if "|" in text or ">" in text else ():
+        if m.start() < done:
+            continue
+        lines, at = [], m.end()
+        while (line := _LINE.match(text, at)) and (not line[2] or len(line[1]) > len(m[1])):
+            if line[2].strip():
+                lines.append((line.start(2), line.start(2) + len(line[2].rstrip())))
+            at = done = line.end()
+        whole = "".join(text[a:b] for a, b in lines)
+        yield from (_Pair(m[2], a, b, True, whole) for a, b in lines)
+    if "</" in text:
+        for m in _ELEMENT.finditer(text):
+            yield from _stripped(m[1], text, m.start(2), m.end(2))
+    if "value" in text:
+        yield from (_Pair(m[1], m.start(2), m.end(2), True) for m in _ATTRIBUTES.finditer(text))
+    if "(" in text:
+        for pattern in (_CALL, _NAMED_ARGUMENT):
+            yield from (_Pair(m[1], m.start(m.lastindex), m.end(m.lastindex), True) for m in pattern.finditer(text))
+    if "--" in text:
+        yield from (_Pair(m[1], m.start(m.lastindex), m.end(m.lastindex), m.lastindex < 4) for m in _FLAG.finditer(text))
+
+
 def name_score(name: str) -> float:
     """How likely something of this name is a secret, from 0 to 1."""
     parts = [p.lower() for p in _PARTS.findall(name)]
@@ -121,8 +196,11 @@ def name_score(name: str) -> float:
 def literal_score(literal: str, quoted: bool) -> float:
     """How much a literal looks like a secret, from 0 to 1: length, variety and kinds of characters."""
     low = literal.lower()
-    if len(literal) < MIN_LITERAL or low in PLACEHOLDERS or low.startswith(("$", "<", "{", "%")) or " " in literal:
+    if len(literal) < MIN_LITERAL or low in PLACEHOLDERS or low.startswith(("$", "<", "{", "%")):
         return 0.0
+    if len(words := low.split()) > 1:  # a phrase: of few words, none of which asks for or describes a secret
+        if not quoted or len(words) > MOST_WORDS or not {w.strip(".,:;!?") for w in words}.isdisjoint(PROSE):
+            return 0.0
     kinds = sum(any(f(c) for c in literal) for f in (str.islower, str.isupper, str.isdigit)) + any(not c.isalnum() for c in literal)
     n = len(literal)
     entropy = -sum(k / n * math.log2(k / n) for k in Counter(literal).values())
@@ -152,9 +230,8 @@ def best_targets(names: set[str], flows: dict[str, set[str]]) -> dict[str, tuple
 
 def method_spans(text: str) -> Iterator[Span]:
     """Literals whose sensitive target names, own or reached through constants, score ``SCORE`` or more."""
-    if "=" not in text and ":" not in text:
-        return
-    pairs = list(assignments(text))
+    pairs = list(assignments(text)) if "=" in text or ":" in text else []
+    pairs += syntax_pairs(text)
     flows: dict[str, set[str]] = {}  # from a constant to the names it flows into
     defined = {p.name for p in pairs}
     for p in pairs:  # target = CONSTANT: what the constant holds flows into the target
@@ -165,10 +242,10 @@ def method_spans(text: str) -> Iterator[Span]:
     found: dict[tuple[int, int], Span] = {}
     for p in pairs:
         strength, target = reach[p.name]
-        literal = text[p.start : p.end]
+        literal = text[p.start : p.end] if p.whole is None else p.whole
         if strength and not (literal in flows and not p.quoted):
             score = strength * literal_score(literal, p.quoted)
-            if score >= SCORE:
+            if score >= SCORE and ((p.start, p.end) not in found or found[p.start, p.end].score < round(score, 4)):
                 found[p.start, p.end] = Span("literal", p.start, p.end, target, round(score, 4))
     yield from found.values()
 

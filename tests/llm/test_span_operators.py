@@ -178,6 +178,45 @@ def test_work_per_text_is_linear(make):
 PATTERNS = {"email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", "ip": r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", "card": r"[0-9]([\x20-]?[0-9])+", "phone": r"\+[0-9][\x20().0-9-]+[0-9]"}
 
 
+@pytest.mark.parametrize(
+    ("text", "found"),
+    [
+        ('password = """hunter2 Xq9z"""', ["hunter2 Xq9z"]),
+        ("token := '''\nAbc123xyz987\n'''", ["Abc123xyz987"]),
+        ('x = """password""" + "abcDEF123"', []),
+        ('password = ("abc"\n   "DEF123x")', ["abc", "DEF123x"]),
+        ('title = ("abc"\n   "DEF123x")', []),
+        ("db:\n  password: |\n    s3cr3tValue99\n\n    more44Lines  \n  user: |\n    s3cr3tBob99", ["s3cr3tValue99", "more44Lines"]),
+        ("- secret: >-\n    one two\n    33xYz44", ["one two", "33xYz44"]),
+        ("<password>Hunter2xyz9</password><user>Hunter2xyz9</user>", ["Hunter2xyz9"]),
+        ('<db:password type="x">\n Hunter2xyz9 </db:password>', ["Hunter2xyz9"]),
+        ("<password>Hunter2xyz9</passwort>", []),
+        ('conn.setPassword("Hunter2xyz9"); print("Hunter2xyz9")', ["Hunter2xyz9"]),
+        ("mysql --user Hunter2xyz8 --password Hunter2xyz9 --verbose", ["Hunter2xyz9"]),
+        ('run --api-key "Ab12 cd34 zz99"', ["Ab12 cd34 zz99"]),
+        ('os.environ.setdefault("API_TOKEN", "zz99Hunter2")', ["zz99Hunter2"]),
+        ('<property name="db.password" value="zz99Hunter2"/>', ["zz99Hunter2"]),
+        ('password = "correct horse battery staple"', ["correct horse battery staple"]),
+        ('password = "please enter your password"', []),
+        ("password: this is only a sentence about it", []),
+    ],
+)
+def test_literals_of_further_syntax(text, found):
+    assert [text[s.start : s.end] for s in secrets.find_secrets(text) if s.kind == "literal"] == found
+
+
+@pytest.mark.parametrize("form", ['a="""', "p = ('a' ", "p: |\n", "password: |\n  x\n", "<a b", "<a>b</a>", 'f("', '("a", "', "--a ", 'key="a" value=', "'''", "<a   "])
+def test_further_syntax_is_linear_on_a_megabyte(form):
+    def took(size):
+        text, began = form * (size // len(form)), time.perf_counter()
+        list(secrets.syntax_pairs(text))
+        return time.perf_counter() - began
+
+    took(10_000)
+    assert took(1_000_000) < 5
+    assert min(took(800_000) for _ in range(2)) < 8 * max(min(took(200_000) for _ in range(2)), 0.01)
+
+
 def luhn(digits):
     total = 0
     for i, c in enumerate(reversed(digits)):
