@@ -22,6 +22,7 @@ import pyarrow as pa
 from pyspark.broadcast import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegralType
 
 from . import arrays
 from .common import discard, flag_members, free_name, materialize, quoted
@@ -292,9 +293,12 @@ def near_dup_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     the TF-IDF weighted five-word shingles of their lower-case words; a class is what links
     connect.  A text of fewer than five words has one shingle of all its words.  Null,
     empty and wordless texts are linked with nothing.  Rows that repeat an id count as one
-    document and give one row; rows with a null id give none.  An empty table gives no rows.
+    document and give one row; rows with a null id give none.  Ids of
+    another type than an integer raise ``TypeError``.  An empty table gives no rows.
     """
     spark = docs.sparkSession
+    if not isinstance(docs.schema[id_col].dataType, IntegralType):
+        raise TypeError(f"{id_col} has to be an integer column")
     docs = docs.select(F.col(id_col).cast("bigint").alias("id"), F.col(text_col).alias("text")).where("id IS NOT NULL")
     idf = spark.sparkContext.broadcast(idf_levels(docs))
     signed = materialize(docs.mapInArrow(_signer(idf), "id long, same string, shingles int, sig array<int>"), "signatures")

@@ -519,3 +519,8 @@ def test_query_equals_oracle(spark, name):
     result = con.execute(ORACLE[name])
     places = [[d[0] for d in result.description].index(c) for c in columns]
     assert got == sorted((tuple(row[i] for i in places) for row in result.fetchall()), key=str)
+
+
+def test_ids_that_are_no_integers_are_refused(spark):
+    with pytest.raises(TypeError):
+        near_dup.near_dup_classes(spark.createDataFrame([("a", "one two")], "doc_id string, text string"))
