@@ -204,7 +204,10 @@ def fit_cells(sample: list[bytes], total: dict[int, int], kind: str, threshold:
 
 
 def _dealer(index, kind: str):
-    """(rep, n, v) -> a base row for its cell and a query row for each cell it visits."""
+    """(rep, n, v) -> a base row for its cell and a query row for each cell that it visits, of those not above its own.
+
+    A pair of two cells is so looked for from one side, where it counts for both ends.
+    """
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
@@ -220,7 +223,7 @@ def _dealer(index, kind: str):
                     else:
                         x = _unit(b.column(2).to_pylist(), kind)
                         home = cells.home(x)
-                        row, place = np.nonzero(cells.probes(x, home))
+                        row, place = np.nonzero(cells.probes(x, home) & (np.arange(len(cells.centres)) <= home[:, None]))
                     rows = np.concatenate([np.arange(b.num_rows), row])
                     yield pa.RecordBatch.from_arrays(
                         [
@@ -236,12 +239,11 @@ def _dealer(index, kind: str):
     return deal
 
 
-def _matcher(index, kind: str, threshold: float):
+def _matcher(kind: str, threshold: float):
     """One block of one cell -> (rep, root, links): weighted link counts and a spanning forest.
 
-    A pair whose vectors visit each other's cell can come up in both; it counts in the lower of the cells only, for
-    both of its ends, and one of the same cell when the smaller of its numbers asks.  So either end has a link or neither.
-    Pairs are counted and joined list by list; none is kept.
+    A pair of two cells comes up in the lower one only, and one of the same cell counts when the smaller of its numbers asks, for
+    both of its ends.  So either end has a link or neither.  Pairs are counted and joined list by list; none is kept.
     """
 
     def match(table: pa.Table) -> pa.Table:
@@ -253,17 +255,12 @@ def _matcher(index, kind: str, threshold: float):
         qx, bx = _unit(q["v"].to_pylist(), kind), _unit(b["v"].to_pylist(), kind)
         q_rep, b_rep, q_n, b_n = (t[c].to_numpy() for c in ("rep", "n") for t in (q, b))
         place, homes = table["place"][0].as_py(), q["home"].to_numpy()
-        cells = index.value.get(table["size"][0].as_py())
-        asks = np.zeros((len(bx), 1 if cells is None else len(cells.centres)), bool)
-        if cells is not None:
-            for at in range(0, len(bx), 512):
-                asks[at : at + 512] = cells.probes(bx[at : at + 512], np.full(min(512, len(bx) - at), place))
         q_links, b_links = np.zeros(len(qx), np.int64), np.zeros(len(bx), np.int64)
         lists, edges = Lists(bx, threshold), []
         for at in range(0, len(qx), _QUERIES_AT_ONCE):
             for own, members, may in lists.candidates(qx[at : at + _QUERIES_AT_ONCE]):
                 own = own + at
-                mine = np.where((homes[own] == place)[:, None], q_rep[own][:, None] < b_rep[members], (homes[own] > place)[:, None] | ~asks[members][:, homes[own]].T)
+                mine = (homes[own] > place)[:, None] | (q_rep[own][:, None] < b_rep[members])
                 near = near_pairs(qx, bx, own, members, may & mine, threshold)
                 if near.any():
                     q_links[own] += near @ b_n[members]
@@ -322,7 +319,7 @@ def near_vectors(df: DataFrame, id_col: str = "vec_id", vec_col: str = "embeddin
     dealt = dealt.withColumn("own", own).withColumn("other", F.explode(others))
     dealt = dealt.withColumn("b", F.when(F.col("query"), F.col("other")).otherwise(F.col("own"))).withColumn("q", F.when(F.col("query"), F.col("own")).otherwise(F.col("other")))
     dealt = dealt.select("size", "place", "b", "q", "query", "home", "rep", "n", "v")
-    found = materialize(dealt.groupBy("size", "place", "b", "q").applyInArrow(_matcher(index, kind, threshold), "rep long, root long, links long"), "vector-links")
+    found = materialize(dealt.groupBy("size", "place", "b", "q").applyInArrow(_matcher(kind, threshold), "rep long, root long, links long"), "vector-links")
     index.destroy()
     links = found.groupBy("rep").agg(F.sum("links").alias("links"))
     component = connected_components(found.select(F.col("rep").alias("a"), F.col("root").alias("b")))

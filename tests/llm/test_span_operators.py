@@ -667,18 +667,15 @@ def test_a_cluster_of_equal_directions_takes_little_memory():
         "rep": pa.array(range(n), pa.int64()), "n": pa.array([1] * n, pa.int64()), "v": pa.array([v.tobytes() for v in x], pa.binary()),
     })
 
-    class Index:
-        value = {}
-
     tracemalloc.start()
-    got = embedding_dedup._matcher(Index, "<f8", 0.9)(table)
+    got = embedding_dedup._matcher("<f8", 0.9)(table)
     peak = tracemalloc.get_traced_memory()[1]
     tracemalloc.stop()
     # In this block only queries of smaller numbers than the base rows' count, and there are none: turn the numbers round.
     assert got.num_rows == 0
     table = table.set_column(table.schema.get_field_index("rep"), "rep", pa.array(range(n - 1, -1, -1), pa.int64()))
     tracemalloc.start()
-    got = embedding_dedup._matcher(Index, "<f8", 0.9)(table)
+    got = embedding_dedup._matcher("<f8", 0.9)(table)
     peak = max(peak, tracemalloc.get_traced_memory()[1])
     tracemalloc.stop()
     assert peak < 1e9 and set(got["root"].to_pylist()) == {0} and sum(got["links"].to_pylist()) == 2 * 4000 * 16000
