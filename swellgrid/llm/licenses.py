@@ -138,9 +138,8 @@ def _literal_map(values: dict[str, object]) -> Column:
 def scan_licenses(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per document: ``id_col``, ``n_matches`` (long), ``licenses`` (distinct, sorted, comma-joined, or '').
 
-    A document matches once for each unit, itself, a paragraph (between empty lines), a line or
-    a run of paragraphs, whose canonical text is that of a known licence; a unit that is all of a larger
-    one counts with the larger only.  Null and empty texts match nothing; rows that repeat
+    A document matches once for each different canonical text that is a known licence's among its units: itself, its
+    paragraphs (between empty lines), its lines and its runs of paragraphs; one that stands twice, or is a unit in two ways, counts once.  Null and empty texts match nothing; rows that repeat
     an id or have a null one each give a row; an empty table gives no rows; other columns
     are left out.  Each row is settled where it stands: nothing is joined or shuffled.
     """

@@ -452,6 +452,56 @@ def test_licenses_in_standard_files(spark):
     assert got["mit"][1] == got["inside"][1] == 1
 
 
+def plain_canonical(text):
+    text = text.lower()
+    for old, new in licenses.SPELLINGS:
+        text = text.replace(old, new)
+    kept = []
+    for line in re.split(r"(?<=\n)", text):
+        lead = re.match(r"[^\w\n(©]*|_", line)[0] if line else ""
+        rest = line[len(lead) :].replace("_", " ")
+        statement = rest.startswith("©") or bool(re.match(r"\(c\)(?=[\W_]*?(?:[0-9]{4}|copyright\b))(?![\W_]*\n)", rest))
+        if rest.startswith("copyright") and not re.match(r"copyright\w", rest):
+            after = re.match(r"copyright[^\w\n(©]*", rest)
+            word = re.match(r"(notices?|holders?|owners?|laws?|license|statements?|interests?|and|or|in|on|to|is|if|as|by law)\b|\n?$", rest[after.end() :].rstrip("\n") or "")
+            statement = not word
+        if not statement:
+            kept.append(line)
+    return re.sub(r"(?:(?!\n)[\W_])+", " ", "".join(kept))
+
+
+def plain_licenses(text, known, most):
+    """(number of different known units, their licences) of a text: itself, its lines, its paragraphs and all runs of these."""
+    flat_ = lambda t: re.sub(r"[ \n]+", " ", t).strip()
+    t = plain_canonical(text)
+    paragraphs = [p for p in re.split(r"\n *\n", t) if p.replace("\n", " ").strip()]
+    units = {flat_(t), *map(flat_, t.split("\n"))} | {flat_("\n".join(paragraphs[i:j])) for i in range(len(paragraphs)) for j in range(i + 1, min(len(paragraphs), i + most) + 1)}
+    found = [known[u] for u in units if u in known]
+    return len(found), ",".join(sorted(set(found)))
+
+
+def test_license_scan_equals_brute_force(spark):
+    """Full texts, runs of paragraphs, lines and notices in made-up files, by comparing whole canonical texts."""
+    everything = licenses.LICENSES + licenses.full_texts()
+    known, most = {}, 1
+    for name, text in everything:
+        t = plain_canonical(text)
+        most = max(most, sum(bool(p.replace("\n", " ").strip()) for p in re.split(r"\n *\n", t)))
+        key = re.sub(r"[ \n]+", " ", t).strip()
+        known[key] = min(name, known.get(key, name))
+    rng = random.Random(12)
+    short = [t for _, t in everything if len(t) < 3000]
+    texts = [None, "", "\n\n", *(t for _, t in everything)]
+    for _ in range(120):
+        parts = [rng.choice([rng.choice(short), rng.choice(short).upper(), textwrap.fill(rng.choice(short), 60), "Copyright (c) 2019 Jane", "copyright notice and so on", "some words, here", "* * *", "© Jane", "(c) 2020 you"]) for _ in range(rng.randrange(1, 7))]
+        texts.append(rng.choice(["\n\n", "\n", "\n \n", " "]).join(parts))
+    texts += [t[: len(t) // 2] for _, t in everything[:12]] + [short[3] + "\n\n" + short[3]]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(4)
+    got = {r["doc_id"]: (r["n_matches"], r["licenses"]) for r in licenses.scan_licenses(df).collect()}
+    assert got == {i: plain_licenses(t or "", known, most) for i, t in enumerate(texts)}
+    assert sum(n > 0 for n, _ in got.values()) > 80 and len({x for _, names in got.values() for x in names.split(",")}) > 10
+
+
 # URLs
 
 
