@@ -511,7 +511,7 @@ def test_query_equals_oracle(spark, name):
     import duckdb
 
     con = duckdb.connect()
-    for table in ("documents", "embeddings", "pages", "labels"):
+    for table in ("documents", "embeddings", "pages", "labels", "benchmark"):
         con.execute(f"CREATE VIEW {table} AS SELECT * FROM '{DATA}/{table}.parquet'")
     df = QUERIES[name](spark, DATA)
     columns = sorted(df.columns)
