@@ -75,9 +75,12 @@ class MonthTable:
         return f"{self.path}/_staged/{batch}"
 
     def stage(self, rows: DataFrame, batch: int) -> None:
-        """Write the months of ``rows``, whole, beside the table."""
+        """Write the months of ``rows``, whole, beside the table.
+
+        Rows are brought together by month, so that a month has few files; Spark splits a large one among tasks and lets small ones share one.
+        """
         out = rows.withColumns({"year": F.year("time"), "month": F.month("time")})
-        out.write.mode("overwrite").partitionBy(*MONTHS).parquet(self.staged(batch))
+        out.hint("rebalance", *MONTHS).write.mode("overwrite").partitionBy(*MONTHS).parquet(self.staged(batch))
 
     def is_staged(self, batch: int) -> bool:
         return self._exists(f"{self.staged(batch)}/_SUCCESS")
