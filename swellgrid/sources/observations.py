@@ -17,6 +17,8 @@ from ..schema import CELL, KEYS, OBSERVATIONS, VARIABLES
 
 #: Rows of a file of a zone.
 ROWS_PER_FILE = 5_000_000
+#: Rows that one task sorts and writes where files are smaller than that.
+ROWS_PER_RANGE = 250_000
 
 
 def nan_to_null(df: DataFrame) -> DataFrame:
@@ -108,7 +110,8 @@ def write_zone(
     Rows are dealt out by ranges of (directory, time, cell) whose bounds Spark samples: a directory with
     most of the rows gets most of the files, small ones share a task, and within a directory the ranges of the
     files don't overlap, so that a period or a box skips files by their statistics.  The rows are counted first,
-    unless ``files``, the number of ranges, is given.
+    unless ``files``, the number of ranges, is given.  A range has a file or more: where files are small, a task writes many of
+    them one after the other, so that tasks, samples and shuffle blocks follow the rows and not the files.
     """
     path = f"{root}/{zone}/{folder}"
     parts = {"year": F.year("time"), "month": F.month("time")}
@@ -117,9 +120,10 @@ def write_zone(
         out.write.mode(mode).parquet(path)
         return path
     order = [*partition, *(c for c in KEYS if c in df.columns)]
-    ranges = files or max(1, math.ceil(out.count() / rows_per_file))
+    ranges = files or max(1, math.ceil(out.count() / max(rows_per_file, ROWS_PER_RANGE)))
+    most = rows_per_file if not files and rows_per_file < ROWS_PER_RANGE else 2 * rows_per_file
     out = out.repartitionByRange(ranges, *order).sortWithinPartitions(*order)
-    out.write.mode(mode).option("maxRecordsPerFile", 2 * rows_per_file).partitionBy(*partition).parquet(path)
+    out.write.mode(mode).option("maxRecordsPerFile", most).partitionBy(*partition).parquet(path)
     return path
 
 

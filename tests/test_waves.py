@@ -454,3 +454,17 @@ def test_reused_is_held_and_let_go(spark):
     with obs.reused(df) as held:
         assert held.is_cached and held.count() == 10
     assert not df.is_cached
+
+
+def test_small_files_of_a_zone_share_tasks(spark, tmp_path):
+    rows = spark.range(20_000).select(
+        F.expr("timestamp_ntz'2020-03-30 00:00:00' + make_dt_interval(0, cast(id % 100 AS int))").alias("time"),
+        (46 + F.floor(F.col("id") / 100) / 5.0).alias("latitude"), F.lit(-130.0).alias("longitude"), F.rand(1).alias("VHM0"),
+    )
+    path = obs.write_zone(rows.repartition(7), str(tmp_path), "processed", "waves", ("year", "month"), rows_per_file=100)
+    files = spark.read.parquet(path).groupBy("month", F.col("_metadata.file_name").alias("f")).agg(F.count("*").alias("n"), F.min(F.struct("time", "latitude")).alias("low"), F.max(F.struct("time", "latitude")).alias("high")).collect()
+    assert sum(r["n"] for r in files) == 20_000 and max(r["n"] for r in files) <= 100 and 200 <= len(files) <= 202
+    assert len({r["f"].split("-")[1] for r in files}) == 1  # the task that wrote it
+    for month in (3, 4):
+        listed = sorted((r for r in files if r["month"] == month), key=lambda r: r["low"])
+        assert all(a["high"] < b["low"] for a, b in zip(listed, listed[1:]))
