@@ -106,19 +106,28 @@ def grid_arrays(df: DataFrame, variable: str, axes: Axes) -> DataFrame:
     """(time, latitudes, longitudes, values): a dense row-major grid for each time, null where a cell has no row or no value.
 
     ``df`` has each key once.  A time's cells come together in one row, as large as the grid; both axes come with each row, so that
-    ``observations.explode_grid`` needs nothing else.
+    ``observations.explode_grid`` needs nothing else.  The grid is put together from its cells in order of their places, with the
+    gaps between them, so a time costs as much as its grid is large, however many cells have values.
     """
     def listed(axis: str) -> DataFrame:
         entries = F.array_sort(F.collect_list(F.struct(INDEX[axis], axis)))
         return axes.of(axis).agg(F.transform(entries, lambda e: e[axis]).alias(f"{axis}s"))  # one row
 
     n_lats, n_lons = axes.latitude.count(), axes.longitude.count()
-    place = F.col("lat_idx") * n_lons + F.col("lon_idx")
     cells = axes.indexed(df.where(F.col(variable).isNotNull()).select(*KEYS, variable), "latitude", "longitude")
-    found = cells.groupBy("time").agg(F.map_from_entries(F.collect_list(F.struct(place.alias("place"), variable))).alias("found"))
-    steps = axes.time.select("time").join(found, "time", "left")
-    values = F.transform(F.sequence(F.lit(0), F.lit(n_lats * n_lons - 1)), lambda i: F.col("found")[i])
-    return steps.crossJoin(listed("latitude")).crossJoin(listed("longitude")).select("time", "latitudes", "longitudes", values.alias("values"))
+    place = F.col("lat_idx") * n_lons + F.col("lon_idx")
+    entries = cells.select("time", F.struct(place.alias("place"), F.col(variable).alias("value")).alias("cell"), F.lit(False).alias("listed"))
+    steps = axes.time.select("time", F.lit(None).cast(entries.schema["cell"].dataType).alias("cell"), F.lit(True).alias("listed"))
+    found = entries.unionByName(steps).groupBy("time").agg(F.array_sort(F.collect_list("cell")).alias("found"), F.bool_or("listed").alias("listed")).where("listed")
+
+    def missing(n: Column) -> Column:
+        return F.array_repeat(F.lit(None).cast(df.schema[variable].dataType), n)
+
+    before = F.concat(F.array(F.lit(-1)), F.transform("found", lambda c: c["place"]))
+    runs = F.zip_with("found", F.slice(before, F.lit(1), F.size("found")), lambda c, last: F.concat(missing(c["place"] - last - 1), F.array(c["value"])))
+    rest = missing(n_lats * n_lons - 1 - F.element_at(before, -1))
+    values = F.concat(F.flatten(runs), rest)
+    return found.crossJoin(listed("latitude")).crossJoin(listed("longitude")).select("time", "latitudes", "longitudes", values.alias("values"))
 
 
 def overview(df: DataFrame, axes: Axes) -> DataFrame:

@@ -113,3 +113,13 @@ def test_sources_on_two_grids(spark):
     got = collocation.compare_sources(spark.createDataFrame(seen, field.schema), field, "x", 0.2, 7200).collect()
     assert [(r["latitude"], r["longitude"], r["n"], r["mean_seconds_apart"]) for r in got] == [(46.25, -129.75, 1, 3600.0)]
     assert got[0]["bias"] == pytest.approx(2.25 - 2.5) and got[0]["rmse"] == pytest.approx(0.25)
+
+
+def test_a_large_full_grid_takes_time_in_proportion(spark):
+    import time
+
+    cells = spark.range(160_000).select(F.lit(T0).alias("time"), (F.floor(F.col("id") / 400) / 5.0).alias("latitude"), (F.col("id") % 400 / 5.0).alias("longitude"), F.when(F.col("id") % 7 > 0, F.col("id").cast("double")).alias("x"))
+    found = axes.find_axes(cells)
+    began = time.perf_counter()
+    wrong = axes.grid_arrays(cells, "x", found).select(F.size("values").alias("n"), F.posexplode("values")).where("NOT (col <=> if(pos % 7 > 0, cast(pos AS double), null)) OR n <> 160000")
+    assert wrong.count() == 0 and time.perf_counter() - began < 40
