@@ -10,22 +10,20 @@ from pyspark.sql import functions as F
 from ..schema import KEYS
 
 
-def dedup_observations(df: DataFrame, order: Sequence[str] = (), keys: Sequence[str] = KEYS) -> DataFrame:
+def dedup_observations(df: DataFrame, order: Sequence[str] = (), keys: Sequence[str] = KEYS, dealt: Sequence[str] | None = None) -> DataFrame:
     """One row per key: the first by ``order``, or any where the copies are equal.
 
-    Keys are counted first, by a hash aggregate of the key columns alone.  Rows whose key is there once pass
-    through; only those of repeated keys are ordered.  Where these keys are few Spark broadcasts
-    them.  Null keys are equal.
+    Rows are dealt out once, by a hash of ``dealt`` (some of the keys, all by default), and ordered in their tasks, hash first;
+    so the shuffle grows with the rows, however many keys are repeated.  What sums by ``dealt`` afterwards finds its
+    rows together and shuffles sums only; these columns should have many values, as cells have.  Null keys are equal.
     """
     if not order:
         return df.dropDuplicates(list(keys))
     rest = [c for c in df.columns if c not in keys and c not in order]
-    repeated = df.groupBy(*keys).agg(F.count("*").alias("n_")).where("n_ > 1").select(*[F.col(k).alias(f"{k}_") for k in keys])
-    same = [F.col(k).eqNullSafe(F.col(f"{k}_")) for k in keys]
-    once = df.join(repeated, same, "left_anti").select(*keys, *rest)
-    place = F.row_number().over(Window.partitionBy(*keys).orderBy(*order))
-    settled = df.join(repeated, same, "left_semi").withColumn("place_", place).where("place_ = 1").select(*keys, *rest)
-    return once.unionByName(settled)
+    deal = F.xxhash64(*(dealt or keys))
+    place = F.row_number().over(Window.partitionBy("deal_", *keys).orderBy(*order))
+    settled = df.repartition(deal).withColumn("deal_", deal).withColumn("place_", place)
+    return settled.where("place_ = 1").select(*keys, *rest)
 
 
 def _unit_start(first: Column, k: Column) -> Column:

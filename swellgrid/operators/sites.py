@@ -78,14 +78,20 @@ def nearest_series(df: DataFrame, latitude: float | None = None, longitude: floa
 
 
 def whole_matrix(sites: DataFrame, value: str) -> DataFrame:
-    """The matrix over every latitude and longitude found, in long form: ``row`` and ``column`` count both axes from 0, rising."""
+    """The matrix over every latitude and longitude found, in long form: ``row`` and ``column`` count both axes from 0, rising.
+
+    ``sites`` is asked the same way for both axes and for the values, null coordinates being left out by their missing
+    index only, so that Spark shuffles what it is made of once and reads that three times.
+    """
 
     def axis(name: str, index: str) -> DataFrame:
-        found = sites.select(name).where(F.col(name).isNotNull()).distinct()
-        return found.withColumn(index, F.row_number().over(Window.orderBy(name)) - 1)  # as many rows as the axis has values
+        found = sites.select(F.col(name).alias(f"{name}_")).distinct()
+        place = F.row_number().over(Window.orderBy(F.col(f"{name}_").asc_nulls_last())) - 1  # as many rows as the axis has values
+        return found.withColumn(index, F.when(F.col(f"{name}_").isNotNull(), place))
 
-    placed = sites.join(F.broadcast(axis("latitude", "row")), "latitude").join(F.broadcast(axis("longitude", "column")), "longitude")
-    return placed.select("row", "column", *CELL, value)
+    rows, columns = axis("latitude", "row"), axis("longitude", "column")
+    placed = sites.join(F.broadcast(rows), F.col("latitude").eqNullSafe(F.col("latitude_"))).join(F.broadcast(columns), F.col("longitude").eqNullSafe(F.col("longitude_")))
+    return placed.where("row IS NOT NULL AND column IS NOT NULL").select("row", "column", *CELL, value)
 
 
 def compare_best_worst(rows: DataFrame, value: str, sites: DataFrame) -> DataFrame:

@@ -468,3 +468,23 @@ def test_small_files_of_a_zone_share_tasks(spark, tmp_path):
     for month in (3, 4):
         listed = sorted((r for r in files if r["month"] == month), key=lambda r: r["low"])
         assert all(a["high"] < b["low"] for a, b in zip(listed, listed[1:]))
+
+
+def test_overlaps_are_settled_by_one_shuffle(spark):
+    from swellgrid.plans.queries import monthly
+
+    df = spark.range(10).selectExpr("timestamp_ntz'2020-01-01 00:00:00' AS time", "46.0 AS latitude", "-130.0 AS longitude", "id AS o", "id * 2.0 AS x")
+    assert ingest.dedup_observations(df, ["o"])._jdf.queryExecution().executedPlan().toString().count("Exchange ") == 1
+    assert monthly(spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString().count("Exchange ") == 2
+
+
+def test_the_matrix_reads_one_shuffle_of_the_rows(spark):
+    from swellgrid.plans.queries import site_matrix_all
+
+    out = site_matrix_all(spark, "/root/testdata/sf0.001")
+    assert out.count() > 0
+    out.collect()
+    plan = out._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[0]
+    assert plan.count("REPARTITION_BY_COL") == 1 and plan.count("ReusedExchange") >= 1
+    odd = frame(spark, [(46.0, None, 1.0), (None, 1.0, 2.0), (47.0, 2.0, None)], "latitude double, longitude double, p double")
+    assert [tuple(r) for r in sites.whole_matrix(odd, "p").collect()] == [(1, 1, 47.0, 2.0, None)]
