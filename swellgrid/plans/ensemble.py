@@ -29,8 +29,9 @@ def ensemble_mean(members: Column) -> Column:
 
 def ensemble_variance(members: Column) -> Column:
     """Sample variance; null with fewer than two members."""
-    mean = ensemble_mean(members)
-    return F.when(F.size(members) > 1, _sum(F.transform(members, lambda x: (x - mean) * (x - mean))) / (F.size(members) - 1))
+    # The mean as the only entry of an array is computed once, not once for each member.
+    squares = F.transform(F.array(ensemble_mean(members)), lambda mean: _sum(F.transform(members, lambda x: (x - mean) * (x - mean))))
+    return F.when(F.size(members) > 1, F.get(squares, F.lit(0)) / (F.size(members) - 1))
 
 
 def crps(members: Column, observed: Column, fair: bool = False) -> Column:
@@ -52,14 +53,25 @@ def rank_of(members: Column, observed: Column) -> Column:
 
 
 def score_ensemble(members: DataFrame, observed: DataFrame, value: str, keys: Sequence[str] = KEYS) -> DataFrame:
-    """Rows of keys that have members and an observation: both, n, mean, variance, rank, crps and the square of the mean's error.
+    """``score_cases`` of members and observations in tables of their own.
 
     ``observed`` has each key once; both sides are dealt out by the key, so the members' exchange serves the join too.
     """
-    gathered = sorted_members(members, value, keys).where(F.size("members") > 0)
-    both = gathered.join(observed.where(F.col(value).isNotNull()).select(*keys, F.col(value).alias("observed")), list(keys))
+    gathered = sorted_members(members, value, keys)
+    return score_cases(gathered.join(observed.select(*keys, F.col(value).alias("observed")), list(keys)), keys)
+
+
+def score_cases(cases: DataFrame, keys: Sequence[str] = KEYS) -> DataFrame:
+    """Rows of keys that have members and an observation: both, n, mean, variance, rank, crps and the square of the mean's error.
+
+    ``cases`` has each key once with its ``members``, an array in any order, and what was ``observed``; nothing is shuffled.
+    ``inline`` keeps the sorted members a column of their own: a filter on a score would else be pushed below it, and sort them
+    again in each of its terms.
+    """
+    ready = F.struct(F.array_sort(F.array_compact("members")).alias("members"), F.col("observed"))
+    ready = cases.where("observed IS NOT NULL").select(*keys, F.inline(F.array(ready))).where(F.size("members") > 0)
     x, y = F.col("members"), F.col("observed")
-    out = both.select(*keys, "members", "observed", F.size(x).alias("n"), ensemble_mean(x).alias("mean"), ensemble_variance(x).alias("variance"), rank_of(x, y).alias("rank"), crps(x, y).alias("crps"))
+    out = ready.select(*keys, "members", "observed", F.size(x).alias("n"), ensemble_mean(x).alias("mean"), ensemble_variance(x).alias("variance"), rank_of(x, y).alias("rank"), crps(x, y).alias("crps"))
     return out.withColumn("squared_error", (F.col("mean") - y) * (F.col("mean") - y))
 
 

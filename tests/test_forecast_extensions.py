@@ -123,3 +123,15 @@ def test_a_large_full_grid_takes_time_in_proportion(spark):
     began = time.perf_counter()
     wrong = axes.grid_arrays(cells, "x", found).select(F.size("values").alias("n"), F.posexplode("values")).where("NOT (col <=> if(pos % 7 > 0, cast(pos AS double), null)) OR n <> 160000")
     assert wrong.count() == 0 and time.perf_counter() - began < 40
+
+
+def test_ensembles_of_a_row_are_scored_without_a_shuffle(spark):
+    from swellgrid.plans.queries import _ensemble_scores
+
+    cases = [(t, la, lo, [None, *reversed(xs)], y) for t, la, lo, xs, y in ensembles(5)]
+    df = spark.createDataFrame(cases, "time timestamp_ntz, latitude double, longitude double, members array<double>, observed double")
+    members, observed = member_tables(spark, ensembles(5))
+    scores = ensemble.score_cases(df)
+    assert sorted(map(tuple, scores.collect())) == sorted(map(tuple, ensemble.score_ensemble(members, observed, "x").collect()))
+    assert "Exchange" not in scores._jdf.queryExecution().executedPlan().toString()
+    assert _ensemble_scores(spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString().count("Exchange ") == 1
