@@ -2,19 +2,21 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
 from py4j.java_gateway import JavaObject
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from ..operators.ingest import dedup_observations
-from ..schema import KEYS
+from ..schema import CELL, KEYS
 from ..sources.observations import in_box, nan_to_null
 
 #: Directories of the target, by the time of the row.
 MONTHS = ("year", "month")
+#: Rows of a month that one task sorts and writes.
+ROWS_PER_PIECE = 1_000_000
 
 
 def clean_rows(rows: DataFrame, box: dict[str, float] | None = None) -> DataFrame:
@@ -23,17 +25,17 @@ def clean_rows(rows: DataFrame, box: dict[str, float] | None = None) -> DataFram
     return out.where(in_box(**box)) if box else out
 
 
-def merge_rows(held: DataFrame, new: DataFrame, order: Sequence[str] = ()) -> DataFrame:
+def merge_rows(held: DataFrame, new: DataFrame, order: Sequence[str] = (), pieces: int = 1) -> DataFrame:
     """One row for each time and cell of two tables of the same columns: the least by ``order``, and without one the held row.
 
-    Only the keys of ``new`` are contested; what else is held passes through without a shuffle where
-    the new keys are few enough for Spark to broadcast.  ``held`` has each key once.
+    All rows are shuffled once, by month and by ``pieces`` groups of cells in each, and come out that way with the columns of
+    ``MONTHS``, sorted as the table is written.  ``held`` has each key once.
     """
-    keys = new.select(*KEYS).distinct()
     place = ["arrived_", *order] if not order else [*order, "arrived_"]
-    contested = held.join(keys, list(KEYS), "left_semi").withColumn("arrived_", F.lit(0)).unionByName(new.withColumn("arrived_", F.lit(1)))
-    won = dedup_observations(contested.select("*", *[F.col(c).alias(f"{c}_order_") for c in place]), [f"{c}_order_" for c in place]).drop("arrived_")
-    return held.join(keys, list(KEYS), "left_anti").unionByName(won)
+    both = held.withColumn("arrived_", F.lit(0)).unionByName(new.withColumn("arrived_", F.lit(1)))
+    both = both.withColumns({"year": F.year("time"), "month": F.month("time"), "piece_": F.pmod(F.xxhash64(*CELL), F.lit(pieces))}).repartition(*MONTHS, "piece_")
+    first = F.row_number().over(Window.partitionBy(*MONTHS, "piece_", *KEYS).orderBy(*place))
+    return both.withColumn("place_", first).where("place_ = 1").select(*new.columns, *MONTHS)
 
 
 class MonthTable:
@@ -75,12 +77,8 @@ class MonthTable:
         return f"{self.path}/_staged/{batch}"
 
     def stage(self, rows: DataFrame, batch: int) -> None:
-        """Write the months of ``rows``, whole, beside the table.
-
-        Rows are brought together by month, so that a month has few files; Spark splits a large one among tasks and lets small ones share one.
-        """
-        out = rows.withColumns({"year": F.year("time"), "month": F.month("time")})
-        out.hint("rebalance", *MONTHS).write.mode("overwrite").partitionBy(*MONTHS).parquet(self.staged(batch))
+        """Write the months of ``rows`` (see ``merge_rows``), whole, beside the table: a file for each piece of a month at most, small pieces share one."""
+        rows.write.mode("overwrite").partitionBy(*MONTHS).parquet(self.staged(batch))
 
     def is_staged(self, batch: int) -> bool:
         return self._exists(f"{self.staged(batch)}/_SUCCESS")
@@ -100,15 +98,18 @@ class MonthTable:
 def upsert(rows: DataFrame, batch: int, table: MonthTable, order: Sequence[str] = (), box: dict[str, float] | None = None) -> None:
     """Merge a batch of raw rows into the months that it touches.  A second call for the same batch changes nothing.
 
-    Which months these are comes to the driver, at most one row for each month of the calendar that the batch has.
+    Which months these are comes to the driver, at most one row for each month of the calendar that the batch has.  The month
+    with most rows, held and new, says in how many pieces months are written.
     """
     if not table.is_staged(batch):
         new = clean_rows(rows, box)
-        at = new.select(F.year("time").alias("y"), F.month("time").alias("m")).distinct().collect()
+        at = {(r["y"], r["m"]): r["count"] for r in new.groupBy(F.year("time").alias("y"), F.month("time").alias("m")).count().collect()}
         if not at:
             return
-        held = table.read(new.schema, [(r["y"], r["m"]) for r in at])
-        table.stage(merge_rows(held, new, order), batch)
+        held = table.read(new.schema, list(at))
+        for r in held.groupBy(F.year("time").alias("y"), F.month("time").alias("m")).count().collect():
+            at[r["y"], r["m"]] += r["count"]
+        table.stage(merge_rows(held, new, order, math.ceil(max(at.values()) / ROWS_PER_PIECE)), batch)
     table.replace(batch)
 
 

@@ -488,3 +488,22 @@ def test_the_matrix_reads_one_shuffle_of_the_rows(spark):
     assert plan.count("REPARTITION_BY_COL") == 1 and plan.count("ReusedExchange") >= 1
     odd = frame(spark, [(46.0, None, 1.0), (None, 1.0, 2.0), (47.0, 2.0, None)], "latitude double, longitude double, p double")
     assert [tuple(r) for r in sites.whole_matrix(odd, "p").collect()] == [(1, 1, 47.0, 2.0, None)]
+
+
+def test_a_merge_shuffles_once_and_takes_months_in_pieces(spark, tmp_path, monkeypatch):
+    from swellgrid.streaming import ingest as stream
+
+    schema = "time timestamp_ntz, latitude double, longitude double, x double, o int"
+    rows = [(datetime(2020, 1 + k % 2, 1 + k % 5), 46.0 + k / 5, -130.0, float(k), 1) for k in range(60)]
+    new = frame(spark, rows + [(*r[:3], -1.0, 0) for r in rows[:20]] + [(*r[:3], -2.0, 2) for r in rows[20:]], schema)
+    held = frame(spark, [(*r[:3], 9.0, 1 if k > 50 else -1) for k, r in enumerate(rows) if k > 40], schema)
+    for order, wanted in ((["o"], lambda k, x: 9.0 if k > 40 else -1.0 if k < 20 else x), ([], lambda k, x: 9.0 if k > 40 else None)):
+        merged = stream.merge_rows(held, new, order, 3)
+        assert merged._jdf.queryExecution().executedPlan().toString().count("Exchange ") == 1
+        got = {r["latitude"]: r for r in merged.collect()}
+        assert len(got) == merged.count() == 60 and all(wanted(k, r[3]) in (None, got[r[1]]["x"]) for k, r in enumerate(rows))
+    monkeypatch.setattr(stream, "ROWS_PER_PIECE", 20)
+    table = stream.MonthTable(spark, str(tmp_path / "t"))
+    for batch in (0, 1):  # the same rows again change nothing
+        stream.upsert(new, batch, table, ["o"])
+        assert sorted(r["x"] for r in table.read(new.schema).collect()) == sorted([-1.0] * 20 + [float(k) for k in range(20, 60)])
